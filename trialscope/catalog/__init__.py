@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES = ["logs"]
+FAMILIES = ["logs", "interactions"]
 
 
 def load() -> None:
