@@ -97,14 +97,24 @@ def hint_count(code: Column, patterns: list[str]) -> Column:
     return total
 
 
+def language_of(code: Column) -> Column:
+    """The language with most indicator hits (``unknown`` without any).
+
+    One ordered struct per language, so that every indicator is evaluated once wherever
+    the optimizer copies this expression.
+    """
+    names = [*LANGUAGE_HINTS, "unknown"]
+    ranked = []
+    for place, name in enumerate(names):
+        score = hint_count(code, LANGUAGE_HINTS[name]) if name != "unknown" else F.lit(0)
+        # Without hits the last entry has to win; else the earlier language does.
+        order = F.lit(len(names) if name == "unknown" else len(names) - 1 - place)
+        ranked.append(F.struct(score.alias("hits"), order.alias("order"), F.lit(name).alias("name")))
+    return F.greatest(*ranked)["name"]
+
+
 def detect_language(df: DataFrame, code: str, out: str = "language") -> DataFrame:
-    """Add the language with most indicator hits (``unknown`` without any)."""
-    scored = df.withColumn("_hits", F.struct(*[hint_count(F.col(code), p).alias(k) for k, p in LANGUAGE_HINTS.items()]))
-    scored = scored.withColumn("_best", F.greatest(*[F.col("_hits")[k] for k in LANGUAGE_HINTS]))
-    chosen = F.when(F.col("_best") == 0, "unknown")
-    for language in LANGUAGE_HINTS:
-        chosen = chosen.when(F.col("_hits")[language] == F.col("_best"), language)
-    return scored.withColumn(out, chosen).drop("_hits", "_best")
+    return df.withColumn(out, language_of(F.col(code)))
 
 
 # -- single checks ---------------------------------------------------------------
