@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES = ["logs", "interactions"]
+FAMILIES = ["logs", "interactions", "code"]
 
 
 def load() -> None:

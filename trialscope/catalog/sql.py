@@ -16,7 +16,8 @@ def lit(text: str) -> str:
 
 def plain(pattern: str) -> str:
     """The pattern with boundaries the checking engine knows."""
-    return pattern.replace(T.WORD_START, r"\b").replace(T.WORD_END, r"\b")
+    plain = pattern.replace(T.WORD_START, r"\b").replace(T.WORD_END, r"\b")
+    return plain.replace("(?id)", "(?i)").replace("(?d)", "").replace("(?ds)", "(?s)")
 
 
 def rx(col: str, pattern: str, group: int = 0) -> str:

@@ -190,8 +190,8 @@ SECURITY_RULES = [
     ("buffer_overflow", rf"(?i)(?<!{W})sprintf\s*\("),
     ("buffer_overflow", rf"(?i)(?<!{W})gets\s*\("),
     ("buffer_overflow", rf"(?i)(?<!{W})scanf\s*\([^)]*%s"),
-    ("sql_injection", r"(?i)SELECT.*\+.*|INSERT.*\+.*"),
-    ("sql_injection", r"(?i)query.*\+.*"),
+    ("sql_injection", r"(?id)SELECT.*\+.*|INSERT.*\+.*"),
+    ("sql_injection", r"(?id)query.*\+.*"),
     ("sql_injection", r"(?i)executeQuery\s*\([^)]*\+"),
     ("command_injection", r"(?i)system\s*\([^)]*\+"),
     ("command_injection", r"(?i)exec\s*\([^)]*\+"),
@@ -199,15 +199,15 @@ SECURITY_RULES = [
     ("command_injection", r"(?i)subprocess\.[^(]*\([^)]*shell\s*=\s*True"),
 ]
 SIGNATURE_RULES = [
-    ("buffer_overflow", r"(?i)stack.*overflow"),
-    ("buffer_overflow", r"(?i)heap.*overflow"),
-    ("buffer_overflow", r"(?i)buffer.*overflow"),
-    ("use_after_free", r"(?i)use.*after.*free"),
-    ("use_after_free", r"(?i)heap.*corruption"),
-    ("use_after_free", r"(?i)double.*free"),
-    ("null_pointer_dereference", r"(?i)sigsegv"),
-    ("null_pointer_dereference", r"(?i)access.*violation"),
-    ("null_pointer_dereference", r"(?i)null.*pointer"),
+    ("buffer_overflow", r"(?id)stack.*overflow"),
+    ("buffer_overflow", r"(?id)heap.*overflow"),
+    ("buffer_overflow", r"(?id)buffer.*overflow"),
+    ("use_after_free", r"(?id)use.*after.*free"),
+    ("use_after_free", r"(?id)heap.*corruption"),
+    ("use_after_free", r"(?id)double.*free"),
+    ("null_pointer_dereference", r"(?id)sigsegv"),
+    ("null_pointer_dereference", r"(?id)access.*violation"),
+    ("null_pointer_dereference", r"(?id)null.*pointer"),
 ]
 # Per-language line rules: language, category, pattern.
 SOURCE_RULES = [
