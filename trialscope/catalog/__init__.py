@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES = ["logs", "interactions", "code"]
+FAMILIES = ["logs", "interactions", "code", "findings", "sessions"]
 
 
 def load() -> None:
