@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES = ["logs", "interactions", "code", "findings", "sessions"]
+FAMILIES = ["logs", "interactions", "code", "findings", "sessions", "projects", "experiments", "storage", "streams"]
 
 
 def load() -> None:

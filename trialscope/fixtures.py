@@ -251,6 +251,37 @@ union all
 select 'cur' as snap, concat('f', cast(p_partkey as string)) as path, p_size + case when p_partkey % 3 = 0 then 1 else 0 end as mtime from @part@ where p_partkey % 7 <> 0
 """
 
+# Log files of several formats: JSON lines, CSV with a header, a fuzzer's log, plain text.
+VIEWS["mixed_lines"] = """
+select concat(case event_id % 4 when 0 then 'json' when 1 then 'table' when 2 then 'fuzz' else 'text' end, '-', cast(cast(floor(event_id / 1000) as bigint) as string)) as file,
+  cast(floor((event_id % 1000) / 4) as bigint) + case event_id % 4 when 1 then 2 else 1 end as line_number, event_id,
+  case event_id % 4
+    when 0 then case when event_id % 20 = 0 and event_id % 1000 > 40 then '{broken'
+      when event_type = 'error' then concat('{"time":"', substring(cast(ts as string),1,19), '","severity":"ERROR","msg":"crash ', cast(event_id as string), '","signal":"11"}')
+      when event_type = 'signup' then concat('{"timestamp":"', substring(cast(ts as string),1,19), '","level":"INFO","message":"reply","model":"gpt-4","tokens":', cast(event_id as string), '}')
+      when event_type = 'click' then concat('{"timestamp":"', substring(cast(ts as string),1,19), '","level":"INFO","message":"ran","model":"m","exec":1}')
+      else concat('{"time":"', substring(cast(ts as string),1,19), '","level":"INFO","msg":"idle"}') end
+    when 1 then concat(substring(cast(ts as string),1,19), ',', event_type, ',', cast(user_id as string), ',"a, ""quoted"" note"')
+    when 2 then case event_type when 'error' then 'libfuzzer crash' when 'click' then concat('#', cast(event_id as string), ' INITED libfuzzer exec/s: 7') else 'libfuzzer leak' end
+    else concat(substring(cast(ts as string),1,19), ' INFO took ', cast(value as string), ' ms') end as raw_line
+from @events@
+union all
+select distinct concat('table-', cast(cast(floor(event_id / 1000) as bigint) as string)) as file, cast(1 as bigint) as line_number, cast(null as bigint) as event_id, 'time,type,code,note' as raw_line
+from @events@
+"""
+
+VIEWS["xml_reports"] = """
+select o_orderkey, concat('x', cast(o_orderkey as string), '.xml') as file,
+  case o_orderkey % 4
+    when 0 then concat('<testsuites><testsuite name="s', cast(o_custkey % 5 as string), '"><testcase name="a', cast(o_orderkey as string), '" classname="k" time="', cast(o_orderkey % 100 as string), '.5"/>',
+      '<testcase name="b', cast(o_orderkey as string), '" classname="k" time="1.0"><failure message="', o_orderstatus, '">boom</failure></testcase></testsuite></testsuites>')
+    when 1 then concat('<testsuite name="r', cast(o_custkey % 5 as string), '"><testcase name="c', cast(o_orderkey as string), '" classname="k"><error message="', o_orderstatus, '">bad</error></testcase></testsuite>')
+    when 2 then concat('<coverage><packages><package name="p', cast(o_custkey % 7 as string), '"><classes><class name="C', cast(o_orderkey as string), '" filename="f.c" line-rate="0.5" branch-rate="0.25"><lines>',
+      '<line number="1" hits="', cast(o_orderkey % 9 as string), '" branch="true"/><line number="2" hits="0"/></lines></class></classes></package></packages></coverage>')
+    else concat('<other id="', cast(o_orderkey as string), '"><item>', o_orderstatus, '</item></other>') end as content
+from @orders@
+"""
+
 _NAME = re.compile(r"@(\w+)@")
 
 
@@ -258,19 +289,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """The named view (or base table) as a lazy DataFrame."""
+def view(spark: SparkSession, sf_dir: str, name: str, streams: dict[str, DataFrame] | None = None) -> DataFrame:
+    """The named view (or base table) as a lazy DataFrame.
+
+    ``streams`` replaces base tables, so that the same text also defines a streaming view.
+    """
+    if streams and name in streams:
+        return streams[name]
     if name in BASE_TABLES:
         return table(spark, sf_dir, name)
     if name == "turn_pairs":
         from .operators.interactions import pair_turns
 
         return pair_turns(table(spark, sf_dir, "conversations"))
-    tag = hashlib.sha1(sf_dir.encode()).hexdigest()[:8]
+    tag = hashlib.sha1(sf_dir.encode()).hexdigest()[:8] + ("_live" if streams else "")
 
     def bind(match: re.Match) -> str:
         temp = f"ts_{match[1]}_{tag}"
-        view(spark, sf_dir, match[1]).createOrReplaceTempView(temp)
+        view(spark, sf_dir, match[1], streams).createOrReplaceTempView(temp)
         return temp
 
     return spark.sql(_NAME.sub(bind, VIEWS[name]))

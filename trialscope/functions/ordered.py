@@ -17,8 +17,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def smoothed(df: DataFrame, keys: list[str], order: list[str], value: str, keep: float, add: float, start: float = 0.0) -> DataFrame:
-    """Final value of ``s <- keep * s + add * value`` per key, from ``start``, in ``order``."""
+def segments_of(df: DataFrame, keys: list[str], order: list[str], value: str, keep: float, add: float) -> DataFrame:
+    """One affine step (``survives``, ``adds``) per key and task for ``s <- keep * s + add * value``."""
     ranged = df.select(*keys, *order, F.col(value).cast("double").alias("_v"))
     ranged = ranged.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order)
     ranged = ranged.select(*keys, "_v", F.spark_partition_id().alias("_task"))
@@ -47,10 +47,27 @@ def smoothed(df: DataFrame, keys: list[str], order: list[str], value: str, keep:
             yield pd.DataFrame([current], columns=columns)
 
     columns = [*keys, "task", "survives", "adds"]
-    segments = ranged.mapInPandas(fold, f"{key_fields}, task int, survives double, adds double")
+    return ranged.mapInPandas(fold, f"{key_fields}, task int, survives double, adds double")
+
+
+def smoothed_segments(segments: DataFrame, keys: list[str]) -> DataFrame:
+    """The steps of each key put together, in task order, into one step."""
     chain = F.array_sort(F.collect_list(F.struct("task", "survives", "adds")))
-    folded = F.aggregate(chain, F.lit(float(start)), lambda s, x: s * x["survives"] + x["adds"])
-    return segments.groupBy(*keys).agg(folded.alias("smoothed"))
+    first = F.struct(F.lit(1.0).alias("survives"), F.lit(0.0).alias("adds"))
+    whole = F.aggregate(
+        chain,
+        first,
+        lambda s, x: F.struct(
+            (s["survives"] * x["survives"]).alias("survives"), (s["adds"] * x["survives"] + x["adds"]).alias("adds")
+        ),
+    )
+    return segments.groupBy(*keys).agg(whole.alias("step")).select(*keys, "step.survives", "step.adds")
+
+
+def smoothed(df: DataFrame, keys: list[str], order: list[str], value: str, keep: float, add: float, start: float = 0.0) -> DataFrame:
+    """Final value of ``s <- keep * s + add * value`` per key, from ``start``, in ``order``."""
+    steps = smoothed_segments(segments_of(df, keys, order, value, keep, add), keys)
+    return steps.select(*keys, (F.col("survives") * start + F.col("adds")).alias("smoothed"))
 
 
 def running_total(df: DataFrame, order: str, delta: str, blocks: int = 256) -> DataFrame:

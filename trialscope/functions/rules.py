@@ -244,7 +244,25 @@ LANGUAGE_OF_EXTENSION = {
     "swift": "swift", "kt": "kotlin",
 }
 
-# Model catalogue: name, size in GB, specialty, expected quality, priority.
+# Model catalogue: name, size in GB, specialty, expected quality, priority, token limit.
+MODELS = [
+    ("deepseek-coder:33b", 18.0, "code", "very_high", 1, 16384),
+    ("codellama:34b-instruct", 19.0, "code", "very_high", 2, 16384),
+    ("starcoder2:15b", 9.1, "code", "very_high", 3, 8192),
+    ("qwen2.5-coder:32b", 19.0, "code", "very_high", 4, 16384),
+    ("wizardcoder:33b", 18.0, "code", "very_high", 5, 16384),
+    ("devstral:latest", 14.0, "code", "high", 6, 16384),
+    ("deepseek-r1:32b", 19.0, "general", "high", 7, 16384),
+    ("qwen3:32b", 20.0, "general", "high", 8, 16384),
+    ("yi:34b", 19.0, "general", "high", 9, 16384),
+    ("gemma3:27b", 17.0, "general", "medium", 10, 8192),
+    ("mixtral:latest", 26.0, "general", "high", 11, 32768),
+    ("magistral:24b", 14.0, "general", "medium", 12, 8192),
+    ("phi4:14b", 9.1, "general", "medium", 13, 8192),
+    ("llama3:latest", 4.7, "baseline", "baseline", 14, 8192),
+]
+MODEL_COLUMNS = "model_name string, size_gb double, specialty string, expected_quality string, priority int, max_tokens int"
+# Model sets of the study.
 MODEL_SETS = {
     "validation": ["llama3:latest"],
     "quick_test": ["llama3:latest", "deepseek-coder:33b"],
