@@ -336,3 +336,26 @@ def _(spark, sf):
     return fx.remediation_plan(found(spark, sf), "session_id").select(
         "session_id", "vulnerability_type", "estimated_effort", "timeline_immediate", "timeline_complete"
     )
+
+
+@query(
+    "ud1_analyzer_runs",
+    oracle(
+        "interactions source_files crashes",
+        "select 'HallucinationDetector' as analyzer_name, count(*) as analyses, count(case when prompt_text like '%a%' then 1 end) as failed from interactions union all "
+        "select 'CodeQualityAnalyzer', count(*), 0 from source_files union all select 'VulnerabilityAnalyzer', count(*), 0 from crashes",
+    ),
+)
+def _(spark, sf):
+    from ..plans import analyzers
+
+    # Prompts with an "a" are taken away, so that rows with a missing value are seen.
+    prompt = F.when(~F.col("prompt_text").contains("a"), F.col("prompt_text"))
+    results = analyzers.analyze_all(
+        {
+            analyzers.REPLIES: view(spark, sf, "interactions").withColumn("prompt_text", prompt),
+            analyzers.SOURCES: view(spark, sf, "source_files"),
+            analyzers.CRASHES: view(spark, sf, "crashes"),
+        }
+    )
+    return analyzers.summary(results).drop("average_confidence")

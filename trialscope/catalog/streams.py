@@ -4,16 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..fixtures import oracle, table, view
-from ..operators import code
+from ..fixtures import oracle, view
+from ..functions import rules
+from ..operators import findings as fx
 from ..streaming import jobs
 from ..streaming.io import append, stream_table, upsert
 from . import sql as S
-from .code import BASE, rule_union, SECURITY
+from .code import BASE, SECURITY
+from .findings import CALL, DANGEROUS
 from .interactions import HEALTH
-from .logs import KIND, lines_oracle, ALL_TOOLS
+from .logs import ALL_TOOLS, KIND, TRACE, lines_oracle
 from .registry import query
-from .findings import SIGNATURE_ROWS  # noqa: F401  (same rules, checked on the batch side)
 
 
 def live(spark, sf, name: str, base: str = "events"):
@@ -41,11 +42,12 @@ def _(spark, sf):
 
 
 # The counter restarts with the first request more than 60 s after the last restart.
-RATES = """with recursive q as (select provider, epoch_us(ts) / 1e6 as at from provider_health),
- chain as (select provider, min(at) as reset from q group by provider
-   union all select c.provider, (select min(at) from q where q.provider = c.provider and q.at - c.reset > 60) from chain c where c.reset is not null),
- r as (select provider, reset, lead(reset) over (partition by provider order by reset) as next from chain where reset is not null),
- n as (select r.provider, r.reset, count(*) as requests from r join q on q.provider = r.provider and q.at >= r.reset and (r.next is null or q.at < r.next) group by 1, 2)
+RATES = """with recursive q as (select provider, epoch_us(ts) as t from provider_health),
+ nx as (select provider, t, first_value(t) over (partition by provider order by t range between 60000001 following and unbounded following) as following from q),
+ chain as (select provider, min(t) as reset from q group by provider
+   union all select nx.provider, nx.following from chain c join nx on nx.provider = c.provider and nx.t = c.reset where nx.following is not null),
+ r as (select provider, reset, lead(reset) over (partition by provider order by reset) as following from chain),
+ n as (select r.provider, r.reset, count(*) as requests from r join q on q.provider = r.provider and q.t >= r.reset and (r.following is null or q.t < r.following) group by 1, 2)
  select provider, cast(arg_max(requests, reset) as bigint) as in_window, cast(sum(greatest(requests - 60, 0)) as bigint) as limited, count(*) as resets from n group by provider"""
 
 
@@ -103,18 +105,30 @@ def _(spark, sf):
     ),
 )
 def _(spark, sf):
-    documents = stream_table(spark, sf, "documents").withColumn("arrived_at", F.col("_metadata.file_modification_time"))
-    files = view(spark, sf, "source_files", {"documents": documents})
-    # The view keeps the columns of the batch one; the arrival time is added back on top.
-    arrived = files.withColumn("arrived_at", F.current_timestamp())
+    # The arrival time of a text is its event time.
+    arrived = live(spark, sf, "source_files", "documents").withColumn("arrived_at", F.current_timestamp())
     return append(jobs.new_code_files(arrived), "code-files").drop("issue_kinds")
 
 
-@query("st8_crash_file_findings")
+SIGNED = " union all ".join(
+    f"select file, line_number as crash_line, 'crash_signature_analysis' as detection_method, '{kind}' as vulnerability_type, '{fx.known_severity(kind)}' as severity from cr where {S.rl('l', p)}"
+    for kind, p in rules.SIGNATURE_RULES
+)
+CRASH_LOG = (
+    TRACE.replace("from tool_lines", "from tool_lines where tool = 'crash'")
+    + ", cr as (select * from s where starts), fc as (select file, crash_line, case when a <> '' then a else b end as f from (select file, crash_line, "
+    f"unnest(regexp_extract_all(frame, {S.lit(CALL)}, 1)) as a, unnest(regexp_extract_all(frame, {S.lit(CALL)}, 2)) as b from f) t) "
+    f"{SIGNED} union all select file, line_number, 'memory_analysis', 'use_after_free', 'high' from cr where contains(lower(l), 'heap') "
+    f"union all select file, crash_line, 'stack_trace_analysis', {DANGEROUS}, 'medium' from fc where {DANGEROUS} is not null "
+    f"union all select distinct file, crash_line, 'stack_trace_analysis', 'null_pointer_dereference', 'medium' from f where {S.rl('frame', fx.NULL_ADDRESS)}"
+)
+
+
+@query("st8_crash_file_findings", oracle("tool_lines", CRASH_LOG))
 def _(spark, sf):
     lines = live(spark, sf, "tool_lines").filter("tool = 'crash'").select("file", "line_number", "raw_line")
     found = jobs.crash_file_findings(lines, "crash-files")
-    return found.groupBy("file", "detection_method", "vulnerability_type", "severity").agg(F.count("*").alias("findings"))
+    return found.select("file", "crash_line", "detection_method", "vulnerability_type", "severity")
 
 
 @query(

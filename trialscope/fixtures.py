@@ -86,11 +86,11 @@ select event_id as line_number, concat('t', cast(user_id as string)) as file, ts
       when 'signup' then concat('branches ', cast(event_id % 77 as string), '%')
       else 'no data' end
     else case event_type
-      when 'click' then concat('#', cast(event_id % 7 as string), ' 0x41 in parse_', cast(event_id % 3 as string), ' lib.c')
+      when 'click' then concat('#', cast(event_id % 7 as string), ' 0x41 in ', case event_id % 5 when 0 then 'strcpy' when 1 then 'free' else 'parse_next' end, ' lib.c')
       when 'view' then case event_id % 4 when 0 then '' else concat('frame 0x', cast(event_id % 10 as string)) end
       when 'signup' then 'msan report'
       when 'purchase' then case event_id % 3 when 0 then '' else '# asan summary' end
-      else case event_id % 3 when 0 then 'Segmentation fault' when 1 then 'crash with SIGABRT' else 'crash signal 11' end end
+      else case event_id % 4 when 0 then 'Segmentation fault' when 1 then 'crash with SIGABRT' when 2 then 'crash: heap buffer overflow, heap overflow' else 'crash signal 11' end end
   end as raw_line
 from @events@
 """

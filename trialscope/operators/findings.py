@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import rules
 from ..functions import text as T
 from ..functions.numbers import clamp
+from .logs import trace_frames, trace_state
 
 W = T.WORD
 FRAME_CALL = rf"(?:in|at)\s+{W}+|{W}+\s*\("
@@ -67,17 +68,21 @@ def frame_functions(trace: Column) -> Column:
     )
 
 
-def trace_findings(trace: Column) -> Column:
-    """Dangerous functions in the frames, and a null address anywhere."""
+def call_findings(trace: Column) -> Column:
+    """One finding per dangerous function called in the frames."""
     dangerous = F.filter(frame_functions(trace), lambda f: f.isin(*[name for name, _ in rules.DANGEROUS_FUNCTIONS]))
-    calls = F.transform(
+    return F.transform(
         dangerous,
         lambda f: _finding(rules.lookup(f, rules.DANGEROUS_FUNCTIONS), "medium", 0.5, "stack_trace_analysis", f),
     )
+
+
+def trace_findings(trace: Column) -> Column:
+    """Dangerous functions in the frames, and a null address anywhere."""
     null = F.when(
         trace.rlike(NULL_ADDRESS), _finding("null_pointer_dereference", "medium", 0.8, "stack_trace_analysis")
     )
-    return F.concat(calls, F.array_compact(F.array(null)))
+    return F.concat(call_findings(trace), F.array_compact(F.array(null)))
 
 
 def memory_findings(heap_corruption: Column, stack_overflow: Column) -> Column:
@@ -101,6 +106,26 @@ def crash_findings(crashes: DataFrame, *keys: str) -> DataFrame:
     return rows.withColumn("finding_id", F.sha2(natural, 256))
 
 
+def crash_log_findings(lines: DataFrame) -> DataFrame:
+    """Findings of crash dumps, straight from their lines.
+
+    A stack trace stays a set of frame rows: functions are looked up per frame and a null
+    address counts once per crash, so a trace of any length is never one value.
+    """
+    state = trace_state(lines)
+    key = ["file", "crash_line"]
+    starts = state.filter("starts").select("file", F.col("line_number").alias("crash_line"), "raw_line")
+    message = F.col("raw_line")
+    heap = F.lower(message).contains("heap")
+    signed = starts.select(*key, F.explode(F.concat(signature_findings(message), memory_findings(heap, F.lit(False)))).alias("f"))
+    frames = trace_frames(state)
+    frame = F.col("frame")
+    calls = frames.select(*key, F.explode(call_findings(frame)).alias("f"))
+    null = _finding("null_pointer_dereference", "medium", 0.8, "stack_trace_analysis")
+    nulls = frames.filter(frame.rlike(NULL_ADDRESS)).select(*key).distinct().select(*key, null.alias("f"))
+    return signed.unionByName(calls).unionByName(nulls).select(*key, "f.*")
+
+
 # -- risk ------------------------------------------------------------------------
 
 

@@ -47,18 +47,7 @@ def crash_file_findings(lines: DataFrame, label: str) -> DataFrame:
     """Findings of crash files; a file arrives whole, so its traces are grouped in its batch."""
 
     def write(batch: DataFrame, batch_id: int, path: str) -> None:
-        traces = logs.crash_traces(batch)
-        low = F.lower("message")
-        rows = traces.select(
-            "file",
-            "crash_line",
-            F.col("message").alias("signature"),
-            F.concat_ws("\n", "first_frame", "last_frame").alias("stack_trace"),
-            low.contains("heap").alias("heap_corruption"),
-            F.lit(False).alias("stack_overflow"),
-        )
-        found = findings.crash_findings(rows, "file", "crash_line")
-        found.write.mode("overwrite").parquet(batch_folder(path, batch_id))
+        findings.crash_log_findings(batch).write.mode("overwrite").parquet(batch_folder(path, batch_id))
 
     path = each_batch(lines, label, write, "append")
     return lines.sparkSession.read.parquet(f"{path}/batch=*")
