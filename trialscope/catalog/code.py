@@ -17,7 +17,7 @@ ORIGINAL = {
     code.ANY_FUNCTION: rf"def\s+{T.WORD}+|function\s+{T.WORD}+|{T.WORD}+\s+{T.WORD}+\s*\(",
     code.C_FUNCTION: rf"{T.WORD}+\s+{T.WORD}+\s*\([^)]*\)\s*\{{",
     code.JAVA_METHOD: rf"(public|private|protected)?\s*(static\s+)?{T.WORD}+\s+{T.WORD}+\s*\(",
-    code.DEFINITIONS["c"]: rf"({T.WORD}+\s+){{0,8}}({T.WORD}+)\s*\([^)]*\)\s*\{{",
+    code.DEFINITIONS["c"]: rf"({T.WORD}+\s+)*({T.WORD}+)\s*\([^)]*\)\s*\{{",
     code.DEFINITIONS["java"]: rf"(?:public|private|protected)?\s*(?:static\s+)?({T.WORD}+)\s+({T.WORD}+)\s*\([^)]*\)",
 }
 

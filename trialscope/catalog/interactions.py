@@ -34,15 +34,15 @@ DIV0 = rf"{T.WORD}\s*=\s*{T.WORD}+\s*/\s*0(?:$|[^.]|\.$|\.[^0-9])"
 LOOP = r"for\s*\(\s*;\s*true\s*;\s*\)\s*\{[^{}]*\}([^{}]*)"
 INVENTED = (
     "list_concat("
-    + ", ".join(f"[concat('Potential hallucination: ', m) for m in {S.rall(R, p)}]" for p in ix.INVENTED_NAMES[:2])
+    + ", ".join(f"[concat('Potential hallucination: ', m) for m in {S.rall(R, p)}]" for _, p in ix.INVENTED_NAMES[:2])
     + ")"
 )
-for pattern in ix.INVENTED_NAMES[2:]:
+for _, pattern in ix.INVENTED_NAMES[2:]:
     INVENTED = f"list_concat({INVENTED}, [concat('Potential hallucination: ', m) for m in {S.rall(R, pattern)}])"
 IMPOSSIBLE = (
     "[x for x in ["
-    f"case when {S.rl(R, ix.IMPOSSIBLE[0][0])} then 'Impossible construct: Negative malloc size' end, "
-    f"case when {S.rl(R, ix.IMPOSSIBLE[1][0])} then 'Impossible construct: Negative array index' end, "
+    f"case when {S.rl(R, ix.IMPOSSIBLE[0][1])} then 'Impossible construct: Negative malloc size' end, "
+    f"case when {S.rl(R, ix.IMPOSSIBLE[1][1])} then 'Impossible construct: Negative array index' end, "
     f"case when {S.rl(R, DIV0)} then 'Impossible construct: Division by zero' end, "
     f"case when len([t for t in {S.rall(R, LOOP, 1)} if not contains(t, 'break')]) > 0 then 'Impossible construct: Infinite loop without break' end"
     "] if x is not null]"

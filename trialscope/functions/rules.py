@@ -228,6 +228,29 @@ SOURCE_RULES = [
     ("java", "deserialization", r"(?i)readObject\s*\("),
 ]
 
+# Lower-case words of which a text must hold one before the pattern can match: a plain
+# substring test spares nearly all texts the pattern search.
+NEEDLES = {
+    pattern: words
+    for (_, pattern), words in zip(
+        SECURITY_RULES,
+        [
+            ["strcpy"], ["strcat"], ["sprintf"], ["gets"], ["scanf"], ["select", "insert"], ["query"], ["executequery"],
+            ["system"], ["exec"], ["os.system"], ["subprocess."],
+        ],
+    )
+}
+NEEDLES |= {
+    pattern: words
+    for (_, _, pattern), words in zip(
+        SOURCE_RULES,
+        [
+            ["strcpy"], ["strcat"], ["sprintf"], ["gets"], ["malloc"], ["calloc"], ["realloc"], ["eval"], ["exec"],
+            ["pickle.loads"], ["yaml.load"], ["statement.execute"], ["createstatement"], ["objectinputstream"], ["readobject"],
+        ],
+    )
+}
+
 BENCHMARKS = [
     ("drivers_per_hour", 20.0),
     ("cost_per_driver", 0.5),

@@ -52,6 +52,16 @@ def has(text: Column, *words: str) -> Column:
     return test
 
 
+def may_match(low: Column, words: list[str] | None) -> Column:
+    """Whether a lower-cased text holds one of the words a pattern needs."""
+    return has(low, *words) if words else F.lit(True)
+
+
+def found(text: Column, word: str, pattern: str) -> Column:
+    """Whether the pattern matches; ``word`` is a literal part of every match, tried first."""
+    return text.contains(word) & text.rlike(pattern)
+
+
 def literal_count(text: Column, word: str) -> Column:
     """Non-overlapping occurrences of a literal."""
     gap = F.length(text) - F.length(F.replace(text, F.lit(word), F.lit("")))

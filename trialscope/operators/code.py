@@ -104,10 +104,9 @@ def nesting_depth(content: Column, lines: Column, language: Column) -> Column:
     )
 
 
-# Two words and an opening parenthesis. The possessive repeats and the anchor keep the
-# search linear on prose, where nearly every word pair is a false start.
-TWO_WORDS = rf"{W}++\s++{W}++\s*+\("
-ANCHORED = T.WORD_START + TWO_WORDS
+# Two words and an opening parenthesis, from the last letter of the first word on. With
+# possessive repeats every start fails within one word, so prose is searched in one pass.
+WORD_AND_CALL = rf"{W}\s++{W}++\s*+\("
 
 # -- issues ----------------------------------------------------------------------
 
@@ -119,11 +118,11 @@ NESTED_LOOPS = r"for\s*\([^}]*for\s*\(|while\s*\([^}]*while\s*\("
 LIST_BUILDING = rf"(?d)for\s+{W}+\s+in.*:\s*{W}+\.append\("
 PARAMETER_LISTS = {
     "python": rf"def\s+{W}+\s*\(([^)]*)\)",
-    "c": ANCHORED + r"([^)]*)\)",
-    "java": ANCHORED + r"([^)]*)\)",
+    "c": WORD_AND_CALL + r"([^)]*)\)",
+    "java": WORD_AND_CALL + r"([^)]*)\)",
 }
 DOCUMENTATION = {"python": r'(?s)""".*?"""', "c": r"(?s)/\*\*.*?\*/", "java": r"(?s)/\*\*.*?\*/"}
-ANY_FUNCTION = rf"def\s+{W}+|function\s+{W}+|{ANCHORED}"
+ANY_FUNCTION = rf"def\s+{W}+|function\s+{W}+|{WORD_AND_CALL}"
 
 
 def issue(kind: str, severity: str, occurrences: Column | None = None, detail: Column | None = None) -> Column:
@@ -190,18 +189,25 @@ def security_severity(kind: str) -> str:
     return "high" if kind in ("buffer_overflow", "command_injection") else "medium"
 
 
-def security_issues(content: Column, language: Column, extra_rules: list[tuple[str, str]] = ()) -> Column:
+def security_issues(
+    content: Column, language: Column, extra_rules: list[tuple[str, str]] = (), low: Column | None = None
+) -> Column:
     """One issue per rule that matches, with its number of hits.
 
     The rules are few and fixed, so each is a column of its own: no rule join.
     """
     c_like, python = language.isin("c", "cpp"), language == "python"
+    low = F.lower(content) if low is None else low
+
+    def count(pattern: str) -> Column:
+        return F.when(T.may_match(low, rules.NEEDLES.get(pattern)), T.hits(content, pattern)).otherwise(0)
+
     found = [
-        issue(kind, security_severity(kind), T.hits(content, pattern), F.lit(pattern))
+        issue(kind, security_severity(kind), count(pattern), F.lit(pattern))
         for kind, pattern in [*rules.SECURITY_RULES, *extra_rules]
     ]
     found += [
-        issue("unchecked_malloc", "medium", c_like & content.rlike(UNCHECKED_MALLOC)),
+        issue("unchecked_malloc", "medium", c_like & T.found(content, "malloc", UNCHECKED_MALLOC)),
         issue("dangerous_eval", "high", python & content.contains("eval(")),
         issue("unsafe_deserialization", "high", python & content.contains("pickle.loads")),
     ]
@@ -210,9 +216,9 @@ def security_issues(content: Column, language: Column, extra_rules: list[tuple[s
 
 def performance_issues(content: Column, language: Column) -> Column:
     return T.present(
-        (content.rlike(NESTED_LOOPS), issue("nested_loops", "medium")),
+        (T.has(content, "for", "while") & content.rlike(NESTED_LOOPS), issue("nested_loops", "medium")),
         (content.contains("for") & T.has(content, "+=", ".append("), issue("inefficient_string_ops", "low")),
-        ((language == "python") & content.rlike(LIST_BUILDING), issue("inefficient_list_building", "low")),
+        ((language == "python") & T.found(content, ".append(", LIST_BUILDING), issue("inefficient_list_building", "low")),
     )
 
 
@@ -242,8 +248,8 @@ def maintainability_issues(content: Column, language: Column) -> Column:
 
 # -- per-language counts ---------------------------------------------------------
 
-C_FUNCTION = ANCHORED + r"[^)]*\)\s*\{"
-JAVA_METHOD = ANCHORED
+C_FUNCTION = WORD_AND_CALL + r"[^)]*\)\s*\{"
+JAVA_METHOD = WORD_AND_CALL
 HAS_MAIN = r"int\s+main\s*\("
 
 
@@ -322,7 +328,7 @@ def score_code(df: DataFrame, content: str = "content", language: str = "languag
     text, lang = F.col(content), F.col(language)
     base = with_python_facts(with_lines(df, content), content, language)
     base = base.withColumn("numbers", magic_numbers(text)).withColumn("todos", todo_comments(text))
-    base = base.withColumn("duplicates", duplicate_lines(F.col("lines")))
+    base = base.withColumn("duplicates", duplicate_lines(F.col("lines"))).withColumn("low", F.lower(text))
     found = base.select(
         "*",
         *line_metrics(text, F.col("lines")),
@@ -336,7 +342,7 @@ def score_code(df: DataFrame, content: str = "content", language: str = "languag
             ),
         ).alias("code_smells"),
         F.concat(
-            security_issues(text, lang),
+            security_issues(text, lang, low=F.col("low")),
             T.present(
                 (lang.isin("c", "cpp") & (T.hits(text, MALLOC) > T.hits(text, FREE)), issue("memory_leak", "medium")),
             ),
@@ -355,7 +361,7 @@ def score_code(df: DataFrame, content: str = "content", language: str = "languag
     raw = raw - F.when(complexity > 20, 2.0).when(complexity > 10, 1.0).otherwise(0.0)
     raw = raw + F.when(F.col("comment_ratio") > 0.2, 0.5).otherwise(0.0)
     return found.withColumn("overall_score", clamp(raw, 0.0, 10.0)).withColumn("recommendations", recommendations()).drop(
-        "lines", "numbers", "todos", "duplicates", "py"
+        "lines", "numbers", "todos", "duplicates", "low", "py"
     )
 
 
@@ -442,9 +448,11 @@ def imports(content: Column, language: Column) -> Column:
 
 # -- functions -------------------------------------------------------------------
 
-# Nine words may stand before the parenthesis: an unbounded repeat would recurse once
-# per word of the text.
-C_DEFINITION = rf"{T.WORD_START}({W}++\s++){{0,8}}({W}++)\s*+\([^)]*\)\s*\{{"
+# Words and blanks up to an opening parenthesis, started only where such a run starts: one
+# pass over any text. The definition is the second group, after the blanks of the run.
+RUN = r"[\p{L}\p{N}_\s]"
+C_DEFINITION = rf"(?<!{RUN})(\s*+)({W}{RUN}*+\([^)]*+\)\s*+\{{)"
+C_NAME = rf"{T.WORD_START}({W}++\s++)?({W}++)\s*+\("
 DEFINITIONS = {
     "c": C_DEFINITION,
     "cpp": C_DEFINITION,
@@ -460,9 +468,9 @@ TOKEN = rf"{OPENS}(?=([^{CLOSES}{FULL}]*))|{CLOSES}[^\S\n]*|{FULL}|[{{}}]|\n[^\S
 
 def by_language(language: Column, value, otherwise: Column) -> Column:
     """CASE over the languages with a definition pattern."""
-    out = F.when(language.isin("c", "cpp"), value(DEFINITIONS["c"]))
+    out = F.when(language.isin("c", "cpp"), value(DEFINITIONS["c"], True))
     for name in ("python", "java", "javascript"):
-        out = out.when(language == name, value(DEFINITIONS[name]))
+        out = out.when(language == name, value(DEFINITIONS[name], False))
     return out.otherwise(otherwise)
 
 
@@ -475,18 +483,18 @@ def parameters(signature: Column) -> Column:
 
 
 def definitions(content: Column, language: Column) -> Column:
-    return by_language(language, lambda p: T.matches(content, p), F.array().cast("array<string>"))
+    return by_language(language, lambda p, c: T.matches(content, p, 2 if c else 0), F.array().cast("array<string>"))
 
 
 def signature_columns(sig: Column, lang: Column) -> list[Column]:
     """Name, return type and parameter names of a definition text."""
     return [
-        F.when(lang.isin("c", "cpp"), F.regexp_extract(sig, C_DEFINITION, 2))
+        F.when(lang.isin("c", "cpp"), F.regexp_extract(sig, C_NAME, 2))
         .when(lang == "java", F.regexp_extract(sig, DEFINITIONS["java"], 2))
         .when(lang == "python", F.regexp_extract(sig, DEFINITIONS["python"], 1))
         .otherwise(F.regexp_extract(sig, DEFINITIONS["javascript"], 1))
         .alias("name"),
-        F.when(lang.isin("c", "cpp"), F.coalesce(T.first(sig, C_DEFINITION, 1), F.lit("void")))
+        F.when(lang.isin("c", "cpp"), F.coalesce(T.first(sig, C_NAME, 1), F.lit("void")))
         .when(lang == "java", F.regexp_extract(sig, DEFINITIONS["java"], 1))
         .otherwise("unknown")
         .alias("return_type"),
@@ -508,7 +516,13 @@ def function_tokens(df: DataFrame, key: str, content: str = "content", language:
     """
     lang = F.col("language")
     text = F.translate(F.col(content), OPENS + CLOSES + FILLED + FULL, "")
-    marked = by_language(F.col(language), lambda p: F.regexp_replace(text, f"({p})", f"{OPENS}$1{CLOSES}"), F.lit(None))
+
+    def mark(pattern: str, led: bool) -> Column:
+        if led:
+            return F.regexp_replace(text, pattern, f"$1{OPENS}$2{CLOSES}")
+        return F.regexp_replace(text, f"({pattern})", f"{OPENS}$1{CLOSES}")
+
+    marked = by_language(F.col(language), mark, F.lit(None))
     marked = F.regexp_replace(marked, rf"\n([^\S\n]*)(?=\S)", f"\n$1{FILLED}")
     marked = F.regexp_replace(marked, rf"{CLOSES}(?=[^\S\n]*\S)", FULL)
     rows = df.select(key, F.col(language).alias("language"), marked.alias("marked"))
@@ -625,8 +639,12 @@ def located_rules(df: DataFrame, key: str, content: str = "content", language: s
 
         return F.transform(T.located(text, pattern), describe)
 
-    found = [F.when(lang == name, hits(category, pattern)) for name, category, pattern in rules.SOURCE_RULES]
-    rows = with_lines(df, content).select(key, F.flatten(F.array_compact(F.array(*found))).alias("hits"))
+    low = F.col("low")
+    found = [
+        F.when((lang == name) & T.may_match(low, rules.NEEDLES.get(pattern)), hits(category, pattern))
+        for name, category, pattern in rules.SOURCE_RULES
+    ]
+    rows = with_lines(df, content).withColumn("low", F.lower(text)).select(key, F.flatten(F.array_compact(F.array(*found))).alias("hits"))
     return rows.select(key, F.explode("hits").alias("hit")).select(key, "hit.*")
 
 

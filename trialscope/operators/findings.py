@@ -37,13 +37,16 @@ def known_severity(kind: str) -> str:
 def pattern_findings(source: Column) -> Column:
     """Every hit of a security rule, with its line."""
 
+    low = F.lower(source)
+
     def hits(kind: str, pattern: str) -> Column:
-        return F.transform(
+        found = F.transform(
             T.located(source, pattern),
             lambda hit: _finding(kind, known_severity(kind), 0.7, "pattern_matching", hit["match"], hit["line"]),
         )
+        return F.when(T.may_match(low, rules.NEEDLES.get(pattern)), found)
 
-    return F.concat(*[hits(kind, pattern) for kind, pattern in rules.SECURITY_RULES])
+    return F.flatten(F.array_compact(F.array(*[hits(kind, pattern) for kind, pattern in rules.SECURITY_RULES])))
 
 
 def signature_findings(signature: Column) -> Column:

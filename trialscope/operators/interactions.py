@@ -63,6 +63,16 @@ LANGUAGE_HINTS = {
     "rust": [r"fn\s+", r"let\s+mut", r"println!", r"use\s+"],
     "go": [r"package\s+", r"func\s+", r"import\s+", r"fmt\.Print"],
 }
+# A literal part of every match of the hint in the same place.
+HINT_WORDS = {
+    "python": ["def", "import", "print", "__name__"],
+    "c": ["#include", "main", "printf"],
+    "cpp": ["<iostream>", "std::", "cout"],
+    "java": ["public", "System.out.print", "public"],
+    "javascript": ["function", "console.log", "var", "let", "const"],
+    "rust": ["fn", "let", "println!", "use"],
+    "go": ["package", "func", "import", "fmt.Print"],
+}
 FOREIGN_HINTS = {
     "python": [r"#include", r"public\s+class", r"cout\s*<<"],
     "c": [r"import\s+", r"println!", r"console\.log"],
@@ -71,18 +81,19 @@ FOREIGN_HINTS = {
 }
 KNOWN_MODULES = ["os", "sys", "json", "time", "datetime", "math", "random", "re"]
 KNOWN_HEADERS = ["stdio.h", "stdlib.h", "string.h", "math.h", "time.h"]
+# A word every match holds, and the pattern.
 INVENTED_NAMES = [
-    r"(?i)undefined_function\s*\(",
-    r"(?i)nonexistent_(?:library|module|package)",
-    r"(?i)fictional_(?:method|function|class)",
-    rf"(?i)import\s+(?:nonexistent|fake|dummy)_{T.WORD}+",
-    r"(?i)#include\s*<(?:nonexistent|fake|dummy)\.h>",
+    ("undefined_function", r"(?i)undefined_function\s*\("),
+    ("nonexistent_", r"(?i)nonexistent_(?:library|module|package)"),
+    ("fictional_", r"(?i)fictional_(?:method|function|class)"),
+    ("import", rf"(?i)import\s+(?:nonexistent|fake|dummy)_{T.WORD}+"),
+    ("#include", r"(?i)#include\s*<(?:nonexistent|fake|dummy)\.h>"),
 ]
 IMPOSSIBLE = [
-    (r"malloc\s*\(\s*-\d+\s*\)", "Negative malloc size"),
-    (r"array\[\s*-\d+\s*\]", "Negative array index"),
-    (rf"{T.WORD}\s*=\s*{T.WORD}+\s*/\s*0(?!\.\d)", "Division by zero"),
-    (r"for\s*\(\s*;\s*true\s*;\s*\)\s*\{[^{}]*\}(?![^{}]*break)", "Infinite loop without break"),
+    ("malloc", r"malloc\s*\(\s*-\d+\s*\)", "Negative malloc size"),
+    ("array[", r"array\[\s*-\d+\s*\]", "Negative array index"),
+    ("/", rf"{T.WORD}\s*=\s*{T.WORD}+\s*/\s*0(?!\.\d)", "Division by zero"),
+    ("for", r"for\s*\(\s*;\s*true\s*;\s*\)\s*\{[^{}]*\}(?![^{}]*break)", "Infinite loop without break"),
 ]
 PYTHON_IMPORT = rf"import\s+{T.WORD}+|from\s+{T.WORD}+\s+import"
 INCLUDE = r"#include\s*<([^>]+)>"
@@ -90,10 +101,11 @@ MALLOC = T.WORD_START + r"malloc\s*\("
 FREE = T.WORD_START + r"free\s*\("
 
 
-def hint_count(code: Column, patterns: list[str]) -> Column:
-    total = flag(code.rlike(patterns[0]))
-    for pattern in patterns[1:]:
-        total = total + flag(code.rlike(pattern))
+def hint_count(code: Column, patterns: list[str], words: list[str]) -> Column:
+    hints = [flag(T.found(code, word, pattern)) for word, pattern in zip(words, patterns, strict=True)]
+    total = hints[0]
+    for hint in hints[1:]:
+        total = total + hint
     return total
 
 
@@ -106,7 +118,7 @@ def language_of(code: Column) -> Column:
     names = [*LANGUAGE_HINTS, "unknown"]
     ranked = []
     for place, name in enumerate(names):
-        score = hint_count(code, LANGUAGE_HINTS[name]) if name != "unknown" else F.lit(0)
+        score = hint_count(code, LANGUAGE_HINTS[name], HINT_WORDS[name]) if name != "unknown" else F.lit(0)
         # Without hits the last entry has to win; else the earlier language does.
         order = F.lit(len(names) if name == "unknown" else len(names) - 1 - place)
         ranked.append(F.struct(score.alias("hits"), order.alias("order"), F.lit(name).alias("name")))
@@ -122,11 +134,13 @@ def detect_language(df: DataFrame, code: str, out: str = "language") -> DataFram
 
 def invented_issues(code: Column) -> Column:
     """Invented names (one issue per hit) and impossible constructs (one per kind)."""
+    low = F.lower(code)
     invented = [
-        F.transform(T.matches(code, p), lambda m: F.concat(F.lit("Potential hallucination: "), m)) for p in INVENTED_NAMES
+        F.when(low.contains(word), F.transform(T.matches(code, p), lambda m: F.concat(F.lit("Potential hallucination: "), m)))
+        for word, p in INVENTED_NAMES
     ]
-    impossible = T.present(*[(code.rlike(p), "Impossible construct: " + text) for p, text in IMPOSSIBLE])
-    return F.concat(*invented, impossible)
+    impossible = T.present(*[(T.found(code, word, p), "Impossible construct: " + text) for word, p, text in IMPOSSIBLE])
+    return F.flatten(F.array_compact(F.array(*invented, impossible)))
 
 
 def imported_modules(code: Column) -> Column:

@@ -59,3 +59,13 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     path = work_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Share the rows of a scan with fewer splits than the session has cores.
+
+    Text work is bound by the processor, so a table of one small file should not be one
+    task. A scan with enough splits, as any large table has, is returned as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
