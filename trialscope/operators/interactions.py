@@ -112,21 +112,23 @@ def hint_count(code: Column, patterns: list[str], words: list[str]) -> Column:
 def language_of(code: Column) -> Column:
     """The language with most indicator hits (``unknown`` without any).
 
-    One ordered struct per language, so that every indicator is evaluated once wherever
-    the optimizer copies this expression.
+    Hits and precedence share one number per language, so that every indicator is
+    evaluated once wherever the optimizer copies this expression.
     """
-    names = [*LANGUAGE_HINTS, "unknown"]
-    ranked = []
-    for place, name in enumerate(names):
-        score = hint_count(code, LANGUAGE_HINTS[name], HINT_WORDS[name]) if name != "unknown" else F.lit(0)
-        # Without hits the last entry has to win; else the earlier language does.
-        order = F.lit(len(names) if name == "unknown" else len(names) - 1 - place)
-        ranked.append(F.struct(score.alias("hits"), order.alias("order"), F.lit(name).alias("name")))
-    return F.greatest(*ranked)["name"]
+    # Behind on equal hits: the later language; without any hit, all of them.
+    by_rank = [*reversed(LANGUAGE_HINTS), "unknown"]
+    base = len(by_rank)
+    ranked = [
+        hint_count(code, LANGUAGE_HINTS[name], HINT_WORDS[name]) * base + rank for rank, name in enumerate(by_rank[:-1])
+    ]
+    best = F.greatest(*ranked, F.lit(base - 1))
+    return F.element_at(F.array(*[F.lit(name) for name in by_rank]), best % base + 1)
 
 
 def detect_language(df: DataFrame, code: str, out: str = "language") -> DataFrame:
-    return df.withColumn(out, language_of(F.col(code)))
+    """Add the language. The explode of one value keeps filters on it from pulling copies
+    of all indicators below this step."""
+    return df.select("*", F.explode(F.array(language_of(F.col(code)))).alias(out))
 
 
 # -- single checks ---------------------------------------------------------------
