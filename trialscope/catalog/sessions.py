@@ -188,7 +188,7 @@ def _(spark, sf):
 
 TREND_ROWS = """tr as (select llm_provider, primary_language, epoch_us(start_time) / 1e6 as x, total_duration_ms as duration, cast(fuzz_drivers_generated as double) as drivers, estimated_cost_usd as costs from sb),
  ty as (select llm_provider, primary_language, x, 'duration' as measure, duration as y from tr union all select llm_provider, primary_language, x, 'drivers', drivers from tr union all select llm_provider, primary_language, x, 'costs', costs from tr),
- tf as (select llm_provider, primary_language, measure, count(*) as points, regr_slope(y, x) as slope, coalesce(corr(x, y), 0) as r from ty group by all having count(*) >= 3)"""
+ tf as (select llm_provider, primary_language, measure, count(*) as points, regr_slope(y, x) as slope, case when var_pop(y) = 0 then 0.0 else regr_r2(y, x) end as r2 from ty group by all having count(*) >= 3)"""
 
 
 def trend_rows(spark, sf):
@@ -198,7 +198,7 @@ def trend_rows(spark, sf):
 @query(
     "wn4_trends",
     sql(
-        "select llm_provider, primary_language, measure, points, round(slope, 7) as slope, round(r * r, 7) as r_squared, case when slope < 0 then 'improving' when slope > 0 then 'degrading' else 'stable' end as trend_direction from tf",
+        "select llm_provider, primary_language, measure, points, round(slope, 7) as slope, round(r2, 7) as r_squared, case when slope < 0 then 'improving' when slope > 0 then 'degrading' else 'stable' end as trend_direction from tf",
         TREND_ROWS,
     ),
 )

@@ -273,20 +273,18 @@ def trends(sessions: DataFrame, *keys: str, least_points: int = 3) -> DataFrame:
         .agg(
             F.count("*").alias("points"),
             F.regr_slope("y", "x").alias("slope"),
-            F.coalesce(F.corr("x", "y"), F.lit(0.0)).alias("r"),
+            # A flat line explains nothing.
+            F.when(F.var_pop("y") == 0, 0.0).otherwise(F.regr_r2("y", "x")).alias("r_squared"),
         )
         .filter(F.col("points") >= least_points)
     )
-    r2 = F.col("r") * F.col("r")
     return (
-        fitted.withColumn("r_squared", r2)
-        .withColumn("p_value", p_value("r_squared", F.col("points").cast("double")))
+        fitted.withColumn("p_value", p_value("r_squared", F.col("points").cast("double")))
         .withColumn(
             "trend_direction",
             F.when(F.col("slope") < 0, "improving").when(F.col("slope") > 0, "degrading").otherwise("stable"),
         )
         .withColumn("significance", F.when(F.col("p_value") < 0.05, "significant").otherwise("not_significant"))
-        .drop("r")
     )
 
 
