@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 import duckdb
 import pytest
 
@@ -20,21 +22,37 @@ def con(sf_dir):
     return con
 
 
+@pytest.fixture(scope="module")
+def rows(spark, sf_dir):
+    """Rows of every query, computed a few queries at a time."""
+
+    def run(name):
+        df = QUERIES[name](spark, sf_dir)
+        return df.dtypes, rows_of(df.columns, df.collect())
+
+    with ThreadPoolExecutor(6) as pool:
+        yield {name: pool.submit(run, name) for name in sorted(QUERIES)}
+
+
 @pytest.mark.parametrize("name", sorted(ORACLES))
-def test_query_matches_sql(spark, con, sf_dir, name):
-    df = QUERIES[name](spark, sf_dir)
-    mine = rows_of(df.columns, df.collect())
+def test_query_matches_sql(rows, con, name):
+    dtypes, mine = rows[name].result()
     con.execute(ORACLES[name])
     types = {d[0]: str(d[1]) for d in con.description}
     theirs = rows_of(list(types), con.fetchall())
-    assert sorted(df.columns) == sorted(types)
-    assert type_notes(df, types) == ""
+    assert sorted(column for column, _ in dtypes) == sorted(types)
+    assert type_notes(dtypes, types) == ""
     assert mine == theirs
 
 
+# Three sessions per provider and language are needed for a trend; the smallest scale has fewer.
+MAY_BE_EMPTY = {"wn4_trend_significance"}
+
+
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
-def test_query_without_sql_gives_rows(spark, sf_dir, name):
-    assert QUERIES[name](spark, sf_dir).count() > 0
+def test_query_without_sql_gives_rows(rows, name):
+    _, mine = rows[name].result()
+    assert mine or name in MAY_BE_EMPTY
 
 
 def test_entry(spark):

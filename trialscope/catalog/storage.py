@@ -123,9 +123,7 @@ def _(spark, sf):
     ),
 )
 def _(spark, sf):
-    docs = reports(spark, sf).withColumn("root", structured.xml_root(F.col("content"))).filter("root = 'other'")
-    parsed = structured.xml_documents(docs).join(docs.select("file", "root"), "file")
-    return parsed.select(
+    return structured.xml_documents(reports(spark, sf)).filter("root = 'other'").select(
         "file",
         "root",
         F.try_variant_get("data", "$._id", "string").alias("id"),

@@ -53,7 +53,10 @@ RATES = """with recursive q as (select provider, epoch_us(ts) as t from provider
 
 @query("st3_rate_counters", oracle("provider_health", RATES).replace("with provider_health", "with recursive provider_health", 1).replace("recursive q as", "q as"))
 def _(spark, sf):
-    requests = jobs.event_time(live(spark, sf, "provider_health"), "10 minutes")
+    # The counter needs a provider's requests of a batch in order, in one task: one input
+    # file per batch keeps that to the narrow rows of one file.
+    events = stream_table(spark, sf, "events", files_per_trigger=1)
+    requests = jobs.event_time(view(spark, sf, "provider_health", {"events": events}), "10 minutes")
     return upsert(jobs.rate_counters(requests), "rates", "provider")
 
 

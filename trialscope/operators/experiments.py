@@ -81,12 +81,10 @@ def plan_coverage(experiments: DataFrame) -> DataFrame:
     done = experiments.groupBy("repo_name", "model").agg(
         F.count("*").alias("runs"), F.count_if(F.col("status") == "completed").alias("completed")
     )
+    # The inner joins bound the folded runs by the two catalogues, so they can be broadcast.
     done = done.join(F.broadcast(models), "model").join(F.broadcast(repos), "repo_name")
-    return (
-        F.broadcast(phase_plan(spark))
-        .join(done.select("repository", "model_name", "runs", "completed"), ["repository", "model_name"], "left")
-        .na.fill(0, ["runs", "completed"])
-    )
+    cells = F.broadcast(done.select("repository", "model_name", "runs", "completed"))
+    return phase_plan(spark).join(cells, ["repository", "model_name"], "left").na.fill(0, ["runs", "completed"])
 
 
 def by_specialty(experiments: DataFrame) -> DataFrame:

@@ -78,10 +78,6 @@ _PACKAGE = f"STRUCT<_name STRING, classes STRUCT<class ARRAY<{_CLASS}>>>"
 COVERAGE = f"packages STRUCT<package ARRAY<{_PACKAGE}>>, package ARRAY<{_PACKAGE}>"
 
 
-def _or_empty(array: Column, like: Column) -> Column:
-    return F.coalesce(array, F.filter(like, lambda _: F.lit(False)), F.slice(array, 1, 0))
-
-
 def junit_cases(documents: DataFrame) -> DataFrame:
     """Test cases of JUnit documents, also where the root is a single suite; three levels of suites."""
     root = documents.select("file", F.from_xml("content", SUITES).alias("x"))
@@ -141,8 +137,8 @@ def coverage_classes(documents: DataFrame) -> DataFrame:
 
 
 def xml_documents(documents: DataFrame) -> DataFrame:
-    """Any other XML, as a VARIANT of its content; NULL where it is not well formed."""
-    return documents.select("file", F.from_xml("content", "VARIANT").alias("data"))
+    """Any other XML: its root name and a VARIANT of its content, NULL where it is not well formed."""
+    return documents.select("file", xml_root(F.col("content")).alias("root"), F.from_xml("content", "VARIANT").alias("data"))
 
 
 def xml_root(content: Column) -> Column:

@@ -155,8 +155,9 @@ def _count_requests(key: tuple, batches: Iterator[pd.DataFrame], state: GroupSta
 def rate_counters(requests: DataFrame) -> DataFrame:
     """Requests in the current window, requests over the limit and restarts per provider.
 
-    Only the two narrow columns reach the state function. The trigger's file limit bounds
-    what one provider brings per batch.
+    Only the two narrow columns reach the state function. The rule is a chain (each restart
+    depends on the one before), so a provider's requests of one batch are walked in order:
+    run it with a small file limit per trigger, which bounds what a batch can bring.
     """
     narrow = requests.select("provider", (F.unix_micros("ts") / 1e6).alias("at"))
     return narrow.groupBy("provider").applyInPandasWithState(
