@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import logs
 from ..sources import structured
-from ..sources.text import detect_formats, numbered_lines
+from ..sources.text import SNIFFED_LINES, format_of, numbered_lines, sniffing_tests
 
 COMMON = ["file", "line_number", "format", "kind", "logged_at", "level", "message", "is_bad"]
 
@@ -20,29 +20,72 @@ def _common(df: DataFrame, form: Column, **columns: Column) -> DataFrame:
     return df.select(*[values[name].cast(kinds.get(name, "string")).alias(name) for name in COMMON])
 
 
+def file_facts(lines: DataFrame) -> DataFrame:
+    """Format, delimiter and column names per file, from its first lines only."""
+    line, first = F.col("raw_line"), F.col("line_number") <= SNIFFED_LINES
+    tests = sniffing_tests(line)
+    seen = (
+        lines.filter(F.col("line_number") <= structured.SAMPLE_CHARS)
+        .groupBy("file")
+        .agg(*[F.max(first & test).alias(name) for name, test in tests.items()], structured.top_lines().alias("top"))
+    )
+    seen = seen.withColumn("format", format_of(F.col("file"), list(tests)))
+    return seen.select("file", "format", *structured.header_columns(F.col("top")))
+
+
+def _entry(kind: Column, logged_at=None, level=None, message=None, is_bad=None) -> Column:
+    values = {"kind": kind, "logged_at": logged_at, "level": level, "message": message}
+    fields = [(F.lit(None) if v is None else v).cast("string").alias(name) for name, v in values.items()]
+    return F.struct(*fields, (F.lit(False) if is_bad is None else is_bad).alias("is_bad"))
+
+
+def _json_entry(line: Column) -> Column:
+    document = F.try_parse_json(line)
+    logged_at, level, message, kind = structured.entry_columns(document, line)[:4]
+    return _entry(kind, logged_at, level, message, document.isNull())
+
+
+def _csv_entry(line: Column) -> Column:
+    names, values = F.col("names"), structured.cells(line, F.col("delimiter"))
+    return _entry(
+        F.lit("csv_row"),
+        structured.first_named(names, values, structured.TIME_NAMES),
+        structured.first_named(names, values, structured.LEVEL_NAMES),
+        line,
+    )
+
+
+def _text_entry(line: Column) -> Column:
+    return _entry(logs.line_kind(line), T.first(line, logs.TIMESTAMP, 1), F.upper(T.first(line, logs.LEVEL, 1)), line)
+
+
+def _tool_entries(parser, line: Column) -> Column:
+    return F.transform(F.array_compact(F.array(*parser(line))), lambda e: _entry(e["kind"], message=line))
+
+
 def parse_table(lines: DataFrame, hint: str | None = None) -> DataFrame:
-    """Events of a line table: each file goes to the parser its format names.
+    """Events of a line table: each line goes to the parser of its file's format.
 
-    The format per file is a small table; AQE broadcasts it when it is, and joins on the
-    file otherwise.
+    The lines are read twice, once for the few that decide the formats and once to parse:
+    all parsers sit in one projection behind the format. The facts per file are a small
+    table, which AQE broadcasts; if it is not, the join on the file splits skewed files.
     """
-    if hint:
-        formatted = lines.withColumn("format", F.lit(hint))
-    else:
-        formatted = lines.join(detect_formats(lines), "file")
     line, form = F.col("raw_line"), F.col("format")
-    json_rows = structured.json_lines(formatted.filter(form == "json"))
-    csv_rows = structured.csv_rows(formatted.filter(form == "csv").drop("format"))
-    tool_rows = logs.dispatch_tools(formatted.filter(form.isin(*logs.LINE_PARSERS)).withColumn("tool", form))
-    crash_rows = logs.crash_traces(formatted.filter(form == "crash"))
-    text_rows = logs.parse_lines(formatted.filter(form == "text"))
-    return (
-        _common(json_rows, F.lit("json"))
-        .unionByName(_common(csv_rows, F.lit("csv"), kind=F.lit("csv_row")))
-        .unionByName(_common(tool_rows, F.col("tool")))
-        .unionByName(_common(crash_rows, F.lit("crash"), kind=F.lit("crash_start"), line_number=F.col("crash_line")))
-        .unionByName(_common(text_rows, F.lit("text"), message=F.col("raw_line")))
-    )
+    if hint == "crash":
+        rows = logs.crash_traces(lines)
+        return _common(rows, F.lit("crash"), kind=F.lit("crash_start"), line_number=F.col("crash_line"))
+    joined = lines.join(file_facts(lines), "file")
+    if hint:
+        joined = joined.withColumn("format", F.lit(hint))
+    stripped = joined.withColumn("raw_line", T.strip(line))
+    used = line != ""
+    entries = F.when((form == "json") & used, F.array(_json_entry(line)))
+    entries = entries.when((form == "csv") & used & (F.col("line_number") > 1), F.array(_csv_entry(line)))
+    for tool, parser in logs.LINE_PARSERS.items():
+        entries = entries.when(form == tool, _tool_entries(parser, line))
+    entries = entries.when((form == "text") & used, F.array(_text_entry(line)))
+    rows = stripped.select("file", "line_number", "format", F.explode(entries).alias("e"))
+    return _common(rows.select("file", "line_number", "format", "e.*"), form)
 
 
 def parse_xml_table(documents: DataFrame) -> DataFrame:

@@ -173,14 +173,32 @@ def cells(line: Column, delimiter: Column) -> Column:
     )
 
 
+def top_lines() -> Column:
+    """Aggregate: a file's first lines in order, enough for the delimiter sample."""
+    return F.array_sort(F.collect_list(F.struct("line_number", "raw_line")))
+
+
+def header_columns(top: Column) -> list[Column]:
+    """Delimiter and column names from the first lines."""
+    sample = F.substring(F.array_join(F.transform(top, lambda r: r["raw_line"]), "\n"), 1, SAMPLE_CHARS)
+    delimiter = delimiter_of(sample)
+    return [delimiter.alias("delimiter"), cells(F.get(top, F.lit(0))["raw_line"], delimiter).alias("names")]
+
+
 def csv_headers(lines: DataFrame) -> DataFrame:
-    """Delimiter and column names per file, from its first lines."""
-    top = lines.filter(F.col("line_number") <= SAMPLE_CHARS).groupBy("file").agg(
-        F.array_sort(F.collect_list(F.struct("line_number", "raw_line"))).alias("top")
-    )
-    sample = F.substring(F.array_join(F.transform("top", lambda r: r["raw_line"]), "\n"), 1, SAMPLE_CHARS)
-    out = top.select("file", F.get("top", F.lit(0))["raw_line"].alias("header"), delimiter_of(sample).alias("delimiter"))
-    return out.select("file", "delimiter", cells(F.col("header"), F.col("delimiter")).alias("names"))
+    """Delimiter and column names per file. A line has a character or more, so the first
+    ``SAMPLE_CHARS`` lines hold the sample."""
+    top = lines.filter(F.col("line_number") <= SAMPLE_CHARS).groupBy("file").agg(top_lines().alias("top"))
+    return top.select("file", *header_columns(F.col("top")))
+
+
+def first_named(names: Column, values: Column, wanted: list[str]) -> Column:
+    """Value of the first wanted column the header has."""
+    out = F.lit(None).cast("string")
+    for name in reversed(wanted):
+        at = F.array_position(names, name)
+        out = F.when(at > 0, F.get(values, (at - 1).cast("int"))).otherwise(out)
+    return out
 
 
 def csv_rows(lines: DataFrame) -> DataFrame:
@@ -195,12 +213,11 @@ def csv_rows(lines: DataFrame) -> DataFrame:
     named = F.map_from_arrays("names", F.transform("names", lambda _, i: F.get("values", i)))
     rows = joined.withColumn("data", named)
 
-    def first_of(names: list[str]) -> Column:
-        out = F.lit(None).cast("string")
-        for name in reversed(names):
-            out = F.when(F.array_contains("names", name), F.col("data")[name]).otherwise(out)
-        return out
-
+    names, values = F.col("names"), F.col("values")
     return rows.select(
-        "file", "line_number", "data", first_of(TIME_NAMES).alias("logged_at"), first_of(LEVEL_NAMES).alias("level")
+        "file",
+        "line_number",
+        "data",
+        first_named(names, values, TIME_NAMES).alias("logged_at"),
+        first_named(names, values, LEVEL_NAMES).alias("level"),
     )

@@ -73,19 +73,29 @@ def extension(path: Column) -> Column:
     return F.lower(F.regexp_extract(path, r"[^/]\.([^./]+)$", 1))
 
 
+def sniffing_tests(line: Column) -> dict[str, Column]:
+    """Format -> test of one of the first lines, in order of precedence."""
+    stripped = T.strip(line)
+    low = F.lower(stripped)
+    tests = {"json": stripped.startswith("{"), "xml": stripped.startswith("<"), "csv": F.size(F.split(stripped, ",")) > 3}
+    return tests | {tool: T.has(low, *words) for tool, words in TOOL_WORDS}
+
+
+def format_of(file: Column, names: list[str]) -> Column:
+    """The extension decides, then the first test (a boolean column of that name) that held."""
+    ext = extension(file)
+    found = F.when(ext.isin(*JSON_EXTENSIONS), "json").when(ext == "xml", "xml").when(ext == "csv", "csv")
+    for name in names:
+        found = found.when(F.col(name), name)
+    return found.otherwise("text")
+
+
 def detect_formats(lines: DataFrame) -> DataFrame:
     """Format per file: by extension, else by its first lines."""
-    line = T.strip(F.col("raw_line"))
-    low = F.lower(line)
-    tests = {"json": line.startswith("{"), "xml": line.startswith("<"), "csv": F.size(F.split(line, ",")) > 3}
-    tests |= {tool: T.has(low, *words) for tool, words in TOOL_WORDS}
+    tests = sniffing_tests(F.col("raw_line"))
     seen = (
         lines.filter(F.col("line_number") <= SNIFFED_LINES)
         .groupBy("file")
         .agg(*[F.max(test).alias(name) for name, test in tests.items()])
     )
-    ext = extension(F.col("file"))
-    found = F.when(ext.isin(*JSON_EXTENSIONS), "json").when(ext == "xml", "xml").when(ext == "csv", "csv")
-    for name in tests:
-        found = found.when(F.col(name), name)
-    return seen.select("file", found.otherwise("text").alias("format"))
+    return seen.select("file", format_of(F.col("file"), list(tests)).alias("format"))
