@@ -361,6 +361,31 @@ def dim(spark: SparkSession, rows: Sequence[tuple], schema: str) -> DataFrame:
     return table.select(*[F.col(name).cast(kind).alias(name) for name, kind in columns])
 
 
+def rule_array(rows: Sequence[tuple[str, ...]]) -> Column:
+    """Rules (last part the pattern) as one literal ARRAY<STRUCT<label, category, pattern, needles>>.
+
+    ``label`` is the first part, ``category`` the one before the pattern. Rules are data
+    inside the row's expressions: a row tries only those whose needle it holds, and the
+    plan does not grow with their number.
+    """
+    return F.array(
+        *[
+            F.struct(
+                F.lit(row[0]).alias("label"),
+                F.lit(row[-2]).alias("category"),
+                F.lit(row[-1]).alias("pattern"),
+                F.array(*[F.lit(word) for word in NEEDLES.get(row[-1], [""])]).alias("needles"),
+            )
+            for row in rows
+        ]
+    )
+
+
+def may_match(rule: Column, low: Column) -> Column:
+    """Whether the lower-cased text holds a needle of the rule (the empty one always)."""
+    return F.exists(rule["needles"], lambda word: low.contains(word))
+
+
 def lookup(key: Column, rows: dict | Sequence[tuple], default=None) -> Column:
     """Value of ``key`` in a small fixed mapping, as one CASE expression."""
     items = list(rows.items()) if isinstance(rows, dict) else list(rows)

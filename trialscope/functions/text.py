@@ -39,9 +39,9 @@ def whole_number(text: Column, pattern: str, group: int = 1) -> Column:
     return first(text, pattern, group).try_cast("bigint")
 
 
-def hits(text: Column, pattern: str) -> Column:
+def hits(text: Column, pattern: str | Column) -> Column:
     """How often ``pattern`` matches."""
-    return F.regexp_count(text, F.lit(pattern)).cast("bigint")
+    return F.regexp_count(text, pattern if isinstance(pattern, Column) else F.lit(pattern)).cast("bigint")
 
 
 def has(text: Column, *words: str) -> Column:
@@ -52,11 +52,6 @@ def has(text: Column, *words: str) -> Column:
     return test
 
 
-def may_match(low: Column, words: list[str] | None) -> Column:
-    """Whether a lower-cased text holds one of the words a pattern needs."""
-    return has(low, *words) if words else F.lit(True)
-
-
 def found(text: Column, word: str, pattern: str) -> Column:
     """Whether the pattern matches; ``word`` is a literal part of every match, tried first."""
     return text.contains(word) & text.rlike(pattern)
@@ -72,8 +67,8 @@ def lines(text: Column) -> Column:
     return F.split(text, "\n")
 
 
-def matches(text: Column, pattern: str, group: int = 0) -> Column:
-    return F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
+def matches(text: Column, pattern: str | Column, group: int = 0) -> Column:
+    return F.regexp_extract_all(text, pattern if isinstance(pattern, Column) else F.lit(pattern), F.lit(group))
 
 
 def vocabulary(text: Column, shortest: int) -> Column:
@@ -81,14 +76,16 @@ def vocabulary(text: Column, shortest: int) -> Column:
     return F.array_distinct(matches(F.lower(text), rf"{WORD}{{{shortest},}}"))
 
 
-def located(text: Column, pattern: str) -> Column:
+def located(text: Column, pattern: str | Column) -> Column:
     """Every match with the 1-based line it starts on: ARRAY<STRUCT<line, match>>.
 
     A mark in front of each match survives the split into lines, so the line numbers
     come out in match order after one pass over the text.
     """
     clean = F.replace(text, F.lit(MARK), F.lit(""))
-    marked = lines(F.regexp_replace(clean, f"({pattern})", MARK + "$1"))
+    pattern = pattern if isinstance(pattern, Column) else F.lit(pattern)
+    grouped = F.concat(F.lit("("), pattern, F.lit(")"))
+    marked = lines(F.regexp_replace(clean, grouped, F.lit(MARK + "$1")))
     numbers = F.flatten(
         F.transform(
             marked,

@@ -192,26 +192,27 @@ def security_severity(kind: str) -> str:
 def security_issues(
     content: Column, language: Column, extra_rules: list[tuple[str, str]] = (), low: Column | None = None
 ) -> Column:
-    """One issue per rule that matches, with its number of hits.
-
-    The rules are few and fixed, so each is a column of its own: no rule join.
-    """
+    """One issue per rule that matches, with its number of hits. Callers may add rules."""
     c_like, python = language.isin("c", "cpp"), language == "python"
     low = F.lower(content) if low is None else low
+    table = rules.rule_array([*rules.SECURITY_RULES, *extra_rules])
+    severe = [kind for kind, _ in rules.SECURITY_RULES if security_severity(kind) == "high"]
+
+    def count(rule: Column) -> Column:
+        return F.struct(
+            rule["category"].alias("kind"),
+            F.when(rule["category"].isin(*dict.fromkeys(severe)), "high").otherwise("medium").alias("severity"),
+            T.hits(content, rule["pattern"]).alias("occurrences"),
+            rule["pattern"].alias("detail"),
+        )
 
-    def count(pattern: str) -> Column:
-        return F.when(T.may_match(low, rules.NEEDLES.get(pattern)), T.hits(content, pattern)).otherwise(0)
-
-    found = [
-        issue(kind, security_severity(kind), count(pattern), F.lit(pattern))
-        for kind, pattern in [*rules.SECURITY_RULES, *extra_rules]
-    ]
-    found += [
+    matched = F.transform(F.filter(table, lambda rule: rules.may_match(rule, low)), count)
+    special = F.array(
         issue("unchecked_malloc", "medium", c_like & T.found(content, "malloc", UNCHECKED_MALLOC)),
         issue("dangerous_eval", "high", python & content.contains("eval(")),
         issue("unsafe_deserialization", "high", python & content.contains("pickle.loads")),
-    ]
-    return F.filter(F.array(*found), lambda i: i["occurrences"] > 0)
+    )
+    return F.filter(F.concat(matched, special), lambda i: i["occurrences"] > 0)
 
 
 def performance_issues(content: Column, language: Column) -> Column:
@@ -623,28 +624,25 @@ def located_rules(df: DataFrame, key: str, content: str = "content", language: s
 
     The context is cut out before the hits become rows, so no row carries the text.
     """
-    text, lang = F.col(content), F.col(language)
+    text, lang, low = F.col(content), F.col(language), F.col("low")
+
+    def describe(rule: Column, hit: Column) -> Column:
+        first = F.greatest(hit["line"] - 3, F.lit(0))
+        around = F.slice(F.col("lines"), (first + 1).cast("int"), (hit["line"] + 2 - first).cast("int"))
+        return F.struct(
+            rule["category"].alias("category"),
+            rule["pattern"].alias("pattern"),
+            hit["line"].alias("line_number"),
+            hit["match"].alias("match"),
+            T.joined(around, "\n").alias("context"),
+        )
 
-    def hits(category: str, pattern: str) -> Column:
-        def describe(hit: Column) -> Column:
-            first = F.greatest(hit["line"] - 3, F.lit(0))
-            around = F.slice(F.col("lines"), (first + 1).cast("int"), (hit["line"] + 2 - first).cast("int"))
-            return F.struct(
-                F.lit(category).alias("category"),
-                F.lit(pattern).alias("pattern"),
-                hit["line"].alias("line_number"),
-                hit["match"].alias("match"),
-                T.joined(around, "\n").alias("context"),
-            )
-
-        return F.transform(T.located(text, pattern), describe)
-
-    low = F.col("low")
-    found = [
-        F.when((lang == name) & T.may_match(low, rules.NEEDLES.get(pattern)), hits(category, pattern))
-        for name, category, pattern in rules.SOURCE_RULES
-    ]
-    rows = with_lines(df, content).withColumn("low", F.lower(text)).select(key, F.flatten(F.array_compact(F.array(*found))).alias("hits"))
+    table = rules.rule_array(rules.SOURCE_RULES)
+    used = F.filter(table, lambda rule: (rule["label"] == lang) & rules.may_match(rule, low))
+    hits = F.transform(
+        used, lambda rule: F.transform(T.located(text, rule["pattern"]), lambda hit: describe(rule, hit))
+    )
+    rows = with_lines(df, content).withColumn("low", F.lower(text)).select(key, F.flatten(hits).alias("hits"))
     return rows.select(key, F.explode("hits").alias("hit")).select(key, "hit.*")
 
 

@@ -38,15 +38,18 @@ def pattern_findings(source: Column) -> Column:
     """Every hit of a security rule, with its line."""
 
     low = F.lower(source)
-
-    def hits(kind: str, pattern: str) -> Column:
-        found = F.transform(
-            T.located(source, pattern),
-            lambda hit: _finding(kind, known_severity(kind), 0.7, "pattern_matching", hit["match"], hit["line"]),
-        )
-        return F.when(T.may_match(low, rules.NEEDLES.get(pattern)), found)
-
-    return F.flatten(F.array_compact(F.array(*[hits(kind, pattern) for kind, pattern in rules.SECURITY_RULES])))
+    used = F.filter(rules.rule_array(rules.SECURITY_RULES), lambda rule: rules.may_match(rule, low))
+    severity = {kind: known_severity(kind) for kind, _ in rules.SECURITY_RULES}
+    hits = F.transform(
+        used,
+        lambda rule: F.transform(
+            T.located(source, rule["pattern"]),
+            lambda hit: _finding(
+                rule["category"], rules.lookup(rule["category"], severity), 0.7, "pattern_matching", hit["match"], hit["line"]
+            ),
+        ),
+    )
+    return F.flatten(hits)
 
 
 def signature_findings(signature: Column) -> Column:
