@@ -22,6 +22,15 @@ def whole(body: str) -> str:
     return f"{WORD_START}(?:{body}){WORD_END}"
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once per row.
+
+    The optimizer copies a column used once into the place of its use; inside a lambda
+    that would compute it again for every element.
+    """
+    return F.get(F.transform(F.array(value), lambda v: body(v)), F.lit(0))
+
+
 def strip(text: Column) -> Column:
     return F.btrim(text, F.lit(BLANKS))
 

@@ -146,10 +146,13 @@ def duplicate_lines(lines: Column) -> Column:
 
     Sorted, a line seen three times equals the one two places on.
     """
+
+    def repeated(ordered: Column) -> Column:
+        later = F.slice(ordered, F.lit(3), F.greatest(F.size(ordered), F.lit(1)))
+        return F.array_compact(F.zip_with(ordered, later, lambda a, b: F.when(a == b, a)))
+
     used = F.filter(F.transform(lines, T.strip), lambda x: F.length(x) > 10)
-    ordered = F.array_sort(used)
-    repeated = F.filter(ordered, lambda x, i: x == F.get(ordered, i + 2))
-    return F.array_intersect(used, repeated)
+    return T.let(used, lambda kept: F.array_intersect(kept, T.let(F.array_sort(kept), repeated)))
 
 
 def magic_numbers(content: Column) -> Column:
@@ -189,12 +192,9 @@ def security_severity(kind: str) -> str:
     return "high" if kind in ("buffer_overflow", "command_injection") else "medium"
 
 
-def security_issues(
-    content: Column, language: Column, extra_rules: list[tuple[str, str]] = (), low: Column | None = None
-) -> Column:
+def security_issues(content: Column, language: Column, extra_rules: list[tuple[str, str]] = ()) -> Column:
     """One issue per rule that matches, with its number of hits. Callers may add rules."""
     c_like, python = language.isin("c", "cpp"), language == "python"
-    low = F.lower(content) if low is None else low
     table = rules.rule_array([*rules.SECURITY_RULES, *extra_rules])
     severe = [kind for kind, _ in rules.SECURITY_RULES if security_severity(kind) == "high"]
 
@@ -206,7 +206,9 @@ def security_issues(
             rule["pattern"].alias("detail"),
         )
 
-    matched = F.transform(F.filter(table, lambda rule: rules.may_match(rule, low)), count)
+    matched = T.let(
+        F.lower(content), lambda low: F.transform(F.filter(table, lambda rule: rules.may_match(rule, low)), count)
+    )
     special = F.array(
         issue("unchecked_malloc", "medium", c_like & T.found(content, "malloc", UNCHECKED_MALLOC)),
         issue("dangerous_eval", "high", python & content.contains("eval(")),
@@ -329,7 +331,7 @@ def score_code(df: DataFrame, content: str = "content", language: str = "languag
     text, lang = F.col(content), F.col(language)
     base = with_python_facts(with_lines(df, content), content, language)
     base = base.withColumn("numbers", magic_numbers(text)).withColumn("todos", todo_comments(text))
-    base = base.withColumn("duplicates", duplicate_lines(F.col("lines"))).withColumn("low", F.lower(text))
+    base = base.withColumn("duplicates", duplicate_lines(F.col("lines")))
     found = base.select(
         "*",
         *line_metrics(text, F.col("lines")),
@@ -343,7 +345,7 @@ def score_code(df: DataFrame, content: str = "content", language: str = "languag
             ),
         ).alias("code_smells"),
         F.concat(
-            security_issues(text, lang, low=F.col("low")),
+            security_issues(text, lang),
             T.present(
                 (lang.isin("c", "cpp") & (T.hits(text, MALLOC) > T.hits(text, FREE)), issue("memory_leak", "medium")),
             ),
@@ -362,7 +364,7 @@ def score_code(df: DataFrame, content: str = "content", language: str = "languag
     raw = raw - F.when(complexity > 20, 2.0).when(complexity > 10, 1.0).otherwise(0.0)
     raw = raw + F.when(F.col("comment_ratio") > 0.2, 0.5).otherwise(0.0)
     return found.withColumn("overall_score", clamp(raw, 0.0, 10.0)).withColumn("recommendations", recommendations()).drop(
-        "lines", "numbers", "todos", "duplicates", "low", "py"
+        "lines", "numbers", "todos", "duplicates", "py"
     )
 
 
@@ -624,11 +626,12 @@ def located_rules(df: DataFrame, key: str, content: str = "content", language: s
 
     The context is cut out before the hits become rows, so no row carries the text.
     """
-    text, lang, low = F.col(content), F.col(language), F.col("low")
+    text, lang = F.col(content), F.col(language)
+    table = F.filter(rules.rule_array(rules.SOURCE_RULES), lambda rule: rule["label"] == lang)
 
-    def describe(rule: Column, hit: Column) -> Column:
+    def describe(rule: Column, hit: Column, lines: Column) -> Column:
         first = F.greatest(hit["line"] - 3, F.lit(0))
-        around = F.slice(F.col("lines"), (first + 1).cast("int"), (hit["line"] + 2 - first).cast("int"))
+        around = F.slice(lines, (first + 1).cast("int"), (hit["line"] + 2 - first).cast("int"))
         return F.struct(
             rule["category"].alias("category"),
             rule["pattern"].alias("pattern"),
@@ -637,13 +640,14 @@ def located_rules(df: DataFrame, key: str, content: str = "content", language: s
             T.joined(around, "\n").alias("context"),
         )
 
-    table = rules.rule_array(rules.SOURCE_RULES)
-    used = F.filter(table, lambda rule: (rule["label"] == lang) & rules.may_match(rule, low))
-    hits = F.transform(
-        used, lambda rule: F.transform(T.located(text, rule["pattern"]), lambda hit: describe(rule, hit))
+    used = T.let(F.lower(text), lambda low: F.filter(table, lambda rule: rules.may_match(rule, low)))
+    hits = T.let(
+        T.lines(text),
+        lambda lines: F.transform(
+            used, lambda rule: F.transform(T.located(text, rule["pattern"]), lambda hit: describe(rule, hit, lines))
+        ),
     )
-    rows = with_lines(df, content).withColumn("low", F.lower(text)).select(key, F.flatten(hits).alias("hits"))
-    return rows.select(key, F.explode("hits").alias("hit")).select(key, "hit.*")
+    return df.select(key, F.explode(F.flatten(hits)).alias("hit")).select(key, "hit.*")
 
 
 def finding_type(category: Column) -> Column:

@@ -37,8 +37,8 @@ def known_severity(kind: str) -> str:
 def pattern_findings(source: Column) -> Column:
     """Every hit of a security rule, with its line."""
 
-    low = F.lower(source)
-    used = F.filter(rules.rule_array(rules.SECURITY_RULES), lambda rule: rules.may_match(rule, low))
+    table = rules.rule_array(rules.SECURITY_RULES)
+    used = T.let(F.lower(source), lambda low: F.filter(table, lambda rule: rules.may_match(rule, low)))
     severity = {kind: known_severity(kind) for kind, _ in rules.SECURITY_RULES}
     hits = F.transform(
         used,
