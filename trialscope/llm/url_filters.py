@@ -76,8 +76,8 @@ def filter_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: s
         rows.select("host", "path")
         .distinct()
         .select("host", "path", F.explode(F.array_compact(suffixes)).alias("suffix"), prefixes.alias("prefixes"))
-        .select("host", "path", F.concat("suffix", F.explode(F.array_compact("prefixes"))).alias("expression"))
-        .select("host", "path", F.sha2(F.col("expression").cast("binary"), 256).alias("digest"))
+        .select("host", "path", "suffix", F.explode(F.array_compact("prefixes")).alias("prefix"))
+        .select("host", "path", F.sha2(F.concat("suffix", "prefix").cast("binary"), 256).alias("digest"))
         .withColumn("short", F.substring("digest", 1, PREFIX_DIGITS))
     )
     known = rules.select(
