@@ -73,9 +73,12 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
-    """Runs of rows with equal ``keys`` (integer columns without nulls) of a sorted stream, one table each."""
-    held: list[pa.RecordBatch] = []
+def groups(batches: Iterator[pa.RecordBatch], keys: list[str], least: int = 1) -> Iterator[pa.Table]:
+    """Runs of rows with equal ``keys`` (integer columns without nulls) of a sorted stream, one table each.
+
+    Runs shorter than ``least`` rows are passed over.
+    """
+    held: list[pa.RecordBatch] = []  # the run that may go on in the next batch
     last = None
     for batch in batches:
         n = batch.num_rows
@@ -85,19 +88,23 @@ def groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Ta
         change = np.zeros(n, dtype=bool)
         for c in columns:
             change[1:] |= c[1:] != c[:-1]
-        first = tuple(c[0] for c in columns)
-        change[0] = last is not None and first != last
-        cuts = np.flatnonzero(change).tolist()
-        at = 0
-        for cut in [*cuts, n]:
-            if cut > at:
-                held.append(batch.slice(at, cut - at))
-            if cut < n and held:
+        if held and tuple(c[0] for c in columns) != last:
+            if sum(b.num_rows for b in held) >= least:
+                yield pa.Table.from_batches(held)
+            held = []
+        cuts = np.concatenate([[0], np.flatnonzero(change), [n]])
+        if len(cuts) == 2:
+            held.append(batch)
+        else:
+            held.append(batch.slice(0, cuts[1]))
+            if sum(b.num_rows for b in held) >= least:
                 yield pa.Table.from_batches(held)
-                held = []
-            at = cut
+            sizes = np.diff(cuts)
+            for i in np.flatnonzero(sizes[1:-1] >= least) + 1:
+                yield pa.Table.from_batches([batch.slice(cuts[i], sizes[i])])
+            held = [batch.slice(cuts[-2], sizes[-1])]
         last = tuple(c[-1] for c in columns)
-    if held:
+    if held and sum(b.num_rows for b in held) >= least:
         yield pa.Table.from_batches(held)
 
 

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .embedding_dedup import near_duplicate_vectors
 from .minhash import near_duplicates
 from .url_filters import RULES, filter_urls, rule_table
 
@@ -57,3 +58,8 @@ select page_id, host, path, rule, coalesce(verdict, 'allow') as verdict from u l
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = filter_urls(table(spark, sf_dir, "pages"), rule_table(spark, RULES))
     return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
+@query("op10_embedding_near_dedup")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicate_vectors(table(spark, sf_dir, "embeddings"), least=0.98)
