@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .embedding_dedup import near_duplicate_vectors
+from .metric_search import SCALE, top_k
 from .minhash import near_duplicates
 from .url_filters import RULES, filter_urls, rule_table
 
@@ -63,3 +64,12 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_embedding_near_dedup")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_vectors(table(spark, sf_dir, "embeddings"), least=0.98)
+
+
+@query("op3_metric_top_k")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").where(
+        F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
+    )
+    vectors = vectors.select("vec_id", F.transform("embedding", lambda x: F.floor(x.cast("double") * SCALE)).alias("x"))
+    return top_k(vectors, vectors.where("vec_id % 20 = 0"), 20)
