@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import work_path
 from .embedding_dedup import near_duplicate_vectors
 from .metric_search import SCALE, top_k
 from .minhash import near_duplicates
+from .secrets import all_spans, joined_spans, scan_versions
 from .url_filters import RULES, filter_urls, rule_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -73,3 +75,13 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     vectors = vectors.select("vec_id", F.transform("embedding", lambda x: F.floor(x.cast("double") * SCALE)).alias("x"))
     return top_k(vectors, vectors.where("vec_id % 20 = 0"), 20)
+
+
+@query("op1_secret_scans")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    versions = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("content"))
+    found = scan_versions(versions, work_path(spark, "ledger")).withColumn("all", all_spans())
+    found = found.withColumn("spans", joined_spans())
+    kinds = F.transform("all", lambda s: s["kind"])
+    counts = [(F.size(kinds) - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{k}") for k in ("assign", "access", "hex")]
+    return found.select("doc_id", *counts, F.sha2(F.col("spans").cast("binary"), 256).alias("base_sha256"), "spans")
