@@ -24,6 +24,8 @@ BAND_ROWS = 5
 BANDS = BINS // BAND_ROWS
 #: Rows of a bucket compared at a time; larger buckets are dealt as pairs of blocks.
 BLOCK = 512
+#: The same where rows carry their texts.
+TEXT_BLOCK = 256
 #: Standard deviations below the threshold at which a sketch still sends a pair to the exact check.
 SLACK = 6.0
 BASE = 0x9E3779B97F4A7C15
@@ -180,54 +182,103 @@ def _confirm(size: int, percent: int):
                     sets.append(held[key])
                 sides.append(sets)
             for i, (x, y) in enumerate(zip(*sides)):
-                short, long = sorted((x, y), key=len)
-                if len(short) and 100 * len(short) >= percent * len(long):
-                    at = np.searchsorted(long, short)
-                    both = int((long[np.minimum(at, len(long) - 1)] == short).sum())
-                    ok[i] = 100 * both >= percent * (len(short) + len(long) - both)
+                ok[i] = alike_enough(x, y, percent)
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(ok)], ["a", "b", "ok"])
 
     return run
 
 
-def _plausible(percent: int):
-    """Pairs of different labels in a bucket's pair of blocks whose signatures agree well enough."""
+def _open_pairs(table: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Positions (i, j) and agreement of a bucket's pairs that a block pair has to decide, best first.
+
+    These are pairs of different components whose signatures agree well enough and that share no
+    earlier band: a pair of a band before this one was decided there.
+    """
     share = percent / 100
     least = (share - SLACK * (share * (1 - share) / BINS) ** 0.5) * BINS
+    label = table["component"].to_numpy()
+    own = table["own"].to_numpy()
+    signs = np.frombuffer(b"".join(table["signature"].to_pylist()), dtype=np.uint8).reshape(-1, BINS)
+    bands = table["bands"].combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
+    bucket, block = table["bucket"][0].as_py(), table["block_a"][0].as_py()
+    left = np.flatnonzero(own == block)
+    right = left if block == table["block_b"][0].as_py() else np.flatnonzero(own != block)
+    found: list[tuple[np.ndarray, ...]] = []
+    for i in left:
+        other = right[label[right] != label[i]]
+        if right is left:
+            other = other[other > i]
+        alike = (signs[other] == signs[i]).sum(axis=1)
+        other, alike = other[alike >= least], alike[alike >= least]
+        if len(other):
+            first = bands[i][(bands[other] == bands[i]).argmax(axis=1)] == bucket
+            found.append((np.full(first.sum(), i), other[first], alike[first]))
+    if not found:
+        return (np.zeros(0, np.int64),) * 3
+    i, j, alike = (np.concatenate(x) for x in zip(*found))
+    order = np.argsort(-alike, kind="stable")
+    return i[order], j[order], alike[order]
+
+
+GROUP = ["bucket", "block_a", "block_b"]
+
+
+def _undecided(percent: int):
+    """The members of each bucket that stand in a pair still to be decided."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in groups(batches, GROUP, least=2):
+            i, j, _ = _open_pairs(table, percent)
+            nodes = np.unique(table["node"].to_numpy()[np.concatenate([i, j])])
+            if len(nodes):
+                bucket = np.full(len(nodes), table["bucket"][0].as_py())
+                yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(nodes)], ["bucket", "node"])
+
+    return run
+
+
+def _decided(size: int, percent: int):
+    """Open pairs of a block pair checked on full sets; one edge per node that a link joins to another component."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found_a, found_b, n = [], [], 0
-
-        def out():
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(found_a)), pa.array(np.concatenate(found_b))], ["a", "b"])
-
-        for table in groups(batches, ["bucket", "block_a", "block_b"]):
-            table = table.combine_chunks()
-            ids = table["node"].to_numpy()
-            label = table["component"].to_numpy()
-            own = table["own"].to_numpy()
-            signs = np.frombuffer(b"".join(table["signature"].to_pylist()), dtype=np.uint8).reshape(-1, BINS)
-            inside = table["block_a"][0].as_py() == table["block_b"][0].as_py()
-            left = np.flatnonzero(own == table["block_a"][0].as_py())
-            right = left if inside else np.flatnonzero(own != table["block_a"][0].as_py())
-            for i in left:
-                alike = (signs[right] == signs[i]).sum(axis=1)
-                hit = right[(alike >= least) & (label[right] != label[i])]
-                if inside:
-                    hit = hit[ids[hit] > ids[i]]
-                if len(hit):
-                    found_a.append(np.minimum(ids[hit], ids[i]))
-                    found_b.append(np.maximum(ids[hit], ids[i]))
-                    n += len(hit)
-            if n > 50_000:
-                yield out()
-                found_a, found_b, n = [], [], 0
-        if n:
-            yield out()
+        for table in groups(batches, GROUP, least=2):
+            node = table["node"].to_numpy()
+            sets = []
+            for text in table["text"]:
+                raw = np.frombuffer(text.as_buffer() or b"", dtype=np.uint8)
+                sets.append(shingle_sets(raw, np.array([0, len(raw)]), size)[0])
+            _, at = np.unique(table["component"].to_numpy(), return_inverse=True)
+            root = list(range(int(at.max()) + 1))
+
+            def top(x: int) -> int:
+                while root[x] != x:
+                    root[x] = root[root[x]]
+                    x = root[x]
+                return x
+
+            a, b = [], []
+            for i, j in zip(*(x.tolist() for x in _open_pairs(table, percent)[:2])):
+                x, y = top(at[i]), top(at[j])
+                if x != y and alike_enough(sets[i], sets[j], percent):
+                    root[max(x, y)] = min(x, y)
+                    a.append(node[i])
+                    b.append(node[j])
+            if a:
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
     return run
 
 
+def alike_enough(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """100 * intersection >= percent * union, of two sorted sets of distinct numbers."""
+    short, long = (x, y) if len(x) <= len(y) else (y, x)
+    if not len(short) or 100 * len(short) < percent * len(long):
+        return False
+    at = np.searchsorted(long, short)
+    both = int((long[np.minimum(at, len(long) - 1)] == short).sum())
+    return 100 * both >= percent * (len(short) + len(long) - both)
+
+
 def near_duplicates(documents: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """One row per row of ``documents`` (doc_id, text): ``doc_id``, ``n_shingles``, ``component_id``, ``kept``.
 
@@ -240,9 +291,10 @@ def near_duplicates(documents: DataFrame, size: int = 5, percent: int = 80) -> D
     Steps: (1) one pass over the texts makes sketches, band keys and a digest of the whole set; (2) equal
     sets become one class, so a group of copies of any size is one node; (3) in each bucket of equal band
     keys every class is checked against the least one, on full sets; (4) buckets of three or more classes
-    that are not one component after that are compared pairwise between components, in blocks, by
-    signature, and plausible pairs are checked on full sets. So a group of near copies costs a star and
-    not all its pairs, and no candidate pair of different components is left unchecked. Two texts at the
+    that are not one component after that are compared between components, in blocks, by signature;
+    members with plausible partners come again with their texts and are checked on full sets, best pairs
+    first, while they are in different components. Tasks give edges that join components, never pairs.
+    So a group of near copies costs a star and no candidate pair is left undecided. Two texts at the
     threshold of 0.85 share no band with a probability of 4e-7, at 0.8 of 5e-5.
     """
     texts = documents.select("doc_id", "text")
@@ -267,31 +319,19 @@ def near_duplicates(documents: DataFrame, size: int = 5, percent: int = 80) -> D
     wide = members.where("n > 2").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     wide = stored(wide, "labelled")
     mixed = (
-        wide.groupBy("bucket")
-        .agg(F.min("component").alias("x"), F.max("component").alias("y"), F.max("n").alias("n"))
-        .where("x <> y")
-        .select("bucket", F.ceil(F.col("n") / BLOCK).alias("blocks"))
+        wide.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.max("n").alias("n")).where("x <> y")
     )
-    mixed = stored(mixed, "mixed")
-    own = wide.join(mixed, "bucket").select(
-        "bucket", "node", "component", "blocks", F.pmod(F.xxhash64("node"), "blocks").alias("own")
-    )
-    dealt = own.join(classes.select("node", "signature"), "node").select(
-        "*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other")
-    )
-    dealt = dealt.select(
-        "bucket", "node", "component", "signature", "own",
-        F.least("own", "other").alias("block_a"), F.greatest("own", "other").alias("block_b"),
-    )
-    plausible = (
-        by_group(dealt, ["bucket", "block_a", "block_b"])
-        .mapInArrow(_plausible(percent), "a long, b long")
-        .distinct()
-        .join(checked.select("a", "b"), ["a", "b"], "left_anti")
-    )
-    more = _verified(texts, plausible, size, percent).where("ok").select("a", "b")
-    if more.limit(1).count():
-        found = components(links.unionByName(more), "links")
+    mixed = wide.join(stored(mixed.select("bucket", "n"), "mixed").withColumnRenamed("n", "rows"), "bucket")
+    signs = classes.select("node", "signature", "bands")
+    undecided = by_group(_blocks(mixed.select("bucket", "node", "component", "rows").join(signs, "node"), BLOCK), GROUP)
+    undecided = stored(undecided.mapInArrow(_undecided(percent), "bucket long, node long").distinct(), "undecided")
+    if undecided.limit(1).count():
+        rows = undecided.join(stored(undecided.groupBy("bucket").agg(F.count(F.lit(1)).alias("rows")), "sizes"), "bucket")
+        rows = rows.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        needed = _texts_of(texts, undecided.select(F.col("node").alias("doc_id")).distinct())
+        rows = rows.join(signs, "node").join(needed.withColumnRenamed("doc_id", "node"), "node")
+        more = by_group(_blocks(rows, TEXT_BLOCK), GROUP).mapInArrow(_decided(size, percent), "a long, b long")
+        found = components(links.unionByName(stored(more, "more")), "links")
 
     class_of = classes.select("same", "node").join(found, "node", "left")
     class_of = class_of.select("same", F.coalesce("component", "node").alias("component"))
@@ -307,14 +347,27 @@ def near_duplicates(documents: DataFrame, size: int = 5, percent: int = 80) -> D
     )
 
 
+def _blocks(rows: DataFrame, size: int) -> DataFrame:
+    """Rows of a bucket dealt to pairs of blocks of about ``size`` rows; ``rows`` says how many the bucket has."""
+    blocks = F.ceil(F.col("rows") / size)
+    dealt = rows.withColumn("own", F.pmod(F.xxhash64("node"), blocks)).withColumn(
+        "other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1))
+    )
+    return dealt.select("*", F.least("own", "other").alias("block_a"), F.greatest("own", "other").alias("block_b")).drop("other", "rows")
+
+
+def _texts_of(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """The texts of the documents ``ids``, written."""
+    return stored(texts.join(small_side(ids, 500_000), "doc_id", "left_semi").where("text is not null"), "needed")
+
+
 def _verified(texts: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
-    """``pairs`` (a, b) with ``ok``: the exact check on the full shingle sets of both texts."""
+    """``pairs`` (a, b) with ``ok``: the exact check on the full shingle sets of both texts.
+
+    Were a doc_id repeated with other texts, all of them are tried and any that links counts.
+    """
     pairs = stored(pairs, "pairs")
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    # One text per doc_id: were an id repeated with other texts, the class's own text is not known here,
-    # so all of them are tried and any that links counts.
-    needed = texts.join(small_side(ends, 500_000), "doc_id", "left_semi").where("text is not null")
-    needed = stored(needed, "needed")
+    needed = _texts_of(texts, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
     joined = pairs.join(needed.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").join(
         needed.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b"
     )
