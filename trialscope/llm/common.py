@@ -111,3 +111,22 @@ def groups(batches: Iterator[pa.RecordBatch], keys: list[str], least: int = 1) -
 def by_group(df: DataFrame, keys: list[str]) -> DataFrame:
     """``df`` dealt by ``keys`` and sorted by them in each task, as ``groups`` needs it."""
     return df.repartition(*keys).sortWithinPartitions(*keys)
+
+
+def drawn(rows: DataFrame, group: str, key: str, each: int, most_groups: int) -> DataFrame:
+    """At most ``each`` rows (more only where keys repeat) of the ``most_groups`` largest groups: those of least key hash.
+
+    The rows that count are found by a hash threshold per group, so no group is gathered in one task;
+    the driver sees group sizes and about one and a half times as many hashes as rows are drawn.
+    """
+    counts = rows.where(F.col(group).isNotNull()).groupBy(group).count().orderBy(F.desc("count"), group).limit(most_groups).collect()
+    hashed = F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(1 << 40))
+    none = F.lit(False)
+    near = [
+        F.when(F.col(group) == r[group], hashed < int((1 << 40) * min(1.0, (1.5 * each + 50) / r["count"]))) for r in counts
+    ]
+    held: dict[object, list[int]] = {}
+    for r in rows.where(F.coalesce(*near, none)).select(F.col(group).alias("g"), hashed.alias("h")).collect():
+        held.setdefault(r["g"], []).append(r["h"])
+    last = {g: sorted(hashes)[:each][-1] for g, hashes in held.items()}
+    return rows.where(F.coalesce(*[F.when(F.col(group) == g, hashed <= h) for g, h in last.items()], none))

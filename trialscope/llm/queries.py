@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import work_path
+from . import language_id, quality
 from .embedding_dedup import near_duplicate_vectors
 from .metric_search import SCALE, top_k
 from .minhash import near_duplicates
@@ -85,3 +86,26 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     kinds = F.transform("all", lambda s: s["kind"])
     counts = [(F.size(kinds) - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{k}") for k in ("assign", "access", "hex")]
     return found.select("doc_id", *counts, F.sha2(F.col("spans").cast("binary"), 256).alias("base_sha256"), "spans")
+
+
+def remainder(column: str, by: int):
+    """crc32 of the column as text, modulo ``by``."""
+    return F.crc32(F.col(column).cast("string").cast("binary")) % by
+
+
+@query("op5_quality_classifier")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.coalesce(remainder("doc_id", 3) == 1, F.lit(False))
+    documents = table(spark, sf_dir, "documents")
+    labels = table(spark, sf_dir, "labels").where(~held_out).select("doc_id", F.col("quality").alias("label"))
+    scored = quality.score_quality(documents, quality.train(documents, labels), ["doc_id"])
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query("op7_language_id")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.coalesce(remainder("doc_id", 5) == 0, F.lit(False))
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = language_id.train(documents.where(~held_out))
+    found = language_id.identify(documents, model, ["doc_id"])
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
