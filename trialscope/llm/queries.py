@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..session import work_path
 from . import language_id, quality
 from .embedding_dedup import near_duplicate_vectors
+from .html_text import extract_text
 from .metric_search import SCALE, top_k
 from .minhash import near_duplicates
 from .secrets import all_spans, joined_spans, scan_versions
@@ -109,3 +110,8 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = language_id.train(documents.where(~held_out))
     found = language_id.identify(documents, model, ["doc_id"])
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+@query("op6_html_extraction")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(table(spark, sf_dir, "pages"), ["page_id", "url"])
