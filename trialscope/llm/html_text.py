@@ -201,9 +201,10 @@ def extract_text(pages: DataFrame, keep: list[str], html: str = "html") -> DataF
 
     Whole pages are parsed, one at a time; a page of any size needs memory in proportion to itself. Null
     and empty pages, and pages without text, give an empty text. Broken markup is read as browsers do in
-    the main: unclosed paragraphs end at the next block, unknown end tags are passed over. Columns in
-    ``keep`` may not be named ``html``'s name, text or n_chars. Repeated rows stay repeated.
+    the main: unclosed paragraphs end at the next block, unknown end tags are passed over. Columns of
+    ``keep`` named like ``html``, text or n_chars are left out. Repeated rows stay repeated.
     """
+    keep = [c for c in keep if c not in (html, "text", "n_chars")]
     rows = pages.select(*keep, html)
     kept = ", ".join(f"`{n}` {t}" for n, t in rows.dtypes if n != html)
     return rows.mapInArrow(_extract(html), f"{kept}, text string, n_chars long")

@@ -197,9 +197,10 @@ def identify(documents: DataFrame, model: Model | None, keep: list[str]) -> Data
     """Columns ``keep`` with ``lang_pred`` and ``score`` (0 to 1) for every row of ``documents`` (with ``text``), whole texts.
 
     A text that is null or holds no letter is ``und`` with score 0; so are all without a model. The score
-    is a softmax over the one-versus-rest outputs. Columns in ``keep`` may not be named text, lang_pred
-    or score.
+    is a softmax over the one-versus-rest outputs. Columns of ``keep`` named text, lang_pred or score are
+    left out.
     """
+    keep = [c for c in keep if c not in ("text", "lang_pred", "score")]
     rows = documents.select(*keep, "text")
     if model is None:
         return rows.select(*keep, F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))

@@ -182,8 +182,9 @@ def score_quality(documents: DataFrame, model: Model | None, keep: list[str]) ->
     """Columns ``keep`` with ``score`` (0 to 1, higher: label 1 likelier) for every row of ``documents`` (with ``text``).
 
     Whole texts are scored. Null and empty texts get the share of label 1 among the labelled documents;
-    without a model every score is 0.5. Columns in ``keep`` may not be named text or score.
+    without a model every score is 0.5. Columns of ``keep`` named text or score are left out.
     """
+    keep = [c for c in keep if c not in ("text", "score")]
     rows = documents.select(*keep, "text")
     if model is None:
         return rows.select(*keep, F.lit(0.5).alias("score"))

@@ -4,18 +4,23 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import work_path
 from . import language_id, quality
+from .bpe import encode_texts
 from .embedding_dedup import near_duplicate_vectors
 from .html_text import extract_text
 from .metric_search import SCALE, top_k
 from .minhash import near_duplicates
+from .packing import pack
 from .secrets import all_spans, joined_spans, scan_versions
 from .url_filters import RULES, filter_urls, rule_table
 
+TOKENIZER = "word_bpe_49k.json"
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -115,3 +120,19 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_html_extraction")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_text(table(spark, sf_dir, "pages"), ["page_id", "url"])
+
+
+@query("op8_bpe_encoding")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = encode_texts(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), ["doc_id"])
+    return coded.select(
+        "doc_id",
+        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
+@query("op2_best_fit_packing")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), ["doc_id"])

@@ -156,18 +156,12 @@ def _masked(mask: str):
             out = []
             for text, spans in zip(batch.column("text"), batch.column("all")):
                 text, parts, at = text.as_py(), [], 0
-                spans = spans.as_py() or []
-                if text is not None and spans:
-                    for span in spans:
-                        if span["end"] <= at:
-                            continue
-                        if span["start"] >= at:
-                            parts += [text[at : span["start"]], mask]
-                        at = span["end"]
-                    text = "".join([*parts, text[at:]])
-                out.append(text)
-            place = batch.schema.get_field_index("text")
-            yield batch.set_column(place, "text", pa.array(out, pa.string())).drop_columns(["all"])
+                for span in spans.as_py():
+                    if span["start"] >= at:
+                        parts += [text[at : span["start"]], mask]
+                    at = max(at, span["end"])
+                out.append("".join([*parts, text[at:]]))
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(out, pa.string())], ["row", "masked"])
 
     return run
 
@@ -175,9 +169,13 @@ def _masked(mask: str):
 def redact(versions: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES, mask: str = "[SECRET]") -> DataFrame:
     """``versions`` (with ``text``) with ``mask`` in place of every finding; overlapping findings are one mask.
 
-    Only texts with findings pass through Python. Columns and rows stay; null texts stay null.
+    Only texts with findings pass through Python. Rows and all columns stay, whatever their names; null
+    texts stay null.
     """
-    scanned = scan_versions(versions.withColumn("content", F.col("text")), ledger, rules)
-    scanned = scanned.withColumn("all", all_spans("findings", rules)).select(*versions.columns, "all")
-    found = scanned.where(F.size("all") > 0)
-    return scanned.where(F.size("all") == 0).drop("all").unionByName(found.mapInArrow(_masked(mask), versions.schema))
+    rows = versions.select(F.struct(*versions.columns).alias("row"), F.col("text").alias("content"))
+    scanned = scan_versions(rows, ledger, rules).select("row", all_spans("findings", rules).alias("all"))
+    clean = scanned.where(F.size("all") == 0).select("row.*")
+    found = scanned.where(F.size("all") > 0).select("row", "all", F.col("row.text").alias("text"))
+    kind = dict(rows.dtypes)["row"]
+    masked = found.mapInArrow(_masked(mask), f"row {kind}, masked string")
+    return clean.unionByName(masked.select(*[F.col("masked").alias(c) if c == "text" else F.col("row")[c].alias(c) for c in versions.columns]))
