@@ -27,18 +27,17 @@ def usable(column: str):
     return F.coalesce(F.col(column).isNotNull() & finite & F.exists(column, lambda x: x != 0), F.lit(False))
 
 
-def learn_rotations(sample: np.ndarray, bits: int, rounds: int = ROUNDS, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
-    """(mean, directions): the signs of (unit vector - mean) @ directions are ``bits`` balanced code bits.
+def learn_rotations(sample: np.ndarray, bits: int, rounds: int = ROUNDS, seed: int = 7) -> np.ndarray:
+    """Directions: the signs of unit vector @ directions are ``bits`` code bits.
 
-    Principal axes first, then a rotation that is improved in turn with the codes until their
+    Vectors are not centred: a cosine is an angle at the origin, and planes through another point would
+    cut a sample that is one tight cluster by its noise. Principal axes first, then a rotation that is improved in turn with the codes until their
     quantisation error settles. If there are more bits than axes, further rotations start elsewhere.
     """
     unit = sample / np.linalg.norm(sample, axis=1, keepdims=True)
-    mean = unit.mean(axis=0)
-    centred = unit - mean
-    _, axes = np.linalg.eigh(centred.T @ centred)
+    _, axes = np.linalg.eigh(unit.T @ unit)
     axes = axes[:, ::-1][:, :bits]
-    flat = centred @ axes
+    flat = unit @ axes
     random = np.random.default_rng(seed)
     parts = []
     while sum(p.shape[1] for p in parts) < bits:
@@ -48,13 +47,13 @@ def learn_rotations(sample: np.ndarray, bits: int, rounds: int = ROUNDS, seed: i
             left, _, right = np.linalg.svd(codes.T @ flat)
             turn = (left @ right).T
         parts.append(axes @ turn)
-    return mean, np.concatenate(parts, axis=1)[:, :bits]
+    return np.concatenate(parts, axis=1)[:, :bits]
 
 
-def codes_of(vectors: np.ndarray, mean: np.ndarray, directions: np.ndarray, tables: int, table_bits: int) -> np.ndarray:
+def codes_of(vectors: np.ndarray, directions: np.ndarray, tables: int, table_bits: int) -> np.ndarray:
     """One integer per vector and table: ``table_bits`` code bits each."""
     unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
-    bits = ((unit - mean) @ directions >= 0).reshape(len(vectors), tables, table_bits)
+    bits = (unit @ directions >= 0).reshape(len(vectors), tables, table_bits)
     return (bits * (1 << np.arange(table_bits))).sum(axis=2)
 
 
@@ -67,13 +66,13 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
     return out
 
 
-def _code(width: int, mean, directions, tables: int, table_bits: int, kind):
+def _code(width: int, directions, tables: int, table_bits: int, kind):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
             vectors = _matrix(batch.column("embedding"), width)
-            codes = codes_of(vectors, mean, directions, tables, table_bits).astype("<i4")
+            codes = codes_of(vectors, directions, tables, table_bits).astype("<i4")
             offsets = pa.array(np.arange(0, codes.size + 1, tables), pa.int32())
             yield pa.RecordBatch.from_arrays(
                 [
@@ -173,9 +172,9 @@ def near_duplicate_vectors(
         )
     drawn = nodes.orderBy(F.xxhash64("node"), "node").limit(sample).select("embedding").toArrow()
     drawn = _matrix(drawn["embedding"].combine_chunks(), width)
-    mean, directions = learn_rotations(drawn, tables * table_bits)
+    directions = learn_rotations(drawn, tables * table_bits)
     coded = nodes.select("node", "kind", "weight", "embedding").mapInArrow(
-        _code(width, mean, directions, tables, table_bits, kind),
+        _code(width, directions, tables, table_bits, kind),
         "node long, kind long, weight long, vector binary, codes array<int>",
     )
     coded = stored(coded, "codes")

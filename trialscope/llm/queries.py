@@ -16,6 +16,7 @@ from .html_text import extract_text
 from .metric_search import SCALE, top_k
 from .minhash import near_duplicates
 from .packing import pack
+from .secrets import RULES as RULES_OF_SECRETS
 from .secrets import all_spans, joined_spans, scan_versions
 from .url_filters import RULES, filter_urls, rule_table
 
@@ -39,7 +40,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-@query("op4_minhash_near_dedup")
+#: Components by reachability over ``link`` (a, b in both directions); nodes are in ``node``.
+REACH = """
+reach as (select id as a, id as b from node union select r.a, l.b from reach r join link l on r.b = l.a),
+least as (select a as id, min(b) as component from reach group by a)"""
+
+OP4_SQL = f"""
+with recursive w as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\\x20\\x09-\\x0D]+') as words from documents),
+s as (
+  select doc_id, list_distinct(case when len(words) >= 3 then [array_to_string(words[i : i + 2], ' ') for i in range(1, len(words) - 1)]
+    when len(words) > 0 then [array_to_string(words, ' ')] else [] end) as shingles from w),
+node as (select doc_id as id, len(shingles)::bigint as n from s),
+flat as (select doc_id as id, unnest(shingles) as g from s),
+link as (
+  select a, b from (select x.id as a, y.id as b, count(*) as n from flat x join flat y on x.g = y.g and x.id <> y.id group by all) p
+  join node na on na.id = a join node nb on nb.id = b
+  where 100 * p.n >= 85 * (na.n + nb.n - p.n)),
+{REACH}
+select id as doc_id, n as n_shingles, component as component_id, id = component as kept from node join least using (id)
+"""
+
+
+@query("op4_minhash_near_dedup", OP4_SQL)
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), size=3, percent=85)
 
@@ -70,12 +94,33 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
-@query("op10_embedding_near_dedup")
+OP10_SQL = f"""
+with recursive node as (select vec_id as id, label, embedding::double[] as v from embeddings),
+link as (
+  select x.id as a, y.id as b from node x join node y on x.label = y.label and x.id <> y.id
+  where list_dot_product(x.v, y.v) / sqrt(list_dot_product(x.v, x.v) * list_dot_product(y.v, y.v)) >= 0.98),
+{REACH}
+select id as vec_id, (select count(*) from link where a = node.id) as n_links, component as component_id, id = component as kept
+from node join least using (id)
+"""
+
+
+@query("op10_embedding_near_dedup", OP10_SQL)
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_vectors(table(spark, sf_dir, "embeddings"), least=0.98)
 
 
-@query("op3_metric_top_k")
+OP3_SQL = f"""
+with x as (select vec_id, list_transform(embedding, lambda c: floor({SCALE} * c::double)) as v from embeddings),
+r as (
+  select q.vec_id as query_id, c.vec_id, list_dot_product(q.v, c.v)::bigint as score,
+    row_number() over (partition by q.vec_id order by list_dot_product(q.v, c.v) desc, c.vec_id)::int as rank
+  from x q join x c on q.vec_id <> c.vec_id where q.vec_id % 20 = 0)
+select query_id, rank, vec_id, score from r where rank <= 20
+"""
+
+
+@query("op3_metric_top_k", OP3_SQL)
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").where(
         F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
@@ -84,7 +129,34 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(vectors, vectors.where("vec_id % 20 = 0"), 20)
 
 
-@query("op1_secret_scans")
+def _op1_kind(rule, place: int) -> str:
+    """Matches of a rule with their places: a separator is put round each, and the parts' lengths are summed."""
+    pattern = rule.pattern.replace("(?ia:", "(?i:").replace("'", "''")
+    # In the parts, group 1 is the whole match's group 1: groups shift by one where the match is wrapped.
+    found = f"regexp_extract(part, '{pattern}', {rule.group})"
+    return f"""
+  select doc_id, '{rule.kind}' as kind, {place} as place, before as s, before + length(part) as e from (
+    select doc_id, i, part, coalesce(sum(length(part)) over (partition by doc_id order by i rows between unbounded preceding and 1 preceding), 0)::bigint as before
+    from (select doc_id, unnest(parts) as part, generate_subscripts(parts, 1) as i from (
+      select doc_id, string_split(regexp_replace(t, '({pattern})', chr(57345) || '\\1' || chr(57345), 'g'), chr(57345)) as parts from d)))
+  where i % 2 = 0 and length({found}) >= {rule.least}"""
+
+
+OP1_SQL = (
+    "with d as (select doc_id, coalesce(text, '') as t from documents), f as ("
+    + " union all ".join(_op1_kind(rule, i) for i, rule in enumerate(RULES_OF_SECRETS))
+    + """),
+g as (
+  select doc_id, count(*) filter (kind = 'assign') as a, count(*) filter (kind = 'access') as b, count(*) filter (kind = 'hex') as c,
+    string_agg(kind || ':' || s || ':' || e, ',' order by s, place) as spans from f group by doc_id)
+select doc_id, coalesce(a, 0) as n_assign, coalesce(b, 0) as n_access, coalesce(c, 0) as n_hex,
+  sha256(coalesce(spans, '')) as base_sha256, coalesce(spans, '') as spans
+from d left join g using (doc_id)
+"""
+)
+
+
+@query("op1_secret_scans", OP1_SQL)
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     versions = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("content"))
     found = scan_versions(versions, work_path(spark, "ledger")).withColumn("all", all_spans())
