@@ -15,6 +15,7 @@ import mmap
 import re
 import struct
 import tempfile
+from array import array
 from collections import Counter
 from collections.abc import Callable, Iterator
 
@@ -24,12 +25,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import worker_store
+from .common import stored, worker_store
 
 #: Words of the lexicon, at most: a bounded table that every worker maps.
-LEXICON_WORDS = 1 << 16
-#: Chunks whose ids a worker remembers; distinct chunks it counts before it passes them on.
-REMEMBERED = 800_000
+LEXICON_WORDS = 1 << 17
+#: Chunks and merged words whose ids a worker remembers; distinct chunks it counts before it passes them on.
+REMEMBERED = 700_000
+MERGED = 300_000
 COUNTED = 400_000
 
 #: What str.split() takes for white space and the tokenizer does not.
@@ -146,9 +148,10 @@ class Merges:
         letters = byte_letters()
         self.inner = [vocabulary[c] for c in letters]
         self.last = [vocabulary[c + suffix] for c in letters]
-        self.pairs: dict[tuple[int, int], tuple[int, int]] = {}
+        #: (left, right) -> rank and merged id in one number, so that the least number is the first merge.
+        self.pairs: dict[tuple[int, int], int] = {}
         for rank, (a, b) in enumerate(model["merges"]):
-            self.pairs[vocabulary[a], vocabulary[b]] = (rank, vocabulary[a + b])
+            self.pairs[vocabulary[a], vocabulary[b]] = rank << 32 | vocabulary[a + b]
 
     def encode(self, word: bytes) -> list[int]:
         """Ids of one word: the pair of least rank is merged first, the leftmost of equal ones."""
@@ -156,24 +159,30 @@ class Merges:
         return self._short(ids) if len(ids) <= 48 else self._long(ids)
 
     def _short(self, ids: list[int]) -> list[int]:
-        pairs = self.pairs
-        while len(ids) > 1:
-            found = [(*pairs[p], i) for i, p in enumerate(zip(ids, ids[1:])) if p in pairs]
-            if not found:
+        get, never = self.pairs.get, 1 << 62
+        order = [get(p, never) for p in zip(ids, ids[1:])]
+        while order:
+            first = min(order)
+            if first == never:
                 break
-            _, merged, i = min(found, key=lambda f: (f[0], f[2]))
-            ids[i : i + 2] = [merged]
+            i, merged = order.index(first), first & 0xFFFFFFFF
+            ids[i] = merged
+            del ids[i + 1], order[i]
+            if i:
+                order[i - 1] = get((ids[i - 1], merged), never)
+            if i < len(order):
+                order[i] = get((merged, ids[i + 1]), never)
         return ids
 
     def _long(self, ids: list[int]) -> list[int]:
         """The same with a heap and links, for words of any length."""
         n, pairs = len(ids), self.pairs
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(*pairs[p], i, *p) for i, p in enumerate(zip(ids, ids[1:])) if p in pairs]
-        heap = [(rank, i, merged, a, b) for rank, merged, i, a, b in heap]
+        heap = [(pairs[p], i, *p) for i, p in enumerate(zip(ids, ids[1:])) if p in pairs]
         heapq.heapify(heap)
         while heap:
-            _, i, merged, a, b = heapq.heappop(heap)
+            first, i, a, b = heapq.heappop(heap)
+            merged = first & 0xFFFFFFFF
             j = after[i]
             if ids[i] != a or j >= n or ids[j] != b:
                 continue
@@ -183,8 +192,7 @@ class Merges:
                 before[after[j]] = i
             for left, right in ((before[i], i), (i, after[i])):
                 if left >= 0 and right < n and (ids[left], ids[right]) in pairs:
-                    rank, new = pairs[ids[left], ids[right]]
-                    heapq.heappush(heap, (rank, left, new, ids[left], ids[right]))
+                    heapq.heappush(heap, (pairs[ids[left], ids[right]], left, ids[left], ids[right]))
         return [i for i in ids if i >= 0]
 
 
@@ -202,21 +210,16 @@ class Encoder:
         if SEPARATORS.search(text):
             return self.chunk_ids(text)
         known = self.known
-        chunks = text.split()
-        try:
-            return b"".join([known[c] for c in chunks])
-        except KeyError:
-            pass
         if len(known) > REMEMBERED:
             known.clear()
-        out = []
-        for c in chunks:
-            ids = known.get(c)
-            if ids is None:
-                ids = self.chunk_ids(c)
-                if len(c) < 256:
-                    known[c] = ids
-            out.append(ids)
+        chunks = text.split()
+        out = list(map(known.get, chunks))
+        if None in out:
+            for i, c in enumerate(chunks):
+                if out[i] is None:
+                    out[i] = known.get(c) or self.chunk_ids(c)
+                    if len(c) < 256:
+                        known[c] = out[i]
         return b"".join(out)
 
 
@@ -252,15 +255,22 @@ def _loaded(source: str, lexicon: bytes) -> dict:
         words, table = Words(source), Lexicon.mapped(lexicon)
         merges = Merges(words.data)
 
+        merged: dict[bytes, bytes] = {}  # words that the lexicon lacks
+
+        def word_ids(word: bytes | int) -> bytes:
+            if isinstance(word, int):
+                return struct.pack("<I", word)
+            ids = merged.get(word) or table.get(word)
+            if ids is None:
+                if len(merged) > MERGED:
+                    merged.clear()
+                ids = array("I", merges.encode(word)).tobytes()
+                if len(word) < 256:
+                    merged[word] = ids
+            return ids
+
         def chunk_ids(chunk: str) -> bytes:
-            out = []
-            for word in words(chunk):
-                if isinstance(word, int):
-                    out.append(struct.pack("<I", word))
-                else:
-                    ids = table.get(word)
-                    out.append(ids if ids is not None else np.array(merges.encode(word), dtype="<u4").tobytes())
-            return b"".join(out)
+            return b"".join([word_ids(w) for w in words(chunk)])
 
         vocabulary = words.data["model"]["vocab"] | words.special
         tokens: list[str] = [""] * (max(vocabulary.values()) + 1)
@@ -306,10 +316,23 @@ def _counted(source: str):
 
 
 def frequent_words(documents: DataFrame, source: str, most: int = LEXICON_WORDS) -> list[bytes]:
-    """The ``most`` most frequent words of all texts, ties by word; counted in tasks, summed before the cut."""
+    """The most frequent words of all texts, ``most`` at most, best first.
+
+    Words are counted in tasks and summed. The counts of counts, in eighths of octaves, give the least
+    count that ``most`` words at most have, so no task and not the driver sees more than these.
+    """
     counted = documents.select("text").mapInArrow(_counted(source), "word binary, n long")
-    top = counted.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(most)
-    return [bytes(r["word"]) for r in top.select("word").collect()]
+    counted = stored(counted.groupBy("word").agg(F.sum("n").alias("n")).withColumn("step", F.floor(8 * F.log2("n"))), "words")
+    least, total = None, 0
+    for r in sorted(counted.groupBy("step").count().collect(), reverse=True):  # at most 512 rows
+        total += r["count"]
+        if total > most:
+            break
+        least = r["step"]
+    if least is None:
+        return []
+    top = counted.where(F.col("step") >= least).select("word", "n").collect()
+    return [bytes(r["word"]) for r in sorted(top, key=lambda r: (-r["n"], r["word"]))]
 
 
 def compile_lexicon(words: list[bytes], source: str) -> bytes:
