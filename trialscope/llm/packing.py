@@ -9,7 +9,9 @@ longest length that fits goes in (best fit). A pattern is used as often as the c
 from __future__ import annotations
 
 import hashlib
+import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,9 +19,8 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
 
-from .bpe import Encoder
+from .bpe import MERGED, Encoder, Words, byte_letters
 from .common import stored, worker_store
 
 SIZE = 4096
@@ -126,12 +127,25 @@ def slots(patterns: list[tuple[list[tuple[int, int]], int]]) -> np.ndarray:
 
 
 def _encoder(source: str) -> Encoder:
+    """The tokenizers library's splitter and model, asked once for each word that is not remembered."""
     store = worker_store("pack-" + hashlib.sha256(source.encode()).hexdigest())
     if not store:
-        tokenizer = Tokenizer.from_str(source)
-        tokenizer.no_truncation()
-        tokenizer.no_padding()
-        store["encoder"] = Encoder(lambda c: np.array(tokenizer.encode(c, add_special_tokens=False).ids, dtype="<u4").tobytes())
+        split, letters, known = Words(source), byte_letters(), {}
+        model = split.tokenizer.model
+
+        def word_ids(word: bytes | int) -> bytes:
+            if isinstance(word, int):
+                return struct.pack("<I", word)
+            ids = known.get(word)
+            if ids is None:
+                if len(known) > MERGED:
+                    known.clear()
+                ids = array("I", [t.id for t in model.tokenize("".join([letters[b] for b in word]))]).tobytes()
+                if len(word) < 256:
+                    known[word] = ids
+            return ids
+
+        store["encoder"] = Encoder(lambda chunk: b"".join([word_ids(w) for w in split(chunk)]))
     return store["encoder"]
 
 
