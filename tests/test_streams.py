@@ -8,10 +8,13 @@ import shutil
 import pytest
 from pyspark.sql import functions as F
 
+from __spark_entry__ import queries
 from trialscope.fixtures import view
 from trialscope.operators import logs, sessions
 from trialscope.streaming import jobs
-from trialscope.streaming.io import stream_table, upsert
+from trialscope.streaming.io import append, late_rows, stream_table, upsert
+
+QUERIES = queries()
 
 
 @pytest.fixture(scope="module")
@@ -49,7 +52,7 @@ def test_counters_over_batches(spark, split_dir, sf_dir):
 
 
 def test_resource_state_over_batches(spark, split_dir, sf_dir):
-    got = jobs.resource_state(live(spark, split_dir, "metrics"), "t-resources")
+    got = jobs.resource_state(append(jobs.resource_samples(live(spark, split_dir, "metrics")), "t-resources"))
     metrics = view(spark, sf_dir, "metrics")
     want = sessions.smoothed_cpu(metrics).join(sessions.peaks(metrics), "session_id")
     rounded = [F.round("average_cpu", 9).alias("c"), F.round("smoothed", 9).alias("c")]
@@ -72,7 +75,7 @@ def counter(times):
     """The counter rule, request by request."""
     reset, count, limited, resets = float("-inf"), 0, 0, 0
     for t in times:
-        if t - reset > jobs.RATE_SECONDS:
+        if t - reset > jobs.RATE_MICROS:
             reset, count, resets = t, 0, resets + 1
         if count >= jobs.RATE_LIMIT:
             limited += 1
@@ -80,27 +83,84 @@ def counter(times):
     return count, limited, resets
 
 
-def test_rate_counter_over_batches(spark, split_dir, monkeypatch):
-    stream = jobs.event_time(live(spark, split_dir, "provider_health"), "10 minutes")
-    # A fast clock, so that the limit of 60 in a minute is met.
-    fast = stream.withColumn("ts", F.timestamp_micros((F.unix_micros("ts") / 20000).cast("bigint")))
-    got = {r["provider"]: (r["in_window"], r["limited"], r["resets"]) for r in upsert(jobs.rate_counters(fast), "t-rates", "provider").collect()}
-    rows = view(spark, split_dir, "provider_health").select("provider", (F.unix_micros(F.col("ts").cast("timestamp")) / 20000).cast("bigint").alias("t")).collect()
-    for provider in {r["provider"] for r in rows}:
-        times = sorted(r["t"] / 1e6 for r in rows if r["provider"] == provider)
-        assert got[provider] == counter(times)
-    assert any(limited for _, limited, _ in got.values())
+@pytest.mark.parametrize("faster", [1, 2000, 20000, 2000000])
+def test_rate_counter_over_segments(spark, split_dir, faster):
+    """A clock of any speed: many restarts in a segment, or many segments in one minute."""
+    requests = append(jobs.rate_requests(live(spark, split_dir, "provider_health")), "t-rates")
+    fast = requests.withColumn("at", (F.col("at") / faster).cast("bigint"))
+    got = {r["provider"]: (r["in_window"], r["limited"], r["resets"]) for r in jobs.rate_counters(fast).collect()}
+    rows = fast.collect()
+    assert got == {p: counter(sorted(r["at"] for r in rows if r["provider"] == p)) for p in {r["provider"] for r in rows}}
 
 
 def test_file_changes_over_batches(spark, tmp_path):
+    """Snapshots that arrive in pieces are compared whole."""
     folder = tmp_path / "snap.parquet"
     folder.mkdir()
-    for i, rows in enumerate([[("a", 1), ("b", 1)], [("a", 2)]]):
-        spark.createDataFrame(rows, "path string, mtime int").coalesce(1).write.parquet(str(tmp_path / f"s{i}"))
+    pieces = [[(1, "z", 1)], [(2, "a", 1)], [(3, "a", 2), (2, "b", 1)]]
+    for i, rows in enumerate(pieces):
+        spark.createDataFrame(rows, "snapshot int, path string, mtime int").coalesce(1).write.parquet(str(tmp_path / f"s{i}"))
         (file,) = (tmp_path / f"s{i}").glob("*.parquet")
         copied = shutil.copy(file, folder / f"{i}.parquet")
         os.utime(copied, (1_700_000_000 + i, 1_700_000_000 + i))
-    before = spark.createDataFrame([("z", 1)], "path string, mtime int")
     stream = stream_table(spark, str(tmp_path), "snap", files_per_trigger=1)
-    got = jobs.file_changes(stream, before, "t-changes")
+    got = jobs.file_changes(append(jobs.snapshot_rows(stream), "t-changes"))
     assert as_set(got, "path", "change") == {("a", "created"), ("b", "created"), ("z", "deleted"), ("a", "modified"), ("b", "deleted")}
+
+
+@pytest.fixture(scope="module")
+def shuffled_dir(spark, sf_dir, tmp_path_factory):
+    """All tables, with events and part as 130 files of rows in no order: three batches."""
+    root = tmp_path_factory.mktemp("shuffled")
+    for file in os.listdir(sf_dir):
+        if file not in ("events.parquet", "part.parquet"):
+            (root / file).symlink_to(os.path.join(sf_dir, file))
+    for name in ("events", "part"):
+        table = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        table.repartition(130, F.xxhash64(table.columns[0])).write.parquet(str(root / f"{name}.parquet"))
+    return str(root)
+
+
+CUT = ["st1", "st2", "st3", "st4", "st5", "st8", "st9", "st10", "st11", "st12", "st13"]
+
+
+@pytest.mark.parametrize("prefix", CUT)
+def test_result_does_not_hang_on_files_and_batches(spark, sf_dir, shuffled_dir, prefix):
+    (name,) = [n for n in QUERIES if n.startswith(prefix + "_")]
+    one, many = (sorted(map(tuple, QUERIES[name](spark, d).collect()), key=repr) for d in (sf_dir, shuffled_dir))
+    assert many == one
+
+
+def test_a_job_goes_on_where_it_stopped(spark, split_dir, tmp_path):
+    """Stopped after the first files, started again with the same folders: the same rows."""
+    folder = tmp_path / "events.parquet"
+    folder.mkdir()
+    where = {"target": str(tmp_path / "out"), "checkpoint": str(tmp_path / "progress")}
+    files = sorted(os.listdir(f"{split_dir}/events.parquet"))
+
+    def run():
+        events = stream_table(spark, str(tmp_path), "events", files_per_trigger=1)
+        events = events.withColumn("session_id", F.col("user_id").cast("string"))
+        return jobs.session_lifecycle(events, "t-life", **where)
+
+    for part in (files[:2], files[2:]):
+        for file in part:
+            shutil.copy(f"{split_dir}/events.parquet/{file}", folder / file)
+        got = run()
+    whole = stream_table(spark, split_dir, "events").withColumn("session_id", F.col("user_id").cast("string"))
+    want = jobs.session_lifecycle(whole, "t-life")
+    columns = ["session_id", "started", "ended", "events", "status"]
+    assert as_set(got, *columns) == as_set(want, *columns)
+    assert late_rows(spark, where["target"]) == 0
+
+
+def test_rows_behind_a_delay_are_counted(spark, split_dir, tmp_path):
+    files = sorted(os.listdir(f"{split_dir}/events.parquet"), reverse=True)  # newest first
+    folder = tmp_path / "events.parquet"
+    folder.mkdir()
+    for i, file in enumerate(files):
+        copied = shutil.copy(f"{split_dir}/events.parquet/{file}", folder / f"{i}.parquet")
+        os.utime(copied, (1_700_000_000 + i, 1_700_000_000 + i))
+    events = stream_table(spark, str(tmp_path), "events", files_per_trigger=1).withColumn("session_id", F.col("user_id").cast("string"))
+    upsert(jobs.minute_snapshots(events, "10 minutes"), "t-late", "session_id", "minute", target=str(tmp_path / "out"))
+    assert late_rows(spark, str(tmp_path / "out")) > 0

@@ -37,7 +37,7 @@ def _(spark, sf):
     "select session_id, round(sum(cpu_percent * 0.1::double * pow(0.9::double, age)), 6) as average_cpu, max(cpu_percent) as peak_cpu, max(memory_mb) as peak_memory_mb from o group by session_id",
 ))
 def _(spark, sf):
-    state = jobs.resource_state(live(spark, sf, "metrics"), "resources")
+    state = jobs.resource_state(append(jobs.resource_samples(live(spark, sf, "metrics")), "resources"))
     return state.withColumn("average_cpu", F.round("average_cpu", 6))
 
 
@@ -53,24 +53,22 @@ RATES = """with recursive q as (select provider, epoch_us(ts) as t from provider
 
 @query("st3_rate_counters", oracle("provider_health", RATES).replace("with provider_health", "with recursive provider_health", 1).replace("recursive q as", "q as"))
 def _(spark, sf):
-    # The counter needs a provider's requests of a batch in order, in one task: one input
-    # file per batch keeps that to the narrow rows of one file.
-    events = stream_table(spark, sf, "events", files_per_trigger=1)
-    requests = jobs.event_time(view(spark, sf, "provider_health", {"events": events}), "10 minutes")
-    return upsert(jobs.rate_counters(requests), "rates", "provider")
+    return jobs.rate_counters(append(jobs.rate_requests(live(spark, sf, "provider_health")), "rates"))
 
 
 LIFECYCLE = """with e as (select concat('s', cast(user_id as varchar)) as session_id, ts, event_id, event_type, lag(ts) over (partition by user_id order by ts, event_id) as before from events),
  g as (select *, sum(case when before is null or ts - before >= interval 6 hour then 1 else 0 end) over (partition by session_id order by ts, event_id) as run from e),
- r as (select session_id, run, min(ts) as started, max(ts) + interval 6 hour as ended, count(*) as events, arg_max(event_type, epoch_us(ts)) as last_type from g group by 1, 2)
- select session_id, strftime(started, '%Y-%m-%d %H:%M:%S') as started, strftime(ended, '%Y-%m-%d %H:%M:%S') as ended, events, case when last_type = 'error' then 'failed' else 'completed' end as status
- from r where ended <= (select max(ts) - interval 1 hour from events)"""
+ r as (select session_id, run, min(ts) as started, max(ts) + interval 6 hour as ended, count(*) as events, last(event_type order by ts, event_id) as last_type from g group by 1, 2),
+ c as (select max(ts) as clock from events)
+ select session_id, strftime(started, '%Y-%m-%d %H:%M:%S') as started, strftime(ended, '%Y-%m-%d %H:%M:%S') as ended, events,
+  case when ended > clock and events = 1 then 'initializing' when ended > clock then 'running' when ended + interval 1 hour > clock then 'analyzing'
+    when last_type = 'error' then 'failed' when last_type = 'signup' then 'interrupted' else 'completed' end as status from r, c"""
 
 
 @query("st4_session_lifecycle", LIFECYCLE)
 def _(spark, sf):
     events = stream_table(spark, sf, "events").withColumn("session_id", F.concat(F.lit("s"), F.col("user_id").cast("string")))
-    runs = append(jobs.session_lifecycle(events), "lifecycle")
+    runs = jobs.session_lifecycle(events, "lifecycle")
     return runs.withColumn("started", stamp("started")).withColumn("ended", stamp("ended"))
 
 
@@ -171,9 +169,8 @@ def _(spark, sf):
     ),
 )
 def _(spark, sf):
-    current = live(spark, sf, "file_snapshots", "part").filter("snap = 'cur'")
-    previous = view(spark, sf, "file_snapshots").filter("snap = 'prev'").select("path", "mtime")
-    return jobs.file_changes(current, previous, "changes")
+    listed = live(spark, sf, "file_snapshots", "part").withColumn("snapshot", F.when(F.col("snap") == "prev", 1).otherwise(2))
+    return jobs.file_changes(append(jobs.snapshot_rows(listed), "changes")).drop("snapshot")
 
 
 @query(

@@ -25,49 +25,77 @@ def stream_table(spark: SparkSession, sf_dir: str, name: str, files_per_trigger:
     return reader.option("pathGlobFilter", file).parquet(root)
 
 
-def append(stream: DataFrame, label: str) -> DataFrame:
-    """Run over all available input, appending to a table; return the table."""
-    spark, path = stream.sparkSession, work_path(stream.sparkSession, label)
-    query = (
-        stream.writeStream.format("parquet")
-        .option("checkpointLocation", f"{path}-progress")
-        .trigger(availableNow=True)
-        .start(path)
-    )
-    query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(path)
+def _start(writer, path: str, checkpoint: str | None, trigger: dict | None):
+    """Start ``writer``; what it has done is remembered in ``checkpoint`` (default: beside ``path``)."""
+    return writer.option("checkpointLocation", checkpoint or f"{path}-progress").trigger(**(trigger or {"availableNow": True}))
+
 
+def append(
+    stream: DataFrame, label: str, target: str | None = None, checkpoint: str | None = None, trigger: dict | None = None
+) -> DataFrame:
+    """Append all available input to a table; return the table.
 
-def each_batch(stream: DataFrame, label: str, write: Callable[[DataFrame, int, str], None], mode: str = "update") -> str:
+    With ``target`` (and ``checkpoint``) of an earlier run the job goes on where that stopped. ``trigger``
+    holds the arguments of the stream's trigger, by default one run over what there is.
+    """
+    path = target or work_path(stream.sparkSession, label)
+    _start(stream.writeStream.format("parquet"), path, checkpoint, trigger).start(path).awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(path)
+
+
+def each_batch(
+    stream: DataFrame,
+    label: str,
+    write: Callable[[DataFrame, int, str], None],
+    mode: str = "update",
+    target: str | None = None,
+    checkpoint: str | None = None,
+    trigger: dict | None = None,
+) -> str:
     """Run over all available input with ``write(batch, batch_id, path)``; return the path.
 
-    ``write`` must give the same result when a batch is repeated after a failure.
+    ``write`` must give the same result when a batch is repeated after a failure. ``target``,
+    ``checkpoint`` and ``trigger`` as in ``append``. Rows that came behind the watermark of a job with a
+    delay are counted in the table ``late`` below the path.
     """
-    path = work_path(stream.sparkSession, label)
-    query = (
-        stream.writeStream.outputMode(mode)
-        .foreachBatch(lambda batch, batch_id: write(batch, batch_id, path))
-        .option("checkpointLocation", f"{path}-progress")
-        .trigger(availableNow=True)
-        .start()
-    )
+    path = target or work_path(stream.sparkSession, label)
+    writer = stream.writeStream.outputMode(mode).foreachBatch(lambda batch, batch_id: write(batch, batch_id, path))
+    query = _start(writer, path, checkpoint, trigger).start()
     query.awaitTermination()
+    late = sum(s["numRowsDroppedByWatermark"] for p in query.recentProgress for s in p["stateOperators"])
+    stream.sparkSession.createDataFrame([(late,)], "rows long").write.mode("append").parquet(f"{path}/late")
     return path
 
 
+def late_rows(spark: SparkSession, path: str) -> int:
+    """Rows that the runs into ``path`` left out as late; none for jobs without a delay."""
+    return spark.read.schema("rows long").parquet(f"{path}/late").agg(F.sum("rows")).first()[0]
+
+
 def batch_folder(path: str, batch_id: int) -> str:
     return f"{path}/batch={batch_id}"
 
 
-def upsert(stream: DataFrame, label: str, *keys: str, mode: str = "update") -> DataFrame:
-    """Run an aggregation, keep every changed row with its batch, return the last row per key."""
+def batches(spark: SparkSession, path: str, schema) -> DataFrame:
+    """All rows below ``path`` with the ``batch`` that wrote them; none if no batch ran."""
+    return (
+        spark.read.schema(schema)
+        .option("recursiveFileLookup", "true")
+        .parquet(path)
+        .withColumn("batch", F.regexp_extract(F.col("_metadata.file_path"), r"/batch=(\d+)/", 1).cast("bigint"))
+    )
+
+
+def upsert(stream: DataFrame, label: str, *keys: str, mode: str = "update", **where) -> DataFrame:
+    """Run an aggregation, keep every changed row with its batch, return the last row per key.
+
+    ``where``: ``target``, ``checkpoint`` and ``trigger`` as in ``append``.
+    """
 
     def write(batch: DataFrame, batch_id: int, path: str) -> None:
-        batch.write.mode("overwrite").parquet(batch_folder(path, batch_id))
+        batch.write.mode("overwrite").parquet(batch_folder(f"{path}/changes", batch_id))
 
-    path = each_batch(stream, label, write, mode)
-    spark = stream.sparkSession
-    changes = spark.read.schema(stream.schema).option("basePath", path).parquet(f"{path}/batch=*")
-    changes = changes.withColumn("batch", F.regexp_extract(F.col("_metadata.file_path"), r"batch=(\d+)", 1).cast("bigint"))
+    path = each_batch(stream, label, write, mode, **where)
+    changes = batches(stream.sparkSession, f"{path}/changes", stream.schema)
     last = changes.groupBy(*keys).agg(F.max_by(F.struct(*stream.columns), "batch").alias("row"))
     return last.select("row.*")

@@ -1,27 +1,30 @@
 """The live operations as Structured Streaming jobs.
 
-Each function takes a streaming DataFrame and gives a streaming DataFrame; the batch
-operators are reused unchanged. Jobs that need the whole batch at once run in
-``foreachBatch`` and keep their state as a table, one version per batch.
+Each function takes a streaming DataFrame and gives a streaming DataFrame, or folds the table that one
+has written; the batch operators are reused unchanged. No result hangs on how the input is cut into
+files and batches: aggregations without a ``delay`` keep one state row per key and drop nothing, and
+order-dependent folds (smoothing, restarts, activity runs) are made over appended rows in time order.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions import text as T
-from ..functions.ordered import segments_of, smoothed_segments
-from ..operators import code, findings, interactions, logs, projects
-from .io import batch_folder, each_batch
+from ..operators import code, findings, interactions, logs, sessions
+from .io import batch_folder, batches, each_batch
 
 
-def event_time(stream: DataFrame, delay: str, column: str = "ts") -> DataFrame:
-    return stream.withColumn(column, F.col(column).cast("timestamp")).withWatermark(column, delay)
+def event_time(stream: DataFrame, delay: str | None = None, column: str = "ts") -> DataFrame:
+    """``column`` as a timestamp. With ``delay`` state older than that is given up and rows behind it are
+    late (``io.late_rows`` counts them); without, as for a backfill, nothing is ever late."""
+    timed = stream.withColumn(column, F.col(column).cast("timestamp"))
+    return timed.withWatermark(column, delay) if delay else timed
 
 
 # -- logs ------------------------------------------------------------------------
@@ -43,14 +46,27 @@ def session_counters(lines: DataFrame) -> DataFrame:
     )
 
 
-def crash_file_findings(lines: DataFrame, label: str) -> DataFrame:
-    """Findings of crash files; a file arrives whole, so its traces are grouped in its batch."""
+def crash_file_findings(lines: DataFrame, label: str, **where) -> DataFrame:
+    """Findings of crash files. A batch brings any lines of any files: the files it touches are read again
+    from all lines so far, so a trace that batches cut is put together, and a file's last reading counts.
+    """
+    kept = "file STRING, line_number BIGINT, raw_line STRING"
 
     def write(batch: DataFrame, batch_id: int, path: str) -> None:
-        findings.crash_log_findings(batch).write.mode("overwrite").parquet(batch_folder(path, batch_id))
-
-    path = each_batch(lines, label, write, "append")
-    return lines.sparkSession.read.parquet(f"{path}/batch=*")
+        batch.select("file", "line_number", "raw_line").write.mode("overwrite").parquet(batch_folder(f"{path}/lines", batch_id))
+        so_far = batches(batch.sparkSession, f"{path}/lines", kept)
+        touched = so_far.filter(F.col("batch") == batch_id).select("file").distinct()
+        found = findings.crash_log_findings(so_far.drop("batch").join(touched, "file", "left_semi"))
+        # A touched file without findings leaves a row too: it replaces what an earlier batch found.
+        found = touched.join(found, "file", "left")
+        found.write.mode("overwrite").parquet(batch_folder(f"{path}/findings", batch_id))
+
+    path = each_batch(lines, label, write, "append", **where)
+    spark = lines.sparkSession
+    schema = findings.crash_log_findings(spark.createDataFrame([], kept)).schema
+    found = batches(spark, f"{path}/findings", schema)
+    last = found.groupBy("file").agg(F.max("batch").alias("batch"))
+    return found.join(last, ["file", "batch"]).filter("crash_line is not null").drop("batch")
 
 
 # -- replies and code ------------------------------------------------------------
@@ -98,91 +114,168 @@ def new_code_files(files: DataFrame, delay: str = "1 day") -> DataFrame:
 # -- resources, rates, health ----------------------------------------------------
 
 
-def resource_state(metrics: DataFrame, label: str) -> DataFrame:
-    """Smoothed CPU and peaks per session.
+def resource_samples(metrics: DataFrame) -> DataFrame:
+    """What the smoothed figures need of every sample."""
+    return metrics.select("session_id", "ts", "event_id", "cpu_percent", "memory_mb")
 
-    A batch folds to one affine step per session wherever its rows lie; the step is then
-    applied to the state the previous batch left.
-    """
 
-    def write(batch: DataFrame, batch_id: int, path: str) -> None:
-        spark = batch.sparkSession
-        steps = smoothed_segments(segments_of(batch, ["session_id"], ["ts", "event_id"], "cpu_percent", 0.9, 0.1), ["session_id"])
-        peaks = batch.groupBy("session_id").agg(F.max("cpu_percent").alias("peak"), F.max("memory_mb").alias("memory"))
-        news = steps.join(peaks, "session_id")
-        schema = "session_id STRING, average_cpu DOUBLE, peak_cpu DOUBLE, peak_memory_mb DOUBLE"
-        old = spark.read.schema(schema).parquet(batch_folder(path, batch_id - 1)) if batch_id else spark.createDataFrame([], schema)
-        state = old.join(news, "session_id", "full_outer").select(
-            "session_id",
-            F.when(F.col("survives").isNull(), F.col("average_cpu"))
-            .otherwise(F.coalesce("average_cpu", F.lit(0.0)) * F.col("survives") + F.col("adds"))
-            .alias("average_cpu"),
-            F.greatest("peak_cpu", "peak").alias("peak_cpu"),
-            F.greatest("peak_memory_mb", "memory").alias("peak_memory_mb"),
-        )
-        state.write.mode("overwrite").parquet(batch_folder(path, batch_id))
+def resource_state(samples: DataFrame) -> DataFrame:
+    """Smoothed CPU and peaks per session, over appended samples.
 
-    seen: list[int] = []
+    A late sample changes all later averages, so samples are put in time order here and not in their
+    batches; the fold is spread over tasks by ranges of (session, time).
+    """
+    smooth = sessions.smoothed_cpu(samples).withColumnRenamed("smoothed", "average_cpu")
+    return smooth.join(sessions.peaks(samples).drop("samples"), "session_id")
 
-    def remember(batch: DataFrame, batch_id: int, path: str) -> None:
-        write(batch, batch_id, path)
-        seen.append(batch_id)
 
-    path = each_batch(metrics, label, remember, "append")
-    return metrics.sparkSession.read.parquet(batch_folder(path, seen[-1]))
+RATE_LIMIT, RATE_MICROS = 60, 60_000_000
 
 
-RATE_LIMIT, RATE_SECONDS = 60, 60.0
+def rate_requests(requests: DataFrame) -> DataFrame:
+    """Provider and time of every request."""
+    return requests.select("provider", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
 
 
-def _count_requests(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """A counter that restarts with the first request more than a minute after the last restart."""
-    reset, count, limited, resets = state.get if state.exists else (float("-inf"), 0, 0, 0)
-    times = pd.concat([batch["at"] for batch in batches]).sort_values().to_numpy()
-    at = 0
-    while at < len(times):
-        if times[at] - reset > RATE_SECONDS:
-            reset, count, resets = float(times[at]), 0, resets + 1
-        # Everything up to the next restart counts towards this one.
-        end = int(times.searchsorted(reset + RATE_SECONDS, side="right"))
-        fresh = end - at
-        limited += max(0, count + fresh - max(count, RATE_LIMIT))
-        count, at = count + fresh, end
-    state.update((reset, count, limited, resets))
-    yield pd.DataFrame({"provider": [key[0]], "in_window": [count], "limited": [limited], "resets": [resets]})
+def _rate_segments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """One row per provider and task: what its requests do to a counter, for every place a restart can fall.
+
+    A counter that comes in restarts with the first request after its minute, which is one of the first
+    minute of the segment or the next one. For each such request: restarts and requests over the limit
+    from it on, and the last restart with its requests.
+    """
+    held: list[pd.DataFrame] = []
+
+    def fold() -> pd.DataFrame:
+        rows = pd.concat(held)
+        times = rows["at"].to_numpy()
+        n = len(times)
+        following = np.searchsorted(times, times + RATE_MICROS, side="right")
+        restarts, limited, last = np.ones(n, np.int64), np.zeros(n, np.int64), np.arange(n)
+        for i in range(n - 1, -1, -1):
+            k = following[i]
+            if k < n:
+                restarts[i], last[i] = 1 + restarts[k], last[k]
+                limited[i] = max(0, k - i - RATE_LIMIT) + limited[k]
+        entries = min(int(np.searchsorted(times, times[0] + RATE_MICROS, side="right")) + 1, n)
+        own = last[:entries]
+        table = (times[:entries], restarts[:entries], limited[:entries], times[own], n - own)
+        return pd.DataFrame(
+            {"provider": [rows["provider"].iloc[0]], "task": [int(rows["task"].iloc[0])], "requests": [n], "last_at": [int(times[-1])],
+             "entries": [np.stack(table).astype("<i8").tobytes()]}
+        )
+
+    for batch in batches:
+        for _, run in batch.groupby((batch["provider"] != batch["provider"].shift()).cumsum(), sort=False):
+            if held and held[-1]["provider"].iloc[0] != run["provider"].iloc[0]:
+                yield fold()
+                held = []
+            held.append(run)
+    if held:
+        yield fold()
+
+
+def _rate_chain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Segments of each provider in order: one counter (restart time, requests since) goes through them."""
+    provider, reset, count, limited, resets = None, None, 0, 0, 0
+
+    def out() -> pd.DataFrame:
+        over = limited + max(0, count - RATE_LIMIT)
+        return pd.DataFrame({"provider": [provider], "in_window": [count], "limited": [over], "resets": [resets]})
+
+    for batch in batches:
+        for row in batch.itertuples():
+            if row.provider != provider:
+                if provider is not None:
+                    yield out()
+                provider, reset, count, limited, resets = row.provider, None, 0, 0, 0
+            times, restarts, over, last, after = np.frombuffer(row.entries, dtype="<i8").reshape(5, -1)
+            if reset is not None and row.last_at <= reset + RATE_MICROS:
+                count += row.requests
+                continue
+            at = 0 if reset is None else int(np.searchsorted(times, reset + RATE_MICROS, side="right"))
+            limited += max(0, count + at - RATE_LIMIT) + int(over[at])
+            resets += int(restarts[at])
+            reset, count = int(last[at]), int(after[at])
+    if provider is not None:
+        yield out()
 
 
 def rate_counters(requests: DataFrame) -> DataFrame:
-    """Requests in the current window, requests over the limit and restarts per provider.
+    """Requests in the current window, requests over the limit and restarts per provider, over appended requests.
 
-    Only the two narrow columns reach the state function. The rule is a chain (each restart
-    depends on the one before), so a provider's requests of one batch are walked in order:
-    run it with a small file limit per trigger, which bounds what a batch can bring.
+    The rule is a chain: a counter restarts with the first request more than a minute after the last
+    restart. Requests are range-partitioned by (provider, time); a task says for each possible
+    restart in its first minute where the chain goes, and the counter then takes one lookup per segment.
     """
-    narrow = requests.select("provider", (F.unix_micros("ts") / 1e6).alias("at"))
-    return narrow.groupBy("provider").applyInPandasWithState(
-        _count_requests,
-        "provider STRING, in_window BIGINT, limited BIGINT, resets BIGINT",
-        "reset DOUBLE, count BIGINT, limited BIGINT, resets BIGINT",
-        "update",
-        GroupStateTimeout.NoTimeout,
+    ranged = requests.repartitionByRange("provider", "at").sortWithinPartitions("provider", "at")
+    ranged = ranged.select("provider", "at", F.spark_partition_id().alias("task"))
+    segments = ranged.mapInPandas(_rate_segments, "provider STRING, task INT, requests BIGINT, last_at BIGINT, entries BINARY")
+    return (
+        segments.repartition("provider")
+        .sortWithinPartitions("provider", "task")
+        .mapInPandas(_rate_chain, "provider STRING, in_window BIGINT, limited BIGINT, resets BIGINT")
     )
 
 
-def session_lifecycle(events: DataFrame, gap: str = "6 hours", delay: str = "1 hour") -> DataFrame:
-    """Activity runs per session: a run ends after ``gap`` without events.
+_RUN = "session_id STRING, first TIMESTAMP, last TIMESTAMP, events BIGINT, last_id BIGINT, last_type STRING"
+
+
+def _activity_runs(rows: DataFrame, gap: str, *within: str) -> DataFrame:
+    """Rows (session_id, first, last, events, last_id, last_type) less than ``gap`` apart put together.
 
-    A closed run is ``failed`` when its last event was an error, else ``completed``.
+    With ``within`` only inside these columns: a first step that leaves few rows of a busy session.
     """
-    timed = event_time(events, delay)
-    runs = timed.groupBy("session_id", F.session_window("ts", gap).alias("run")).agg(
-        F.count("*").alias("events"), F.max_by("event_type", F.struct("ts", "event_id")).alias("last_type")
+    ordered = Window.partitionBy("session_id", *within).orderBy("first", "last")
+    before = F.max("last").over(ordered.rowsBetween(Window.unboundedPreceding, -1))
+    opens = F.coalesce(F.col("first") >= F.col("before") + F.expr(f"interval {gap}"), F.lit(True))
+    numbered = rows.withColumn("before", before).withColumn("run", F.sum(opens.cast("int")).over(ordered))
+    return (
+        numbered.groupBy("session_id", *within, "run")
+        .agg(
+            F.min("first").alias("first"), F.max("last").alias("last"), F.sum("events").alias("events"),
+            F.max(F.struct("last", "last_id", "last_type")).alias("end"),
+        )
+        .select("session_id", "first", "last", "events", "end.last_id", "end.last_type")
+    )
+
+
+def session_lifecycle(events: DataFrame, label: str, gap: str = "6 hours", analysis: str = "1 hour", **where) -> DataFrame:
+    """Activity runs per session with their state, open ones included: a run ends after ``gap`` without events.
+
+    Batches append the runs of their own events; runs of any batches that touch are one run, so the order
+    of arrival does not matter. The clock is the newest event. An open run is ``initializing`` with
+    its first event, then ``running``; a run that ended within ``analysis`` before the clock is
+    ``analyzing``; after that it is ``failed`` if its last event was an error, ``interrupted`` if it was a
+    signup that nothing followed, else ``completed``.
+    """
+
+    def write(batch: DataFrame, batch_id: int, path: str) -> None:
+        single = batch.select(
+            "session_id", F.col("ts").cast("timestamp").alias("first"), F.col("ts").cast("timestamp").alias("last"),
+            F.lit(1).cast("bigint").alias("events"), F.col("event_id").alias("last_id"), F.col("event_type").alias("last_type"),
+        )
+        by_day = _activity_runs(single.withColumn("day", F.to_date("first")), gap, "day")
+        by_day.write.mode("overwrite").parquet(batch_folder(f"{path}/runs", batch_id))
+
+    path = each_batch(events, label, write, "append", **where)
+    runs = _activity_runs(batches(events.sparkSession, f"{path}/runs", _RUN).drop("batch"), gap)
+    clock = runs.agg(F.max("last").alias("clock"))
+    ended = F.col("last") + F.expr(f"interval {gap}")
+    status = (
+        F.when((ended > F.col("clock")) & (F.col("events") == 1), "initializing")
+        .when(ended > F.col("clock"), "running")
+        .when(ended + F.expr(f"interval {analysis}") > F.col("clock"), "analyzing")
+        .when(F.col("last_type") == "error", "failed")
+        .when(F.col("last_type") == "signup", "interrupted")
+        .otherwise("completed")
+    )
+    return runs.join(F.broadcast(clock)).select(
+        "session_id", F.col("first").alias("started"), ended.alias("ended"), "events", status.alias("status")
     )
-    status = F.when(F.col("last_type") == "error", "failed").otherwise("completed")
-    return runs.select("session_id", F.col("run.start").alias("started"), F.col("run.end").alias("ended"), "events", status.alias("status"))
 
 
-def minute_snapshots(events: DataFrame, delay: str = "10 minutes") -> DataFrame:
+def minute_snapshots(events: DataFrame, delay: str | None = None) -> DataFrame:
     """Per-minute activity and efficiency of every session."""
     timed = event_time(events, delay)
     return (
@@ -203,7 +296,7 @@ def minute_snapshots(events: DataFrame, delay: str = "10 minutes") -> DataFrame:
     )
 
 
-def sliding_day(events: DataFrame, delay: str = "1 hour") -> DataFrame:
+def sliding_day(events: DataFrame, delay: str | None = None) -> DataFrame:
     """Totals over the last 24 hours, every hour."""
     timed = event_time(events, delay)
     return (
@@ -227,7 +320,7 @@ def stale(latest: DataFrame, as_of: str, seconds: int = 300) -> DataFrame:
     return latest.withColumn("is_stale", age > seconds * 1_000_000)
 
 
-def error_alerts(requests: DataFrame, threshold: float = 0.1, delay: str = "10 minutes") -> DataFrame:
+def error_alerts(requests: DataFrame, threshold: float = 0.1, delay: str | None = None) -> DataFrame:
     """Error rate per provider and five minutes, with the alert flag."""
     timed = event_time(requests, delay)
     return (
@@ -240,14 +333,27 @@ def error_alerts(requests: DataFrame, threshold: float = 0.1, delay: str = "10 m
     )
 
 
-def file_changes(snapshots: DataFrame, previous: DataFrame, label: str) -> DataFrame:
-    """Changes of each arriving snapshot against the one before it."""
+def snapshot_rows(snapshots: DataFrame) -> DataFrame:
+    """The listed files of every snapshot; ``snapshot`` is its number."""
+    return snapshots.select("snapshot", "path", "mtime")
 
-    def write(batch: DataFrame, batch_id: int, path: str) -> None:
-        before = previous if batch_id == 0 else batch.sparkSession.read.parquet(f"{path}/seen/batch={batch_id - 1}")
-        batch.select("path", "mtime").write.mode("overwrite").parquet(f"{path}/seen/batch={batch_id}")
-        current = batch.sparkSession.read.parquet(f"{path}/seen/batch={batch_id}")
-        projects.snapshot_changes(before, current).write.mode("overwrite").parquet(batch_folder(f"{path}/changes", batch_id))
 
-    path = each_batch(snapshots, label, write, "append")
-    return snapshots.sparkSession.read.parquet(f"{path}/changes/batch=*")
+def file_changes(rows: DataFrame) -> DataFrame:
+    """Changes of each snapshot against the one before it, over appended rows.
+
+    A snapshot counts once all its rows are there, however many batches brought them: the fold is made
+    over the table, not over batches. The first snapshot is what the second is compared with.
+    """
+    numbers = rows.select("snapshot").distinct()
+    pairs = numbers.select("snapshot", F.lead("snapshot").over(Window.orderBy("snapshot")).alias("next")).filter("next is not null")
+    old = rows.join(F.broadcast(pairs), "snapshot").select(F.col("next").alias("snapshot"), "path", F.col("mtime").alias("old"))
+    new = rows.join(F.broadcast(pairs.select(F.col("next").alias("snapshot"))), "snapshot")
+    new = new.select("snapshot", "path", F.col("mtime").alias("new"))
+    change = (
+        F.when(F.col("old").isNull(), "created").when(F.col("new").isNull(), "deleted").when(F.col("old") != F.col("new"), "modified")
+    )
+    return (
+        old.join(new, ["snapshot", "path"], "full_outer")
+        .select("snapshot", "path", change.alias("change"), "old", "new")
+        .filter("change is not null")
+    )
