@@ -40,12 +40,12 @@ def test_smoothed_starts_from_a_value(spark):
     assert row["smoothed"] == 0.5 * (0.5 * 8.0 + 5.0) + 10.0
 
 
-@pytest.mark.parametrize("blocks", [1, 2, 7, 64])
-def test_running_total(spark, blocks):
+@pytest.mark.parametrize("parts", [1, 7])
+def test_running_total(spark, parts):
     rng = random.Random(3)
     rows = [(i * i, rng.choice([-1, 1, 2])) for i in range(500)]
-    df = spark.createDataFrame(rows, "at bigint, d bigint")
-    got = {r["at"]: r["running"] for r in ordered.running_total(df, "at", "d", blocks).collect()}
+    df = spark.createDataFrame(rows, "at bigint, d bigint").repartition(parts)
+    got = {r["at"]: r["running"] for r in ordered.running_total(df, "at", "d").collect()}
     total = 0
     for at, d in rows:
         total += d
@@ -56,6 +56,13 @@ def test_running_total_of_nothing(spark):
     assert ordered.running_total(spark.createDataFrame([], "at bigint, d bigint"), "at", "d").count() == 0
 
 
+def test_newest_of_a_hot_key(spark):
+    rows = [("hot", i) for i in range(3000)] + [("cold", 1), ("cold", 2)]
+    df = spark.createDataFrame(rows, "k string, at bigint").repartition(9)
+    got = {(r["k"], r["at"], r["rank"]) for r in ordered.first_of_each(df, ["k"], [F.desc("at")], 1200).collect()}
+    assert got == {("hot", 2999 - i, i + 1) for i in range(1200)} | {("cold", 2, 1), ("cold", 1, 2)}
+
+
 @pytest.mark.parametrize("run", [1, 2, 3, 4096])
 def test_pairs_do_not_depend_on_the_cut(spark, monkeypatch, run):
     rng = random.Random(5)

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import gzip
 import json
+import time
 
 from pyspark.sql import functions as F
 
@@ -50,6 +51,54 @@ def test_junit(spark):
     ]
 
 
+def test_junit_at_any_depth(spark):
+    deep = "<testsuites>" + "".join(f'<t:testsuite name="s{i}&amp;" xmlns:t="u"><!-- <testcase name="no"/> --><testcase name="c{i}" note="a>b"/>' for i in range(6))
+    deep += '</t:testsuite>' * 3 + '<testcase name="last"><error message="m"><![CDATA[<x>]]></error></testcase><testsuite name="e"/>' + "</t:testsuite>" * 3 + "</testsuites>"
+    rows = structured.junit_cases(spark.createDataFrame([("f", deep)], "file string, content string")).collect()
+    assert sorted((r["name"], r["suite"]) for r in rows) == [*((f"c{i}", f"s{i}&") for i in range(6)), ("last", "s2&")]
+
+
+def test_csv_of_many_cells_is_linear(spark):
+    line = ",".join('"a, ""b"""' for _ in range(50_000))
+    df = spark.createDataFrame([(line,), (',"x,y",', ), ('"open, end',), ("",)], "line string")
+    start = time.time()
+    got = df.select(structured.cells(F.col("line"), F.lit(",")).alias("c")).collect()
+    assert time.time() - start < 10
+    assert got[0]["c"] == ['a, "b"'] * 50_000
+    assert [r["c"] for r in got[1:]] == [["", "x,y", ""], ['"open, end'], [""]]
+
+
+def test_folder_with_documents(spark, tmp_path):
+    """Every file gives a row: documents whole, broken ones an error."""
+    (tmp_path / "a.xml").write_text('<testsuites>\n<testsuite name="s">\n<testcase name="t"/>\n</testsuite></testsuites>\n')
+    (tmp_path / "b.xml").write_text('<coverage><x><package name="p"><classes><class name="C"/></classes></package></x></coverage>')
+    (tmp_path / "c.xml").write_text("<other><a/>\n</other>")
+    (tmp_path / "d.xml").write_text("<testsuite><oops\n")
+    (tmp_path / "e.log").write_text("<?xml version='1.0'?>\n<top/>")
+    (tmp_path / "f.json").write_text('[\n {"msg": "one"},\n {"msg": "two"}\n]\n')
+    (tmp_path / "g.json").write_text('{"msg": "x"}\n{bad\n')
+    (tmp_path / "h.jsonl").write_text('{"msg": "y"}\n')
+    (tmp_path / "i.log").write_text("plain\n")
+    got = {r["file"].rsplit("/", 1)[1]: (r["format"], r["parsed_entries"], r["errors"]) for r in log_analysis.file_totals(log_analysis.parse_folder(spark, str(tmp_path))).collect()}
+    assert got == {
+        "a.xml": ("xml", 1, 0), "b.xml": ("xml", 1, 0), "c.xml": ("xml", 1, 0), "d.xml": ("xml", 0, 1), "e.log": ("xml", 1, 0),
+        "f.json": ("json", 2, 0), "g.json": ("json", 1, 1), "h.jsonl": ("json", 1, 0), "i.log": ("text", 1, 0),
+    }
+
+
+def test_numbering_moves_no_text(spark, tmp_path):
+    (tmp_path / "a.log").write_text("".join(f"line {i}\n" for i in range(2000)))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
+    try:
+        lines = text.numbered_lines(spark, str(tmp_path))
+        assert sorted(tuple(r)[1:] for r in lines.collect()) == [(i + 1, f"line {i}") for i in range(2000)]
+        plan = lines._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert not any("hashpartitioning" in part and "raw_line" in part for part in plan.split("\n"))
+
+
 def test_coverage_lines(spark):
     doc = '<coverage><packages><package><classes><class name="C" line-rate="0.5"><lines><line number="3" hits="2" branch="true"/><line number="4"/></lines></class></classes></package></packages></coverage>'
     (row,) = structured.coverage_classes(spark.createDataFrame([("f", doc)], "file string, content string")).collect()

@@ -269,14 +269,6 @@ def _(spark, sf):
     return df.filter("language <> 'python'").select("doc_id", "language", *counts)
 
 
-@query("sc49_python_counts")
-def _(spark, sf):
-    df = code.with_python_facts(files(spark, sf), C).filter("language = 'python'")
-    counts = [value.alias(name) for name, value in code.python_counts(F.col("py")).items()]
-    smells = F.transform(code.python_smells(F.col(C), F.col("py")), lambda i: i["kind"])
-    return df.select("doc_id", F.col("py.parses").alias("parses"), *counts, T.joined(smells).alias("smells"))
-
-
 SCORES = (
     f"{SMELLS}, {SECURITY}, {PERFORMANCE}, {MAINTAIN}, {DEPTH}, "
     f"ex as (select doc_id, {S.rc(C, code.MALLOC)} > {S.rc(C, code.FREE)} as leaks, {decl('var')} > 0 as vars from b), "

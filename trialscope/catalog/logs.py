@@ -220,29 +220,6 @@ tool_query("sc14_model_call_events", "llm")
 tool_query("sc15_compilation_events", "compilation")
 tool_query("sc16_coverage_events", "coverage")
 
-ALL_TOOLS = " union all ".join(tool_sql(tool, "tool_lines", True) for tool in TOOL_SQL)
-
-
-@query("ud4_tool_parser_registry", oracle("tool_lines", ALL_TOOLS))
-def _(spark, sf):
-    return logs.dispatch_tools(view(spark, sf, "tool_lines"))
-
-
-@query(
-    "flt4_handled_event_kinds",
-    oracle(
-        "tool_lines",
-        f"with e as ({ALL_TOOLS}) select tool, kind, count(*) as events, count(distinct file) as files, max(percent) as best "
-        "from e where kind in ('crash_found','compilation_error','coverage_data','finding') group by tool, kind",
-    ),
-)
-def _(spark, sf):
-    events = logs.handled_events(logs.dispatch_tools(view(spark, sf, "tool_lines")))
-    return events.groupBy("tool", "kind").agg(
-        F.count("*").alias("events"), F.countDistinct("file").alias("files"), F.max("percent").alias("best")
-    )
-
-
 @query(
     "ag29_final_statistics",
     oracle(
@@ -312,6 +289,39 @@ def _(spark, sf):
     return logs.sanitizer_reports(view(spark, sf, "tool_lines"))
 
 
+# -- all tools -------------------------------------------------------------------
+
+TOOL_SQL["crash"] = [("crash_start", S.has(LOW, *logs.CRASH_START_TERMS), {})]
+NO_VALUES = ", ".join(f"cast(null as {t}) as {n}" for n, t in logs._EVENT_FIELDS.items())
+SANITIZED = (
+    f"select 'crash' as tool, file, line_number, 'sanitizer_report' as kind, {NO_VALUES} from ("
+    + TRACE.replace("from tool_lines", "from tool_lines where tool = 'crash'")
+    + f""" select file, line_number from s where not starts and {S.has('lower(l)', 'asan', 'msan')}
+      and not (open_at is not null and (starts_with(l, '#') or contains(l, '0x') or l = ''))) z"""
+)
+ALL_TOOLS = " union all ".join([*(tool_sql(tool, "tool_lines", True) for tool in TOOL_SQL), SANITIZED])
+
+
+@query("ud4_tool_parser_registry", oracle("tool_lines", ALL_TOOLS))
+def _(spark, sf):
+    return logs.dispatch_tools(view(spark, sf, "tool_lines"))
+
+
+@query(
+    "flt4_handled_event_kinds",
+    oracle(
+        "tool_lines",
+        f"with e as ({ALL_TOOLS}) select tool, kind, count(*) as events, count(distinct file) as files, max(percent) as best "
+        "from e where kind in ('crash_found','crash_start','compilation_error','coverage_data','finding') group by tool, kind",
+    ),
+)
+def _(spark, sf):
+    events = logs.handled_events(logs.dispatch_tools(view(spark, sf, "tool_lines")))
+    return events.groupBy("tool", "kind").agg(
+        F.count("*").alias("events"), F.countDistinct("file").alias("files"), F.max("percent").alias("best")
+    )
+
+
 # -- tails -----------------------------------------------------------------------
 
 

@@ -76,9 +76,9 @@ def _(spark, sf):
     "st5_session_counters",
     oracle(
         "tool_lines",
-        f"with e as ({ALL_TOOLS}) select file as session, count(case when kind = 'crash_found' then 1 end) as unique_crashes, count(case when kind = 'compilation_error' then 1 end) as failed_compilations, "
+        f"with e as ({ALL_TOOLS}) select file as session, count(case when kind in ('crash_found','crash_start') then 1 end) as unique_crashes, count(case when kind = 'compilation_error' then 1 end) as failed_compilations, "
         "count(case when kind = 'finding' then 1 end) as findings, max(case when kind = 'coverage_data' then percent end) as best_coverage from e "
-        "where kind in ('crash_found','compilation_error','coverage_data','finding') group by file",
+        "where kind in ('crash_found','crash_start','compilation_error','coverage_data','finding') group by file",
     ),
 )
 def _(spark, sf):

@@ -11,8 +11,6 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .session import spread
-
 BASE_TABLES = (
     "region nation customer supplier part orders lineitem events "
     "documents embeddings pages benchmark labels conversations"
@@ -124,7 +122,7 @@ where role = 'user' and next_role = 'assistant'
 # prose only, so the code checks of a reply need a reply with code in it.
 VIEWS["code_replies"] = """
 select concat('d', cast(doc_id as string)) as interaction_id, concat('s', cast(doc_id % 150 as string)) as session_id,
-  concat('write code about ', substring(text, 1, 60)) as prompt_text,
+  concat('write code about ', text) as prompt_text,
   concat(
     case doc_id % 10
       when 0 then concat('import json', chr(10), 'import torch', chr(10), 'def run(a):', chr(10), '    return total + len(a)', chr(10))
@@ -287,12 +285,8 @@ from @orders@
 _NAME = re.compile(r"@(\w+)@")
 
 
-TEXT_TABLES = ("documents", "conversations", "events", "pages")
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    return spread(df) if name in TEXT_TABLES else df
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def view(spark: SparkSession, sf_dir: str, name: str, streams: dict[str, DataFrame] | None = None) -> DataFrame:

@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import work_path
+
 
 def segments_of(df: DataFrame, keys: list[str], order: list[str], value: str, keep: float, add: float) -> DataFrame:
     """One affine step (``survives``, ``adds``) per key and task for ``s <- keep * s + add * value``."""
@@ -70,25 +72,47 @@ def smoothed(df: DataFrame, keys: list[str], order: list[str], value: str, keep:
     return steps.select(*keys, (F.col("survives") * start + F.col("adds")).alias("smoothed"))
 
 
-def running_total(df: DataFrame, order: str, delta: str, blocks: int = 256) -> DataFrame:
-    """``df`` with ``running``: the sum of ``delta`` up to each row, over the whole table.
+def running_total(df: DataFrame, order: str, delta: str) -> DataFrame:
+    """``df`` with ``running``: the sum of ``delta`` (whole numbers) up to each row, over the whole table.
 
-    ``order`` must be unique (fold ties first). The order is cut at approximate quantiles
-    into ``blocks``; a window runs inside a block and the block totals, at most ``blocks``
-    rows, are broadcast back as offsets.
+    ``order`` must be unique (fold ties first). Rows are range-partitioned by it, each task sums its own,
+    and the tasks' totals, one row each, are added as offsets. The summed rows are written to the
+    shared folder first: the ranges of two evaluations need not be the same.
     """
-    points = [i / blocks for i in range(1, blocks)]
-    cuts = df.agg(F.percentile_approx(F.col(order), points, 100 * blocks).alias("cuts")).first()["cuts"] or []
-    cuts = sorted(set(cuts))
-    block = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]) if cuts else F.array().cast("array<bigint>"), lambda c: c < F.col(order)))
-    blocked = df.withColumn("_block", block)
-    inside = Window.partitionBy("_block").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    before = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    totals = blocked.groupBy("_block").agg(F.sum(delta).alias("_t"))
-    offsets = totals.select("_block", F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_offset"))
+    ranged = df.repartitionByRange(order).sortWithinPartitions(order).withColumn("_task", F.spark_partition_id())
+
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = 0
+        for batch in batches:
+            batch["_inside"] = total + batch[delta].cumsum()
+            if len(batch):
+                total = int(batch["_inside"].iloc[-1])
+            yield batch
+
+    fields = ", ".join(f"`{n}` {t}" for n, t in ranged.dtypes)
+    path = work_path(df.sparkSession, "running")
+    inside = ranged.mapInPandas(add, f"{fields}, _inside bigint")
+    inside.write.parquet(path)
+    inside = df.sparkSession.read.schema(inside.schema).parquet(path)
+    before = Window.orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
+    totals = inside.groupBy("_task").agg(F.sum(delta).alias("_t"))
+    offsets = totals.select("_task", F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_offset"))
     return (
-        blocked.withColumn("_inside", F.sum(delta).over(inside))
-        .join(F.broadcast(offsets), "_block")
+        inside.join(F.broadcast(offsets), "_task")
         .withColumn("running", F.col("_inside") + F.col("_offset"))
-        .drop("_block", "_inside", "_offset")
+        .drop("_task", "_inside", "_offset")
     )
+
+
+def first_of_each(df: DataFrame, keys: list[str], order: list, most: int) -> DataFrame:
+    """``df`` with ``rank`` (from 1, in ``order``) of the first ``most`` rows of each key.
+
+    Rows are cut to ``most`` per input partition, then per 256th of these, then per key: a key that holds
+    most of the table is never in one task before it is cut.
+    """
+    rows = df.withColumn("_part", F.spark_partition_id())
+    for group in ([*keys, "_part"], [*keys, "_some"], keys):
+        rows = rows.withColumn("_some", F.col("_part") % 256)
+        rank = F.row_number().over(Window.partitionBy(*group).orderBy(*order))
+        rows = rows.withColumn("rank", rank).filter(F.col("rank") <= most)
+    return rows.drop("_part", "_some")

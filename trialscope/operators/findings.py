@@ -240,7 +240,7 @@ def remediation_plan(findings: DataFrame, *keys: str) -> DataFrame:
         F.least(priority, F.lit(10)).cast("int").alias("priority"),
         F.col("effort").alias("estimated_effort"),
         F.slice("remediation", 1, 2).alias("immediate_actions"),
-        F.slice("remediation", 3, 100).alias("long_term_solutions"),
+        F.expr("slice(remediation, 3, greatest(size(remediation) - 2, 0))").alias("long_term_solutions"),
         "verification_steps",
         F.col("immediate").alias("timeline_immediate"),
         F.col("complete").alias("timeline_complete"),

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.ordered import first_of_each
 
 # Patterns of the generic line parser.
 TIMESTAMP = r"(\d{4}-\d{2}-\d{2}[T\s]\d{2}:\d{2}:\d{2}(?:\.\d{3})?(?:Z|[+-]\d{2}:\d{2})?)"
@@ -60,9 +61,9 @@ TOOL_STATISTICS = (
     ("afl_stats", r"(?i)execs_done\s*:\s*(\d+)"),
     ("libfuzzer_stats", r"(?i)#(\d+)\s+INITED.*exec/s:\s*(\d+)"),
     ("honggfuzz_stats", r"(?i)Iterations:\s*(\d+).*Speed:\s*(\d+)"),
-    ("fuzz_test_output", r"(?i)Running fuzz test.*?(\w+)"),
+    ("cifuzz_output", r"(?i)Running fuzz test.*?(\w+)"),
     ("compilation_error", r"(?i)error:\s*(.+)"),
-    ("model_generation", r"(?i)(?:generating|generated).*?(?:fuzz|test|driver).*?(\w+)"),
+    ("llm_generation", r"(?i)(?:generating|generated).*?(?:fuzz|test|driver).*?(\w+)"),
 )
 
 
@@ -296,6 +297,11 @@ def coverage_events(line: Column) -> list[Column]:
     ]
 
 
+def crash_dump_events(line: Column) -> list[Column]:
+    """The start of each crash; what hangs on other lines is in ``TABLE_PARSERS``."""
+    return [event("crash_start", T.has(F.lower(line), *CRASH_START_TERMS))]
+
+
 # Tool name -> line parser. Callers may add entries.
 LINE_PARSERS: dict[str, Callable[[Column], list[Column]]] = {
     "afl": afl_events,
@@ -305,6 +311,7 @@ LINE_PARSERS: dict[str, Callable[[Column], list[Column]]] = {
     "llm": model_call_events,
     "compilation": compilation_events,
     "coverage": coverage_events,
+    "crash": crash_dump_events,
 }
 
 
@@ -315,7 +322,11 @@ def tool_events(df: DataFrame, tool: str) -> DataFrame:
 
 
 def dispatch_tools(df: DataFrame, parsers: dict[str, Callable[[Column], list[Column]]] | None = None) -> DataFrame:
-    """Every line through the parser its ``tool`` column names, in one scan."""
+    """Every line through the parser its ``tool`` column names, in one scan.
+
+    Events that hang on other lines of the file come from ``TABLE_PARSERS``; a stream has no whole
+    file, so there they are left to a run over the appended lines.
+    """
     line = F.col("raw_line")
     guarded = [
         F.when(F.col("tool") == tool, candidate)
@@ -323,10 +334,15 @@ def dispatch_tools(df: DataFrame, parsers: dict[str, Callable[[Column], list[Col
         for candidate in parser(line)
     ]
     stripped = df.withColumn("raw_line", T.strip(line))
-    return (
+    rows = (
         stripped.select("tool", "file", "line_number", F.explode(F.array_compact(F.array(*guarded))).alias("e"))
         .select("tool", "file", "line_number", "e.*")
     )
+    if not df.isStreaming:
+        for tool, (kind, parser) in (TABLE_PARSERS if parsers is None else {}).items():
+            found = parser(df.filter(F.col("tool") == tool)).select("file", "line_number", event(kind, F.lit(True)).alias("e"))
+            rows = rows.unionByName(found.select(F.lit(tool).alias("tool"), "file", "line_number", "e.*"))
+    return rows
 
 
 def final_statistics(df: DataFrame) -> DataFrame:
@@ -370,7 +386,7 @@ def crash_signal(line: Column) -> Column:
 
 
 def trace_state(df: DataFrame) -> DataFrame:
-    """Each line with ``open_at``: the start line of the crash still open before it.
+    """Each line that matters to crashes with ``open_at``: the start line of the crash still open before it.
 
     A start line opens a trace, a blank line closes it. The file is cut into runs of
     line numbers so that no window ever holds a whole long file: inside a run the last
@@ -378,7 +394,9 @@ def trace_state(df: DataFrame) -> DataFrame:
     """
     line = T.strip(F.col("raw_line"))
     starts = T.has(F.lower(line), *CRASH_START_TERMS)
-    base = df.select(
+    # Only what opens or closes a trace, stands in one or is a report itself goes any further.
+    counts = starts | (line == "") | line.startswith("#") | line.contains("0x") | T.has(F.lower(line), "asan", "msan")
+    base = df.filter(counts).select(
         "file",
         "line_number",
         line.alias("raw_line"),
@@ -448,9 +466,13 @@ def sanitizer_reports(df: DataFrame) -> DataFrame:
     )
 
 
+# Tool name -> kind and parser of whole line tables, for events that need more than their line.
+TABLE_PARSERS: dict[str, tuple[str, Callable[[DataFrame], DataFrame]]] = {"crash": ("sanitizer_report", sanitizer_reports)}
+
+
 # -- routing and tails -----------------------------------------------------------
 
-HANDLED_KINDS = ("crash_found", "compilation_error", "coverage_data", "finding")
+HANDLED_KINDS = ("crash_found", "crash_start", "compilation_error", "coverage_data", "finding")
 
 
 def handled_events(events: DataFrame) -> DataFrame:
@@ -460,8 +482,7 @@ def handled_events(events: DataFrame) -> DataFrame:
 
 def tail(df: DataFrame, count: int) -> DataFrame:
     """The last ``count`` lines of every file, without a full sort of any file."""
-    newest = Window.partitionBy("file").orderBy(F.desc("line_number"))
-    return df.withColumn("rank", F.row_number().over(newest)).filter(F.col("rank") <= count).drop("rank")
+    return first_of_each(df, ["file"], [F.desc("line_number")], count).drop("rank")
 
 
 def head(df: DataFrame, count: int) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import rules
 from ..functions import text as T
 from ..functions.numbers import ratio
-from ..functions.ordered import running_total, smoothed
+from ..functions.ordered import first_of_each, running_total, smoothed
 from ..functions.statistics import p_value
 
 HOUR_MS = 1000 * 3600
@@ -299,9 +299,8 @@ def smoothed_ratio(samples: DataFrame, key: str, order: list[str], value: str) -
 
 
 def recent_samples(samples: DataFrame, key: str, order: list[str], most: int = 1000) -> DataFrame:
-    """The newest ``most`` samples of every metric; ranks are cut before the shuffle too."""
-    newest = Window.partitionBy(key).orderBy(*[F.desc(c) for c in order])
-    return samples.withColumn("rank", F.row_number().over(newest)).filter(F.col("rank") <= most).drop("rank")
+    """The newest ``most`` samples of every metric."""
+    return first_of_each(samples, [key], [F.desc(c) for c in order], most).drop("rank")
 
 
 def sample_summary(samples: DataFrame, key: str, order: list[str], value: str = "value", most: int = 1000) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import logs
 from ..sources import structured
-from ..sources.text import SNIFFED_LINES, format_of, numbered_lines, sniffing_tests
+from ..sources.text import SNIFFED_LINES, extension, format_of, numbered_lines, sniffing_tests
 
 COMMON = ["file", "line_number", "format", "kind", "logged_at", "level", "message", "is_bad"]
 
@@ -40,9 +40,11 @@ def _entry(kind: Column, logged_at=None, level=None, message=None, is_bad=None)
 
 
 def _json_entry(line: Column) -> Column:
-    document = F.try_parse_json(line)
-    logged_at, level, message, kind = structured.entry_columns(document, line)[:4]
-    return _entry(kind, logged_at, level, message, document.isNull())
+    def entry(document: Column) -> Column:
+        logged_at, level, message, kind = structured.entry_columns(document, line)[:4]
+        return _entry(kind, logged_at, level, message, document.isNull())
+
+    return T.let(F.try_parse_json(line), entry)
 
 
 def _csv_entry(line: Column) -> Column:
@@ -66,9 +68,10 @@ def _tool_entries(parser, line: Column) -> Column:
 def parse_table(lines: DataFrame, hint: str | None = None) -> DataFrame:
     """Events of a line table: each line goes to the parser of its file's format.
 
-    The lines are read twice, once for the few that decide the formats and once to parse:
-    all parsers sit in one projection behind the format. The facts per file are a small
-    table, which AQE broadcasts; if it is not, the join on the file splits skewed files.
+    The lines are read once for the few that decide the formats and once to parse: all line parsers sit
+    in one projection behind the format. The facts per file are a small table, which AQE
+    broadcasts; if it is not, the join on the file splits skewed files. XML files, and ``.json`` files that
+    hold one document, are put together and parsed whole; any other JSON is read line by line.
     """
     line, form = F.col("raw_line"), F.col("format")
     if hint == "crash":
@@ -77,7 +80,16 @@ def parse_table(lines: DataFrame, hint: str | None = None) -> DataFrame:
     joined = lines.join(file_facts(lines), "file")
     if hint:
         joined = joined.withColumn("format", F.lit(hint))
-    stripped = joined.withColumn("raw_line", T.strip(line))
+    whole = (form == "xml") | ((form == "json") & (extension(F.col("file")) == "json"))
+    documents = (
+        joined.filter(whole)
+        .groupBy("file", "format")
+        .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_number", "raw_line"))), lambda r: r["raw_line"]), "\n").alias("content"))
+    )
+    parsed = [parse_xml_table(documents.filter(form == "xml")), parse_json_table(documents.filter(form == "json"))]
+    stripped = joined.filter(form != "xml").withColumn("raw_line", T.strip(line))
+    read = documents.filter(form == "json").filter(_one_document(F.col("content"))).select("file")
+    stripped = stripped.join(read, "file", "left_anti")
     used = line != ""
     entries = F.when((form == "json") & used, F.array(_json_entry(line)))
     entries = entries.when((form == "csv") & used & (F.col("line_number") > 1), F.array(_csv_entry(line)))
@@ -85,17 +97,40 @@ def parse_table(lines: DataFrame, hint: str | None = None) -> DataFrame:
         entries = entries.when(form == tool, _tool_entries(parser, line))
     entries = entries.when((form == "text") & used, F.array(_text_entry(line)))
     rows = stripped.select("file", "line_number", "format", F.explode(entries).alias("e"))
-    return _common(rows.select("file", "line_number", "format", "e.*"), form)
+    return parsed[0].unionByName(parsed[1]).unionByName(_common(rows.select("file", "line_number", "format", "e.*"), form))
+
+
+def _one_document(content: Column) -> Column:
+    """Whether a text is one JSON document and not one per line (the parser passes over what follows the first)."""
+    used = F.regexp_replace(content, r"^\s+|\s+$", "")
+    first = F.try_parse_json(F.regexp_extract(used, r"^[^\n]*", 0))
+    return F.try_parse_json(used).isNotNull() & (~used.contains("\n") | first.isNull())
+
+
+def parse_json_table(documents: DataFrame) -> DataFrame:
+    """Entries of whole JSON documents; none of texts that are no one document."""
+    return _common(structured.json_documents(documents.filter(_one_document(F.col("content")))), F.lit("json"))
 
 
 def parse_xml_table(documents: DataFrame) -> DataFrame:
-    """Entries of whole XML documents by their root element."""
+    """Entries of whole XML documents by their root element, and one bad row for each that is not well formed.
+
+    Roots other than test suites and coverage give one row with the root's name.
+    """
     rooted = documents.withColumn("root", structured.xml_root(F.col("content")))
-    suites = structured.junit_cases(rooted.filter(F.col("root").isin("testsuites", "testsuite")))
-    classes = structured.coverage_classes(rooted.filter(F.col("root") == "coverage"))
-    return _common(suites, F.lit("xml"), kind=F.lit("test_case"), message=F.col("name"), level=F.col("status")).unionByName(
-        _common(classes, F.lit("xml"), kind=F.lit("coverage"), message=F.col("class"))
-    )
+    rooted = rooted.withColumn("sound", structured.well_formed(F.col("content")))
+    suite, coverage = F.col("root").isin("testsuites", "testsuite"), F.col("root") == "coverage"
+    suites = structured.junit_cases(rooted.filter(suite))
+    classes = structured.coverage_classes(rooted.filter(coverage))
+    others = rooted.filter(F.col("sound") & ~suite & ~coverage)
+    good = F.lit(False)
+    rows = [
+        _common(suites, F.lit("xml"), kind=F.lit("test_case"), message=F.col("name"), level=F.col("status"), is_bad=good),
+        _common(classes, F.lit("xml"), kind=F.lit("coverage"), message=F.col("class"), is_bad=good),
+        _common(others, F.lit("xml"), kind=F.lit("xml_data"), message=F.col("root"), is_bad=good),
+        _common(rooted.filter(~F.col("sound")), F.lit("xml"), is_bad=F.lit(True)),
+    ]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2]).unionByName(rows[3])
 
 
 def parse_folder(spark: SparkSession, path: str, glob: str | None = None, hint: str | None = None) -> DataFrame:

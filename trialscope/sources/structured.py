@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -64,39 +64,52 @@ def json_documents(documents: DataFrame) -> DataFrame:
 # -- XML -------------------------------------------------------------------------
 
 _NOTE = "STRUCT<_message STRING, _VALUE STRING>"
-_CASE = f"STRUCT<_name STRING, _classname STRING, _time DOUBLE, failure {_NOTE}, error {_NOTE}>"
-_LEAF = f"_name STRING, testcase ARRAY<{_CASE}>"
-_MIDDLE = f"{_LEAF}, testsuite ARRAY<STRUCT<{_LEAF}>>"
-SUITES = f"{_MIDDLE[: _MIDDLE.index(', testsuite')]}, testsuite ARRAY<STRUCT<{_MIDDLE}>>"
-
+CASE = f"_name STRING, _classname STRING, _time DOUBLE, failure {_NOTE}, error {_NOTE}"
 _LINE = "STRUCT<_number BIGINT, _hits BIGINT, _branch STRING>"
-_CLASS = (
-    "STRUCT<_name STRING, _filename STRING, `_line-rate` DOUBLE, `_branch-rate` DOUBLE, "
-    f"lines STRUCT<line ARRAY<{_LINE}>>>"
-)
-_PACKAGE = f"STRUCT<_name STRING, classes STRUCT<class ARRAY<{_CLASS}>>>"
-COVERAGE = f"packages STRUCT<package ARRAY<{_PACKAGE}>>, package ARRAY<{_PACKAGE}>"
+CLASS = f"_name STRING, _filename STRING, `_line-rate` DOUBLE, `_branch-rate` DOUBLE, lines STRUCT<line ARRAY<{_LINE}>>"
+
+# Possessive, so that a tag of any length is read once, forward.
+_ATTRIBUTES = r"""\b[^<>"']*+(?:"[^"]*+"[^<>"']*+|'[^']*+'[^<>"']*+)*+"""
+_PREFIX = r"(?:[\w.-]+:)?"
+
+
+def well_formed(content: Column) -> Column:
+    """Whether a text is one XML document."""
+    read = F.from_xml(content, "_none STRING, _corrupt_record STRING")
+    return F.coalesce(read.isNotNull() & read["_corrupt_record"].isNull(), F.lit(False))
+
+
+def _inside(documents: DataFrame, outer: str, inner: str) -> DataFrame:
+    """Each ``inner`` element of well-formed documents with the start tag of the ``outer`` element right around it.
+
+    Elements may stand at any depth. Start and end tags of the outer element become rows; the running
+    count of them is the depth, and the last start tag of an element's depth is the one around it.
+    """
+    start, end = f"<{_PREFIX}{outer}{_ATTRIBUTES}>", f"</{_PREFIX}{outer}\\s*+>"
+    whole = f"<{_PREFIX}{inner}{_ATTRIBUTES}(?:(?<=/)>|>(?s:.*?)</{_PREFIX}{inner}\\s*+>)"
+    bare = F.regexp_replace("content", r"(?s)<!--.*?-->", "")
+    tags = F.regexp_extract_all(bare, F.lit(f"{start}|{end}|{whole}"), F.lit(0))
+    sound = documents.filter(well_formed(F.col("content")))
+    rows = sound.select("file", F.posexplode(tags).alias("at", "tag"))
+    opens = F.col("tag").rlike(f"^<{_PREFIX}{outer}\\b") & ~F.col("tag").endswith("/>")
+    closes = F.col("tag").startswith("</")
+    before = Window.partitionBy("file").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("opens", opens).withColumn(
+        "depth", F.sum(F.when(F.col("opens"), 1).when(closes, -1).otherwise(0)).over(before)
+    )
+    level = Window.partitionBy("file", "depth").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    around = F.last(F.when(F.col("opens"), F.col("tag")), ignorenulls=True).over(level)
+    return rows.withColumn("around", around).filter(F.col("tag").rlike(f"^<{_PREFIX}{inner}\\b")).select("file", "around", "tag")
+
+
+def _name_of(tag: Column) -> Column:
+    return F.coalesce(F.from_xml(F.concat(F.substring(tag, F.lit(1), F.length(tag) - 1), F.lit("/>")), "_name STRING")["_name"], F.lit("unknown"))
 
 
 def junit_cases(documents: DataFrame) -> DataFrame:
-    """Test cases of JUnit documents, also where the root is a single suite; three levels of suites."""
-    root = documents.select("file", F.from_xml("content", SUITES).alias("x"))
-
-    def cases(suite: Column) -> Column:
-        named = F.coalesce(suite["_name"], F.lit("unknown"))
-        return F.transform(suite["testcase"], lambda c: F.struct(named.alias("suite"), c.alias("c")))
-
-    def all_of(suites: Column, nested: bool) -> Column:
-        own = F.flatten(F.array_compact(F.transform(suites, cases)))
-        if not nested:
-            return own
-        return F.concat(
-            F.coalesce(own, F.array()),
-            F.coalesce(F.flatten(F.array_compact(F.transform(suites, lambda s: all_of(s["testsuite"], False)))), F.array()),
-        )
-
-    found = F.concat(F.coalesce(cases(F.col("x")), F.array()), F.coalesce(all_of(F.col("x.testsuite"), True), F.array()))
-    rows = root.select("file", F.explode(found).alias("e")).select("file", "e.suite", "e.c.*")
+    """Test cases of JUnit documents with their suite, suites nested to any depth; malformed documents give none."""
+    rows = _inside(documents, "testsuite", "testcase").filter("around is not null")
+    rows = rows.select("file", _name_of(F.col("around")).alias("suite"), F.from_xml("tag", CASE).alias("c")).select("file", "suite", "c.*")
     failed, broken = F.col("failure").isNotNull(), F.col("error").isNotNull()
     return rows.select(
         "file",
@@ -111,13 +124,9 @@ def junit_cases(documents: DataFrame) -> DataFrame:
 
 
 def coverage_classes(documents: DataFrame) -> DataFrame:
-    """Classes of coverage documents with their rates and line entries."""
-    root = documents.select("file", F.from_xml("content", COVERAGE).alias("x"))
-    packages = F.coalesce(F.col("x.packages.package"), F.col("x.package"))
-    by_package = root.select("file", F.explode(packages).alias("p"))
-    classes = by_package.select(
-        "file", F.coalesce("p._name", F.lit("unknown")).alias("package"), F.explode("p.classes.class").alias("c")
-    )
+    """Classes of coverage documents with their rates and line entries, packages at any depth."""
+    rows = _inside(documents, "package", "class").filter("around is not null")
+    classes = rows.select("file", _name_of(F.col("around")).alias("package"), F.from_xml("tag", CLASS).alias("c"))
     return classes.select(
         "file",
         "package",
@@ -138,7 +147,9 @@ def coverage_classes(documents: DataFrame) -> DataFrame:
 
 def xml_documents(documents: DataFrame) -> DataFrame:
     """Any other XML: its root name and a VARIANT of its content, NULL where it is not well formed."""
-    return documents.select("file", xml_root(F.col("content")).alias("root"), F.from_xml("content", "VARIANT").alias("data"))
+    sound, root = well_formed(F.col("content")), xml_root(F.col("content")).alias("root")
+    read = documents.filter(sound).select("file", root, F.from_xml("content", "VARIANT").alias("data"))
+    return read.unionByName(documents.filter(~sound).select("file", root, F.lit(None).cast("variant").alias("data")))
 
 
 def xml_root(content: Column) -> Column:
@@ -158,10 +169,11 @@ def delimiter_of(sample: Column) -> Column:
 
 
 def cells(line: Column, delimiter: Column) -> Column:
-    """Cells of a CSV line; a delimiter between quotes does not split."""
+    """Cells of a CSV line; a delimiter between quotes does not split. One forward pass, however many cells."""
 
     def cut(mark: str) -> Column:
-        return F.split(line, f'{mark}(?=(?:[^"]*"[^"]*")*[^"]*$)')
+        cell = f'{mark}((?:[^"{mark}]++|"[^"]*+(?:"|$))*+)'
+        return F.regexp_extract_all(F.concat(F.lit(mark), line), F.lit(cell), F.lit(1))
 
     raw = F.when(delimiter == "\t", cut("\t")).when(delimiter == ";", cut(";")).otherwise(cut(","))
     return F.transform(
@@ -174,8 +186,9 @@ def cells(line: Column, delimiter: Column) -> Column:
 
 
 def top_lines() -> Column:
-    """Aggregate: a file's first lines in order, enough for the delimiter sample."""
-    return F.array_sort(F.collect_list(F.struct("line_number", "raw_line")))
+    """Aggregate: a file's first lines in order, the first one whole and of the others what the sample can use."""
+    line = F.when(F.col("line_number") == 1, F.col("raw_line")).otherwise(F.substring("raw_line", 1, SAMPLE_CHARS))
+    return F.array_sort(F.collect_list(F.struct("line_number", line.alias("raw_line"))))
 
 
 def header_columns(top: Column) -> list[Column]:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 
+MOST_SPLITS = 500_000
 JSON_EXTENSIONS, SNIFFED_LINES = ("json", "jsonl"), 5
 # Words in the first lines that name a tool.
 TOOL_WORDS = [("afl", ["afl-fuzz", "american fuzzy lop"]), ("libfuzzer", ["libfuzzer"]), ("honggfuzz", ["honggfuzz"]), ("cifuzz", ["cifuzz"])]
@@ -15,9 +16,10 @@ TOOL_WORDS = [("afl", ["afl-fuzz", "american fuzzy lop"]), ("libfuzzer", ["libfu
 def numbered_lines(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
     """``file``, 1-based ``line_number``, ``raw_line`` of every text file below ``path`` (also ``.gz``).
 
-    A file may be read in several splits. Lines are numbered inside their split, and the
-    split line counts, one row per split, give each split its offset: a file of any size
-    is numbered without ever being one row or one group.
+    A file may be read in several splits. A split's lines have numbers in a row as they are read, and
+    the splits' line counts and first numbers, one row per split, give the offset: no text moves, and a
+    file of any size is numbered without ever being one row or one group. Beyond ``MOST_SPLITS``
+    splits the offsets are not broadcast but joined.
     """
     reader = spark.read.option("recursiveFileLookup", "true")
     if glob:
@@ -28,15 +30,12 @@ def numbered_lines(spark: SparkSession, path: str, glob: str | None = None) -> D
         F.monotonically_increasing_id().alias("seq"),
         F.col("value").alias("raw_line"),
     )
-    in_split = F.row_number().over(Window.partitionBy("file", "split").orderBy("seq"))
     before = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = rows.groupBy("file", "split").agg(F.count("*").alias("n"))
-    offsets = sizes.select("file", "split", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
-    return (
-        rows.withColumn("at", in_split)
-        .join(offsets, ["file", "split"])
-        .select("file", (F.col("offset") + F.col("at")).alias("line_number"), "raw_line")
-    )
+    sizes = rows.groupBy("file", "split").agg(F.count("*").alias("n"), F.min("seq").alias("first"))
+    offsets = sizes.select("file", "split", (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first") + 1).alias("offset"))
+    if offsets.limit(MOST_SPLITS + 1).count() <= MOST_SPLITS:
+        offsets = F.broadcast(offsets)
+    return rows.join(offsets, ["file", "split"]).select("file", (F.col("offset") + F.col("seq")).alias("line_number"), "raw_line")
 
 
 def file_contents(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:

@@ -39,7 +39,7 @@ def session_counters(lines: DataFrame) -> DataFrame:
     """Crashes, compile errors and best coverage per session, kept up to date."""
     events = logs.handled_events(logs.dispatch_tools(lines))
     return events.groupBy(F.col("file").alias("session")).agg(
-        F.count_if(F.col("kind") == "crash_found").alias("unique_crashes"),
+        F.count_if(F.col("kind").isin("crash_found", "crash_start")).alias("unique_crashes"),
         F.count_if(F.col("kind") == "compilation_error").alias("failed_compilations"),
         F.count_if(F.col("kind") == "finding").alias("findings"),
         F.max(F.when(F.col("kind") == "coverage_data", F.col("percent"))).alias("best_coverage"),
