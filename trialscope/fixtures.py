@@ -217,6 +217,7 @@ select concat('x', cast(o_orderkey as string)) as experiment_id, concat('repo',
 from @orders@
 """
 
+# Every document is a file of a project; where its place is that of a manifest, the manifest is a file besides.
 VIEWS["project_files"] = """
 select concat('p', cast(cast(floor(doc_id / 16) as bigint) as string)) as project,
   case doc_id % 16 when 0 then 'README.md' when 1 then 'CMakeLists.txt' when 2 then 'requirements.txt' when 3 then 'package.json'
@@ -235,6 +236,9 @@ select concat('p', cast(cast(floor(doc_id / 16) as bigint) as string)) as projec
     when 12 then concat('provider=openai', chr(10), 'model=gpt-4')
     else text end as content
 from @documents@
+union all
+select concat('p', cast(cast(floor(doc_id / 16) as bigint) as string)), concat('docs/note', cast(doc_id % 16 as string), '.txt'), text
+from @documents@ where doc_id % 16 in (2, 3, 5, 7, 8, 9, 10, 11, 12)
 """
 
 VIEWS["proc_snapshot"] = """
