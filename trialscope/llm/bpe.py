@@ -250,7 +250,7 @@ class Words:
 
 def _loaded(source: str, lexicon: bytes) -> dict:
     """Words, merges, lexicon and encoder of this worker, made once for all its tasks."""
-    store = worker_store("bpe-" + hashlib.sha256(source.encode() + lexicon).hexdigest())
+    store = worker_store("large-bpe-" + hashlib.sha256(source.encode() + lexicon).hexdigest())
     if not store:
         words, table = Words(source), Lexicon.mapped(lexicon)
         merges = Merges(words.data)

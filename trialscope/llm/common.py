@@ -31,15 +31,20 @@ def small_side(df: DataFrame, rows: int) -> DataFrame:
 def worker_store(name: str) -> dict:
     """A dictionary that lives as long as the Python worker, for caches that tasks share.
 
-    Task functions are pickled by value, so their module's globals start anew with each task.
+    Task functions are pickled by value, so their module's globals start anew with each task. Names that
+    begin with ``large`` are for caches of many megabytes: asking for any other store frees them, so that
+    a worker that goes on with another operator does not keep both.
     """
     key = "_trialscope_worker_store"
     if key not in sys.modules:
         sys.modules[key] = types.ModuleType(key)
-    return vars(sys.modules[key]).setdefault(name, {})
+    stores = vars(sys.modules[key])
+    for other in [k for k in stores if k.startswith("large") and k != name]:
+        del stores[other]
+    return stores.setdefault(name, {})
 
 
-def text_slices(batch: pa.RecordBatch, column: str, most: int = 4 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def text_slices(batch: pa.RecordBatch, column: str, most: int = 2 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Cut ``batch`` into runs of rows with about ``most`` bytes of text; one longer text is a run of its own.
 
     Yields (first row, end row, bytes, offsets): row i of a run holds bytes[offsets[i]:offsets[i+1]]. Null is empty.

@@ -128,7 +128,7 @@ def slots(patterns: list[tuple[list[tuple[int, int]], int]]) -> np.ndarray:
 
 def _encoder(source: str) -> Encoder:
     """The tokenizers library's splitter and model, asked once for each word that is not remembered."""
-    store = worker_store("pack-" + hashlib.sha256(source.encode()).hexdigest())
+    store = worker_store("large-pack-" + hashlib.sha256(source.encode()).hexdigest())
     if not store:
         split, letters, known = Words(source), byte_letters(), {}
         model = split.tokenizer.model

@@ -11,7 +11,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import stored, worker_store
 
 
 @dataclass(frozen=True)
@@ -59,7 +59,7 @@ def spans_of(text: str, low: str, rule: Rule, pattern: re.Pattern) -> list[dict]
 
 def _scan(rules: tuple[Rule, ...]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        patterns = {}
+        patterns = worker_store("patterns")
         for rule in rules:
             # A run of one class is found whole or not at all, so its least length can stand in the pattern.
             source = re.sub(r"^(\[[^]]+\])\+$", rf"\1{{{rule.least},}}", rule.pattern)
