@@ -29,13 +29,15 @@ from .common import stored, worker_store
 
 #: Words of the lexicon, at most: a bounded table that every worker maps.
 LEXICON_WORDS = 1 << 17
-#: Chunks and merged words whose ids a worker remembers; distinct chunks it counts before it passes them on.
-REMEMBERED = 700_000
-MERGED = 300_000
-COUNTED = 400_000
+#: Chunks that a worker remembers per generation; places of the note of what it has met; distinct
+#: chunks it counts before it passes them on.
+REMEMBERED = 130_000
+MET = 1 << 22
+COUNTED = 300_000
 
 #: What str.split() takes for white space and the tokenizer does not.
 SEPARATORS = re.compile("[\x1c-\x1f]")
+WIDE = re.compile("[^\x00-\xff]")
 PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
 PIECES = re.compile("'(?:s|t|re|ve|m|ll|d)|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
 
@@ -199,27 +201,48 @@ class Merges:
 class Encoder:
     """Texts to ids, chunk by chunk between white space; ``chunk_ids`` gives the ids of one chunk, as bytes.
 
-    No rule of the vocabulary reaches over white space, so a text's ids are its chunks' ids in a row.
-    Chunks are remembered while they fit.
+    No rule of the vocabulary reaches over white space, so a text's ids are its chunks' ids in a row; and
+    none reaches from letters to the full stop or comma after them. Chunks that are met a second time are
+    remembered, in two generations: when the young one is full it becomes the old one, and what is met
+    again moves back.
     """
 
     def __init__(self, chunk_ids: Callable[[str], bytes]) -> None:
-        self.chunk_ids, self.known = chunk_ids, {}
+        self.chunk_ids = chunk_ids
+        self.known: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.met = bytearray(MET)
+        self.marks = {mark: chunk_ids(mark) for mark in ".,"}
+
+    def _new(self, chunk: str) -> bytes:
+        """Ids of a chunk that is not in the young generation."""
+        ids = self.old.get(chunk)
+        if ids is None:
+            word = chunk[:-1]
+            if chunk[-1] in self.marks and word.isalpha():
+                ids = (self.known.get(word) or self._new(word)) + self.marks[chunk[-1]]
+            else:
+                ids = self.chunk_ids(chunk)
+            place = hash(chunk) % MET
+            if not self.met[place]:
+                self.met[place] = 1
+                return ids
+        if len(chunk) < 64:
+            self.known[chunk] = ids
+        return ids
 
     def encode(self, text: str) -> bytes:
         if SEPARATORS.search(text):
             return self.chunk_ids(text)
-        known = self.known
-        if len(known) > REMEMBERED:
-            known.clear()
-        chunks = text.split()
-        out = list(map(known.get, chunks))
-        if None in out:
-            for i, c in enumerate(chunks):
-                if out[i] is None:
-                    out[i] = known.get(c) or self.chunk_ids(c)
-                    if len(c) < 256:
-                        known[c] = out[i]
+        if len(self.known) > REMEMBERED:
+            self.old, self.known, self.met = self.known, {}, bytearray(MET)
+        # In these characters lower case is the same before and after the text is cut.
+        chunks = (text if WIDE.search(text) else text.lower()).split()
+        out = list(map(self.known.get, chunks))
+        at = -1
+        for _ in range(out.count(None)):
+            at = out.index(None, at + 1)
+            out[at] = self.known.get(chunks[at]) or self._new(chunks[at])
         return b"".join(out)
 
 
@@ -232,9 +255,11 @@ class Words:
         self.special = {t["content"]: t["id"] for t in data["added_tokens"]}
         self.cut = re.compile("(" + "|".join(re.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
         self.byte_of = {c: b for b, c in enumerate(byte_letters())}
-        self.data = data
+        self.model = data["model"]
 
     def __call__(self, text: str) -> list[bytes | int]:
+        if text.isascii() and text.isalpha():
+            return [text.lower().encode()]
         if PLAIN.fullmatch(text) and "<|" not in text:
             return [w.encode() for w in PIECES.findall(text.lower())]
         out: list[bytes | int] = []
@@ -253,26 +278,18 @@ def _loaded(source: str, lexicon: bytes) -> dict:
     store = worker_store("large-bpe-" + hashlib.sha256(source.encode() + lexicon).hexdigest())
     if not store:
         words, table = Words(source), Lexicon.mapped(lexicon)
-        merges = Merges(words.data)
-
-        merged: dict[bytes, bytes] = {}  # words that the lexicon lacks
+        merges, vocabulary = Merges({"model": words.model}), words.model["vocab"] | words.special
+        words.model = None  # what is left of it is in the tables
 
         def word_ids(word: bytes | int) -> bytes:
             if isinstance(word, int):
                 return struct.pack("<I", word)
-            ids = merged.get(word) or table.get(word)
-            if ids is None:
-                if len(merged) > MERGED:
-                    merged.clear()
-                ids = array("I", merges.encode(word)).tobytes()
-                if len(word) < 256:
-                    merged[word] = ids
-            return ids
+            ids = table.get(word)
+            return ids if ids is not None else array("I", merges.encode(word)).tobytes()
 
         def chunk_ids(chunk: str) -> bytes:
             return b"".join([word_ids(w) for w in words(chunk)])
 
-        vocabulary = words.data["model"]["vocab"] | words.special
         tokens: list[str] = [""] * (max(vocabulary.values()) + 1)
         for token, i in vocabulary.items():
             tokens[i] = token

@@ -9,7 +9,6 @@ longest length that fits goes in (best fit). A pattern is used as often as the c
 from __future__ import annotations
 
 import hashlib
-import struct
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -20,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bpe import MERGED, Encoder, Words, byte_letters
+from .bpe import Encoder, Words, byte_letters
 from .common import stored, worker_store
 
 SIZE = 4096
@@ -127,25 +126,21 @@ def slots(patterns: list[tuple[list[tuple[int, int]], int]]) -> np.ndarray:
 
 
 def _encoder(source: str) -> Encoder:
-    """The tokenizers library's splitter and model, asked once for each word that is not remembered."""
+    """The tokenizers library's splitter and model, asked for each chunk that is not remembered."""
     store = worker_store("large-pack-" + hashlib.sha256(source.encode()).hexdigest())
     if not store:
-        split, letters, known = Words(source), byte_letters(), {}
-        model = split.tokenizer.model
-
-        def word_ids(word: bytes | int) -> bytes:
-            if isinstance(word, int):
-                return struct.pack("<I", word)
-            ids = known.get(word)
-            if ids is None:
-                if len(known) > MERGED:
-                    known.clear()
-                ids = array("I", [t.id for t in model.tokenize("".join([letters[b] for b in word]))]).tobytes()
-                if len(word) < 256:
-                    known[word] = ids
-            return ids
-
-        store["encoder"] = Encoder(lambda chunk: b"".join([word_ids(w) for w in split(chunk)]))
+        split, letters = Words(source), byte_letters()
+        model, split.model = split.tokenizer.model, None
+
+        def word_ids(word: bytes | int) -> list[int]:
+            return [word] if isinstance(word, int) else [t.id for t in model.tokenize("".join([letters[b] for b in word]))]
+
+        def chunk_ids(chunk: str) -> bytes:
+            if chunk.isascii() and chunk.isalpha():
+                return array("I", [t.id for t in model.tokenize(chunk.lower())]).tobytes()
+            return array("I", [i for w in split(chunk) for i in word_ids(w)]).tobytes()
+
+        store["encoder"] = Encoder(chunk_ids)
     return store["encoder"]
 
 
