@@ -269,6 +269,24 @@ def _(spark, sf):
     return df.filter("language <> 'python'").select("doc_id", "language", *counts)
 
 
+# The registry with a caller's entry in place of one of its own: it fills a count that others have and adds one.
+@query(
+    "ud3_added_counter",
+    src(
+        f"select doc_id, language, case language when 'java' then {S.rc(C, 'public static')} when 'javascript' then {S.rc(C, rf'function\s+{W}+')} end as function_count, "
+        f"case when language = 'java' then contains(content, 'executeQuery') end as queries from m where language in ('java', 'javascript')"
+    ),
+)
+def _(spark, sf):
+    added = {
+        "javascript": code.javascript_counts,
+        "java": lambda content: {"function_count": T.hits(content, "public static"), "queries": content.contains("executeQuery")},
+    }
+    counts = code.language_count_columns(F.col(C), F.col("language"), added)
+    rows = files(spark, sf).filter(F.col("language").isin("java", "javascript"))
+    return rows.select("doc_id", "language", *counts).select("doc_id", "language", "function_count", "queries")
+
+
 SCORES = (
     f"{SMELLS}, {SECURITY}, {PERFORMANCE}, {MAINTAIN}, {DEPTH}, "
     f"ex as (select doc_id, {S.rc(C, code.MALLOC)} > {S.rc(C, code.FREE)} as leaks, {decl('var')} > 0 as vars from b), "

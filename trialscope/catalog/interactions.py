@@ -160,6 +160,26 @@ def _(spark, sf):
     )
 
 
+# The registry with a caller's entry: two languages share a check, one has none of its own.
+@query(
+    "ud2_added_validator",
+    coded(
+        f"select interaction_id, language, case when language in ('go', 'rust') and contains({R}, 'fn main') then 'Entry point'"
+        f" when language = 'go' and contains({R}, 'func main') then 'Entry point' else '' end as found from l"
+    ),
+)
+def _(spark, sf):
+    def entry_point(text):
+        return T.present((text.contains("fn main"), "Entry point"))
+
+    def go_entry_point(text):
+        return T.present((text.contains("func main") & ~text.contains("fn main"), "Entry point"))
+
+    added = [(("go", "rust"), entry_point), (("go",), go_entry_point)]
+    found = ix.language_issues(F.col(R), F.col("language"), added)
+    return replies(spark, sf).select("interaction_id", "language", T.joined(found).alias("found"))
+
+
 @query(
     "sc26_other_language_checks",
     coded(f"select interaction_id, language, array_to_string({LANGUAGE_LISTS}, '|') as found from l where language in ('java','javascript','rust','go')"),

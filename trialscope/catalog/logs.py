@@ -56,6 +56,19 @@ def _(spark, sf):
     return parsed(spark, sf, "memory_mb").filter("memory_mb is not null")
 
 
+# Each of these lists has an order, and the first entry that holds decides.
+@query(
+    "wn9_first_match",
+    lines_oracle(f"{KIND} as kind, {PHRASE} as phrase, {MODEL_NAME} as model", f"contains({LOW}, 'crash') or {MODEL_NAME} is not null"),
+)
+def _(spark, sf):
+    line = F.col(L)
+    rows = view(spark, sf, "log_lines").select(
+        "file", "line_number", L, logs.line_kind(line).alias("kind"), logs.vulnerability_phrase(line).alias("phrase"), logs.model_name(line).alias("model")
+    )
+    return rows.filter(F.lower(line).contains("crash") | F.col("model").isNotNull()).drop(L)
+
+
 @query(
     "sc3_cpu_and_coverage",
     lines_oracle(f"{S.rnum(L, logs.CPU)} as cpu_percent, {S.rnum(L, logs.COVERAGE)} as coverage_percent"),
