@@ -149,6 +149,28 @@ def _(spark, sf):
     return flat_risk(fx.risk(fx.crash_findings(view(spark, sf, "crashes"), "crash_id", "session_id"), "crash_id"))
 
 
+# Every second crash comes with the source around it.
+SOURCE = "case when crash_id % 2 = 0 then concat('int x;', chr(10), 'strcpy(b, a); // ', signature) end"
+WITH_SOURCE = "crashes_s as (select *, " + SOURCE + " as source_code from crashes)"
+SOURCE_ROWS = " union all ".join(
+    f"select crash_id, session_id, '{kind}' as vulnerability_type, '{fx.known_severity(kind)}' as severity, 0.7::double as confidence_score, 'pattern_matching' as detection_method "
+    f"from (select crash_id, session_id, unnest({S.rall('l[i]', pattern)}) as x from (select crash_id, session_id, l, unnest([1, 2]) as i from "
+    "(select crash_id, session_id, string_split(source_code, chr(10)) as l from crashes_s) a) u) v"
+    for kind, pattern in rules.SECURITY_RULES
+)
+
+
+def whole_analysis_sql() -> str:
+    doubt = f"least(greatest(0.1::double * (1.0::double - confidence_score) * {factor('detection_method', rules.METHOD_FACTORS)} * {factor('vulnerability_type', rules.TYPE_FACTORS)}, 0.0::double), 1.0::double)"
+    plan = PLAN.replace("KEYS", "crash_id,").replace("from findings", "from af")
+    return (
+        f"with {WITH_SOURCE}, af as ({ALL_ROWS} union all {SOURCE_ROWS}), {plan.strip().removeprefix('with ')}, "
+        f"rk as ({risk_sql('af', 'crash_id')}), fp as (select crash_id, round(avg(d), 9) as false_positive_probability, count(case when d > 0.3 then 1 end) as to_verify from (select crash_id, {doubt} as d from af) z group by crash_id), "
+        "pl as (select crash_id, string_agg(concat(priority, ':', vulnerability_type), '|' order by priority desc, vulnerability_type) as plan from p group by crash_id) "
+        "select * from rk join fp using (crash_id) left join pl using (crash_id)"
+    )
+
+
 @query("ag8_risk_per_session", oracle("findings", risk_sql("findings", "session_id")))
 def _(spark, sf):
     return flat_risk(fx.risk(found(spark, sf), "session_id"))
@@ -359,3 +381,10 @@ def _(spark, sf):
         }
     )
     return analyzers.summary(results).drop("average_confidence")
+
+
+@query("sc74_whole_crash_analysis", oracle("crashes", whole_analysis_sql()))
+def _(spark, sf):
+    crashes = view(spark, sf, "crashes").withColumn("source_code", F.expr(SOURCE.replace("chr(10)", "char(10)")))
+    out = flat_risk(fx.crash_analysis(crashes, "crash_id")).withColumn("plan", T.joined(F.col("plan")))
+    return out.withColumn("false_positive_probability", F.round("false_positive_probability", 9))

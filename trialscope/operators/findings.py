@@ -101,8 +101,10 @@ def memory_findings(heap_corruption: Column, stack_overflow: Column) -> Column:
 
 
 def crash_findings(crashes: DataFrame, *keys: str) -> DataFrame:
-    """All findings of every crash; one projection and one explode."""
+    """All findings of every crash; one projection and one explode. Source text is searched if ``source_code`` is there."""
+    source = [pattern_findings(F.coalesce("source_code", F.lit("")))] if "source_code" in crashes.columns else []
     found = F.concat(
+        *source,
         signature_findings(F.col("signature")),
         trace_findings(F.coalesce(F.col("stack_trace"), F.lit(""))),
         memory_findings(F.col("heap_corruption"), F.col("stack_overflow")),
@@ -112,6 +114,23 @@ def crash_findings(crashes: DataFrame, *keys: str) -> DataFrame:
     return rows.withColumn("finding_id", F.sha2(natural, 256))
 
 
+def crash_analysis(crashes: DataFrame, *keys: str) -> DataFrame:
+    """One row per crash: its findings' risk, how likely they are false, and what to do, most urgent first.
+
+    A crash without findings has none of these and gives no row. The plan has a row per vulnerability
+    type at most, so it is a short list.
+    """
+    found = crash_findings(crashes, *keys)
+    doubt = found.select(*keys, false_positive_probability().alias("p")).groupBy(*keys).agg(
+        F.avg("p").alias("false_positive_probability"), F.count_if(F.col("p") > 0.3).alias("to_verify")
+    )
+    steps = remediation_plan(found, *keys).groupBy(*keys).agg(
+        F.array_sort(F.collect_list(F.struct((-F.col("priority")).alias("order"), "vulnerability_type"))).alias("steps")
+    )
+    plan = F.transform("steps", lambda s: F.concat_ws(":", -s["order"], s["vulnerability_type"]))
+    return risk(found, *keys).join(doubt, [*keys]).join(steps.select(*keys, plan.alias("plan")), [*keys], "left")
+
+
 def crash_log_findings(lines: DataFrame) -> DataFrame:
     """Findings of crash dumps, straight from their lines.
 
