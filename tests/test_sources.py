@@ -137,6 +137,20 @@ def test_session_documents(spark, tmp_path):
     assert got["b"]["llm_provider"] == "unknown" and got["b"]["status"] == "initializing"
 
 
+def test_archive_moves_old_days_only(spark, tmp_path):
+    live, target = str(tmp_path / "live"), str(tmp_path / "old")
+    rows = spark.createDataFrame([(f"2024-01-{d:02}", d) for d in range(1, 11)], "day string, v int")
+    rows.repartition("day").write.partitionBy("day").parquet(live)
+    kept = {p: p.stat().st_mtime_ns for p in (tmp_path / "live").glob("day=2024-01-0[89]/*.parquet")}
+    (got,) = entities.archive_days(spark, live, target, "2024-01-10", 4).collect()
+    assert got["files_archived"] == 5 and got["bytes_saved"] > 0 and got["errors"] == 0
+    assert sorted(r["v"] for r in spark.read.parquet(target).collect()) == [1, 2, 3, 4, 5]
+    assert sorted(r["v"] for r in spark.read.parquet(live).collect()) == [6, 7, 8, 9, 10]
+    assert all(p.stat().st_mtime_ns == t for p, t in kept.items()) and kept
+    (again,) = entities.archive_days(spark, live, target, "2024-01-10", 4).collect()
+    assert tuple(again) == (0, 0, 0)
+
+
 def test_surplus_backups(spark):
     df = spark.createDataFrame([("a", f"p{i}", i // 2) for i in range(9)] + [("b", "only", 1)], "base string, path string, mtime bigint")
     assert sorted(r["path"] for r in entities.surplus_backups(df, 5).collect()) == ["p0", "p1", "p2", "p3"]

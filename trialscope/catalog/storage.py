@@ -346,6 +346,23 @@ def _(spark, sf):
     return out[0].unionByName(out[1])
 
 
+@query(
+    "snk5_archive_figures",
+    oracle(
+        "findings",
+        "with f as (select *, cast(ts as date) < cast(timestamp '2024-01-31' - interval 7 day as date) as old from findings) "
+        "select count(distinct case when old then cast(ts as date) end) as files_archived, cast(0 as bigint) as errors, count(case when old then 1 end) as archived, count(case when not old then 1 end) as live from f",
+    ),
+)
+def _(spark, sf):
+    live, target = work_path(spark, "live"), work_path(spark, "archived")
+    rows = view(spark, sf, "findings").withColumn("day", F.to_date("ts"))
+    rows.repartition("day").write.partitionBy("day").parquet(live)  # one file per day
+    figures = entities.archive_days(spark, live, target, "2024-01-31", 7)
+    counts = [spark.read.schema(rows.schema).parquet(p).agg(F.count("*").alias(n)) for p, n in ((target, "archived"), (live, "live"))]
+    return figures.select("files_archived", "errors").join(counts[0]).join(counts[1])
+
+
 @query(
     "snk6_surplus_backups",
     oracle(

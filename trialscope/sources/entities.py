@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .text import listing
+
 SESSION_SCHEMA = (
     "session_id STRING, pid INT, start_time STRING, end_time STRING, llm_provider STRING, primary_language STRING, status STRING, "
     "fuzz_drivers_generated BIGINT, total_llm_interactions BIGINT, total_tokens_consumed BIGINT, security_vulnerabilities_found BIGINT, "
@@ -105,6 +107,25 @@ def archive(rows: DataFrame, ts: str, as_of: Column, days_old: int, path: str) -
     return tuple(written.filter(F.col("part") == part).drop("part") for part in ("archive", "live"))
 
 
+def archive_days(spark: SparkSession, live: str, target: str, as_of: str, days_old: int) -> DataFrame:
+    """Move the days before the cutoff of the table at ``live`` (partitioned by ``day``) to ``target``; live rows are not touched.
+
+    Returns one row: ``files_archived``, ``bytes_saved``, ``errors`` (days whose files could not be removed). A day is
+    removed only after its copy was written, and a repeated run overwrites the copy, so it may fail anywhere.
+    """
+    cutoff = F.to_date(F.lit(as_of)) - F.expr(f"interval {days_old} days")
+    rows = spark.read.parquet(live).filter(F.col("day").cast("date") < cutoff)
+    days = [r["day"] for r in rows.select(F.col("day").cast("string")).distinct().collect()]  # one per day
+    old = listing(spark, live).withColumn("day", F.regexp_extract("file", r"/day=([^/]+)/", 1))
+    old = old.filter(F.to_date("day") < cutoff).agg(F.count("*").alias("files"), F.coalesce(F.sum("size_bytes"), F.lit(0)).alias("bytes")).first()
+    if days:
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(target)
+    root = spark._jvm.org.apache.hadoop.fs.Path(live)
+    system = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    kept = [day for day in days if not system.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{live}/day={day}"), True)]
+    return spark.createDataFrame([(old["files"], old["bytes"], len(kept))], "files_archived long, bytes_saved long, errors long")
+
+
 def surplus_backups(backups: DataFrame, keep: int = 5) -> DataFrame:
     """Backups beyond the newest ``keep`` of each base file.
 
