@@ -167,17 +167,22 @@ def mixes_languages(code: Column, language: Column) -> Column:
 
 
 def overlap_ratio(prompt: Column, reply: Column, shortest: int) -> Column:
-    asked, said = T.vocabulary(prompt, shortest), T.vocabulary(reply, shortest)
+    return shared_part(T.vocabulary(prompt, shortest), T.vocabulary(reply, shortest))
+
+
+def shared_part(asked: Column, said: Column) -> Column:
+    """Words of ``asked`` that are also in ``said``, as a part of ``asked``."""
     return F.size(F.array_intersect(asked, said)) / F.greatest(F.size(asked), F.lit(1))
 
 
-def consistency_issues(prompt: Column, code: Column, language: Column) -> Column:
+def consistency_issues(prompt: Column, code: Column, language: Column, overlap: Column | None = None) -> Column:
+    overlap = overlap_ratio(prompt, code, 3) if overlap is None else overlap
     return T.present(
         (
             mixes_languages(code, language),
             F.concat(F.lit("Mixed language syntax: "), language, F.lit(" code contains other language patterns")),
         ),
-        (overlap_ratio(prompt, code, 3) < 0.1, "Low semantic overlap between prompt and response"),
+        (overlap < 0.1, "Low semantic overlap between prompt and response"),
     )
 
 
@@ -245,9 +250,10 @@ def python_issues(facts: Column) -> Column:
     return F.when(~facts["parses"], F.array(F.lit("Python syntax error"))).otherwise(undefined)
 
 
-def coherence(prompt: Column, reply: Column) -> Column:
-    asked = T.vocabulary(prompt, 4)
-    shared = F.size(F.array_intersect(asked, T.vocabulary(reply, 4)))
+def coherence(prompt: Column, reply: Column, asked: Column | None = None, said: Column | None = None) -> Column:
+    """How much of the prompt's words of four letters or more the reply takes up; the words may be given."""
+    asked = T.vocabulary(prompt, 4) if asked is None else asked
+    shared = F.size(F.array_intersect(asked, T.vocabulary(reply, 4) if said is None else said))
     return (
         F.when(F.coalesce(prompt, F.lit("")) == "", 0.0)
         .when(F.coalesce(reply, F.lit("")) == "", 0.0)
@@ -271,11 +277,15 @@ def score_replies(df: DataFrame, prompt: str = "prompt_text", reply: str = "resp
     """
     language, asked, said = F.col("language"), F.col(prompt), F.col(reply)
     checked = with_python_facts(detect_language(df, reply), reply)
-    checked = checked.select(
-        "*",
+    # Both texts are cut into words once: those of four letters or more are among those of three or more.
+    words = {"_asked": T.vocabulary(asked, 3), "_said": T.vocabulary(said, 3)}
+    longer = {f"{name}_long": F.filter(name, lambda w: F.length(w) > 3) for name in words}
+    given = [F.col(name) for name in checked.columns]
+    checked = checked.withColumns(words).withColumns(longer).select(
+        *given,
         invented_issues(said).alias("invented"),
         unknown_api_issues(said, language).alias("unknown_api"),
-        consistency_issues(asked, said, language).alias("inconsistent"),
+        consistency_issues(asked, said, language, shared_part(F.col("_asked"), F.col("_said"))).alias("inconsistent"),
         F.when(language == "python", python_issues(F.col("py")))
         .otherwise(language_issues(said, language))
         .alias("language_issues"),
@@ -283,7 +293,7 @@ def score_replies(df: DataFrame, prompt: str = "prompt_text", reply: str = "resp
         .when(language.isin("c", "cpp"), said.contains("{") & said.contains("}"))
         .otherwise(False)
         .alias("compiles"),
-        coherence(asked, said).alias("coherence"),
+        coherence(asked, said, F.col("_asked_long"), F.col("_said_long")).alias("coherence"),
     )
 
     def part(condition: Column, weight: float) -> Column:
