@@ -207,8 +207,8 @@ class Encoder:
     again moves back.
     """
 
-    def __init__(self, chunk_ids: Callable[[str], bytes]) -> None:
-        self.chunk_ids = chunk_ids
+    def __init__(self, chunk_ids: Callable[[str], bytes], remembered: int = REMEMBERED) -> None:
+        self.chunk_ids, self.remembered = chunk_ids, remembered
         self.known: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         self.met = bytearray(MET)
@@ -234,7 +234,7 @@ class Encoder:
     def encode(self, text: str) -> bytes:
         if SEPARATORS.search(text):
             return self.chunk_ids(text)
-        if len(self.known) > REMEMBERED:
+        if len(self.known) > self.remembered:
             self.old, self.known, self.met = self.known, {}, bytearray(MET)
         # In these characters lower case is the same before and after the text is cut.
         chunks = (text if WIDE.search(text) else text.lower()).split()
@@ -293,14 +293,14 @@ def _loaded(source: str, lexicon: bytes) -> dict:
         tokens: list[str] = [""] * (max(vocabulary.values()) + 1)
         for token, i in vocabulary.items():
             tokens[i] = token
-        store |= {"encoder": Encoder(chunk_ids), "tokens": tokens}
+        store |= {"encoder": Encoder(chunk_ids, 2 * REMEMBERED), "tokens": tokens}
     return store
 
 
 def decode(ids: bytes, tokens: list[str]) -> str:
     """The tokens of ``ids`` joined by one blank, as a tokenizer without a decoder joins them; unknown ids are passed over."""
     try:
-        return " ".join([tokens[i] for i in memoryview(ids).cast("I")])
+        return " ".join(map(tokens.__getitem__, memoryview(ids).cast("I")))
     except IndexError:
         return " ".join([tokens[i] for i in memoryview(ids).cast("I") if i < len(tokens)])
 
