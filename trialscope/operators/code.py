@@ -569,7 +569,9 @@ def function_table(df: DataFrame, key: str = "doc_id", content: str = "content",
 
     is_line = token.startswith("\n")
     is_branch = ~(starts | ends | is_line | token.isin("{", "}"))
-    numbered = function_tokens(df, key, content, language).select(
+    # The text is dealt by its key before it is cut: smaller than its tokens, and the windows need no shuffle after it.
+    dealt = df.select(key, content, language).repartition(key)
+    numbered = function_tokens(dealt, key, content, language).select(
         "*",
         F.sum(F.when(token == "{", 1).when(token == "}", -1).otherwise(0)).over(order).alias("depth"),
         running(is_line).alias("line"),
