@@ -270,6 +270,25 @@ def test_main_text_by_ratio():
     assert text.startswith("Sentence number 0") and "link" not in text.replace("link 11 x", "") and "number 5" in text
 
 
+def sentence(i):
+    return f"Sentence number {i} is long enough to be taken for text, it says nothing at all."
+
+
+LINKS = "<nav><a href='/'>Home</a></nav><div><a href='/a'>All</a> <a href='/b'>News</a></div>"
+
+
+def test_ratios_select_the_regions_of_pages_with_articles():
+    two = "".join("<article>" + "".join(f"<p>{sentence(10 * k + i)}</p>" for i in range(3 + k)) + "</article>" for k in range(2))
+    text = html_text.main_text(f"<body>{LINKS}{two}{LINKS}")
+    assert text == " ".join(sentence(i) for i in (0, 1, 2, 10, 11, 12, 13))
+    boilerplate = "".join(f"<div><a href='/{i}'>More {i}</a></div>" for i in range(8))
+    body = "".join(f"<p>{sentence(i)}</p>" for i in range(4))
+    text = html_text.main_text(f"<body><main><h1>Title</h1>{body}<p>The end.</p>{boilerplate}</main>")
+    assert text.startswith("Title Sentence number 0") and "The end." in text and "More 7" not in text
+    teaser = "<article><h3><a href='/t'>Teaser</a></h3></article>"
+    assert "Teaser" not in html_text.main_text(f"<body>{teaser}{LINKS}<article>{body}</article>{LINKS}{LINKS}{teaser}")
+
+
 def test_pages_odd_rows(spark, none):
     htmls = [None, "", "plain text only", "<p>", "<<<>>>&&#;&#xD800;<", "<script>never closed", "<p>" * 3000 + "deep", "<!-- <p>c</p> --><p>x</p>"]
     pages = spark.createDataFrame([(i, None, h, "t") for i, h in enumerate(htmls)], "page_id long, url string, html string, text string")

@@ -6,6 +6,7 @@ import math
 import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -18,17 +19,22 @@ BLOCKS = frozenset(
     "tfoot th thead title tr ul".split()
 )
 SILENT = frozenset("script style template noscript iframe object svg math canvas audio video title select textarea button".split())
-#: Elements and words of class, id or role that mark what is never main text.
+#: Elements, roles and words of class or id that make main text less likely.
 ASIDE = frozenset("nav footer header aside form menu dialog".split())
 MARKS = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|notices?|popup|modal|newsletter|subscribe|share|sharing|"
+    r"ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|notices?|popup|modal|newsletter|subscribe|share|sharing|"
     r"social|nav|navbar|navigation|menu|breadcrumbs?|sidebar|side|footer|masthead|comments?|respond|replies|related|recommended|"
-    r"widgets?|pagination|pager|toolbar|login|signup|search)(?:$|[\s_-])"
+    r"widgets?|pagination|pager|toolbar|login|signup|search"
 )
-#: An article or main element is left out only as a reader's comment.
-COMMENT = re.compile(r"(?:^|[\s_-])(?:comments?|replies|reply|respond)(?:$|[\s_-])")
+#: Words that leave a mark a mark when they stand in one class or id with it, as in site-footer.
+BESIDE_MARKS = frozenset("site page top bottom left right box list bar primary secondary global".split())
+#: An article or main element is marked only as a reader's comment.
+COMMENT = re.compile(r"comments?|replies|reply|respond")
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu".split())
 MAIN = frozenset(("article", "main"))
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Factors on the ratios of lines in an article or main element, and in a marked element.
+MAIN_PRIOR, ASIDE_PRIOR = 4.0, 0.05
 #: A paragraph ends where one of these begins.
 CLOSES_P = BLOCKS - {"br", "body", "html", "head", "option", "summary", "td", "th", "tr", "caption", "tbody", "thead", "tfoot"}
 
@@ -36,28 +42,61 @@ SIGMA = 1.0
 SPACE = re.compile(r"\s+")
 
 
-class Lines(HTMLParser):
-    """Turns a page into lines: [text, tags, aside, main], one per run of text between block borders.
+def marked(names: str, words: re.Pattern) -> bool:
+    """Whether one of the blank-separated ``names`` is made of ``words`` as a whole: cookie-notice, not related-work."""
+    for name in names.lower().split():
+        parts = [part for part in re.split("[_-]+", name) if part]
+        found = [words.fullmatch(part) is not None for part in parts]
+        if any(found) and all(hit or part in BESIDE_MARKS for part, hit in zip(parts, found)):
+            return True
+    return False
 
-    ``aside`` says that the line stands in an element that is never main text, ``main`` that it stands in
-    an article or main element (the number of the outermost one, 0 for none).
-    """
+
+class Line(NamedTuple):
+    """A run of text between block borders."""
+
+    text: str
+    tags: int
+    linked: int  # characters in links
+    node: int  # innermost marked, article or main element, 0 for none
+    block: int  # innermost block element, 0 for none
+
+
+class Node(NamedTuple):
+    """A marked element, or an article or main element (``main``), with the one around it."""
+
+    main: bool
+    parent: int
+
+
+class Lines(HTMLParser):
+    """Turns a page into lines, with the elements that say something about them."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.lines: list[list] = []
-        self.open: list[tuple[str, bool, bool, bool]] = []  # tag, silent, aside, main
-        self.silent = self.aside = self.main = 0
-        self.mains = 0
+        self.lines: list[Line] = []
+        self.nodes = [Node(False, 0)]
+        self.blocks: list[tuple[int, bool]] = [(0, True)]  # the block around, whether it is the whole page
+        self.open: list[tuple[str, bool, int, int]] = []  # tag, silent, node or 0, block or 0
+        self.within: list[int] = []  # open nodes
+        self.silent = self.anchors = 0
         self.text: list[str] = []
-        self.tags = 0
+        self.tags = self.linked = 0
+
+    def block(self) -> int:
+        """The innermost open block."""
+        for entry in reversed(self.open):
+            if entry[3]:
+                return entry[3]
+        return 0
 
     def cut(self) -> None:
         text = SPACE.sub(" ", "".join(self.text)).strip()
         if text:
-            self.lines.append([text, self.tags, self.aside > 0, self.mains if self.main else 0])
+            self.lines.append(Line(text, self.tags, self.linked, self.within[-1] if self.within else 0, self.block()))
             self.tags = 0
         self.text = []
+        self.linked = 0
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag in BLOCKS:
@@ -65,21 +104,31 @@ class Lines(HTMLParser):
         self.tags += 1
         if tag == "p" or tag in CLOSES_P:
             self.end_paragraph()
+        if tag == "a":
+            self.anchors = int(any(k == "href" for k, _ in attrs))
         if tag in VOID:
             return
         facts = dict(attrs)
-        marks = " ".join(facts.get(k) or "" for k in ("class", "id")).lower()
+        in_main = any(self.nodes[k].main for k in self.within)
+        names = facts.get("class") or ""
+        # In an article, the id of a heading or section is its subject.
+        if not (in_main and (tag == "section" or tag in HEADINGS)):
+            names += " " + (facts.get("id") or "")
         # A page header is no main text; a heading group inside an article is.
-        aside = tag in ASIDE and not (tag == "header" and self.main)
-        aside = aside or "hidden" in facts or (facts.get("role") or "").lower() in ROLES
-        aside = aside or bool(marks and tag not in ("html", "body") and (COMMENT if tag in MAIN else MARKS).search(marks))
-        entry = (tag, tag in SILENT, aside, tag in MAIN)
+        aside = tag in ASIDE and not (tag == "header" and in_main)
+        aside = aside or (facts.get("role") or "").lower() in ROLES
+        aside = aside or tag not in ("html", "body") and marked(names, COMMENT if tag in MAIN else MARKS)
+        node = block = 0
+        if tag in BLOCKS:
+            block = len(self.blocks)
+            self.blocks.append((self.block(), tag in ("html", "body")))
+        if aside or tag in MAIN:
+            node = len(self.nodes)
+            self.nodes.append(Node(not aside, self.within[-1] if self.within else 0))
+            self.within.append(node)
+        entry = (tag, tag in SILENT or "hidden" in facts, node, block)
         self.open.append(entry)
         self.silent += entry[1]
-        self.aside += entry[2]
-        if entry[3]:
-            self.mains += self.main == 0
-            self.main += 1
 
     def end_paragraph(self) -> None:
         """Close an open paragraph, unless a block stands between."""
@@ -93,8 +142,8 @@ class Lines(HTMLParser):
     def close_from(self, at: int, only: bool = False) -> None:
         for entry in [self.open[at]] if only else self.open[at:]:
             self.silent -= entry[1]
-            self.aside -= entry[2]
-            self.main -= entry[3]
+            if entry[2]:
+                self.within.remove(entry[2])
         if only:
             del self.open[at]
         else:
@@ -109,6 +158,8 @@ class Lines(HTMLParser):
         if tag in BLOCKS:
             self.cut()
         self.tags += 1
+        if tag == "a":
+            self.anchors = 0
         for i in range(len(self.open) - 1, -1, -1):
             if self.open[i][0] == tag:
                 # An inline end tag does not close the blocks around it.
@@ -118,6 +169,8 @@ class Lines(HTMLParser):
     def handle_data(self, data: str) -> None:
         if not self.silent:
             self.text.append(data)
+            if self.anchors:
+                self.linked += len(data)
 
 
 def smoothed(values: list[float], sigma: float = SIGMA) -> list[float]:
@@ -132,46 +185,103 @@ def smoothed(values: list[float], sigma: float = SIGMA) -> list[float]:
     return out
 
 
-def content(ratios: list[float]) -> list[bool]:
-    """Lines whose smoothed text-to-tag ratio reaches the threshold, the ratios' standard deviation."""
+def content(ratios: list[float], factors: list[float]) -> list[bool]:
+    """Lines whose smoothed ratio reaches the threshold, the smoothed ratios' standard deviation.
+
+    Each ratio counts ``factors`` times. A line of less than the greatest factor must reach the threshold
+    without its neighbours, too.
+    """
+    ratios, top = [r * f for r, f in zip(ratios, factors)], max(factors)
     smooth = smoothed(ratios)
     mean = sum(smooth) / len(smooth)
     threshold = math.sqrt(sum((v - mean) ** 2 for v in smooth) / len(smooth))
-    return [v >= threshold for v in smooth]
+    return [v >= threshold and (f == top or r >= threshold) for v, r, f in zip(smooth, ratios, factors)]
+
+
+def priors(lines: list[Line], nodes: list[Node]) -> tuple[list[bool], list[int], list[float]]:
+    """Per node: whether its lines are aside, its outermost article or main element (0: none), and the factor on their ratios.
+
+    An element with more than half of the page's characters is its frame, however it is marked, unless an
+    article or main element with text stands beside it. An article or main element inside a marked one is not
+    aside, but not likelier than other text either.
+    """
+    held, of_main, in_main = [0] * len(nodes), [0] * len(nodes), [False]
+    for node in nodes[1:]:
+        in_main.append(node.main or in_main[node.parent])
+    for line in lines:
+        held[line.node] += len(line.text)
+        of_main[line.node] += len(line.text) * in_main[line.node]
+    for k in range(len(nodes) - 1, 0, -1):
+        held[nodes[k].parent] += held[k]
+        of_main[nodes[k].parent] += of_main[k]
+    total, of_mains = held[0], of_main[0]
+    aside, main, factor = [False], [0], [1.0]
+    for k in range(1, len(nodes)):
+        up = nodes[k].parent
+        if nodes[k].main:
+            aside.append(False)
+            main.append(main[up] if main[up] and not aside[up] else k)
+            factor.append(1.0 if aside[up] or main[up] and factor[up] == 1.0 else MAIN_PRIOR)
+        else:
+            frame = 2 * held[k] > total and (in_main[k] or of_main[k] == of_mains)
+            aside.append(aside[up] or not frame)
+            main.append(main[up])
+            factor.append(ASIDE_PRIOR if aside[k] else factor[up])
+    return aside, main, factor
+
+
+def common_block(a: int, b: int, blocks: list[tuple[int, bool]]) -> int:
+    """The innermost block around both; a block has a greater number than the one around it."""
+    while a != b:
+        if a > b:
+            a = blocks[a][0]
+        else:
+            b = blocks[b][0]
+    return a
 
 
-def main_lines(lines: list[list]) -> list[str]:
-    """The lines of the content region.
+def main_lines(lines: list[Line], nodes: list[Node], blocks: list[tuple[int, bool]]) -> list[str]:
+    """The lines of the content regions, in page order.
 
-    Lines outside asides are clustered by ratio. A page with article or main elements yields the one
-    that holds most characters of content lines, whole: a short paragraph is not lost. Other pages yield
-    the run of content lines with most characters, with shorter lines between.
+    Lines are clustered by their ratios, which markup raises or lowers. A region is an article or main
+    element with content lines in it; the content lines outside of these make one more, which is the
+    innermost block around them. A region yields its content lines, all lines between them that are not
+    aside, and before the first and after the last those that are neither aside nor mostly links; where the
+    region is the whole page, only as far as the next line of another kind.
     """
-    lines = [line for line in lines if not line[2]]
     if not lines:
         return []
-    chosen = content([len(text) / max(1, tags) for text, tags, _, _ in lines])
-    held: dict[int, int] = {}
-    for (text, _, _, main), good in zip(lines, chosen):
-        if main:
-            held[main] = held.get(main, 0) + (len(text) if good else 0)
-    if held:
-        best = max(held, key=lambda k: (held[k], -k))
-        return [text for text, _, _, main in lines if main == best]
-    runs: list[tuple[int, int, int]] = []  # first, last, characters
-    gap = 2
-    for i, good in enumerate(chosen):
-        if not good:
-            continue
-        if runs and i - runs[-1][1] <= gap + 1:
-            first, last, size = runs[-1]
-            runs[-1] = (first, i, size + sum(len(x[0]) for x in lines[last + 1 : i + 1]))
-        else:
-            runs.append((i, i, len(lines[i][0])))
-    if not runs:
-        return [line[0] for line in lines]
-    first, last, _ = max(runs, key=lambda r: r[2])
-    return [line[0] for line in lines[first : last + 1]]
+    asides, mains, factors = priors(lines, nodes)
+    aside = [asides[line.node] for line in lines]
+    good = content([len(line.text) / max(1, line.tags) for line in lines], [factors[line.node] for line in lines])
+    if not any(good):
+        return [line.text for line, a in zip(lines, aside) if not a]
+    region = [mains[line.node] for line in lines]
+    span: dict[int, list[int]] = {}  # first and last content line by region
+    for i, chosen in enumerate(good):
+        if chosen:
+            span.setdefault(region[i], [i, i])[1] = i
+    keep = good[:]
+    for i, r in enumerate(region):
+        if r in span and span[r][0] < i < span[r][1] and not aside[i]:
+            keep[i] = True
+
+    plain = [not a and 2 * line.linked <= len(line.text) for line, a in zip(lines, aside)]
+    for i, r in enumerate(region):
+        if r in span and r and not span[r][0] <= i <= span[r][1]:
+            keep[i] = plain[i]
+    if 0 in span:
+        around = common_block(lines[span[0][0]].block, lines[span[0][1]].block, blocks)
+        inside: list[bool] = []
+        for k, (up, _) in enumerate(blocks):
+            inside.append(k == around or k > around and inside[up])
+        for way in (range(span[0][0] - 1, -1, -1), range(span[0][1] + 1, len(lines))):
+            for i in way:
+                if not region[i] and inside[lines[i].block] and plain[i]:
+                    keep[i] = True
+                elif blocks[around][1]:
+                    break
+    return [line.text for line, kept in zip(lines, keep) if kept]
 
 
 def main_text(html: str | None) -> str:
@@ -180,7 +290,7 @@ def main_text(html: str | None) -> str:
     parser.feed(html or "")
     parser.close()
     parser.cut()
-    return " ".join(main_lines(parser.lines))
+    return " ".join(main_lines(parser.lines, parser.nodes, parser.blocks))
 
 
 def _extract(column: str):
