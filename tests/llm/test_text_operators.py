@@ -289,6 +289,30 @@ def test_ratios_select_the_regions_of_pages_with_articles():
     assert "Teaser" not in html_text.main_text(f"<body>{teaser}{LINKS}<article>{body}</article>{LINKS}{LINKS}{teaser}")
 
 
+@pytest.mark.parametrize(
+    "start, end",
+    [
+        ("<form id='aspnetForm'>", "</form>"), ("<div class='content-sidebar-wrap'>", "</div>"), ("<div class='has-sidebar'>", "</div>"),
+        ("<div class='sidebar'>", "</div>"), ("<div id='search'>", "</div>"),
+    ],
+)
+def test_marked_frames_do_not_hide_the_text(start, end):
+    body = "".join(f"<p>{sentence(i)}</p>" for i in range(4))
+    whole = " ".join(sentence(i) for i in range(4))
+    for inner in (f"<main>{body}</main>", f"<article>{body}</article>", body):
+        assert html_text.main_text(f"<html><body>{LINKS}{start}{inner}{end}<footer>Host</footer></body></html>") == whole
+
+
+def test_subjects_and_dense_blocks_are_no_asides():
+    rows = [f"<p>{sentence(i)}</p>" for i in range(6)]
+    heads = ["<h2 id='side-effects'>Side effects</h2>", "<section id='related-work'><h2 id='search'>Search</h2>", "</section>"]
+    page = f"<body>{LINKS}<article>{rows[0]}{heads[0]}{rows[1]}{heads[1]}{rows[2]}{heads[2]}<div class='share'>Share it</div>{rows[3]}</article>"
+    text = html_text.main_text(page)
+    assert text == " ".join([sentence(0), "Side effects", sentence(1), "Search", sentence(2), sentence(3)])
+    dense = "<div class='notice'>" + sentence(7) * 40 + "</div>"
+    assert sentence(7) in html_text.main_text(f"<body>{LINKS}<article>{rows[0]}{dense}{rows[1]}</article>")
+
+
 def test_pages_odd_rows(spark, none):
     htmls = [None, "", "plain text only", "<p>", "<<<>>>&&#;&#xD800;<", "<script>never closed", "<p>" * 3000 + "deep", "<!-- <p>c</p> --><p>x</p>"]
     pages = spark.createDataFrame([(i, None, h, "t") for i, h in enumerate(htmls)], "page_id long, url string, html string, text string")
