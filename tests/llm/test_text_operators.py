@@ -313,6 +313,18 @@ def test_subjects_and_dense_blocks_are_no_asides():
     assert sentence(7) in html_text.main_text(f"<body>{LINKS}<article>{rows[0]}{dense}{rows[1]}</article>")
 
 
+def test_all_clusters_and_what_stands_between():
+    short = [f"Item {i}" for i in range(30)]
+    items = "<ul>" + "".join(f"<li>{x}</li>" for x in short) + "</ul>"
+    first, last = ("".join(f"<p>{sentence(i)}</p>" for i in range(k, k + 4)) for k in (0, 4))
+    ad = "<div class='ad'>Buy</div>"
+    whole = " ".join(["Short one.", *(sentence(i) for i in range(4)), *short, *(sentence(i) for i in range(4, 8)), "A.", "B.", "C.", "D."])
+    ends = "<p>A.</p><p>B.</p><p>C.</p><p>D.</p>"
+    for start, end in (("<div>", "</div>"), ("", "")):
+        page = f"<body>{LINKS}{start}<p>Short one.</p>{first}{ad}{items}{last}{ends}{end}{LINKS}"
+        assert html_text.main_text(page) == whole
+
+
 def test_pages_odd_rows(spark, none):
     htmls = [None, "", "plain text only", "<p>", "<<<>>>&&#;&#xD800;<", "<script>never closed", "<p>" * 3000 + "deep", "<!-- <p>c</p> --><p>x</p>"]
     pages = spark.createDataFrame([(i, None, h, "t") for i, h in enumerate(htmls)], "page_id long, url string, html string, text string")
