@@ -346,7 +346,8 @@ def awkward_texts():
     draw = random.Random(5)
     letters = "aAbsStdlmv'é’ ÄöΣςİıǅ日́²½ ٣\x1c\x85\xa0!?<|endoftext|>"
     made = ["".join(draw.choice(letters) for _ in range(draw.randint(1, 60))) for _ in range(400)]
-    return [*made, "a" * 3000 + "!" * 200, "don't WE'VE '''s", "<|startoftext|>x<|endoftext|>", LONG]
+    markers = ["<|ENDOFTEXT|>", "a <|EndOfText|> B", "<|STARTOFTEXT|>X<|endoftext|>Y <|ENDOFTEXT|>", "日 <|ENDOFTEXT|> É<|EndOfText|>"]
+    return [*made, "a" * 3000 + "!" * 200, "don't WE'VE '''s", "<|startoftext|>x<|endoftext|>", *markers, LONG]
 
 
 def test_encoding_equals_the_library(spark, odd, library):

@@ -236,8 +236,8 @@ class Encoder:
             return self.chunk_ids(text)
         if len(self.known) > self.remembered:
             self.old, self.known, self.met = self.known, {}, bytearray(MET)
-        # In these characters lower case is the same before and after the text is cut.
-        chunks = (text if WIDE.search(text) else text.lower()).split()
+        # In these characters lower case is the same before and after the text is cut; special tokens are of raw text.
+        chunks = (text if "<|" in text or WIDE.search(text) else text.lower()).split()
         out = list(map(self.known.get, chunks))
         at = -1
         for _ in range(out.count(None)):
