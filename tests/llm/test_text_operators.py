@@ -223,6 +223,20 @@ def test_quality_held_out(spark, sf_dir):
     assert ((got.score >= 0.5) == (got.label == 1)).mean() > 0.97 and len(got) > 50
 
 
+def test_quality_tells_classes_that_differ_by_words():
+    """Texts of both classes have words of the same lengths, case and marks."""
+    good, bad = ["stone river garden window yellow"], ["qwxzv kpqjd zxqwrt vbnmlk hjklqw"]
+
+    def rated(words, n, seed):
+        texts = [(". ".join(w.capitalize() for w in text.split()) + ".").encode() for text in sentences(words[0], n, seed)]
+        return quality.term_rates(np.frombuffer(b"".join(texts), dtype=np.uint8), np.cumsum([0, *map(len, texts)]))
+
+    rates = np.concatenate([rated(bad, 60, 1), rated(good, 60, 2)])
+    model = quality.fit(rates, np.repeat([0, 1], 60))
+    assert (model.scores(rated(good, 30, 3)) > 0.9).all() and (model.scores(rated(bad, 30, 4)) < 0.1).all()
+    assert quality.term_rates(np.frombuffer(b"A, b", dtype=np.uint8), np.array([0, 4]))[:, quality.FORMAT :].any()
+
+
 def test_quality_odd_rows(spark, odd, none):
     texts = [(i, t, 1) for i, t in enumerate(sentences("a nice quiet line of words", 20, 1))]
     texts += [(100 + i, "!! ".join(t.upper().split()), 0) for i, t in enumerate(sentences("a loud line of words", 20, 2))]

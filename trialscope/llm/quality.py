@@ -1,8 +1,9 @@
 """Quality by nearest-neighbour voting over latent-semantic vectors.
 
-Terms are pairs of neighbouring character classes (lower and upper letters, digits, blanks, line ends,
-each punctuation mark) and buckets of word repetition and word length. Log rates, weighted by inverse
-document frequency, are projected on the leading singular directions of the labelled sample. The sample's
+Terms are hashed words of the whole text (runs of letters and digits, in lower case), and besides them its
+format: pairs of neighbouring character classes (lower and upper letters, digits, blanks, line ends,
+each punctuation mark) and buckets of word repetition and word length. Both parts of a text have length one.
+Log rates, weighted by inverse document frequency, are projected on the leading singular directions of the labelled sample. The sample's
 vectors are broadcast (their number is bounded); every document gets exact cosines with all of them, in
 blocks, and its nearest neighbours vote with weights that grow with similarity.
 """
@@ -33,7 +34,12 @@ SLICE = 1 << 20
 MARKS = ".,;:!?-_'\"()|#$%&*+=/\\<>@[]{}~^`"
 CLASSES = 6 + len(MARKS)  # lower, upper, digit, blank, line end, other; then each mark
 BUCKETS = 12
-TERMS = CLASSES * CLASSES + 3 * BUCKETS
+FORMAT = CLASSES * CLASSES + 3 * BUCKETS
+#: Places for hashed words.
+WORDS = 1 << 12
+TERMS = FORMAT + WORDS
+#: Rounds of the search for the leading directions, and directions beyond ``LATENT`` that it carries.
+ROUNDS, SPARE = 8, 32
 
 
 def _classes() -> np.ndarray:
@@ -49,6 +55,28 @@ def _classes() -> np.ndarray:
     return store["table"]
 
 
+def _letters() -> np.ndarray:
+    """Bytes with blanks in place of ASCII marks, so that a word is the same with a comma and without."""
+    store = worker_store("letters")
+    if not store:
+        table = np.arange(256, dtype=np.uint8)
+        table[[i for i in range(128) if not chr(i).isalnum()]] = 0x20
+        store["table"] = table
+    return store["table"]
+
+
+def _word_rates(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Log rates of the hashed words in each whole text."""
+    n = len(offsets) - 1
+    words, each = word_hashes(_letters()[data], offsets)
+    place = np.repeat(np.arange(n), each) * WORDS + (words >> np.uint64(32)).astype(np.int64) % WORDS
+    counts = np.bincount(place, minlength=n * WORDS).reshape(n, WORDS)
+    row, column = np.nonzero(counts)
+    out = np.zeros((n, WORDS), dtype=np.float32)
+    out[row, column] = np.log1p(1000.0 * counts[row, column] / each[row])
+    return out
+
+
 def _bucket(share: np.ndarray) -> np.ndarray:
     return np.minimum((share * (BUCKETS - 1)).astype(np.int64), BUCKETS - 1)
 
@@ -86,9 +114,22 @@ def term_rates(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     full = each > 0
     for k, share in enumerate((repeated, 1.0 - distinct, length)):
         out[np.flatnonzero(full), pairs + k * BUCKETS + _bucket(share[full])] = 4.0
+    out[:, FORMAT:] = _word_rates(data, offsets)
+    for part in (out[:, :FORMAT], out[:, FORMAT:]):
+        part /= np.maximum(np.sqrt((part * part).sum(axis=1, keepdims=True)), 1e-12)
     return out
 
 
+def leading(weighted: np.ndarray) -> np.ndarray:
+    """The leading ``LATENT`` right singular directions, by subspace iteration from a fixed start."""
+    columns = min(LATENT + SPARE, *weighted.shape)
+    basis = np.random.default_rng(7).standard_normal((weighted.shape[1], columns)).astype(np.float32)
+    for _ in range(ROUNDS):
+        basis, _ = np.linalg.qr(weighted.T @ (weighted @ basis))
+    _, _, axes = np.linalg.svd(weighted @ basis, full_matrices=False)
+    return (basis @ axes.T)[:, :LATENT]
+
+
 def _rated(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray]]:
     for first, end, data, offsets in text_slices(batch, "text", SLICE):
         for low in range(0, end - first, ROWS):
@@ -133,9 +174,8 @@ def fit(rates: np.ndarray, labels: np.ndarray, totals: tuple[float, float] | Non
     drawn_of = np.maximum(np.bincount(labels, minlength=2), 1)
     totals = np.array(totals if totals else drawn_of, dtype=np.float64)
     rarity = np.log((1.0 + len(rates)) / (1.0 + (rates > 0).sum(axis=0))) + 1.0
-    weighted = (rates * rarity).astype(np.float64)
-    _, axes = np.linalg.eigh(weighted.T @ weighted)
-    projection = (rarity[:, None] * axes[:, ::-1][:, :LATENT]).astype(np.float32)
+    rarity = rarity.astype(np.float32)
+    projection = rarity[:, None] * leading(rates * rarity)
     model = Model(projection, rates, labels.astype(np.float64), (totals / drawn_of)[labels], float(totals[1] / totals.sum()))
     return Model(projection, model.latent(rates).astype(np.float32), model.labels, model.weights, model.prior)
 
