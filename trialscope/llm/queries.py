@@ -12,6 +12,7 @@ from ..session import work_path
 from . import language_id, quality
 from .bpe import encode_texts
 from .embedding_dedup import near_duplicate_vectors
+from .filter_audit import audit_filters
 from .html_text import extract_text
 from .metric_search import SCALE, top_k
 from .minhash import near_duplicates
@@ -208,3 +209,42 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op2_best_fit_packing")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), ["doc_id"])
+
+
+OP11_SQL = """
+with d as (
+  select doc_id, coalesce(lang, '') as part, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') as w
+  from documents),
+l as (select doc_id, coalesce(bool_or(quality = 1), false) as good, coalesce(bool_or(toxic = 1), false) as toxic from labels group by doc_id),
+f as (
+  select part, coalesce(good, false) as good, coalesce(toxic, false) as toxic,
+    (len(w) < 200)::int + 2 * (100 * len(list_distinct(w)) < 50 * len(w))::int
+    + 4 * (100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 3 * length(t))::int + 8 * regexp_matches(t, '[#$%&*|]')::int
+    + 16 * coalesce(d.doc_id > min(d.doc_id) over (partition by t), false)::int as mask
+  from d left join l using (doc_id)),
+c as (
+  select part, mask, count(*) as n, count(*) filter (good) as good, count(*) filter (toxic) as toxic from f group by all),
+b(x, bit) as (values ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)),
+p as (
+  select a.x || b.x || c.x || d.x || e.x as filter_order, [a.bit, b.bit, c.bit, d.bit, e.bit] as bits
+  from b a join b on a.x <> b.x join b c on c.x not in (a.x, b.x) join b d on d.x not in (a.x, b.x, c.x)
+    join b e on e.x not in (a.x, b.x, c.x, d.x)),
+s as (
+  select filter_order, i::int as step, bits[i] as bit, coalesce(list_sum(bits[1 : i - 1]), 0)::int as earlier
+  from p, (select unnest([1, 2, 3, 4, 5]) as i)),
+r as (
+  select part, filter_order, step, bit,
+    coalesce(sum(n) filter (mask & (bit | earlier) = 0), 0)::bigint as kept,
+    coalesce(sum(n) filter (mask & bit <> 0 and mask & earlier = 0), 0)::bigint as removed,
+    coalesce(sum(n) filter (mask & bit <> 0 and mask & earlier <> 0), 0)::bigint as redundant,
+    coalesce(sum(n) filter (mask = bit), 0)::bigint as unique_fails,
+    coalesce(sum(good) filter (mask & bit <> 0 and mask & earlier = 0), 0)::bigint as good_lost,
+    coalesce(sum(toxic) filter (mask & bit <> 0 and mask & earlier = 0), 0)::bigint as toxic_lost
+  from c, s group by all)
+select * exclude (bit), sum(removed) over (partition by part, bit)::bigint as shapley from r
+"""
+
+
+@query("op11_filter_audit", OP11_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
