@@ -16,6 +16,7 @@ from .filter_audit import audit_filters
 from .html_text import extract_text
 from .metric_search import SCALE, top_k
 from .minhash import near_duplicates
+from .mixing import mix_sources
 from .packing import pack
 from .secrets import RULES as RULES_OF_SECRETS
 from .secrets import all_spans, joined_spans, scan_versions
@@ -248,3 +249,8 @@ select * exclude (bit), sum(removed) over (partition by part, bit)::bigint as sh
 @query("op11_filter_audit", OP11_SQL)
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op12_source_mixing")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(table(spark, sf_dir, "documents"), ["doc_id"])
