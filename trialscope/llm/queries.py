@@ -18,6 +18,7 @@ from .metric_search import SCALE, top_k
 from .minhash import near_duplicates
 from .mixing import mix_sources
 from .packing import pack
+from .phrases import collocations
 from .secrets import RULES as RULES_OF_SECRETS
 from .secrets import all_spans, joined_spans, scan_versions
 from .url_filters import RULES, filter_urls, rule_table
@@ -254,3 +255,38 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op12_source_mixing")
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"), ["doc_id"])
+
+
+OP13_SQL = """
+with d as (
+  select row_number() over () as i, coalesce(lang, 'und') as lang,
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as t from documents),
+p as (
+  select lang, regexp_extract_all(piece, '[^\\x20\\x09]+') as w
+  from (select lang, unnest(regexp_split_to_array(t, '[.,;:!?\\x0A-\\x0D]')) as piece from d)),
+c as (select lang, sum(len(w))::bigint as n from p group by lang),
+g as (
+  select lang, k, array_to_string(w[j : j + k - 1], ' ') as phrase
+  from (select lang, w, k, unnest(range(1, len(w) - k + 2)) as j from p, (select unnest([1, 2, 3, 4]) as k))),
+f as (select lang, k, phrase, count(*)::bigint as a from g group by all having count(*) >= 30),
+x as (select lang, k as words, phrase, string_split(phrase, ' ') as s, a from f where k > 1),
+s as (
+  select x.lang, x.phrase, x.words, x.a, cut, h.a as l, t.a as r, (2000000::hugeint * x.a // (h.a::hugeint + t.a))::bigint as score
+  from (select *, unnest(range(1, words)) as cut from x) x
+  join f h on h.lang = x.lang and h.phrase = array_to_string(s[1 : cut], ' ')
+  join f t on t.lang = x.lang and t.phrase = array_to_string(s[cut + 1 :], ' ')),
+b as (select *, row_number() over (partition by lang, phrase order by score, cut) as o from s),
+i as (
+  select lang, array_to_string(s[j : j + m - 1], ' ') as phrase, max(a) as around
+  from (select *, unnest(range(1, words - m + 2)) as j from (select *, unnest(range(2, words)) as m from x)) group by all),
+r as (
+  select b.lang, b.phrase, b.a, l, r, score, row_number() over (partition by b.lang order by score desc, b.a desc, b.phrase)::bigint as rank
+  from b left join i on i.lang = b.lang and i.phrase = b.phrase
+  where o = 1 and (around is null or 100 * around < 80 * b.a))
+select lang, rank, phrase, a, l, r, n, score from r join c using (lang) where rank <= 2000
+"""
+
+
+@query("op13_phrase_collocations", OP13_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"))
