@@ -65,7 +65,7 @@ def test_csv_of_many_cells_is_linear(spark):
     got = df.select(structured.cells(F.col("line"), F.lit(",")).alias("c")).collect()
     assert time.time() - start < 10
     assert got[0]["c"] == ['a, "b"'] * 50_000
-    assert [r["c"] for r in got[1:]] == [["", "x,y", ""], ['"open, end'], [""]]
+    assert [r["c"] for r in got[1:]] == [["", "x,y", ""], ["open, end"], [""]]
 
 
 def test_folder_with_documents(spark, tmp_path):
@@ -195,3 +195,118 @@ def test_settings(values):
     assert values(projects.project_path, "-d /a --source /b", "none") == ["/b", None]
     assert [tuple(v) for v in values(projects.env_file_settings, "#model=no\nmodel=a=b\nprovider=x\nprovider=y", "")] == [("a=b", "y"), (None, None)]
     assert values(lambda c: F.sha2(c, 256).startswith(projects.key_prefix(c)), "secret") == [True]
+
+
+def in_splits(spark, size, work):
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    try:
+        return work()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def random_csv(seed):
+    import random
+
+    draw = random.Random(seed)
+    mark = draw.choice(",;\t")
+    cells = ["x", 'a"b', '"q"', '"a""b"', '"l1\nl2"', f'"a\n\n""\nb{mark}c"', '""', '"x"y', f'"{mark}"', '5" y', '"m\n"n"', ""]
+    rows = [mark.join(["time", "level", "note"] if seed % 3 else ["time", "level", '"no\nte"'])]
+    for _ in range(draw.randint(1, 40)):
+        rows.append(mark.join([draw.choice(cells) if draw.random() > 0.01 else f'"un{mark}', draw.choice(cells), "z" + draw.choice(cells)]))
+    return "\n".join(rows) + "\n"
+
+
+def test_csv_records_are_those_of_the_standard_reader(spark, tmp_path, monkeypatch):
+    """Cells with line breaks, quotes inside cells, quotes that never end; runs of three lines, one split and many."""
+    import csv
+    import io
+
+    monkeypatch.setattr(structured, "RUN_LINES", 3)
+    want = {}
+    for i in range(25):
+        content = random_csv(i)
+        (tmp_path / f"t{i:02d}.csv").write_text(content)
+        sample = content[:1024]
+        reader = csv.DictReader(io.StringIO(content), delimiter="\t" if "\t" in sample else ";" if ";" in sample else ",")
+        want[f"t{i:02d}.csv"] = [{k: v for k, v in row.items() if k is not None} for row in reader]
+
+    def read():
+        rows = structured.csv_rows(text.numbered_lines(spark, str(tmp_path))).collect()
+        got = {name: [] for name in want}
+        for r in sorted(rows, key=lambda r: (r["file"], r["line_number"])):
+            got[r["file"].rsplit("/", 1)[1]].append(r["data"])
+        return got
+
+    assert in_splits(spark, "10000000", read) == want
+    assert in_splits(spark, "40", read) == want
+
+
+def test_csv_records_that_are_too_long(spark, monkeypatch):
+    monkeypatch.setattr(structured, "RECORD_LINES", 50)
+    monkeypatch.setattr(structured, "RUN_LINES", 8)
+    df = lines(spark, a=["level,x", 'one,"a', *["b"] * 30, 'c",d', 'two,"never', *["e"] * 100])
+    rows = {r["line_number"]: r for r in structured.csv_records(df.withColumn("delimiter", F.lit(","))).collect()}
+    assert sorted(rows) == [1, 2, 34]
+    assert rows[2]["raw_line"] == "\n".join(['one,"a', *["b"] * 30, 'c",d']) and not rows[2]["is_bad"]
+    assert rows[34]["is_bad"] and rows[34]["raw_line"] == 'two,"never'
+    assert [r["data"] for r in structured.csv_rows(df).orderBy("line_number").collect()][1] is None
+
+
+JSON_FILES = {
+    "pretty.json": '[\n  {\n    "msg": "a, [b] {c} \\" ]",\n    "x": [1, [2, 3], {"k": []}]\n  },\n\n  {"msg": "two"}, {"msg":"three"},{\n"msg": "é,漢"\n}\n]\n',
+    "one_line.json": '[{"msg": "p"}, {"msg": "q"}]',
+    "object.json": '{\n "msg": "whole",\n "list": [1,\n 2]\n}\n',
+    "nested.json": '[[1,\n2],\n{"msg": "n"}, 5, "s,t"]',
+    "empty.json": "[\n]\n",
+    "by_line.json": '{"msg": "l1"}\n{"msg": "l2"}\n[1]\n',
+    "open.json": '[\n{"msg": "x"},\n',
+    "comma.json": '[\n{"msg": "x"},\n]\n',
+    "two.json": '[\n{"msg": "x"}\n]\n[\n{"msg": "y"}\n]\n',
+    "text.json": '[\n{"msg": "x"}\n]\nend\n',
+    "element.json": '[\n{"msg": "x"},\n{"msg": }\n]\n',
+    "gap.json": '[\n{"msg": "x"}\n{"msg": "y"}\n]\n',
+    "objects.json": '{\n"msg": "x"\n}\n{\n"msg": "y"\n}\n',
+    "blank.json": "\n  \n",
+}
+
+
+def test_json_documents_are_cut_into_elements(spark, tmp_path, monkeypatch):
+    """As the standard parser reads them, in any number of splits and runs; what is no document is left to the line reader."""
+    import json
+
+    monkeypatch.setattr(structured, "RUN_LINES", 2)
+    for name, content in JSON_FILES.items():
+        (tmp_path / name).write_text(content)
+    (tmp_path / "long.json").write_text(json.dumps([{"msg": str(i), "more": [i, {"deep": ["],["]}]} for i in range(300)], indent=1))
+    want = {}
+    for path in sorted(tmp_path.iterdir()):
+        content = path.read_text()
+        used = [line for line in content.split("\n") if line.strip()]
+        try:
+            data = json.loads(content)
+        except ValueError:
+            continue
+        if used:
+            data = data if isinstance(data, list) else [data]
+            want[path.name] = [d.get("msg") if isinstance(d, dict) else None for d in data]
+
+    def read():
+        rows = structured.json_file_entries(text.numbered_lines(spark, str(tmp_path))).collect()
+        got = {r["file"].rsplit("/", 1)[1]: [] for r in rows}
+        for r in sorted(rows, key=lambda r: r["entry"]):
+            if not r["is_empty"]:
+                got[r["file"].rsplit("/", 1)[1]].append(r["message"])
+        return got
+
+    assert in_splits(spark, "10000000", read) == want
+    assert in_splits(spark, "50", read) == want
+    assert len(want["long.json"]) == 300 and "by_line.json" not in want
+
+
+def test_no_list_of_all_lines_of_a_json_file(spark, tmp_path):
+    """A long file of one entry per line goes line by line through the dispatch."""
+    (tmp_path / "a.json").write_text("".join(f'{{"msg": "m{i}"}}\n' for i in range(5000)) + "{bad\n")
+    (row,) = log_analysis.file_totals(log_analysis.parse_folder(spark, str(tmp_path))).collect()
+    assert (row["parsed_entries"], row["errors"]) == (5000, 1)

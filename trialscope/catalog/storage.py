@@ -145,6 +145,37 @@ def _(spark, sf):
     )
 
 
+# Every third note is plain; the others go over lines, one with a blank line in it.
+NOTES = """case o_orderkey % 3 when 0 then concat('a', chr(10), 'b "q"') when 1 then 'x, y' else concat('l1', chr(10), chr(10), 'l3') end"""
+
+
+def write_csv_files(spark, sf) -> str:
+    """The orders as CSV files whose cells hold line breaks, delimiters and quotes."""
+    path = work_path(spark, "csv")
+    orders = view(spark, sf, "orders").withColumn("file", F.concat(F.lit("f"), (F.col("o_custkey") % 3).cast("string")))
+    note = F.replace(F.expr(NOTES.replace("chr(", "char(")), F.lit('"'), F.lit('""'))
+    record = F.concat(F.col("o_orderkey").cast("string"), F.lit(',"'), note, F.lit('",'), "o_orderstatus")
+    head = orders.select("file").distinct().select("file", F.lit(-1).cast("bigint").alias("at"), F.lit("key,note,level").alias("text"))
+    rows = head.unionByName(orders.select("file", F.col("o_orderkey").cast("bigint").alias("at"), record.alias("text")))
+    rows.repartition("file").sortWithinPartitions("file", "at").select("file", "text").write.partitionBy("file").text(path)
+    return path
+
+
+@query(
+    "src9_csv_cells_over_lines",
+    oracle(
+        "orders",
+        f"""select concat('f', cast(o_custkey % 3 as varchar)) as file, cast(o_orderkey as varchar) as key, {NOTES} as note, o_orderstatus as level,
+        cast(2 + coalesce(sum(case o_orderkey % 3 when 0 then 2 when 1 then 1 else 3 end) over (partition by o_custkey % 3 order by o_orderkey rows between unbounded preceding and 1 preceding), 0) as bigint) as line_number from orders""",
+    ),
+)
+def _(spark, sf):
+    rows = structured.csv_rows(text.numbered_lines(spark, write_csv_files(spark, sf)))
+    return rows.select(
+        F.regexp_extract("file", r"file=(\w+)", 1).alias("file"), F.col("data")["key"].alias("key"), F.col("data")["note"].alias("note"), "level", "line_number"
+    )
+
+
 PARSED = f"""{JSON}, f as (select * from mixed_lines where starts_with(file, 'fuzz')),
   ev as (select file, 'json' as format, {KIND} as kind from j
   union all select file, 'csv', 'csv_row' from mixed_lines where starts_with(file, 'table') and line_number > 1
@@ -223,6 +254,68 @@ def _(spark, sf):
     return log_analysis.analyze_folder(spark, write_shards(spark, sf), work_path(spark, "totals"), "*.txt")
 
 
+DOCUMENTS = {0: "list.json", 1: "lines.json", 2: "suite.xml", 3: "table.csv"}
+
+
+def write_documents(spark, sf) -> str:
+    """The events as files of every format: lists of JSON over many lines, JSON by line, XML suites, CSV with line breaks."""
+    path, events = work_path(spark, "documents"), view(spark, sf, "events")
+    kind, identity = (F.col("event_id") % 4).cast("int"), F.col("event_id").cast("string")
+    level = F.concat(F.lit("l"), (F.col("user_id") % 3).cast("string"))
+    one = F.concat(F.lit('{"message": "'), "event_type", F.lit('",\n  "level": "'), level, F.lit('"},'))
+    line = F.concat(F.lit('{"message":"'), "event_type", F.lit('","level":"'), level, F.lit('"}'))
+    case = F.concat(F.lit('<testcase name="e'), identity, F.lit('"/>'))
+    row = F.concat(level, F.lit(',"a\n""b"", c",'), identity, F.lit(",x"))
+    body = F.when(kind == 0, one).when(kind == 1, line).when(kind == 2, case).otherwise(row)
+    rows = events.select(kind.alias("kind"), (F.col("user_id") % 2).cast("int").alias("shard"), F.col("event_id").cast("bigint").alias("at"), body.alias("text"))
+    files, (k, last) = rows.select("kind", "shard").distinct(), (F.col("kind"), F.lit(1 << 60))
+    head = F.when(k == 0, "[").when(k == 2, '<testsuites>\n<testsuite name="s">').when(k == 3, "level,note,id,more")
+    foot = F.when(k == 0, '{"message": "end"}\n]').when(k == 1, "{broken").when(k == 2, "</testsuite>\n</testsuites>")
+    for at, edge in ((F.lit(-1).cast("bigint"), head), (last.cast("bigint"), foot)):
+        rows = rows.unionByName(files.select("kind", "shard", at.alias("at"), edge.alias("text")).filter("text is not null"))
+    ordered = rows.repartition("kind", "shard").sortWithinPartitions("kind", "shard", "at").select("kind", "shard", "text")
+    ordered.write.partitionBy("kind", "shard").text(path)
+    # The writer names all files .txt; the formats go by the extension.
+    of = spark._jvm.org.apache.hadoop.fs.Path
+    system = of(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    for kind, name in DOCUMENTS.items():
+        for found in system.globStatus(of(f"{path}/kind={kind}/shard=*/part-*")) or []:
+            folder = found.getPath().getParent()
+            system.rename(found.getPath(), of(folder, name))
+    return path
+
+
+DOCUMENT_EVENTS = """x as (select event_id % 4 as k, cast(user_id % 2 as varchar) as shard, concat('l', cast(user_id % 3 as varchar)) as lv, event_type from events),
+  ev as (select k, shard, case when k < 2 then 'json' when k = 2 then 'xml' else 'csv' end as format, case k when 2 then 'test_case' when 3 then 'csv_row' end as kind,
+      case when k = 2 then 'passed' else lv end as level, case when k < 2 then event_type end as message, false as is_bad from x
+    union all select distinct k, shard, 'json', null, null, 'end', false from x where k = 0
+    union all select distinct k, shard, 'json', null, null, null, true from x where k = 1)"""
+DOCUMENT_NAME = "case k when 0 then 'list.json' when 1 then 'lines.json' when 2 then 'suite.xml' else 'table.csv' end"
+
+
+@query(
+    "src1_documents_of_any_size",
+    oracle("events", f"with {DOCUMENT_EVENTS} select {DOCUMENT_NAME} as name, shard, format, kind, level, message, is_bad, count(*) as entries from ev group by all"),
+)
+def _(spark, sf):
+    rows = log_analysis.parse_folder(spark, write_documents(spark, sf))
+    named = F.when(F.col("format") == "json", F.col("message")).alias("message")
+    return rows.groupBy(
+        F.regexp_extract("file", r"([^/]+)$", 1).alias("name"), F.regexp_extract("file", r"shard=(\d+)", 1).alias("shard"), "format", "kind", "level", named, "is_bad"
+    ).agg(F.count("*").alias("entries"))
+
+
+@query(
+    "snk9_analyze_documents",
+    oracle(
+        "events",
+        f"with {DOCUMENT_EVENTS} select format, count(distinct concat({DOCUMENT_NAME}, shard)) as files, count(case when not is_bad then 1 end) as total_entries, count(case when is_bad then 1 end) as total_errors from ev group by format",
+    ),
+)
+def _(spark, sf):
+    return log_analysis.analyze_folder(spark, write_documents(spark, sf), work_path(spark, "totals"), "*.{json,xml,csv}")
+
+
 # -- entities --------------------------------------------------------------------
 
 SESSION_COLUMNS = "session_id, pid, llm_provider, status, fuzz_drivers_generated, estimated_cost_usd"

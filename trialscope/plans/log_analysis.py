@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import logs
+from ..session import written
 from ..sources import structured
 from ..sources.text import SNIFFED_LINES, extension, format_of, numbered_lines, sniffing_tests
 
@@ -47,16 +48,6 @@ def _json_entry(line: Column) -> Column:
     return T.let(F.try_parse_json(line), entry)
 
 
-def _csv_entry(line: Column) -> Column:
-    names, values = F.col("names"), structured.cells(line, F.col("delimiter"))
-    return _entry(
-        F.lit("csv_row"),
-        structured.first_named(names, values, structured.TIME_NAMES),
-        structured.first_named(names, values, structured.LEVEL_NAMES),
-        line,
-    )
-
-
 def _text_entry(line: Column) -> Column:
     return _entry(logs.line_kind(line), T.first(line, logs.TIMESTAMP, 1), F.upper(T.first(line, logs.LEVEL, 1)), line)
 
@@ -68,43 +59,51 @@ def _tool_entries(parser, line: Column) -> Column:
 def parse_table(lines: DataFrame, hint: str | None = None) -> DataFrame:
     """Events of a line table: each line goes to the parser of its file's format.
 
-    The lines are read once for the few that decide the formats and once to parse: all line parsers sit
-    in one projection behind the format. The facts per file are a small table, which AQE
-    broadcasts; if it is not, the join on the file splits skewed files. XML files, and ``.json`` files that
-    hold one document, are put together and parsed whole; any other JSON is read line by line.
+    The lines are read for the few that decide the formats, and once for all parsers of single lines, which
+    sit in one projection behind the format. The facts per file are a small table, which AQE
+    broadcasts; if it is not, the join on the file splits skewed files. Formats whose entries go over lines are read besides, where a
+    file has them: CSV records are put together where they have several lines, ``.json`` files that are one document are cut into the elements of
+    their list, and XML documents are read whole. Any other JSON is read line by line.
     """
     line, form = F.col("raw_line"), F.col("format")
     if hint == "crash":
         rows = logs.crash_traces(lines)
         return _common(rows, F.lit("crash"), kind=F.lit("crash_start"), line_number=F.col("crash_line"))
-    joined = lines.join(file_facts(lines), "file")
+    facts = file_facts(lines)
     if hint:
-        joined = joined.withColumn("format", F.lit(hint))
-    whole = (form == "xml") | ((form == "json") & (extension(F.col("file")) == "json"))
-    documents = (
-        joined.filter(whole)
-        .groupBy("file", "format")
-        .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_number", "raw_line"))), lambda r: r["raw_line"]), "\n").alias("content"))
-    )
-    parsed = [parse_xml_table(documents.filter(form == "xml")), parse_json_table(documents.filter(form == "json"))]
-    stripped = joined.filter(form != "xml").withColumn("raw_line", T.strip(line))
-    read = documents.filter(form == "json").filter(_one_document(F.col("content"))).select("file")
-    stripped = stripped.join(read, "file", "left_anti")
+        facts = facts.withColumn("format", F.lit(hint))
+    facts = written(facts, "facts")
+    whole_json = (form == "json") & (extension(F.col("file")) == "json")
+    kinds = facts.agg(F.collect_set("format").alias("formats"), F.max(whole_json).alias("whole_json")).first()  # formats are few
+    joined = lines.join(facts, "file")
+    parsed = []
+    if "csv" in kinds["formats"]:
+        parsed.append(parse_csv_lines(joined.filter(form == "csv").select("file", "line_number", "raw_line", "delimiter")))
+    if "xml" in kinds["formats"]:
+        texts = F.array_sort(F.collect_list(F.struct("line_number", "raw_line")))
+        documents = joined.filter(form == "xml").groupBy("file").agg(F.array_join(F.transform(texts, lambda r: r["raw_line"]), "\n").alias("content"))
+        parsed.append(parse_xml_table(documents))
+    stripped = joined.filter(~form.isin("xml", "csv")).withColumn("raw_line", T.strip(line))
+    if kinds["whole_json"]:
+        entries = written(structured.json_file_entries(joined.filter(whole_json).select("file", "line_number", "raw_line")), "documents")
+        parsed.append(_common(entries.filter("not is_empty"), F.lit("json"), is_bad=F.lit(False)))
+        stripped = stripped.join(entries.select("file").distinct(), "file", "left_anti")
     used = line != ""
     entries = F.when((form == "json") & used, F.array(_json_entry(line)))
-    entries = entries.when((form == "csv") & used & (F.col("line_number") > 1), F.array(_csv_entry(line)))
     for tool, parser in logs.LINE_PARSERS.items():
         entries = entries.when(form == tool, _tool_entries(parser, line))
     entries = entries.when((form == "text") & used, F.array(_text_entry(line)))
     rows = stripped.select("file", "line_number", "format", F.explode(entries).alias("e"))
-    return parsed[0].unionByName(parsed[1]).unionByName(_common(rows.select("file", "line_number", "format", "e.*"), form))
+    out = _common(rows.select("file", "line_number", "format", "e.*"), form)
+    for other in parsed:
+        out = out.unionByName(other)
+    return out
 
 
-def _one_document(content: Column) -> Column:
-    """Whether a text is one JSON document and not one per line (the parser passes over what follows the first)."""
-    used = F.regexp_replace(content, r"^\s+|\s+$", "")
-    first = F.try_parse_json(F.regexp_extract(used, r"^[^\n]*", 0))
-    return F.try_parse_json(used).isNotNull() & (~used.contains("\n") | first.isNull())
+def parse_csv_lines(lines: DataFrame) -> DataFrame:
+    """One entry per CSV record of ``lines`` with the file's ``delimiter``; a record too long to be put together is a bad row."""
+    rows = structured.csv_record_rows(structured.csv_records(lines))
+    return _common(rows, F.lit("csv"), kind=F.lit("csv_row"), message=F.col("raw_line"))
 
 
 def parse_json_table(documents: DataFrame) -> DataFrame:
@@ -112,6 +111,13 @@ def parse_json_table(documents: DataFrame) -> DataFrame:
     return _common(structured.json_documents(documents.filter(_one_document(F.col("content")))), F.lit("json"))
 
 
+def _one_document(content: Column) -> Column:
+    """Whether a text is one JSON document and not one per line (the parser passes over what follows the first)."""
+    used = F.regexp_replace(content, r"^\s+|\s+$", "")
+    first = F.try_parse_json(F.regexp_extract(used, r"^[^\n]*", 0))
+    return F.try_parse_json(used).isNotNull() & (~used.contains("\n") | first.isNull())
+
+
 def parse_xml_table(documents: DataFrame) -> DataFrame:
     """Entries of whole XML documents by their root element, and one bad row for each that is not well formed.
 

@@ -2,15 +2,29 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..session import written
 
 MODEL_FIELDS = ["model", "provider", "tokens", "cost", "prompt", "response", "prompt_tokens", "completion_tokens", "total_tokens"]
 CRASH_FIELDS = ["signal", "exit_code", "stack_trace", "address", "instruction"]
 
 
+#: Lines of a run: what is known of a run before it is read is one row.
+RUN_LINES = 1024
+
+
+def _run(line_number: Column) -> Column:
+    return F.floor((line_number - 1) / RUN_LINES).cast("bigint")
+
+
 # -- JSON ------------------------------------------------------------------------
 
 
@@ -61,6 +75,104 @@ def json_documents(documents: DataFrame) -> DataFrame:
     )
 
 
+_STRING = r'"(?:[^"\\\\]++|\\\\.)*+"?'
+
+
+def _depth_change(line: Column) -> Column:
+    """Brackets that a line opens less those it closes; JSON strings do not go over lines."""
+    bare = F.regexp_replace(line, _STRING, "")
+    opened, closed = (F.length(bare) - F.length(F.translate(bare, marks, "")) for marks in ("[{", "]}"))
+    return (opened - closed).cast("bigint")
+
+
+def _cut_elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Cut the lines of runs at the commas of the outermost list; ``piece`` counts these commas in a run."""
+    string = re.compile(r'"(?:[^"\\]|\\.)*"?')
+    change = np.zeros(256, dtype=np.int64)
+    change[[ord("["), ord("{")]], change[[ord("]"), ord("}")]] = 1, -1
+    at, depth, piece = None, 0, 0
+    for batch in batches:
+        out = []
+        for row in batch.to_pylist():
+            if at != (row["file"], row["run"]):
+                at, depth, piece = (row["file"], row["run"]), row["depth"], 0
+            line = row["raw_line"].encode()
+            bare = np.frombuffer(string.sub(lambda m: "x" * len(m[0].encode()), row["raw_line"]).encode(), dtype=np.uint8)
+            after = depth + np.cumsum(change[bare])
+            before = after - change[bare]
+            blank, comma = np.isin(bare, (0x20, 0x09, 0x0D)), bare == ord(",")
+            own = (np.minimum(before, after) == 0) & (before != after)
+            wrong = bool((((before <= 0) & (after <= 0) & ~blank) | (after < 0)).any())
+            cuts, text = np.zeros(0, np.int64), np.frombuffer(line, dtype=np.uint8).copy()
+            if row["is_list"]:
+                # The list's own brackets are no part of an element.
+                cuts, text[own] = np.flatnonzero(comma & (before == 1)), 0x20
+                wrong |= bool((own & ~np.isin(bare, (ord("["), ord("]")))).any())
+            lists = int((own & (after == 1)).sum())
+            inner = (before == 1) & (after == 2)
+            loose = (before == 1) & (after == 1) & ~blank & ~comma
+            for part, (a, b) in enumerate(zip([0, *(cuts + 1)], [*cuts, len(line)])):
+                values = int(inner[a:b].sum()) + bool(loose[a:b].any()) if row["is_list"] else 0
+                out.append((*at, row["line_number"], part, piece + part, text[a:b].tobytes().decode(), wrong, 0 if part else lists, values))
+            piece += len(cuts)
+            depth = int(after[-1]) if len(after) else depth
+        if out:
+            names = ["file", "run", "line_number", "part", "piece", "content", "wrong", "lists", "values"]
+            yield pa.RecordBatch.from_arrays([pa.array(column) for column in zip(*out)], names)
+
+
+def json_file_entries(lines: DataFrame) -> DataFrame:
+    """Entries (file, entry, and as in ``json_documents``) of the files that hold one JSON document, from their lines.
+
+    A file is one document if its first line that is not blank is no JSON or the only one, and the whole of it is JSON; other files give no
+    rows. A list of any length is cut into its elements by many tasks: the depth that a run of lines begins at is the sum of the
+    brackets before it, so only elements are ever put together, and numbers of runs say which element of the file a run begins in.
+    """
+    used = T.strip(F.col("raw_line")) != ""
+    first = F.min(F.when(used, F.struct("line_number", "raw_line")))
+    facts = lines.groupBy("file").agg(first.alias("first"), F.count_if(used).alias("used"))
+    alone = F.try_parse_json(T.strip(F.col("first.raw_line"))).isNotNull()
+    facts = facts.filter((F.col("used") > 0) & ((F.col("used") == 1) | ~alone))
+    facts = facts.select("file", T.strip(F.col("first.raw_line")).startswith("[").alias("is_list"))
+    own = lines.withColumn("run", _run(F.col("line_number"))).join(facts, "file")
+
+    runs = own.groupBy("file", "run").agg(F.sum(_depth_change(F.col("raw_line"))).alias("change"))
+    before = Window.partitionBy("file").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
+    runs = written(runs.withColumn("depth", F.coalesce(F.sum("change").over(before), F.lit(0))), "depths")
+    dealt = own.join(runs.select("file", "run", "depth"), ["file", "run"]).repartition("file", "run")
+    ordered = dealt.select("file", "run", "line_number", "raw_line", "is_list", "depth").sortWithinPartitions("file", "run", "line_number")
+    parts = ordered.mapInArrow(
+        _cut_elements, "file string, run bigint, line_number bigint, part bigint, piece bigint, content string, wrong boolean, lists bigint, values bigint"
+    )
+    parts = written(parts, "elements")
+    offsets = parts.groupBy("file", "run").agg(F.max("piece").alias("cuts"))
+    offsets = offsets.select("file", "run", F.coalesce(F.sum("cuts").over(before), F.lit(0)).alias("offset"))
+    text = F.array_sort(F.collect_list(F.struct("line_number", "part", "content")))
+    elements = (
+        parts.join(offsets, ["file", "run"])
+        .groupBy("file", (F.col("offset") + F.col("piece")).cast("int").alias("entry"))
+        .agg(F.array_join(F.transform(text, lambda r: r["content"]), "\n").alias("content"), F.max("wrong").alias("wrong"), F.sum("lists").alias("lists"), F.sum("values").alias("values"))
+    )
+    # Two values without a comma between them are no element.
+    elements = elements.withColumn("wrong", F.col("wrong") | (F.col("values") > 1))
+    content = T.strip(F.col("content"))
+    elements = written(elements.select("file", "entry", content.alias("content"), "wrong", "lists"), "entries")
+    document = F.try_parse_json("content")
+    blank = F.col("content") == ""
+    whole = elements.groupBy("file").agg(
+        F.max("entry").alias("last"), F.sum("lists").alias("lists"), F.max(F.col("wrong") | document.isNull()).alias("wrong"), F.max(blank).alias("blank")
+    )
+    depth = runs.groupBy("file").agg(F.sum("change").alias("depth"))
+    empty = F.col("blank") & (F.col("last") == 0)  # a list without elements
+    closed = (F.col("depth") == 0) & (F.col("lists") == 1)  # one list or object, and nothing left open
+    good = whole.join(depth, "file").filter(closed & (~F.col("wrong") | empty)).select("file")
+    rows = elements.join(good, "file").select("file", "entry", F.when(~blank, document).alias("document"))
+    # A file without entries leaves a row without a document.
+    return rows.select(
+        "file", "entry", F.col("document").isNull().alias("is_empty"), *entry_columns(F.col("document"), F.to_json("document"))
+    )
+
+
 # -- XML -------------------------------------------------------------------------
 
 _NOTE = "STRUCT<_message STRING, _VALUE STRING>"
@@ -168,23 +280,132 @@ def delimiter_of(sample: Column) -> Column:
     return F.when(sample.contains("\t"), "\t").when(sample.contains(";"), ";").otherwise(",")
 
 
+#: What stands between the quotes of a cell: two quotes are one.
+_QUOTED = '(?:[^"]++|"")*+'
+
+
 def cells(line: Column, delimiter: Column) -> Column:
-    """Cells of a CSV line; a delimiter between quotes does not split. One forward pass, however many cells."""
+    """Cells of a CSV record. A cell that begins with a quote goes to the quote that ends it, delimiters and line
+    breaks included; quotes elsewhere are as written. One forward pass, however many cells."""
 
     def cut(mark: str) -> Column:
-        cell = f'{mark}((?:[^"{mark}]++|"[^"]*+(?:"|$))*+)'
+        cell = f'{mark}("{_QUOTED}(?:"[^{mark}]*+)?+|[^{mark}]*+)'
         return F.regexp_extract_all(F.concat(F.lit(mark), line), F.lit(cell), F.lit(1))
 
     raw = F.when(delimiter == "\t", cut("\t")).when(delimiter == ";", cut(";")).otherwise(cut(","))
+    whole = f'(?s)^"({_QUOTED})(?:"(.*+))?+\\z'
     return F.transform(
         raw,
         lambda c: F.when(
-            c.startswith('"') & c.endswith('"') & (F.length(c) > 1),
-            F.replace(F.substring(c, F.lit(2), F.length(c) - 2), F.lit('""'), F.lit('"')),
+            c.startswith('"'), F.concat(F.replace(F.regexp_extract(c, whole, 1), F.lit('""'), F.lit('"')), F.regexp_extract(c, whole, 2))
         ).otherwise(c),
     )
 
 
+def _by_delimiter(test, delimiter: Column) -> Column:
+    return F.when(delimiter == "\t", test("\t")).when(delimiter == ";", test(";")).otherwise(test(","))
+
+
+def opens_cell(line: Column, delimiter: Column) -> Column:
+    """Whether a line that begins a record ends inside a quoted cell."""
+    return _by_delimiter(lambda mark: line.rlike("^" + _left_open(mark)), delimiter)
+
+
+def closes_record(line: Column, delimiter: Column) -> Column:
+    """Whether a line that begins inside a quoted cell ends the record."""
+    ended = line.rlike(f'^{_QUOTED}"')
+    return ended & ~_by_delimiter(lambda mark: line.rlike(f'^{_QUOTED}"[^{mark}]*+{mark}{_left_open(mark)}'), delimiter)
+
+
+def _left_open(mark: str) -> str:
+    return f'(?:(?:"{_QUOTED}"[^{mark}]*+|(?!")[^{mark}]*+){mark})*+"{_QUOTED}\\z'
+
+
+#: The longest record that is put together, in lines and characters. A longer one is a bad row.
+RECORD_LINES, RECORD_CHARS = 100_000, 4_000_000
+
+
+def _state(value: Column, flips: Column, last: Column) -> Column:
+    """Inside a quoted cell or not: what the last line that decides alone said, turned by each flip since."""
+    since = flips - F.coalesce(last["flips"], F.lit(0))
+    return (F.coalesce(last["value"], value).cast("int") + since) % 2 == 1
+
+
+def record_spans(lines: DataFrame) -> DataFrame:
+    """(file, first_line, last_line) of the CSV records of several lines; ``lines`` has file, line_number, raw_line and delimiter.
+
+    What a line does is a function of one bit, whether it begins inside a quoted cell, so lines compose like numbers add: inside a run
+    of line numbers by a window, and between runs by one row each. Only numbers of lines with quotes are
+    shuffled, so a file of any size is read by many tasks, and however it is split the borders are the same.
+    """
+    line, delimiter = F.col("raw_line"), F.col("delimiter")
+    marks = lines.filter(line.contains('"')).select(
+        "file", "line_number", opens_cell(line, delimiter).alias("opens"), closes_record(line, delimiter).alias("closes")
+    )
+    # Begins a record and ends open / begins open and ends the record: a line may do one, both (a flip), or none.
+    marks = marks.filter("opens or closes").withColumn("run", _run(F.col("line_number")))
+    marks = marks.withColumn("flip", (F.col("opens") & F.col("closes")).cast("int"))
+    inside = Window.partitionBy("file", "run").orderBy("line_number").rowsBetween(Window.unboundedPreceding, 0)
+    marks = marks.withColumn("flips", F.sum("flip").over(inside))
+    alone = F.when(F.col("flip") == 0, F.struct(F.col("opens").alias("value"), "flips"))
+    marks = marks.withColumn("last", F.last(alone, ignorenulls=True).over(inside))
+
+    whole = marks.groupBy("file", "run").agg(F.max_by(F.struct("flips", "last"), "line_number").alias("end"))
+    between = Window.partitionBy("file").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
+    turns = F.when(F.col("end.last").isNull(), F.col("end.flips")).otherwise(0)
+    whole = whole.withColumn("flips", F.sum(turns).over(between)).withColumn("own", turns)
+    ended = _state(F.lit(False), F.col("end.flips"), F.col("end.last"))
+    decided = F.when(F.col("end.last").isNotNull(), F.struct(ended.alias("value"), (F.coalesce("flips", F.lit(0))).alias("flips")))
+    entered = whole.withColumn("last", F.last(decided, ignorenulls=True).over(between))
+    entered = entered.select("file", "run", _state(F.lit(False), F.coalesce("flips", F.lit(0)), F.col("last")).alias("entered"))
+
+    marks = marks.join(entered, ["file", "run"])
+    after = _state(F.col("entered"), F.col("flips"), F.col("last"))
+    earlier = Window.partitionBy("file", "run").orderBy("line_number")
+    marks = marks.withColumn("after", after).withColumn("before", F.coalesce(F.lag("after").over(earlier), F.col("entered")))
+    edges = marks.filter(F.col("before") != F.col("after")).select("file", "run", "line_number", F.col("after").alias("begins"))
+    # Beginnings and ends take turns: an end belongs to the last beginning, in its run or in one before.
+    begin = F.when(F.col("begins"), F.col("line_number"))
+    carried = (
+        edges.groupBy("file", "run").agg(F.max(begin).alias("latest")).select("file", "run", F.last("latest", ignorenulls=True).over(between).alias("carried"))
+    )
+    edges = edges.withColumn("latest", F.last(begin, ignorenulls=True).over(inside)).join(carried, ["file", "run"])
+    first = F.coalesce("latest", "carried")
+    spans = edges.filter("not begins").select("file", first.alias("first_line"), F.col("line_number").alias("last_line"))
+    # A quote that nothing ends runs to the end of its file.
+    begun = edges.filter("begins").groupBy("file").agg(F.max("line_number").alias("first_line"))
+    done = edges.filter("not begins").groupBy("file").agg(F.max("line_number").alias("ended"))
+    left = begun.join(done, "file", "left").filter(F.col("ended").isNull() | (F.col("ended") < F.col("first_line"))).select("file", "first_line")
+    length = lines.groupBy("file").agg(F.max("line_number").alias("last_line"))
+    return spans.unionByName(left.join(length, "file").select("file", "first_line", "last_line"))
+
+
+def csv_records(lines: DataFrame) -> DataFrame:
+    """``lines`` (file, line_number, raw_line, delimiter and any others of the file) with one row per CSV record.
+
+    ``line_number`` is the record's first line; ``is_bad`` marks records longer than RECORD_LINES or RECORD_CHARS, which are not
+    put together. Lines that are records by themselves stay where they are read.
+    """
+    spans = written(record_spans(lines), "spans")
+    span = F.struct("first_line", "last_line")
+    runs = F.explode(F.sequence(_run(F.col("first_line")), _run(F.col("last_line"))))
+    by_run = spans.select("file", "first_line", "last_line", runs.alias("run")).groupBy("file", "run").agg(F.collect_list(span).alias("spans"))
+    number = F.col("line_number")
+    mine = F.filter("spans", lambda s: (s["first_line"] <= number) & (number <= s["last_line"]))
+    placed = lines.withColumn("run", _run(number)).join(by_run, ["file", "run"], "left").withColumn("span", F.get(mine, F.lit(0))).drop("run", "spans")
+    whole = placed.filter("span is null").drop("span").withColumn("is_bad", F.lit(False))
+
+    others = [c for c in lines.columns if c not in ("file", "line_number", "raw_line")]
+    parts = placed.filter("span is not null").select("file", "span", "line_number", "raw_line", *others)
+    sizes = parts.groupBy("file", "span").agg((F.sum(F.length("raw_line")) + F.count("*")).alias("chars"))
+    too_long = (F.col("chars") > RECORD_CHARS) | (F.col("span.last_line") - F.col("span.first_line") >= RECORD_LINES)
+    sizes = sizes.withColumn("is_bad", too_long)
+    kept = parts.join(sizes.select("file", "span", "is_bad"), ["file", "span"]).filter(~F.col("is_bad") | (number == F.col("span.first_line")))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_number", "raw_line"))), lambda r: r["raw_line"]), "\n")
+    joined = kept.groupBy("file", "span", "is_bad").agg(text.alias("raw_line"), *[F.first(c).alias(c) for c in others])
+    return whole.unionByName(joined.withColumn("line_number", F.col("span.first_line")).drop("span"))
+
+
 def top_lines() -> Column:
     """Aggregate: a file's first lines in order, the first one whole and of the others what the sample can use."""
     line = F.when(F.col("line_number") == 1, F.col("raw_line")).otherwise(F.substring("raw_line", 1, SAMPLE_CHARS))
@@ -198,11 +419,10 @@ def header_columns(top: Column) -> list[Column]:
     return [delimiter.alias("delimiter"), cells(F.get(top, F.lit(0))["raw_line"], delimiter).alias("names")]
 
 
-def csv_headers(lines: DataFrame) -> DataFrame:
-    """Delimiter and column names per file. A line has a character or more, so the first
-    ``SAMPLE_CHARS`` lines hold the sample."""
+def csv_delimiters(lines: DataFrame) -> DataFrame:
+    """Delimiter per file. A line has a character or more, so the first ``SAMPLE_CHARS`` lines hold the sample."""
     top = lines.filter(F.col("line_number") <= SAMPLE_CHARS).groupBy("file").agg(top_lines().alias("top"))
-    return top.select("file", *header_columns(F.col("top")))
+    return top.select("file", header_columns(F.col("top"))[0])
 
 
 def first_named(names: Column, values: Column, wanted: list[str]) -> Column:
@@ -215,22 +435,29 @@ def first_named(names: Column, values: Column, wanted: list[str]) -> Column:
 
 
 def csv_rows(lines: DataFrame) -> DataFrame:
-    """Rows of CSV files as maps, with the first time-like and level-like column.
+    """Rows of CSV files as maps, with the first time-like and level-like column; ``line_number`` is a row's first line.
 
-    Files differ in header and delimiter, so each line meets its file's header in a join
-    on the file; a file with most of the lines is split by the adaptive skew join.
+    Files differ in header and delimiter, so each line meets its file's in a join
+    on the file; a file with most of the lines is split by the adaptive skew join. A quoted cell may go over any number of lines.
+    Records too long to be put together have null data.
     """
-    body = lines.filter((F.col("line_number") > 1) & (F.col("raw_line") != ""))
-    joined = body.join(csv_headers(lines), "file")
-    joined = joined.withColumn("values", cells(F.col("raw_line"), F.col("delimiter")))
-    named = F.map_from_arrays("names", F.transform("names", lambda _, i: F.get("values", i)))
-    rows = joined.withColumn("data", named)
+    records = csv_records(lines.select("file", "line_number", "raw_line").join(csv_delimiters(lines), "file"))
+    return csv_record_rows(records).select("file", "line_number", "data", "logged_at", "level")
+
 
+def csv_record_rows(records: DataFrame) -> DataFrame:
+    """``csv_records`` behind the first one of each file, with its cells under the names that stands for."""
+    header = records.filter(F.col("line_number") == 1).select("file", cells(F.col("raw_line"), F.col("delimiter")).alias("names"))
+    body = records.filter((F.col("line_number") > 1) & (F.col("raw_line") != "")).join(header, "file")
+    joined = body.withColumn("values", F.when(~F.col("is_bad"), cells(F.col("raw_line"), F.col("delimiter"))))
+    named = F.map_from_arrays("names", F.transform("names", lambda _, i: F.get("values", i)))
     names, values = F.col("names"), F.col("values")
-    return rows.select(
+    return joined.select(
         "file",
         "line_number",
-        "data",
+        "raw_line",
+        "is_bad",
+        F.when(~F.col("is_bad"), named).alias("data"),
         first_named(names, values, TIME_NAMES).alias("logged_at"),
         first_named(names, values, LEVEL_NAMES).alias("level"),
     )
