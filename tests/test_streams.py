@@ -164,3 +164,65 @@ def test_rows_behind_a_delay_are_counted(spark, split_dir, tmp_path):
     events = stream_table(spark, str(tmp_path), "events", files_per_trigger=1).withColumn("session_id", F.col("user_id").cast("string"))
     upsert(jobs.minute_snapshots(events, "10 minutes"), "t-late", "session_id", "minute", target=str(tmp_path / "out"))
     assert late_rows(spark, str(tmp_path / "out")) > 0
+
+
+def test_growing_files_are_read_on(spark, tmp_path, monkeypatch):
+    """Files that grow by parts of lines, stay, or are replaced, cut into chunks of any size: the lines are those of the files."""
+    import random
+
+    from trialscope.sources import growing
+
+    logs_dir, state, draw = tmp_path / "logs", str(tmp_path / "state"), random.Random(2)
+    logs_dir.mkdir()
+    assert growing.grown_lines(spark, state).count() == 0
+    assert growing.read_growth(spark, str(tmp_path / "none"), str(tmp_path / "other")).count() == 0
+    for step in range(6):
+        monkeypatch.setattr(growing, "CHUNK", draw.choice([5, 40, 1 << 26]))
+        for i in range(5):
+            act = draw.choice(["append", "append", "append", "none", "new"]) if step else "new"
+            body = "".join(draw.choice(["a", "line é", "\n", "", "\n\n", "bb\r\n", "c\n"]) for _ in range(draw.randint(0, 12))) or "x"
+            if act != "none":
+                with open(logs_dir / f"f{i}.log", "a" if act == "append" else "w", newline="") as f:
+                    f.write(body)
+        growing.read_growth(spark, str(logs_dir), state)
+        want = {p.name: [line.rstrip("\r") for line in p.read_bytes().decode().removesuffix("\n").split("\n")] for p in logs_dir.iterdir()}
+        got = {name: [] for name in want}
+        for r in sorted(growing.grown_lines(spark, state).collect(), key=lambda r: (r.file, r.line_number)):
+            got[os.path.basename(r.file)].append(r.raw_line)
+            assert r.line_number == len(got[os.path.basename(r.file)])
+        assert got == want
+    before = {r.file: r.offset for r in growing.ledger(spark, state).collect()}
+    assert growing.read_growth(spark, str(logs_dir), state).count() == 0
+    with open(logs_dir / "f0.log", "a") as f:
+        f.write("more\n")
+    growing.read_growth(spark, str(logs_dir), state)
+    read = {r.file: r.bytes_read for r in growing.ledger(spark, state).collect()}
+    (file,) = [f for f in read if f.endswith("f0.log")]
+    assert read == {f: (logs_dir / "f0.log").stat().st_size - before[f] if f == file else 0 for f in read}
+
+
+def test_a_pass_that_failed_is_repeated(spark, tmp_path, monkeypatch):
+    from trialscope.sources import growing
+
+    (tmp_path / "logs").mkdir()
+    log, state = tmp_path / "logs" / "a.log", str(tmp_path / "state")
+    log.write_text("one\ntwo\n")
+    growing.read_growth(spark, str(tmp_path / "logs"), state)
+    log.write_text("one\ntwo\nthree\n")
+    real = growing.tails
+    calls = []
+
+    def failing(files):
+        calls.append(1)
+        if len(calls) == 2:  # the lines are written, the ledger is not
+            raise RuntimeError("lost")
+        return real(files)
+
+    monkeypatch.setattr(growing, "tails", failing)
+    with pytest.raises(RuntimeError):
+        growing.read_growth(spark, str(tmp_path / "logs"), state)
+    assert sorted(r.raw_line for r in growing.grown_lines(spark, state).collect()) == ["one", "two"]
+    log.write_text("one\ntwo\nthree\nfour\n")
+    growing.read_growth(spark, str(tmp_path / "logs"), state)
+    got = [r.raw_line for r in growing.grown_lines(spark, state).orderBy("line_number").collect()]
+    assert got == ["one", "two", "three", "four"]

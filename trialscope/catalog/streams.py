@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from ..fixtures import oracle, view
 from ..functions import rules
 from ..operators import findings as fx
+from ..session import work_path
+from ..sources.growing import ledger
 from ..streaming import jobs
 from ..streaming.io import append, stream_table, upsert
 from . import sql as S
@@ -31,6 +33,53 @@ def _(spark, sf):
     return append(events, "log-tail")
 
 
+GROWN_LOGS, STEPS = 3, 3
+
+
+def grow_logs(spark, sf, path: str, step: int) -> None:
+    """Write the log files of ``path`` as they are at ``step``: each has more lines than before, but the first one begins anew at the last step."""
+    rows = view(spark, sf, "log_lines").select((F.col("line_number") % GROWN_LOGS).cast("int").alias("part"), "line_number", "raw_line")
+    fresh = (F.col("part") == 0) & F.lit(step == STEPS - 1)
+    growth = F.floor(F.col("line_number") % 1000 * STEPS / 1000)  # a step's lines stand behind those of the one before
+    there = F.when(fresh, F.col("line_number") % 7 == 0).otherwise(growth <= step)
+    staged = work_path(spark, "staged")
+    rows.filter(there).withColumn("growth", growth).repartition("part").sortWithinPartitions("part", "growth", "line_number").select(
+        "part", "raw_line"
+    ).write.partitionBy("part").text(staged)
+    of = spark._jvm.org.apache.hadoop.fs.Path
+    system = of(staged).getFileSystem(spark._jsc.hadoopConfiguration())
+    system.mkdirs(of(path))
+    for part in range(GROWN_LOGS):
+        for found in system.globStatus(of(f"{staged}/part={part}/part-*")) or []:
+            system.delete(of(path, f"p{part}.log"), False)
+            system.rename(found.getPath(), of(path, f"p{part}.log"))
+
+
+GROWN = f"""g as (select line_number % {GROWN_LOGS} as part, raw_line, line_number, length(raw_line) + 1 as bytes, {KIND} as kind, line_number % 1000 * {STEPS} // 1000 as growth from log_lines),
+  e as (select * from g where case when part = 0 then line_number % 7 = 0 else true end),
+  b as (select part, sum(bytes) as bytes from g where part > 0 or growth < {STEPS - 1} group by part union all select part, sum(bytes) from e where part = 0 group by part)"""
+
+
+@query(
+    "st1_growing_logs",
+    oracle(
+        "log_lines",
+        f"""with {GROWN} select concat('p', cast(part as varchar), '.log') as name, kind, count(*) as events, cast((select sum(bytes) from b where b.part = e.part) as bigint) as bytes_read from e group by part, kind""",
+    ),
+)
+def _(spark, sf):
+    """Three passes over files that grow, one of them replaced at the end: events of the end state, and bytes read in all passes."""
+    path, state, read = work_path(spark, "growing"), work_path(spark, "growing-state"), []
+    for step in range(STEPS):
+        grow_logs(spark, sf, path, step)
+        events = jobs.growing_log_events(spark, path, state)
+        read.append(ledger(spark, state).select("file", "bytes_read"))
+    total = read[0].unionByName(read[1]).unionByName(read[2]).groupBy("file").agg(F.sum("bytes_read").alias("bytes_read"))
+    name = F.regexp_extract("file", r"([^/]+)$", 1).alias("name")
+    counted = events.groupBy("file", "kind").agg(F.count("*").alias("events"))
+    return counted.join(total, "file").select(name, "kind", "events", "bytes_read")
+
+
 @query("st2_resource_state", oracle(
     "metrics",
     "with o as (select *, row_number() over (partition by session_id order by ts desc, event_id desc) - 1 as age from metrics) "

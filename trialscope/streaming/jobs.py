@@ -12,11 +12,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import code, findings, interactions, logs, sessions
+from ..sources.growing import grown_lines, read_growth
 from .io import batch_folder, batches, each_batch
 
 
@@ -35,6 +36,16 @@ def log_events(lines: DataFrame) -> DataFrame:
     return logs.parse_lines(lines)
 
 
+def growing_log_events(spark: SparkSession, path: str, state: str, glob: str = "*.log") -> DataFrame:
+    """Events of log files that are still written to: one pass over what they have grown by since the last pass with ``state``.
+
+    Call it again and again, with the pause one likes: each pass lists the folder and reads only bytes behind those that the ledger knows, and
+    the result is the events of all lines so far (a crash trace or a rate may go over passes), as if the files were read at once.
+    """
+    read_growth(spark, path, state, glob)
+    return logs.parse_lines(grown_lines(spark, state))
+
+
 def session_counters(lines: DataFrame) -> DataFrame:
     """Crashes, compile errors and best coverage per session, kept up to date."""
     events = logs.handled_events(logs.dispatch_tools(lines))
