@@ -120,13 +120,45 @@ def term_rates(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
-def leading(weighted: np.ndarray) -> np.ndarray:
-    """The leading ``LATENT`` right singular directions, by subspace iteration from a fixed start."""
-    columns = min(LATENT + SPARE, *weighted.shape)
-    basis = np.random.default_rng(7).standard_normal((weighted.shape[1], columns)).astype(np.float32)
+class Sample:
+    """Rates of the sample's texts without their zeros; dense only ``ROWS`` texts at a time."""
+
+    def __init__(self, terms: list[np.ndarray], values: list[np.ndarray]):
+        self.ends = np.concatenate([[0], np.cumsum([len(t) for t in terms])]).astype(np.int64)
+        self.terms = np.concatenate(terms) if terms else np.zeros(0, np.uint16)
+        self.values = np.concatenate(values) if values else np.zeros(0, np.float32)
+
+    @classmethod
+    def of(cls, rates: np.ndarray) -> Sample:
+        own = [np.flatnonzero(r) for r in rates]
+        return cls([t.astype(np.uint16) for t in own], [r[t] for r, t in zip(rates, own)])
+
+    def __len__(self) -> int:
+        return len(self.ends) - 1
+
+    def blocks(self) -> Iterator[np.ndarray]:
+        for low in range(0, len(self), ROWS):
+            ends = self.ends[low : low + ROWS + 1]
+            out = np.zeros((len(ends) - 1, TERMS), dtype=np.float32)
+            own = slice(ends[0], ends[-1])
+            out[np.repeat(np.arange(len(out)), np.diff(ends)), self.terms[own]] = self.values[own]
+            yield out
+
+    def times(self, matrix: np.ndarray) -> np.ndarray:
+        return np.concatenate([block @ matrix for block in self.blocks()])
+
+
+def leading(sample: Sample, rarity: np.ndarray) -> np.ndarray:
+    """The leading ``LATENT`` right singular directions of the weighted rates, by subspace iteration from a fixed start."""
+    columns = min(LATENT + SPARE, len(sample), TERMS)
+    basis = np.random.default_rng(7).standard_normal((TERMS, columns)).astype(np.float32)
     for _ in range(ROUNDS):
-        basis, _ = np.linalg.qr(weighted.T @ (weighted @ basis))
-    _, _, axes = np.linalg.svd(weighted @ basis, full_matrices=False)
+        turned = np.zeros_like(basis)
+        for block in sample.blocks():
+            block *= rarity
+            turned += block.T @ (block @ basis)
+        basis, _ = np.linalg.qr(turned)
+    _, _, axes = np.linalg.svd(sample.times(rarity[:, None] * basis), full_matrices=False)
     return (basis @ axes.T)[:, :LATENT]
 
 
@@ -142,8 +174,11 @@ def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         label = batch.column("label")
         for first, end, rates in _rated(batch):
+            terms = [np.flatnonzero(r).astype("<u2") for r in rates]
+            values = [r[t].tobytes() for r, t in zip(rates, terms)]
             yield pa.RecordBatch.from_arrays(
-                [label.slice(first, end - first), pa.array([r.tobytes() for r in rates], pa.binary())], ["label", "rates"]
+                [label.slice(first, end - first), pa.array([t.tobytes() for t in terms], pa.binary()), pa.array(values, pa.binary())],
+                ["label", "terms", "rates"],
             )
 
 
@@ -169,15 +204,17 @@ class Model:
         return np.where(rates.any(axis=1), score, self.prior)
 
 
-def fit(rates: np.ndarray, labels: np.ndarray, totals: tuple[float, float] | None = None) -> Model:
+def fit(rates: Sample | np.ndarray, labels: np.ndarray, totals: tuple[float, float] | None = None) -> Model:
     """Latent vectors of the labelled ``rates``; ``totals`` are the sizes of classes 0 and 1 they were drawn from."""
+    sample = Sample.of(rates) if isinstance(rates, np.ndarray) else rates
     drawn_of = np.maximum(np.bincount(labels, minlength=2), 1)
     totals = np.array(totals if totals else drawn_of, dtype=np.float64)
-    rarity = np.log((1.0 + len(rates)) / (1.0 + (rates > 0).sum(axis=0))) + 1.0
+    rarity = np.log((1.0 + len(sample)) / (1.0 + np.bincount(sample.terms, minlength=TERMS))) + 1.0
     rarity = rarity.astype(np.float32)
-    projection = rarity[:, None] * leading(rates * rarity)
-    model = Model(projection, rates, labels.astype(np.float64), (totals / drawn_of)[labels], float(totals[1] / totals.sum()))
-    return Model(projection, model.latent(rates).astype(np.float32), model.labels, model.weights, model.prior)
+    projection = rarity[:, None] * leading(sample, rarity)
+    latent = sample.times(projection)
+    latent /= np.maximum(np.sqrt((latent * latent).sum(axis=1, keepdims=True)), 1e-12)
+    return Model(projection, latent.astype(np.float32), labels.astype(np.float64), (totals / drawn_of)[labels], float(totals[1] / totals.sum()))
 
 
 def train(documents: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model | None:
@@ -196,12 +233,15 @@ def train(documents: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -
     totals = {r["label"]: r["count"] for r in clear.groupBy("label").count().collect()}
     chosen = F.broadcast(drawn(clear, "label", "doc_id", per_class, 2))  # at most 2 * per_class rows
     texts = documents.select("doc_id", "text").where("length(text) > 0").join(chosen, "doc_id").select(F.col("label").cast("int").alias("label"), "text")
-    sample = texts.mapInArrow(_sampled, "label int, rates binary").toPandas()
-    if sample.empty:
+    sample = texts.mapInArrow(_sampled, "label int, terms binary, rates binary").toArrow()  # the terms of at most 2 * per_class texts
+    labels = sample["label"].to_numpy()
+    terms, rates = sample["terms"].to_pylist(), sample["rates"].to_pylist()
+    order = sorted(range(len(labels)), key=lambda i: (labels[i], rates[i], terms[i]))
+    kept = [i for label in (0, 1) for i in [i for i in order if labels[i] == label][:per_class]]
+    if not kept:
         return None
-    sample = sample.sort_values(["label", "rates"], kind="stable").groupby("label").head(per_class)
-    rates = np.frombuffer(b"".join(sample["rates"]), dtype=np.float32).reshape(len(sample), -1)
-    return fit(rates, sample["label"].to_numpy(), (float(totals.get(0, 0)), float(totals.get(1, 0))))
+    drawn_texts = Sample([np.frombuffer(terms[i], "<u2") for i in kept], [np.frombuffer(rates[i], np.float32) for i in kept])
+    return fit(drawn_texts, labels[kept], (float(totals.get(0, 0)), float(totals.get(1, 0))))
 
 
 def _score(model: Model):
