@@ -9,21 +9,23 @@ longest length that fits goes in (best fit). A pattern is used as often as the c
 from __future__ import annotations
 
 import hashlib
-import zlib
 from array import array
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import Encoder, Words, byte_letters
-from .common import stored, worker_store
+from .common import small_side, stored, worker_store
 
 SIZE = 4096
 END_ID = 1
+#: Rows (one per task and length) that are broadcast to the pieces at most; more are joined by a shuffle.
+BROADCAST_OFFSETS = 200_000
 
 
 class Complements:
@@ -144,10 +146,10 @@ def _encoder(source: str) -> Encoder:
     return store["encoder"]
 
 
-PIECES = "piece int, start long, length long, ids_crc32 long, part int, nth long"
+PIECES = "piece int, start long, length long, part int, nth long, ids binary"
 
 
-def _pieces(source, size: int, end_id: int, with_ids: bool):
+def _pieces(source, size: int, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(source.value)
         part = TaskContext.get().partitionId()
@@ -156,27 +158,22 @@ def _pieces(source, size: int, end_id: int, with_ids: bool):
         for batch in batches:
             place = batch.schema.get_field_index("text")
             others = [i for i in range(batch.num_columns) if i != place]
-            rows, columns = [], {k: [] for k in ("piece", "start", "length", "ids_crc32", "nth", "ids")}
+            rows, columns = [], {k: [] for k in ("piece", "start", "length", "nth", "ids")}
             for i, text in enumerate(batch.column(place)):
                 ids = encoder.encode(text.as_py() or "") + end
                 for k, at in enumerate(range(0, len(ids), 4 * size)):
                     own = ids[at : at + 4 * size]
                     n = len(own) // 4
                     rows.append(i)
-                    for name, value in (("piece", k), ("start", at // 4), ("length", n), ("ids_crc32", zlib.crc32(own)), ("nth", int(seen[n]))):
+                    for name, value in (("piece", k), ("start", at // 4), ("length", n), ("nth", int(seen[n])), ("ids", own)):
                         columns[name].append(value)
                     seen[n] += 1
-                    if with_ids:
-                        columns["ids"].append(own)
             kept = batch.take(pa.array(rows, pa.int64()))
             made = [
                 pa.array(columns["piece"], pa.int32()), pa.array(columns["start"], pa.int64()), pa.array(columns["length"], pa.int64()),
-                pa.array(columns["ids_crc32"], pa.int64()), pa.array([part] * len(rows), pa.int32()), pa.array(columns["nth"], pa.int64()),
+                pa.array([part] * len(rows), pa.int32()), pa.array(columns["nth"], pa.int64()), pa.array(columns["ids"], pa.binary()),
             ]
-            names = ["piece", "start", "length", "ids_crc32", "part", "nth"]
-            if with_ids:
-                made.append(pa.array(columns["ids"], pa.binary()))
-                names.append("ids")
+            names = ["piece", "start", "length", "part", "nth", "ids"]
             yield pa.RecordBatch.from_arrays(
                 [*(kept.column(i) for i in others), *made], [*(batch.schema.names[i] for i in others), *names]
             )
@@ -185,36 +182,28 @@ def _pieces(source, size: int, end_id: int, with_ids: bool):
 
 
 def _placed(table):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sequence and offset of the piece of a length with a rank; only these two numbers go through Python."""
+
+    @F.pandas_udf("sequence_id long, offset long")
+    def place(length: pd.Series, rank: pd.Series) -> pd.DataFrame:
         rows = table.value
-        key = (rows[:, 0] << 48) + rows[:, 1]
-        for batch in batches:
-            length = batch.column("length").to_numpy()
-            rank = batch.column("nth").to_numpy() + batch.column("before").to_numpy()
-            own = rows[np.searchsorted(key, (length << 48) + rank, side="right") - 1] if len(length) else rows[:0]
-            turn = rank - own[:, 1]
-            sequence = own[:, 3] + turn // np.maximum(own[:, 2], 1)
-            offset = own[:, 4] + turn % np.maximum(own[:, 2], 1) * length
-            names = [c for c in batch.schema.names if c not in ("part", "nth", "before")]
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in names), pa.array(sequence), pa.array(offset)], [*names, "sequence_id", "offset"]
-            )
+        lengths, ranks = length.to_numpy(), rank.to_numpy()
+        own = rows[np.searchsorted((rows[:, 0] << 48) + rows[:, 1], (lengths << 48) + ranks, side="right") - 1]
+        turn, times = ranks - own[:, 1], np.maximum(own[:, 2], 1)
+        return pd.DataFrame({"sequence_id": own[:, 3] + turn // times, "offset": own[:, 4] + turn % times * lengths})
 
-    return run
+    return place
 
 
-def pack(
-    documents: DataFrame, tokenizer_file: str, keep: list[str], size: int = SIZE, end_id: int = END_ID, with_ids: bool = False
-) -> DataFrame:
+def pack(documents: DataFrame, tokenizer_file: str, keep: list[str], size: int = SIZE, end_id: int = END_ID) -> DataFrame:
     """Pieces of every document of ``documents`` (with ``text``), each with its place in a sequence of ``size`` tokens at most.
 
     A document is its text's ids (without added special tokens; null counts as empty) and ``end_id``; only longer ones are cut, every
-    ``size`` tokens. Columns: ``keep``, ``piece`` from 0, ``start``, ``length``, ``ids_crc32`` (of the
-    ids as little-endian unsigned 32-bit integers), ``sequence_id``, ``offset`` (gapless from 0), and with
-    ``with_ids`` the ids themselves. Columns of ``keep`` named text, part, nth, before or like a
+    ``size`` tokens. Columns: ``keep``, ``piece`` from 0, ``start``, ``length``, ``ids`` (little-endian unsigned 32-bit
+    integers), ``ids_crc32`` of these, ``sequence_id``, ``offset`` (gapless from 0). Columns of ``keep`` named text, part, nth, before or like a
     result column are left out. Repeated rows are packed each; an empty table gives no rows.
 
-    Texts are encoded once, in place. Each piece is numbered in its task by length, and the tasks'
+    Texts are encoded once, in place, and their ids written. Each piece is numbered in its task by length, and the tasks'
     counts give it a rank among all pieces of its length: no length is gathered in one task. The
     plan's table has a row per length and pattern, so it is bounded by ``size`` and broadcast.
     """
@@ -225,8 +214,7 @@ def pack(
     context = documents.sparkSession.sparkContext
     rows = documents.select(*keep, "text")
     kept = "".join(f"`{n}` {t}, " for n, t in rows.dtypes if n != "text")
-    schema = kept + PIECES + (", ids binary" if with_ids else "")
-    pieces = stored(rows.mapInArrow(_pieces(context.broadcast(source), size, end_id, with_ids), schema), "pieces")
+    pieces = stored(rows.mapInArrow(_pieces(context.broadcast(source), size, end_id), kept + PIECES), "pieces")
 
     each = stored(pieces.groupBy("part", "length").agg(F.count(F.lit(1)).alias("n")), "lengths")
     counts = np.zeros(size + 1, dtype=np.int64)
@@ -235,7 +223,8 @@ def pack(
     table = context.broadcast(slots(plan(counts)))
     earlier = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     before = each.select("part", "length", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
-    ranked = pieces.join(before, ["part", "length"])
-    names = [c for c in pieces.columns if c not in ("part", "nth")]
-    result = ", ".join(f"`{n}` {dict(pieces.dtypes)[n]}" for n in names) + ", sequence_id long, offset long"
-    return ranked.select(*names, "part", "nth", "before").mapInArrow(_placed(table), result)
+    # A row per task and length: broadcast while it is small, so that the ids stay where they are.
+    ranked = pieces.join(small_side(before, BROADCAST_OFFSETS), ["part", "length"])
+    placed = ranked.withColumn("place", _placed(table)("length", F.col("nth") + F.col("before")))
+    names = [c for c in pieces.columns if c not in ("part", "nth", "ids")]
+    return placed.select(*names, F.crc32("ids").alias("ids_crc32"), "place.sequence_id", "place.offset", "ids")

@@ -210,7 +210,7 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op2_best_fit_packing")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), ["doc_id"])
+    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), ["doc_id"]).drop("ids")
 
 
 OP11_SQL = """
