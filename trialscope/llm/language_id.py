@@ -9,7 +9,6 @@ is formed once, over the root of each row's sum.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -36,7 +35,10 @@ UNKNOWN = "und"
 SLICE = 1 << 20
 ROWS = 256
 
-LETTER = re.compile(r"[^\W\d_]")
+
+def has_letter(text: str | None) -> bool:
+    """Whether ``text`` has a character of the letter categories; numerals like \u2167 and \u00bd are none."""
+    return any(map(str.isalpha, text or ""))
 
 
 def _folded(data: np.ndarray) -> np.ndarray:
@@ -168,41 +170,45 @@ def _predict(model: Model):
                 continue
             texts = batch.column("text")
             best = np.zeros(batch.num_rows, dtype=np.int64)
-            score = np.zeros(batch.num_rows)
+            score, margin = np.zeros(batch.num_rows), np.zeros(batch.num_rows)
             lettered = np.zeros(batch.num_rows, dtype=bool)
             for first, end, rows in _rows(batch, "text"):
                 out = model.scores(rows).astype(np.float64)
                 sharp = np.exp(SHARPNESS * (out - out.max(axis=1, keepdims=True)))
                 best[first:end] = out.argmax(axis=1)
                 score[first:end] = 1.0 / sharp.sum(axis=1)
+                ranked = np.partition(np.pad(out, ((0, 0), (1, 0)), constant_values=-1.0), -2, axis=1)
+                margin[first:end] = ranked[:, -1] - ranked[:, -2]
             for first, end, data, offsets in text_slices(batch, "text"):
                 ascii_letter = ((data | 0x20) >= 97) & ((data | 0x20) <= 122)
                 ends = np.concatenate([[0], np.cumsum(ascii_letter)])
                 lettered[first:end] = ends[offsets[1:]] > ends[offsets[:-1]]
             for i in np.flatnonzero(~lettered):
-                text = texts[i].as_py()
-                lettered[i] = bool(text) and LETTER.search(text) is not None
+                lettered[i] = has_letter(texts[i].as_py())
             names = np.array([*model.languages, UNKNOWN], dtype=object)
             best[~lettered] = len(model.languages)
-            score[~lettered] = 0.0
+            score[~lettered] = margin[~lettered] = 0.0
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in batch.schema.names if c != "text"), pa.array(names[best], pa.string()), pa.array(score)],
-                [*(c for c in batch.schema.names if c != "text"), "lang_pred", "score"],
+                [*(batch.column(c) for c in batch.schema.names if c != "text"), pa.array(names[best], pa.string()), pa.array(score), pa.array(margin)],
+                [*(c for c in batch.schema.names if c != "text"), "lang_pred", "score", "margin"],
             )
 
     return run
 
 
-def identify(documents: DataFrame, model: Model | None, keep: list[str]) -> DataFrame:
-    """Columns ``keep`` with ``lang_pred`` and ``score`` (0 to 1) for every row of ``documents`` (with ``text``), whole texts.
+def identify(documents: DataFrame, model: Model | None, keep: list[str], margin: bool = False) -> DataFrame:
+    """Columns ``keep`` with ``lang_pred``, ``score`` (0 to 1) and if asked for ``margin`` for every row of ``documents`` (with ``text``), whole texts.
 
-    A text that is null or holds no letter is ``und`` with score 0; so are all without a model. The score
-    is a softmax over the one-versus-rest outputs. Columns of ``keep`` named text, lang_pred or score are
-    left out.
+    A text that is null or holds no letter is ``und`` with score and margin 0; so are all without a model. The score
+    is a softmax over the one-versus-rest outputs, the margin the best output less the second best one (or less -1, what the
+    languages are trained to answer for others): unlike the score it does not fall with the number of languages. Columns of ``keep``
+    named text or like a result column are left out.
     """
-    keep = [c for c in keep if c not in ("text", "lang_pred", "score")]
+    keep = [c for c in keep if c not in ("text", "lang_pred", "score", "margin")]
     rows = documents.select(*keep, "text")
     if model is None:
-        return rows.select(*keep, F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
+        found = rows.select(*keep, F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(0.0).alias("margin"))
+        return found if margin else found.drop("margin")
     kept = ", ".join(f"`{n}` {t}" for n, t in rows.dtypes if n != "text")
-    return rows.mapInArrow(_predict(model), f"{kept}, lang_pred string, score double")
+    found = rows.mapInArrow(_predict(model), f"{kept}, lang_pred string, score double, margin double")
+    return found if margin else found.drop("margin")
