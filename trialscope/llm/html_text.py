@@ -22,7 +22,7 @@ SILENT = frozenset("script style template noscript iframe object svg math canvas
 #: Elements, roles and words of class or id that make main text less likely.
 ASIDE = frozenset("nav footer header aside form menu dialog".split())
 MARKS = re.compile(
-    r"ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|notices?|popup|modal|newsletter|subscribe|share|sharing|"
+    r"ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|ccpa|notices?|popup|modal|newsletter|subscribe|share|sharing|"
     r"social|nav|navbar|navigation|menu|breadcrumbs?|sidebar|side|footer|masthead|comments?|respond|replies|related|recommended|"
     r"widgets?|pagination|pager|toolbar|login|signup|search"
 )
@@ -77,23 +77,37 @@ class Lines(HTMLParser):
         self.lines: list[Line] = []
         self.nodes = [Node(False, 0)]
         self.blocks: list[tuple[int, bool]] = [(0, True)]  # the block around, whether it is the whole page
-        self.open: list[tuple[str, bool, int, int]] = []  # tag, silent, node or 0, block or 0
-        self.within: list[int] = []  # open nodes
-        self.silent = self.anchors = 0
+        self.open: dict[int, tuple[str, bool, int, int]] = {}  # by order of opening: tag, silent, node or 0, block or 0
+        self.opened = 0
+        self.by_tag: dict[str, list[int]] = {}  # open elements of each tag
+        self.around: list[tuple[int, int]] = []  # open blocks: place in ``open``, number
+        self.within: list[int] = []  # nodes, from the top only down to the innermost open one
+        self.closed: set[int] = set()  # of these, nodes that are closed
+        self.silent = self.anchors = self.mains = 0
         self.text: list[str] = []
         self.tags = self.linked = 0
 
+    def parse_marked_section(self, i: int, report: int = 1) -> int:
+        """``<![...`` up to ``]]>`` where it opens character data, else up to ``>``: passed over, as browsers do."""
+        data = "<![CDATA["
+        end = "]]>" if self.rawdata.startswith(data, i) and self.rawdata.find("]]>", i) >= 0 else ">"
+        at = self.rawdata.find(end, i)
+        return at + len(end) if at >= 0 else -1
+
     def block(self) -> int:
         """The innermost open block."""
-        for entry in reversed(self.open):
-            if entry[3]:
-                return entry[3]
-        return 0
+        return self.around[-1][1] if self.around else 0
+
+    def node(self) -> int:
+        """The innermost open node."""
+        while self.within and self.within[-1] in self.closed:
+            self.closed.discard(self.within.pop())
+        return self.within[-1] if self.within else 0
 
     def cut(self) -> None:
         text = SPACE.sub(" ", "".join(self.text)).strip()
         if text:
-            self.lines.append(Line(text, self.tags, self.linked, self.within[-1] if self.within else 0, self.block()))
+            self.lines.append(Line(text, self.tags, self.linked, self.node(), self.block()))
             self.tags = 0
         self.text = []
         self.linked = 0
@@ -109,7 +123,7 @@ class Lines(HTMLParser):
         if tag in VOID:
             return
         facts = dict(attrs)
-        in_main = any(self.nodes[k].main for k in self.within)
+        in_main = self.mains > 0
         names = facts.get("class") or ""
         # In an article, the id of a heading or section is its subject.
         if not (in_main and (tag == "section" or tag in HEADINGS)):
@@ -124,30 +138,32 @@ class Lines(HTMLParser):
             self.blocks.append((self.block(), tag in ("html", "body")))
         if aside or tag in MAIN:
             node = len(self.nodes)
-            self.nodes.append(Node(not aside, self.within[-1] if self.within else 0))
+            self.nodes.append(Node(not aside, self.node()))
             self.within.append(node)
+            self.mains += not aside
         entry = (tag, tag in SILENT or "hidden" in facts, node, block)
-        self.open.append(entry)
+        self.opened += 1
+        self.open[self.opened] = entry
+        self.by_tag.setdefault(tag, []).append(self.opened)
+        if block:
+            self.around.append((self.opened, block))
         self.silent += entry[1]
 
     def end_paragraph(self) -> None:
         """Close an open paragraph, unless a block stands between."""
-        for i in range(len(self.open) - 1, -1, -1):
-            tag = self.open[i][0]
-            if tag == "p":
-                self.close_from(i, only=True)
-            if tag in BLOCKS:
-                return
-
-    def close_from(self, at: int, only: bool = False) -> None:
-        for entry in [self.open[at]] if only else self.open[at:]:
-            self.silent -= entry[1]
-            if entry[2]:
-                self.within.remove(entry[2])
-        if only:
-            del self.open[at]
-        else:
-            del self.open[at:]
+        if self.around and self.open[self.around[-1][0]][0] == "p":
+            self.shut(self.around[-1][0])
+
+    def shut(self, at: int) -> None:
+        """Close one element; it is the innermost of its tag, and the innermost block if it is one."""
+        tag, silent, node, block = self.open.pop(at)
+        self.by_tag[tag].pop()
+        self.silent -= silent
+        if block:
+            self.around.pop()
+        if node:
+            self.closed.add(node)
+            self.mains -= self.nodes[node].main
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
@@ -160,11 +176,14 @@ class Lines(HTMLParser):
         self.tags += 1
         if tag == "a":
             self.anchors = 0
-        for i in range(len(self.open) - 1, -1, -1):
-            if self.open[i][0] == tag:
-                # An inline end tag does not close the blocks around it.
-                self.close_from(i, only=tag not in BLOCKS and tag not in SILENT)
-                return
+        if not self.by_tag.get(tag):
+            return
+        at = self.by_tag[tag][-1]
+        if tag in BLOCKS or tag in SILENT:
+            while next(reversed(self.open)) > at:
+                self.shut(next(reversed(self.open)))
+        # An inline end tag does not close the blocks around it.
+        self.shut(at)
 
     def handle_data(self, data: str) -> None:
         if not self.silent:
@@ -311,7 +330,8 @@ def extract_text(pages: DataFrame, keep: list[str], html: str = "html") -> DataF
 
     Whole pages are parsed, one at a time; a page of any size needs memory in proportion to itself. Null
     and empty pages, and pages without text, give an empty text. Broken markup is read as browsers do in
-    the main: unclosed paragraphs end at the next block, unknown end tags are passed over. Columns of
+    the main: unclosed paragraphs end at the next block, unknown end tags and odd declarations are passed over. Time grows in
+    proportion to the page, however deep it is nested. Columns of
     ``keep`` named like ``html``, text or n_chars are left out. Repeated rows stay repeated.
     """
     keep = [c for c in keep if c not in (html, "text", "n_chars")]
