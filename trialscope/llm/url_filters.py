@@ -18,8 +18,6 @@ RULES = [
 DEFAULT_VERDICT = "allow"
 #: Hexadecimal digits of the short hash that rules are found by; the full digest decides.
 PREFIX_DIGITS = 8
-#: Distinct label counts and path lengths of the rules are literals in the plan: a host has at most 127 labels.
-MOST_SHAPES = 4096
 
 
 def host_of(url):
@@ -37,13 +35,21 @@ def rule_table(spark: SparkSession, rules) -> DataFrame:
     return spark.createDataFrame(list(rules), "action string, host string, path string")
 
 
+def _digest(*parts):
+    return F.sha2(F.concat(*parts).cast("binary"), 256)
+
+
+def _short(digest):
+    return F.substring(digest, 1, PREFIX_DIGITS)
+
+
 def filter_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = DEFAULT_VERDICT) -> DataFrame:
     """Every row of ``pages`` with ``host``, ``path``, ``rule`` and ``verdict``.
 
-    ``rules`` has (action, host, path). A url is expanded into the host suffixes with as many labels
-    and the path prefixes with as many characters as some rule has, so the number of expressions
-    hangs on the rules' shapes alone. Expressions meet rules by a short hash prefix; the full digest
-    confirms. The longest rule wins, then the one with the longer host, then ``block``.
+    ``rules`` has (action, host, path), any number of them. A host is expanded into those of its suffixes that have as many labels as
+    some rule's host; suffixes meet the rules' hosts by a short hash prefix, and the full digest confirms. Only for hosts that
+    have rules is the path expanded, into the prefixes as long as a path of that host's rules, and prefixes meet the rules in
+    the same way. The longest rule wins, then the one with the longer host, then ``block``.
 
     Rows are judged once per distinct (host, path), so a host or url of a third of all rows is one
     group per task, and the verdict is joined back. Null urls, urls without ``://`` and urls that no
@@ -52,13 +58,7 @@ def filter_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: s
     """
     made = ["host", "path", "rule", "verdict"]
     rules = rules.dropna(subset=["action", "host", "path"]).distinct()
-    shapes = rules.agg(
-        F.collect_set(F.size(F.split("host", r"\."))).alias("labels"),
-        F.collect_set(F.length("path")).alias("lengths"),
-    ).first()
-    labels, lengths = sorted(shapes["labels"]), sorted(shapes["lengths"])
-    if len(labels) * len(lengths) > MOST_SHAPES:
-        raise ValueError(f"rules of {len(labels)} label counts and {len(lengths)} path lengths; at most {MOST_SHAPES} pairs")
+    labels = rules.agg(F.sort_array(F.collect_set(F.size(F.split("host", r"\.")))).alias("n")).first()["n"]
 
     address = pages[url]
     rows = pages.select(
@@ -67,25 +67,36 @@ def filter_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: s
     if not labels:
         return rows.select("*", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
 
-    count = F.size(F.split("host", r"\."))
-    suffixes = F.array(
-        *[F.when(count >= n, F.substring_index("host", ".", -n)) for n in labels]
+    # Suffixes of the hosts, and the rules' hosts with the lengths of their paths.
+    fitting = F.filter(F.lit(labels), lambda n: n <= F.size(F.split("host", r"\.")))
+    suffixes = F.transform(fitting, lambda n: F.call_function("substring_index", F.col("host"), F.lit("."), -n))
+    hosts = rows.select("host").distinct().select("host", F.explode(suffixes).alias("suffix")).withColumn("digest", _digest("suffix"))
+    known_hosts = (
+        rules.groupBy(F.col("host").alias("rule_host"))
+        .agg(F.sort_array(F.collect_set(F.length("path"))).alias("lengths"))
+        .withColumn("host_digest", _digest("rule_host"))
+    )
+    met = (
+        hosts.withColumn("short", _short("digest"))
+        .join(small_side(known_hosts.withColumn("short", _short("host_digest")), 100_000), "short")
+        .where(F.col("digest") == F.col("host_digest"))
+        .select("host", "suffix", "lengths")
+    )
+
+    # Prefixes of the paths under those hosts, and the rules.
+    prefixes = F.transform(
+        F.filter("lengths", lambda n: n <= F.length("path")), lambda n: F.substring(F.col("path"), F.lit(1), n)
     )
-    prefixes = F.array(*[F.when(F.length("path") >= n, F.substring(F.col("path"), 1, n)) for n in lengths])
     expanded = (
         rows.select("host", "path")
         .distinct()
-        .select("host", "path", F.explode(F.array_compact(suffixes)).alias("suffix"), prefixes.alias("prefixes"))
-        .select("host", "path", "suffix", F.explode(F.array_compact("prefixes")).alias("prefix"))
-        .select("host", "path", F.sha2(F.concat("suffix", "prefix").cast("binary"), 256).alias("digest"))
-        .withColumn("short", F.substring("digest", 1, PREFIX_DIGITS))
+        .join(met, "host")
+        .select("host", "path", "suffix", F.explode(prefixes).alias("prefix"))
+        .select("host", "path", _digest("suffix", "prefix").alias("digest"))
+        .withColumn("short", _short("digest"))
     )
-    known = rules.select(
-        F.concat("host", "path").alias("rule"),
-        "action",
-        F.length("host").alias("host_length"),
-    ).withColumn("rule_digest", F.sha2(F.col("rule").cast("binary"), 256))
-    known = known.withColumn("short", F.substring("rule_digest", 1, PREFIX_DIGITS))
+    known = rules.select(F.concat("host", "path").alias("rule"), "action", F.length("host").alias("host_length"))
+    known = known.withColumn("rule_digest", _digest("rule")).withColumn("short", _short("rule_digest"))
     # The best rule first: longest, then longer host, then block before allow.
     order = F.struct(
         F.length("rule").alias("n"), "host_length", F.when(F.col("action") == "block", 1).otherwise(0).alias("b"), "rule", "action"
