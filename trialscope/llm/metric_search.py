@@ -27,6 +27,8 @@ SHARD_BLOCK = 4096
 #: Floating-point slack of a bound, relative to M.
 SLACK = 1e-9
 SCALE = 64
+#: Squared norms below this one have scores that doubles hold exactly.
+EXACT = 2.0**52
 
 
 def _lists(values: np.ndarray) -> pa.Array:
@@ -161,12 +163,20 @@ def _merge(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return np.lexsort((ids, -scores))[:k]
 
 
+def _merge_whole(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """The same for scores that are Python's whole numbers."""
+    return np.array(sorted(range(len(ids)), key=lambda i: (-scores[i], ids[i]))[:k], dtype=np.int64)
+
+
 def search(q, own, floor, pages, most: float, k: int):
     """The ``k`` best (score, id) of each query in ``pages`` [(centre, radius, ids, vectors, parent)], best page first.
 
     A query stops at the first page that cannot reach its k-th score so far; in a page only vectors are
-    scored that their stored distance to the centre leaves within reach of some query that came.
+    scored that their stored distance to the centre leaves within reach of some query that came. Where doubles cannot
+    hold every score (``most`` of EXACT or more), those within reach are computed in whole numbers of any size.
     """
+    if most >= EXACT:
+        floor = floor - SLACK * (1 + most)
     n = len(q)
     square = (q * q).sum(axis=1)
     to_centre = _distances(q, np.stack([p[0] for p in pages]))
@@ -195,11 +205,22 @@ def search(q, own, floor, pages, most: float, k: int):
             if not len(columns):
                 continue
             score = np.rint(q[at, :-1] @ vectors[columns, :-1].T)
+            if most >= EXACT:
+                score += slack
             hit = near[:, columns] & (score >= least[at][:, None]) & (ids[columns][None, :] != own[at][:, None])
             for i in np.flatnonzero(hit.any(axis=1)):
                 row = at[i]
-                all_scores = np.concatenate([scores[row], score[i, hit[i]]])
                 all_ids = np.concatenate([found[row], ids[columns[hit[i]]]])
+                if most >= EXACT:
+                    one = list(map(int, q[row, :-1]))
+                    whole = [sum(map(int.__mul__, one, map(int, v))) for v in vectors[columns[hit[i]], :-1]]
+                    all_scores = np.array([*scores[row], *whole], dtype=object)
+                    best = _merge_whole(all_scores, all_ids, k)
+                    scores[row], found[row] = all_scores[best], all_ids[best]
+                    if len(best) == k:
+                        least[row] = max(least[row], float(all_scores[best[-1]]) - slack)
+                    continue
+                all_scores = np.concatenate([scores[row], score[i, hit[i]]])
                 if len(all_scores) > 4 * k:
                     top = np.partition(all_scores, len(all_scores) - k)[len(all_scores) - k]
                     wanted = all_scores >= top
@@ -211,6 +232,13 @@ def search(q, own, floor, pages, most: float, k: int):
     return scores, found
 
 
+def _longs(scores: np.ndarray) -> pa.Array:
+    """Scores as 64-bit numbers; larger ones are cut to their range."""
+    if scores.dtype == object:
+        return pa.array([min(max(int(s), -(1 << 63)), (1 << 63) - 1) for s in scores], pa.int64())
+    return pa.array(scores.astype(np.int64))
+
+
 def _search(width: int, most: float, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in groups(batches, ["shard", "part"]):
@@ -230,7 +258,7 @@ def _search(width: int, most: float, k: int):
             scores, found = search(q, own, asked["radius"].to_numpy(), pages, most, k)
             sizes = [len(s) for s in scores]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.repeat(own, sizes)), pa.array(np.concatenate(found)), pa.array(np.concatenate(scores).astype(np.int64))],
+                [pa.array(np.repeat(own, sizes)), pa.array(np.concatenate(found)), _longs(np.concatenate(scores))],
                 ["query_id", "vec_id", "score"],
             )
 
@@ -278,9 +306,9 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
 
     Both have (vec_id: long, x: array of whole numbers as long). Returns ``query_id``, ``rank`` from 1,
     ``vec_id``, ``score``; ties go to the smaller vec_id; fewer rows if there are fewer candidates.
-    Candidates are all rows but those of the query's own vec_id. Rows with a null id or vector, or of
-    another length than the longest, take no part; repeated rows count once. Components must be so
-    small that inner products stay below 2^53, else a ValueError is raised.
+    Candidates are all rows of the query's length but those of the query's own vec_id; vectors of each length are searched for
+    themselves. Rows with a null id or an empty or null vector take no part; repeated rows count once. Scores
+    are exact; components beyond 2^53 are taken as doubles, and scores beyond 64 bits are cut to the range.
 
     The tree is written to the shared folder: vectors go to their nearest route, routes are cut into
     shards, shards into pages. Best first: each query visits its nearest shard, which
@@ -291,13 +319,17 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     rows = vectors.select("vec_id", "x").where("vec_id is not null and x is not null and size(x) > 0")
     norm = F.aggregate("x", F.lit(0.0), lambda a, v: a + v.cast("double") * v)
-    facts = rows.agg(F.max(F.size("x")).alias("width"), F.max(norm).alias("most"), F.count(F.lit(1)).alias("n")).first()
-    width, most = facts["width"], facts["most"]
-    if width is None:
-        return empty
-    rows = rows.where(F.size("x") == width).distinct()
-    if most >= 2**52:
-        raise ValueError("components too large for exact scores")
+    lengths = rows.groupBy(F.size("x").alias("width")).agg(F.max(norm).alias("most")).orderBy("width").collect()  # a row per length
+    found = empty
+    for i, r in enumerate(lengths):
+        own = [side.where(F.size("x") == r["width"]) for side in (rows, queries.select("vec_id", "x").where("vec_id is not null"))]
+        part = _top_k_of_length(*own, r["width"], r["most"], k)
+        found = found.unionByName(part) if i else part
+    return found
+
+
+def _top_k_of_length(vectors: DataFrame, queries: DataFrame, width: int, most: float, k: int) -> DataFrame:
+    rows = vectors.distinct()
     routes = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(ROUTES).select("x").toArrow()["x"].combine_chunks()
     routes = _lift(routes.flatten().to_numpy().astype(np.float64).reshape(-1, width), most)
     encoded = rows.mapInArrow(_encode(width, most, routes), "vec_id long, route int, far double, x binary")
@@ -317,8 +349,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
         "directory",
     )
 
-    asked = queries.select("vec_id", "x").where("vec_id is not null and x is not null").where(F.size("x") == width).distinct()
-    asked = asked.mapInArrow(_encode(width, most, routes), "vec_id long, route int, far double, x binary")
+    asked = queries.distinct().mapInArrow(_encode(width, most, routes), "vec_id long, route int, far double, x binary")
     asked = stored(asked.select(F.col("vec_id").alias("query_id"), "x"), "queries")
     blocks = max(1, -(-asked.count() // QUERY_BLOCK))
     asked = asked.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
@@ -326,7 +357,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     near = _paired(asked.withColumn("floor", none), directory, blocks, width, most, True)
     near = stored(near.groupBy("query_id").agg(F.max_by("shard", "best").alias("shard")), "nearest")
     first = stored(_searched(near, asked.withColumn("floor", none), pages, width, most, k), "first")
-    floors = first.groupBy("query_id").agg(F.min("score").cast("double").alias("floor"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= k)
+    floors = first.groupBy("query_id").agg(F.min("score").cast("double").alias("floor"), F.count(F.lit(1)).alias("n"))
+    floors = floors.where((F.col("n") >= k) & (F.col("floor") > -(2.0**62)))  # lower ones may have been cut
     asked = asked.join(floors.select("query_id", "floor"), "query_id", "left").withColumn("floor", F.coalesce("floor", none))
     rest = _paired(asked, directory, blocks, width, most, False).join(near, ["query_id", "shard"], "left_anti")
     second = _searched(stored(rest.select("query_id", "shard"), "pairs"), asked, pages, width, most, k)
