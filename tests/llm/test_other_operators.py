@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
+import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 import corpus_pipeline
 from trialscope.llm import metric_search
@@ -127,12 +131,41 @@ def test_top_k_odd_rows(spark):
     rows = [(1, [1, 2]), (1, [1, 2]), (20, [0, 0]), (40, [3, 3]), (None, [1, 1]), (60, None), (80, [None, 1]), (100, [1]), (120, [])]
     frame = spark.createDataFrame(rows, "vec_id long, x array<long>").where("x is null or not exists(x, v -> v is null)")
     got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in top_k(frame, frame.where("vec_id % 20 = 0"), 5).collect())
-    assert got == [(20, 1, 1, 0), (20, 2, 40, 0), (40, 1, 1, 9), (40, 2, 20, 0)]
+    assert got == [(20, 1, 1, 0), (20, 2, 40, 0), (40, 1, 1, 9), (40, 2, 20, 0)]  # the one vector of length one has no other
     assert top_k(frame.where("false"), frame, 5).count() == 0
     assert top_k(frame, frame.where("false"), 5).count() == 0
     assert top_k(frame.where("vec_id = 40"), frame.where("vec_id = 40"), 5).count() == 0
 
 
+def test_top_k_of_each_length(spark):
+    draw = np.random.default_rng(2)
+    rows = [(i, draw.integers(-9, 9, size=2 + i % 3).tolist()) for i in range(61)] + [(1000, [1] * 40)]
+    frame = spark.createDataFrame(rows, "vec_id long, x array<long>")
+    got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in top_k(frame, frame, 4).collect())
+    want = []
+    for q, x in rows:
+        near = sorted((-sum(a * b for a, b in zip(x, y)), i) for i, y in rows if i != q and len(x) == len(y))[:4]
+        want += [(q, k + 1, i, -score) for k, (score, i) in enumerate(near)]
+    assert got == sorted(want)
+
+
+def test_top_k_of_scores_that_doubles_cannot_hold(spark):
+    draw = np.random.default_rng(3)
+    rows = [(i, [int(v) for v in draw.integers(-(2**28), 2**28, size=5)]) for i in range(80)]
+    rows += [(100 + i, [2**30 + i % 3, 1 - i % 2, 0, 0, i % 4]) for i in range(30)]
+    frame = spark.createDataFrame(rows, "vec_id long, x array<long>")
+    got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in top_k(frame, frame.where("vec_id % 20 = 0"), 6).collect())
+    want = []
+    for q, x in rows:
+        if q % 20 == 0:
+            near = sorted((-sum(a * b for a, b in zip(x, y)), i) for i, y in rows if i != q)[:6]
+            want += [(q, k + 1, i, -score) for k, (score, i) in enumerate(near)]
+    assert got == sorted(want)
+    huge = spark.createDataFrame([(0, [2**62, 1]), (20, [2**62, 2]), (21, [-(2**62), 2])], "vec_id long, x array<long>")
+    found = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in top_k(huge, huge.where("vec_id = 20"), 5).collect()}
+    assert found == {(20, 1): (0, 2**63 - 1), (20, 2): (21, -(2**63))}
+
+
 # Urls
 
 RULES = [
@@ -171,6 +204,18 @@ def test_urls_match_plain_rules(spark):
     assert {(r.rule, r.verdict) for r in filter_urls(pages, rules.where("false")).collect()} == {(None, "allow")}
 
 
+def test_many_shapes_of_rules(spark):
+    """Hosts of one to seventy labels with paths of one to seventy lengths."""
+    shapes = [("block" if (i * j) % 3 else "allow", ".".join(["a"] * i), "/" + "p" * j) for i in range(1, 71) for j in range(70) if (i + j) % 5 == 0 or i == 7]
+    urls = [f"http://{'.'.join(['a'] * i)}/{'p' * j}" for i in (1, 2, 7, 8, 69, 70, 90) for j in (0, 1, 33, 68, 69, 80)] + ["http://b.a/ppp"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r.page_id: (r.rule, r.verdict) for r in filter_urls(pages, rule_table(spark, shapes)).collect()}
+    for i, url in enumerate(urls):
+        host, path = url[7:].split("/", 1)
+        fits = [(len(h + p), len(h), a == "block", h + p, a) for a, h, p in shapes if ("." + host).endswith("." + h) and ("/" + path).startswith(p)]
+        assert got[i] == (max(fits)[3:] if fits else (None, "allow")), url
+
+
 # Pipeline
 
 
@@ -204,7 +249,17 @@ def test_stages_keep_columns_and_act(spark, corpus):
     assert len(kept[1]) < len(kept[0]) and set(kept[1]) <= set(kept[0])
     assert len(kept[2]) < len(kept[1]) and sorted(kept[3], key=str) == sorted(kept[2], key=str)
     assert set(kept[4]) == set(kept[3])
-    assert docs.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+    assert docs.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "ids"]
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{corpus}/documents.parquet").collect()}
+    rebuilt = {}
+    for r in docs.orderBy("doc_id", "piece").collect():
+        rebuilt[r.doc_id] = rebuilt.get(r.doc_id, b"") + r.ids
+        assert len(r.ids) == 4 * r.length and zlib.crc32(r.ids) == r.ids_crc32
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    plain = {i: tokenizer.encode(texts[i], add_special_tokens=False).ids for i in rebuilt if i is not None and i < 90000}
+    same = [np.frombuffer(rebuilt[i], "<u4").tolist() == [*ids, 1] for i, ids in plain.items()]
+    assert sum(same) > 0.7 * len(same)  # the others had secrets, which are masked
+
 
 
 def test_stages_on_an_empty_table(spark, corpus):

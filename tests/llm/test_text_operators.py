@@ -414,7 +414,7 @@ def test_long_and_short_merges_agree():
 def test_packing_pieces_places_and_ids(spark, library):
     rows = [*ODD, *((1000 + i, t) for i, t in enumerate(awkward_texts()))]
     documents = spark.createDataFrame([(i, t, 5) for i, t in rows], "doc_id long, text string, offset int").repartition(3)
-    got = pack(documents, TOKENIZER, ["doc_id", "offset"], size=64, with_ids=True).toPandas()
+    got = pack(documents, TOKENIZER, ["doc_id", "offset"], size=64).toPandas()
     expected = Counter()
     for i, text in rows:
         ids = np.array([*library.encode(text or "", add_special_tokens=False).ids, 1], dtype="<u4")
@@ -463,3 +463,54 @@ def test_plan_uses_every_piece_once(seed):
     bound = max(-(-int((counts * np.arange(101)).sum()) // 100), int(counts[51:].sum()))
     assert bound <= sequences <= best_fit_decreasing(counts) + 2
     assert slots(plan(counts))[:, 0].tolist() == sorted(slots(plan(counts))[:, 0].tolist())
+
+
+# Odd pages and letters
+
+
+@pytest.mark.parametrize("odd", ["<![foo[b]]>", "<![ foo>", "<![if IE]>", "<![CDATA[ <p>x ]]>", "<![endif]-->", "<!foo bar>", "<?php x ?>", "</ >", "<!>", "<a b=<c>"])
+def test_odd_declarations_end_nothing(odd):
+    text = html_text.main_text(f"<body><article><p>{sentence(9)}{odd}</p><p>{sentence(5)}</p></article>")
+    assert sentence(9) in text and sentence(5) in text
+
+
+@pytest.mark.parametrize("open_end", ["<![foo", "<![CDATA[ x", "<!", "<!--", "<", "</", "<a href='"])
+def test_pages_that_end_in_markup(open_end):
+    assert sentence(9) in html_text.main_text(f"<body><p>{sentence(9)}</p>{open_end}")
+
+
+@pytest.mark.parametrize("unit", ["<nav>", "<b>", "<span class=ad>", "<div><b>", "<article>", "<p><i>"])
+def test_time_is_linear_in_nesting(unit):
+    import time
+
+    def took(n):
+        page = unit * n + "x" + "</i></q></span>" * n
+        start = time.perf_counter()
+        html_text.main_text(page)
+        return time.perf_counter() - start
+
+    assert took(16_000) < 8 * max(took(4_000), 0.05)
+
+
+def test_numerals_are_no_letters(spark):
+    seen = spark.createDataFrame([(i, t, lang) for i, (t, lang) in enumerate([("the of and", "en"), ("der die das", "de")] * 9)], "doc_id long, text string, lang string")
+    texts = ["\u00bd \u00b2 \u2167", "12 _ -", "\u0661", "\u00aa", "a1", "\u6f22"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.lang_pred for r in language_id.identify(rows, language_id.train(seen), ["doc_id"]).collect()}
+    assert [got[i] == "und" for i in range(6)] == [True, True, True, False, False, False]
+
+
+def test_margin_does_not_fall_with_the_number_of_languages(spark):
+    import random
+
+    draw = random.Random(4)
+    names = ["".join(draw.choices("abcdefghijklmnopqrstuvwxyz", k=5)) for _ in range(400)]
+    rows = [(i, " ".join(draw.choices(names[10 * (i % 40) : 10 * (i % 40) + 10], k=30)), f"l{i % 40}") for i in range(800)]
+    seen = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    least = []
+    for n in (4, 40):
+        own = seen.where(f"doc_id % 40 < {n}")
+        found = language_id.identify(own, language_id.train(own), ["doc_id", "lang"], margin=True)
+        assert found.where("lang_pred <> lang").count() == 0
+        least.append(found.selectExpr("min(margin) as m").first().m)
+    assert min(least) > 0.5
