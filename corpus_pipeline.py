@@ -13,8 +13,8 @@ from trialscope.llm.packing import pack
 from trialscope.llm.secrets import redact
 from trialscope.session import work_path
 
-#: A document whose best language gets less than this score is in none of the learned languages.
-LEAST_LANGUAGE_SCORE = 0.3
+#: A document whose best language is less than this ahead of the second one is in none of the learned languages.
+LEAST_LANGUAGE_MARGIN = 0.1
 #: A document below this quality score goes.
 LEAST_QUALITY = 0.5
 TOKENIZER = "word_bpe_49k.json"
@@ -34,8 +34,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     model = language_id.train(docs.select("doc_id", "text", "lang"))
     if model is None:
         return docs.where(F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
-    found = language_id.identify(_wrapped(docs), model, ["document"])
-    return found.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_LANGUAGE_SCORE)).select("document.*")
+    found = language_id.identify(_wrapped(docs), model, ["document"], margin=True)
+    return found.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("margin") >= LEAST_LANGUAGE_MARGIN)).select("document.*")
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -63,7 +63,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents' pieces, each with its place in a sequence of at most 4096 tokens."""
+    """The documents' pieces: their token ids and their place in a sequence of at most 4096 tokens."""
     return pack(docs, public_tokenizers.path(TOKENIZER), ["doc_id"])
 
 
