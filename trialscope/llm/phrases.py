@@ -24,7 +24,7 @@ from .spans import SEED, Bytes, scan, span_hashes
 
 SUPPORT = 30
 LONGEST = 4
-SHARDS = 6
+SHARDS = 3
 #: A phrase goes if a longer one around it has this share of its occurrences, in percent.
 COVERED = 80
 #: Rows per language.
@@ -117,7 +117,7 @@ class Table:
         self.bits = bits
 
     def has(self, hashes: np.ndarray) -> np.ndarray:
-        place = hashes & np.uint64((1 << TABLE_BITS) - 1)
+        place = hashes >> np.uint64(64 - TABLE_BITS)
         byte = self.bits[(place >> np.uint64(3)).astype(np.int64)]
         return (byte >> (place & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
@@ -165,7 +165,7 @@ def _mined(level: int, tables: Broadcast):
                 if parts:
                     own, counts = np.unique(np.concatenate(parts), return_counts=True)
                     parts.clear()
-                    bucket = (own & np.uint64((1 << TABLE_BITS) - 1)) >> np.uint64(MAP_BITS)
+                    bucket = own >> np.uint64(64 - TABLE_BITS + MAP_BITS)  # sorted like the hashes, so rows compress well
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(np.full(len(own), shard, np.int32)), pa.array(bucket.astype(np.int32)), pa.array(own.view(np.int64)), pa.array(counts)],
                         ["shard", "bucket", "hash", "n"],
@@ -198,12 +198,19 @@ def _words_of_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
     yield pa.RecordBatch.from_arrays([pa.array(np.arange(SHARDS, dtype=np.int32)), pa.array(total)], ["shard", "n"])
 
 
-def _mine(texts: DataFrame, level: int, tables: list[np.ndarray], support: Column) -> np.ndarray:
-    """The table of phrases that are frequent in any shard. One exchange serves the counts and the bitmaps."""
+def _mine(texts: DataFrame, level: int, tables: list[np.ndarray], lowered: list[int], support: int) -> np.ndarray:
+    """The table of phrases that are frequent in any shard, as long as what they may have in the others can bring them to ``support``.
+
+    One exchange serves the counts, the sums over shards and the bitmaps.
+    """
     context = texts.sparkSession.sparkContext
     counted = texts.mapInArrow(_mined(level, context.broadcast(tables)), MINED).repartition("bucket")
-    frequent = counted.groupBy("bucket", "shard", "hash").agg(F.sum("n").alias("n")).where(F.col("n") >= support)
-    bit = F.col("hash").bitwiseAND(F.lit((1 << MAP_BITS) - 1))
+    least = F.element_at(F.array(*[F.lit(n) for n in lowered]), F.col("shard") + 1)
+    frequent = counted.groupBy("bucket", "shard", "hash").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    # In a shard where it is not frequent a phrase has one occurrence less than the shard's support at most.
+    over = F.sum(F.col("n") - least + 1)
+    frequent = frequent.groupBy("bucket", "hash").agg(over.alias("over")).where(F.col("over") >= support - sum(n - 1 for n in lowered))
+    bit = F.shiftrightunsigned("hash", 64 - TABLE_BITS).bitwiseAND(F.lit((1 << MAP_BITS) - 1))
     maps = frequent.groupBy("bucket").agg(F.bitmap_construct_agg(bit).alias("bits")).toArrow()  # at most 2 ** TABLE_BITS bits
     table = np.zeros((1 << (TABLE_BITS - MAP_BITS), 1 << (MAP_BITS - 3)), dtype=np.uint8)
     for bucket, bits in zip(maps.column("bucket").to_pylist(), maps.column("bits")):
@@ -274,13 +281,12 @@ def count_phrases(documents: DataFrame, support: int = SUPPORT) -> DataFrame:
     sizes = {r["shard"]: r["n"] for r in mined.mapInArrow(_words_of_shards, "shard int, n long").groupBy("shard").agg(F.sum("n").alias("n")).collect()}
     total = sum(sizes.values())
     # Some shard has at least its share of any ``support`` occurrences; a share is rounded up.
-    lowered = F.element_at(
-        F.array(*[F.lit(max(1, -(-support * sizes.get(s, 0) // max(total, 1)))) for s in range(SHARDS)]), F.col("shard") + 1
-    )
+    lowered = [max(1, -(-support * sizes.get(s, 0) // max(total, 1))) for s in range(SHARDS)]
     tables: list[np.ndarray] = []
-    for level in (1, 2, 3):
-        tables.append(_mine(mined, level, tables, lowered))
     context = documents.sparkSession.sparkContext
+    for level in (1, 2, 3):
+        tables.append(_mine(mined, level, tables, lowered, support))
+        context._jvm.System.gc()  # the driver forgets the level's plan, and executors may delete its shuffle files
     counted = texts.select("text", "lang", "language").mapInArrow(_counted(context.broadcast(tables)), COUNTED)
     return counted.groupBy("lang", "phrase", "words").agg(F.sum("n").alias("n")).where((F.col("words") == 0) | (F.col("n") >= support))
 
