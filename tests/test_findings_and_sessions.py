@@ -5,7 +5,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from trialscope.functions.statistics import slope_p_value
+from trialscope.functions.statistics import p_value
 from trialscope.operators import experiments, findings, sessions
 
 CRASH = "crash_id bigint, signature string, stack_trace string, heap_corruption boolean, stack_overflow boolean"
@@ -56,12 +56,26 @@ def test_risk_levels(spark):
     assert (got["b"]["overall_risk"], got["b"]["attack_vectors"]) == ("low", [])
 
 
-def test_p_values():
+def finite_sum(r_squared, points):
+    """Student's distribution in closed form, for a whole number of degrees of freedom."""
+    v, x, r = points - 2, 1 - r_squared, math.sqrt(r_squared)
+    total, term = 0.0, 1.0
+    for j in range(v // 2 if v % 2 == 0 else (v - 1) // 2):
+        total += term
+        term *= x * ((2 * j + 1) / (2 * j + 2) if v % 2 == 0 else (2 * j + 2) / (2 * j + 3))
+    return 1 - r * total if v % 2 == 0 else 1 - 2 / math.pi * (math.asin(r) + r * math.sqrt(x) * total)
+
+
+def test_p_values(spark):
+    rows = [(r, n) for n in (3, 4, 5, 6, 9, 10, 31, 100, 1001, 20000) for r in (0.0, 1e-9, 1e-5, 0.001, 0.01, 0.25, 0.5, 0.81, 0.999, 1.0)]
+    rows += [(None, 5), (0.5, 2), (0.5, None), (math.nan, 5)]
+    df = spark.createDataFrame([(i, *row) for i, row in enumerate(rows)], "i int, r double, n bigint")
+    got = [r["p"] for r in df.select("i", p_value(F.col("r"), F.col("n")).alias("p")).orderBy("i").collect()]
     # Two-sided t tests: r = 0.5, n = 10 and r = 0.9, n = 4 from tables.
-    assert slope_p_value(0.25, 10) == pytest.approx(0.1411, abs=2e-4)
-    assert slope_p_value(0.81, 4) == pytest.approx(0.1, abs=1e-9)
-    assert slope_p_value(1.0, 5) == 0.0 and slope_p_value(0.0, 5) == 1.0
-    assert math.isnan(slope_p_value(0.5, 2))
+    assert got[rows.index((0.25, 10))] == pytest.approx(0.1411, abs=2e-4)
+    assert got[rows.index((0.81, 4))] == pytest.approx(0.1, abs=1e-9)
+    assert got[-4:] == [None] * 4
+    assert got[:-4] == [pytest.approx(finite_sum(*row), abs=1e-10) for row in rows[:-4]]
 
 
 def trend(spark, points):

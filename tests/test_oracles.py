@@ -45,14 +45,11 @@ def test_query_matches_sql(rows, con, name):
     assert mine == theirs
 
 
-# Three sessions per provider and language are needed for a trend; the smallest scale has fewer.
-MAY_BE_EMPTY = {"wn4_trend_significance"}
-
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
 def test_query_without_sql_gives_rows(rows, name):
     _, mine = rows[name].result()
-    assert mine or name in MAY_BE_EMPTY
+    assert mine
 
 
 def test_entry(spark):

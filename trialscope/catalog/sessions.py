@@ -206,7 +206,21 @@ def _(spark, sf):
     return rounded(trend_rows(spark, sf).drop("p_value", "significance"), "slope", "r_squared", digits=7)
 
 
-@query("wn4_trend_significance")
+# Student's distribution in closed form: a finite sum for each whole number of degrees of freedom.
+SIGNIFICANCE = (
+    TREND_ROWS
+    + """,
+ tv as (select *, points - 2 as v, greatest(1 - r2, 0) as x from tf),
+ tp as (select *, case when v % 2 = 0
+    then 1 - sqrt(r2) * list_sum(list_transform(range(v // 2), lambda j: exp(lgamma(j + 0.5) - lgamma(0.5) - lgamma(j + 1)) * pow(x, j)))
+    else 1 - 2 / pi() * (asin(least(sqrt(r2), 1)) + sqrt(r2) * sqrt(x) * coalesce(list_sum(list_transform(range((v - 1) // 2), lambda j: exp(lgamma(j + 1) + lgamma(1.5) - lgamma(j + 1.5)) * pow(x, j))), 0)) end as p from tv)"""
+)
+
+
+@query(
+    "wn4_trend_significance",
+    sql("select llm_provider, primary_language, measure, points, round(p, 9) as p_value, case when p < 0.05 then 'significant' else 'not_significant' end as significance from tp", SIGNIFICANCE),
+)
 def _(spark, sf):
     return trend_rows(spark, sf).select(
         "llm_provider", "primary_language", "measure", "points", F.round("p_value", 9).alias("p_value"), "significance"

@@ -279,7 +279,7 @@ def trends(sessions: DataFrame, *keys: str, least_points: int = 3) -> DataFrame:
         .filter(F.col("points") >= least_points)
     )
     return (
-        fitted.withColumn("p_value", p_value("r_squared", F.col("points").cast("double")))
+        fitted.withColumn("p_value", p_value(F.col("r_squared"), F.col("points")))
         .withColumn(
             "trend_direction",
             F.when(F.col("slope") < 0, "improving").when(F.col("slope") > 0, "degrading").otherwise("stable"),
