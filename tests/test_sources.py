@@ -310,3 +310,14 @@ def test_no_list_of_all_lines_of_a_json_file(spark, tmp_path):
     (tmp_path / "a.json").write_text("".join(f'{{"msg": "m{i}"}}\n' for i in range(5000)) + "{bad\n")
     (row,) = log_analysis.file_totals(log_analysis.parse_folder(spark, str(tmp_path))).collect()
     assert (row["parsed_entries"], row["errors"]) == (5000, 1)
+
+
+def test_folder_totals(spark):
+    """Folders with all below them; a name may begin like another, a root may end in a slash, a file may lie in it."""
+    paths = {"a": 1, "x/b": 2, "x/c": 3, "x/y/d": 4, "x/y/z/e": 5, "xy/f": 6}
+    rows = [(f"file:/r/{p}", f"file:/r/{p}".rsplit("/", 1)[0], n) for p, n in paths.items()]
+    files = spark.createDataFrame(rows, "file string, directory string, size_bytes long")
+    want = {("", 21, 10), ("x", 14, 6), ("x/y", 9, 3), ("x/y/z", 5, 1), ("xy", 6, 1)}
+    for root in ("file:/r", "file:/r/"):
+        assert set(map(tuple, text.folder_totals(files, root).collect())) == want
+    assert text.folder_totals(files.limit(0), "file:/r").count() == 0

@@ -246,6 +246,27 @@ def _(spark, sf):
     return stats.select(shard_of(F.col("directory")).alias("shard"), "size_bytes", "file_count")
 
 
+TREE = {"area": 2, "half": 3, "part": 5}
+
+
+@query(
+    "ag16_folder_totals",
+    oracle(
+        "log_lines",
+        "with f as (select concat('area=', line_number % 2) as a, concat('half=', line_number % 3) as h, concat('part=', line_number % 5) as p, sum(length(raw_line) + 1) as n from log_lines group by 1, 2, 3), "
+        "d as (select unnest(['', a, concat_ws('/', a, h), concat_ws('/', a, h, p)]) as folder, unnest([0, 1, 2, 3]) as depth, a, h, n from f), "
+        "t as (select folder, depth, sum(n) as n, count(*) as files, count(distinct a) as areas, count(distinct concat(a, h)) as halves from d group by folder, depth) "
+        "select folder, cast(n as bigint) as size_bytes, files + case depth when 0 then areas + halves + files when 1 then halves + files when 2 then files else 0 end as entries from t",
+    ),
+)
+def _(spark, sf):
+    """A tree of folders, three deep with a file in each of the lowest."""
+    path, named = work_path(spark, "tree"), list(TREE)
+    rows = view(spark, sf, "log_lines").select("raw_line", *[(F.col("line_number") % n).alias(name) for name, n in TREE.items()])
+    rows.repartition(*named).write.partitionBy(*named).text(path)
+    return text.folder_totals(text.listing(spark, path, "*.txt"), text.qualified(spark, path))
+
+
 @query(
     "snk9_analyze_folder",
     oracle("log_lines", "select 'text' as format, count(distinct line_number // 1000) as files, count(*) as total_entries, cast(0 as bigint) as total_errors from log_lines"),

@@ -64,10 +64,41 @@ def listing(spark: SparkSession, path: str, glob: str | None = None) -> DataFram
     )
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """``path`` as listings give it, with the scheme of its file system."""
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return found.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(found).toString()
+
+
 def storage_statistics(files: DataFrame) -> DataFrame:
     return files.groupBy("directory").agg(F.sum("size_bytes").alias("size_bytes"), F.count("*").alias("file_count"))
 
 
+def folder_totals(files: DataFrame, root: str) -> DataFrame:
+    """Bytes and entries (files and folders) of each folder of ``files`` (a ``listing`` below ``root``) with all that lies below it.
+
+    ``folder`` is relative to ``root``, which is the empty text itself. Files fold to their own folder before a folder's figures go to
+    each folder around it, so only small rows are multiplied, by their depth. A listing has files only:
+    folders without any file below them are not seen.
+    """
+    within = F.substr("directory", F.lit(len(root.rstrip("/")) + 1))
+    own = files.groupBy(F.array_remove(F.split(within, "/"), "").alias("parts")).agg(
+        F.sum("size_bytes").alias("size_bytes"), F.count("*").alias("entries")
+    )
+
+    def around(levels: Column) -> Column:
+        return F.transform(levels, lambda n: F.array_join(F.slice("parts", F.lit(1), n), "/"))
+
+    depth = F.size("parts")
+    rolled = own.select("size_bytes", "entries", F.explode(around(F.sequence(F.lit(0), depth))).alias("folder"))
+    totals = rolled.groupBy("folder").agg(F.sum("size_bytes").alias("size_bytes"), F.sum("entries").alias("files"))
+    parts = F.array_remove(F.split("folder", "/"), "")
+    folders = totals.filter("folder <> ''").select(parts.alias("parts"))
+    inner = folders.select(F.explode(around(F.sequence(F.lit(0), depth - 1))).alias("folder")).groupBy("folder").agg(F.count("*").alias("folders"))
+    entries = F.col("files") + F.coalesce("folders", F.lit(0))
+    return totals.join(inner, "folder", "left").select("folder", "size_bytes", entries.alias("entries"))
+
+
 def extension(path: Column) -> Column:
     return F.lower(F.regexp_extract(path, r"[^/]\.([^./]+)$", 1))
 
