@@ -177,7 +177,7 @@ CRASH_LOG = (
 @query("st8_crash_file_findings", oracle("tool_lines", CRASH_LOG))
 def _(spark, sf):
     lines = live(spark, sf, "tool_lines").filter("tool = 'crash'").select("file", "line_number", "raw_line")
-    found = jobs.crash_file_findings(lines, "crash-files")
+    found = jobs.crash_file_findings(append(jobs.crash_lines(lines), "crash-files"))
     return found.select("file", "crash_line", "detection_method", "vulnerability_type", "severity")
 
 
@@ -205,7 +205,7 @@ def _(spark, sf):
     ),
 )
 def _(spark, sf):
-    out = upsert(jobs.sliding_day(stream_table(spark, sf, "events")), "day", "from")
+    out = jobs.sliding_day(upsert(jobs.hour_panes(stream_table(spark, sf, "events")), "day", "hour"))
     return out.withColumn("from", stamp("from")).withColumnRenamed("from", "window_start")
 
 
@@ -218,8 +218,10 @@ def _(spark, sf):
     ),
 )
 def _(spark, sf):
-    listed = live(spark, sf, "file_snapshots", "part").withColumn("snapshot", F.when(F.col("snap") == "prev", 1).otherwise(2))
-    return jobs.file_changes(append(jobs.snapshot_rows(listed), "changes")).drop("snapshot")
+    number = F.when(F.col("snap") == "prev", 1).otherwise(2)
+    listed = live(spark, sf, "file_snapshots", "part").withColumn("snapshot", number)
+    manifest = view(spark, sf, "file_snapshots").groupBy(number.alias("snapshot")).agg(F.count("*").alias("files"))
+    return jobs.file_changes(append(jobs.snapshot_rows(listed), "changes"), manifest).drop("snapshot")
 
 
 @query(

@@ -385,6 +385,15 @@ def crash_signal(line: Column) -> Column:
     )
 
 
+def _opens_crash(line: Column) -> Column:
+    return T.has(F.lower(line), *CRASH_START_TERMS)
+
+
+def counts_for_crashes(line: Column) -> Column:
+    """Whether a stripped line opens or closes a trace, stands in one or is a report itself."""
+    return _opens_crash(line) | (line == "") | line.startswith("#") | line.contains("0x") | T.has(F.lower(line), "asan", "msan")
+
+
 def trace_state(df: DataFrame) -> DataFrame:
     """Each line that matters to crashes with ``open_at``: the start line of the crash still open before it.
 
@@ -393,10 +402,8 @@ def trace_state(df: DataFrame) -> DataFrame:
     marker is a window, between runs one marker per run is carried on.
     """
     line = T.strip(F.col("raw_line"))
-    starts = T.has(F.lower(line), *CRASH_START_TERMS)
-    # Only what opens or closes a trace, stands in one or is a report itself goes any further.
-    counts = starts | (line == "") | line.startswith("#") | line.contains("0x") | T.has(F.lower(line), "asan", "msan")
-    base = df.filter(counts).select(
+    starts = _opens_crash(line)
+    base = df.filter(counts_for_crashes(line)).select(
         "file",
         "line_number",
         line.alias("raw_line"),

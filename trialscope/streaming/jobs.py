@@ -14,11 +14,12 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions import text as T
 from ..operators import code, findings, interactions, logs, sessions
 from ..sources.growing import grown_lines, read_growth
-from .io import batch_folder, batches, each_batch
+from .io import versioned
 
 
 def event_time(stream: DataFrame, delay: str | None = None, column: str = "ts") -> DataFrame:
@@ -57,27 +58,18 @@ def session_counters(lines: DataFrame) -> DataFrame:
     )
 
 
-def crash_file_findings(lines: DataFrame, label: str, **where) -> DataFrame:
-    """Findings of crash files. A batch brings any lines of any files: the files it touches are read again
-    from all lines so far, so a trace that batches cut is put together, and a file's last reading counts.
-    """
-    kept = "file STRING, line_number BIGINT, raw_line STRING"
+def crash_lines(lines: DataFrame) -> DataFrame:
+    """The lines of crash files that open, close or stand in a trace or are a report; all others go as they are read."""
+    return lines.filter(logs.counts_for_crashes(T.strip(F.col("raw_line")))).select("file", "line_number", "raw_line")
+
 
-    def write(batch: DataFrame, batch_id: int, path: str) -> None:
-        batch.select("file", "line_number", "raw_line").write.mode("overwrite").parquet(batch_folder(f"{path}/lines", batch_id))
-        so_far = batches(batch.sparkSession, f"{path}/lines", kept)
-        touched = so_far.filter(F.col("batch") == batch_id).select("file").distinct()
-        found = findings.crash_log_findings(so_far.drop("batch").join(touched, "file", "left_semi"))
-        # A touched file without findings leaves a row too: it replaces what an earlier batch found.
-        found = touched.join(found, "file", "left")
-        found.write.mode("overwrite").parquet(batch_folder(f"{path}/findings", batch_id))
+def crash_file_findings(lines: DataFrame) -> DataFrame:
+    """Findings of crash files, over appended lines.
 
-    path = each_batch(lines, label, write, "append", **where)
-    spark = lines.sparkSession
-    schema = findings.crash_log_findings(spark.createDataFrame([], kept)).schema
-    found = batches(spark, f"{path}/findings", schema)
-    last = found.groupBy("file").agg(F.max("batch").alias("batch"))
-    return found.join(last, ["file", "batch"]).filter("crash_line is not null").drop("batch")
+    A batch brings any lines of any files and writes its own only. A trace that batches cut is put together here, in the order of
+    the line numbers, by fixed runs of them; a line that was read twice counts once.
+    """
+    return findings.crash_log_findings(lines.dropDuplicates(["file", "line_number"]))
 
 
 # -- replies and code ------------------------------------------------------------
@@ -162,12 +154,15 @@ def _rate_segments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         times = rows["at"].to_numpy()
         n = len(times)
         following = np.searchsorted(times, times + RATE_MICROS, side="right")
-        restarts, limited, last = np.ones(n, np.int64), np.zeros(n, np.int64), np.arange(n)
-        for i in range(n - 1, -1, -1):
-            k = following[i]
-            if k < n:
-                restarts[i], last[i] = 1 + restarts[k], last[k]
-                limited[i] = max(0, k - i - RATE_LIMIT) + limited[k]
+        # Chains by doubling: each pass joins a request's part of its chain with the equally long part behind it. Place n ends all chains.
+        places, following = np.arange(n + 1), np.append(following, n)
+        restarts, last = np.append(np.ones(n, np.int64), 0), places.copy()
+        limited = np.where(following < n, np.maximum(0, following - places - RATE_LIMIT), 0)
+        while (following < n).any():
+            restarts, limited = restarts + restarts[following], limited + limited[following]
+            last = np.where(following < n, last[following], last)
+            following = following[following]
+        restarts, limited, last = restarts[:n], limited[:n], last[:n]
         entries = min(int(np.searchsorted(times, times[0] + RATE_MICROS, side="right")) + 1, n)
         own = last[:entries]
         table = (times[:entries], restarts[:entries], limited[:entries], times[own], n - own)
@@ -261,16 +256,19 @@ def session_lifecycle(events: DataFrame, label: str, gap: str = "6 hours", analy
     signup that nothing followed, else ``completed``.
     """
 
-    def write(batch: DataFrame, batch_id: int, path: str) -> None:
+    def change(batch: DataFrame) -> DataFrame:
         single = batch.select(
             "session_id", F.col("ts").cast("timestamp").alias("first"), F.col("ts").cast("timestamp").alias("last"),
             F.lit(1).cast("bigint").alias("events"), F.col("event_id").alias("last_id"), F.col("event_type").alias("last_type"),
         )
-        by_day = _activity_runs(single.withColumn("day", F.to_date("first")), gap, "day")
-        by_day.write.mode("overwrite").parquet(batch_folder(f"{path}/runs", batch_id))
+        return by_day(single).drop("batch")
+
+    def by_day(rows: DataFrame) -> DataFrame:
+        runs = _activity_runs(rows.withColumn("day", F.to_date("first")), gap, "day")
+        return runs.withColumn("batch", F.lit(None).cast("bigint"))
 
-    path = each_batch(events, label, write, "append", **where)
-    runs = _activity_runs(batches(events.sparkSession, f"{path}/runs", _RUN).drop("batch"), gap)
+    schema = StructType.fromDDL(_RUN)
+    runs = _activity_runs(versioned(events, label, schema, change, by_day, "append", **where), gap)
     clock = runs.agg(F.max("last").alias("clock"))
     ended = F.col("last") + F.expr(f"interval {gap}")
     status = (
@@ -307,21 +305,28 @@ def minute_snapshots(events: DataFrame, delay: str | None = None) -> DataFrame:
     )
 
 
-def sliding_day(events: DataFrame, delay: str | None = None) -> DataFrame:
-    """Totals over the last 24 hours, every hour."""
+def hour_panes(events: DataFrame, delay: str | None = None) -> DataFrame:
+    """Totals per hour: the panes that a sliding day is laid out with, one state row per hour."""
     timed = event_time(events, delay)
     return (
-        timed.groupBy(F.window("ts", "24 hours", "1 hour").alias("w"))
+        timed.groupBy(F.window("ts", "1 hour").alias("w"))
         .agg(
             F.count("*").alias("events"),
             F.count_if(F.col("event_type") == "click").alias("drivers"),
             F.count_if(F.col("event_type") == "error").alias("vulnerabilities"),
             F.max("value").alias("highest"),
         )
-        .select(F.col("w.start").alias("from"), "events", "drivers", "vulnerabilities", "highest")
+        .select(F.col("w.start").alias("hour"), "events", "drivers", "vulnerabilities", "highest")
     )
 
 
+def sliding_day(panes: DataFrame) -> DataFrame:
+    """Totals over the 24 hours from every hour, out of hour panes: a pane belongs to 24 days, an event to one pane."""
+    starts = F.sequence(F.col("hour") - F.expr("interval 23 hours"), F.col("hour"), F.expr("interval 1 hour"))
+    totals = [F.sum(name).alias(name) for name in ("events", "drivers", "vulnerabilities")]
+    return panes.withColumn("from", F.explode(starts)).groupBy("from").agg(*totals, F.max("highest").alias("highest"))
+
+
 def latest_health(health: DataFrame) -> DataFrame:
     return interactions.latest_health(health)
 
@@ -349,22 +354,28 @@ def snapshot_rows(snapshots: DataFrame) -> DataFrame:
     return snapshots.select("snapshot", "path", "mtime")
 
 
-def file_changes(rows: DataFrame) -> DataFrame:
-    """Changes of each snapshot against the one before it, over appended rows.
+def file_changes(rows: DataFrame, manifest: DataFrame | None = None) -> DataFrame:
+    """Changes of each snapshot against the one numbered one less, over appended rows.
 
-    A snapshot counts once all its rows are there, however many batches brought them: the fold is made
-    over the table, not over batches. The first snapshot is what the second is compared with.
+    ``manifest`` says how many ``files`` each ``snapshot`` lists: one with fewer rows so far is still arriving, and neither its changes nor those of the next
+    are given before it is whole; a snapshot of no files has no rows and deletes all. Without a manifest every snapshot with a
+    row counts as whole. The fold is made over the table, not over batches; a row that came twice counts once.
     """
-    numbers = rows.select("snapshot").distinct()
-    pairs = numbers.select("snapshot", F.lead("snapshot").over(Window.orderBy("snapshot")).alias("next")).filter("next is not null")
-    old = rows.join(F.broadcast(pairs), "snapshot").select(F.col("next").alias("snapshot"), "path", F.col("mtime").alias("old"))
-    new = rows.join(F.broadcast(pairs.select(F.col("next").alias("snapshot"))), "snapshot")
-    new = new.select("snapshot", "path", F.col("mtime").alias("new"))
+    rows = rows.dropDuplicates(["snapshot", "path"])
+    arrived = rows.groupBy("snapshot").agg(F.count("*").alias("arrived"))
+    if manifest is None:
+        whole = arrived.select("snapshot")
+    else:
+        listed = manifest.groupBy("snapshot").agg(F.max("files").alias("files"))
+        there = F.coalesce(F.col("arrived"), F.lit(0)) >= F.col("files")
+        whole = listed.join(arrived, "snapshot", "left").filter(there).select("snapshot")
+    later = whole.join(whole.select((F.col("snapshot") + 1).alias("snapshot")), "snapshot")  # with a whole one before them
+    old = rows.select((F.col("snapshot") + 1).alias("snapshot"), "path", F.col("mtime").alias("old"))
+    new = rows.select("snapshot", "path", F.col("mtime").alias("new"), F.lit(True).alias("is_there"))
+    both = old.withColumn("was_there", F.lit(True)).join(new, ["snapshot", "path"], "full_outer").join(later, "snapshot", "left_semi")
     change = (
-        F.when(F.col("old").isNull(), "created").when(F.col("new").isNull(), "deleted").when(F.col("old") != F.col("new"), "modified")
-    )
-    return (
-        old.join(new, ["snapshot", "path"], "full_outer")
-        .select("snapshot", "path", change.alias("change"), "old", "new")
-        .filter("change is not null")
+        F.when(F.col("was_there").isNull(), "created")
+        .when(F.col("is_there").isNull(), "deleted")
+        .when(~F.col("old").eqNullSafe(F.col("new")), "modified")
     )
+    return both.select("snapshot", "path", change.alias("change"), "old", "new").filter("change is not null")
