@@ -111,10 +111,22 @@ def _files(spark: SparkSession, path: str):
     return of, of(path).getFileSystem(spark._jsc.hadoopConfiguration())
 
 
+#: Mark of a folder that is whole; our own, as committers may be told to leave none.
+DONE = "_done"
+
+
+def _write_marked(rows: DataFrame, path: str, batch_id: int) -> None:
+    """Write a batch folder anew (an old mark goes first) and mark it."""
+    folder = batch_folder(path, batch_id)
+    rows.write.mode("overwrite").parquet(folder)
+    of, system = _files(rows.sparkSession, folder)
+    system.create(of(f"{folder}/{DONE}"), True).close()
+
+
 def _numbers(spark: SparkSession, path: str) -> list[int]:
-    """Numbers of the finished batch folders of ``path``; one that a failure cut short has no mark of success."""
+    """Numbers of the finished batch folders of ``path``; one that a failure cut short has no mark."""
     of, system = _files(spark, path)
-    marks = system.globStatus(of(f"{path}/batch=*/_SUCCESS")) or []
+    marks = system.globStatus(of(f"{path}/batch=*/{DONE}")) or []
     return sorted(int(mark.getPath().getParent().getName().removeprefix("batch=")) for mark in marks)
 
 
@@ -153,7 +165,7 @@ class Versions:
         return self.fold(self.rows())
 
     def add(self, change: DataFrame, batch_id: int) -> None:
-        change.write.mode("overwrite").parquet(batch_folder(f"{self.path}/changes", batch_id))
+        _write_marked(change, f"{self.path}/changes", batch_id)
         if (batch_id + 1) % COMPACT_EVERY == 0:
             self.compact(batch_id)
 
@@ -161,7 +173,7 @@ class Versions:
         """Make the base of all batches up to ``upto``, and drop what only bases before the last one needed."""
         before = [n for n in self.bases() if n < upto]
         rows = self.rows(upto, before[-1] if before else -1)
-        self.fold(rows).write.mode("overwrite").parquet(batch_folder(f"{self.path}/base", upto))
+        _write_marked(self.fold(rows), f"{self.path}/base", upto)
         if before:
             of, system = _files(self.spark, self.path)
             for number in before[:-1]:
