@@ -179,3 +179,23 @@ def test_quality_bounds(spark, sf_dir):
 
 def test_language_of_path(values):
     assert values(code.language_of_path, "a/b.C", "x.hpp", ".env", "dir.py/file", "y.kt") == ["c", "cpp", "unknown", "unknown", "kotlin"]
+
+
+def test_cut_and_guarded_counts_equal_the_plain_patterns(spark):
+    import random
+
+    draw = random.Random(5)
+    words = ["def", "function", "undef", "f", "für", "x1", "if", "elif", "elifs", "_if", "for", "?", "&&", "|", "(", "(", ")", " ", " ", "\n", "\t ", "123", "12", "1234a", "TODO", "hack", "𝒳"]
+    texts = ["", "(", "a b(", "def a b(", "a b\n(", "function function x(", "def f(g h(", "x ( y (", "a b", "def x", "((", None]
+    texts += ["".join(draw.choice(words) for _ in range(draw.randrange(1, 40))) for _ in range(400)]
+    text = F.col("t")
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    pairs = {
+        "functions": (code.function_marks(text), T.hits(text, code.ANY_FUNCTION)),
+        "decisions": (code.cyclomatic(text), T.hits(text, code.DECISIONS) + 1),
+        "numbers": (code.magic_numbers(text), F.array_distinct(T.matches(text, code.MAGIC_NUMBER))),
+        "todos": (code.todo_comments(text), T.matches(text, code.TODO)),
+        "guarded": (T.guarded_hits(text, "if", T.whole("if")), T.hits(text, T.whole("if"))),
+    }
+    for name, (cut, plain) in pairs.items():
+        assert df.filter(~cut.eqNullSafe(plain)).count() == 0, name

@@ -53,6 +53,11 @@ def hits(text: Column, pattern: str | Column) -> Column:
     return F.regexp_count(text, pattern if isinstance(pattern, Column) else F.lit(pattern)).cast("bigint")
 
 
+def guarded_hits(text: Column, word: str, pattern: str) -> Column:
+    """``hits``; ``word`` is a literal part of every match, tried first."""
+    return F.when(~text.contains(word), F.lit(0).cast("bigint")).otherwise(hits(text, pattern))
+
+
 def has(text: Column, *words: str) -> Column:
     """Whether any of the literal ``words`` occurs."""
     test = text.contains(words[0])

@@ -18,6 +18,8 @@ W = T.WORD
 BRANCH_WORDS = "if|else|elif|while|for|switch|case"
 BRANCH_SIGNS = r"&&|\|\||\?"
 DECISIONS = T.whole(BRANCH_WORDS + "|catch") + "|" + BRANCH_SIGNS
+# What a decision can start with: one look ahead spares most characters the whole pattern.
+DECISION_STARTS = "(?=[cefisw&|?])"
 FUNCTION_DECISIONS = T.whole(BRANCH_WORDS) + "|" + BRANCH_SIGNS
 BRACE_LANGUAGES = ("c", "cpp", "java", "javascript")
 
@@ -71,7 +73,7 @@ def line_metrics(content: Column, lines: Column) -> list[Column]:
 
 
 def cyclomatic(content: Column, pattern: str = DECISIONS) -> Column:
-    return T.hits(content, pattern) + 1
+    return T.hits(content, f"{DECISION_STARTS}(?:{pattern})") + 1
 
 
 def brace_depth(content: Column) -> Column:
@@ -112,6 +114,7 @@ WORD_AND_CALL = rf"{W}\s++{W}++\s*+\("
 
 MAGIC_NUMBER = T.whole(r"\d{3,}")
 TODO = r"(?id)(?:TODO|FIXME|HACK|XXX).*"
+TODO_WORDS = ("todo", "fixme", "hack", "xxx")
 LONG_LINE = 120
 UNCHECKED_MALLOC = r"malloc\s*\([^)]*\)(?!\s*;?\s*if)"
 NESTED_LOOPS = r"for\s*\([^}]*for\s*\(|while\s*\([^}]*while\s*\("
@@ -122,6 +125,7 @@ PARAMETER_LISTS = {
     "java": WORD_AND_CALL + r"([^)]*)\)",
 }
 DOCUMENTATION = {"python": r'(?s)""".*?"""', "c": r"(?s)/\*\*.*?\*/", "java": r"(?s)/\*\*.*?\*/"}
+DOCUMENTATION_MARKS = {"python": '"""', "c": "/**", "java": "/**"}
 ANY_FUNCTION = rf"def\s+{W}+|function\s+{W}+|{WORD_AND_CALL}"
 
 
@@ -156,7 +160,7 @@ def duplicate_lines(lines: Column) -> Column:
 
 
 def magic_numbers(content: Column) -> Column:
-    return F.array_distinct(T.matches(content, MAGIC_NUMBER))
+    return F.array_distinct(T.matches(content, rf"(?=\d){MAGIC_NUMBER}"))
 
 
 def long_line_numbers(lines: Column) -> Column:
@@ -165,7 +169,8 @@ def long_line_numbers(lines: Column) -> Column:
 
 
 def todo_comments(content: Column) -> Column:
-    return T.matches(content, TODO)
+    marked = T.let(F.lower(content), lambda low: T.has(low, *TODO_WORDS))
+    return F.when(~marked, F.array().cast("array<string>")).otherwise(T.matches(content, TODO))
 
 
 def smell_issues(lines: Column, numbers: Column, todos: Column, duplicates: Column) -> Column:
@@ -219,7 +224,7 @@ def security_issues(content: Column, language: Column, extra_rules: list[tuple[s
 
 def performance_issues(content: Column, language: Column) -> Column:
     return T.present(
-        (T.has(content, "for", "while") & content.rlike(NESTED_LOOPS), issue("nested_loops", "medium")),
+        (T.has(content, "for", "while") & content.contains("(") & content.rlike(NESTED_LOOPS), issue("nested_loops", "medium")),
         (content.contains("for") & T.has(content, "+=", ".append("), issue("inefficient_string_ops", "low")),
         ((language == "python") & T.found(content, ".append(", LIST_BUILDING), issue("inefficient_list_building", "low")),
     )
@@ -233,13 +238,35 @@ def parameter_counts(content: Column, language: Column) -> Column:
     return F.transform(lists, lambda p: F.size(F.filter(F.split(p, ","), lambda x: ~is_blank(x))))
 
 
+def function_marks(content: Column) -> Column:
+    """Matches of ANY_FUNCTION.
+
+    No match goes over an opening parenthesis, so the text is cut there. A piece without the two words has a match
+    only at its end, which is read backwards from there; prose between calls is never searched.
+    """
+    backwards = rf"^\s*+{W}++\s++{W}"
+
+    def named(piece: Column) -> Column:
+        return T.has(piece, "def", "function")
+
+    def before_call(piece: Column) -> Column:
+        call = F.reverse(piece).rlike(backwards).cast("bigint")
+        return F.when(named(piece), T.hits(F.concat(piece, F.lit("(")), ANY_FUNCTION)).otherwise(call)
+
+    def counted(pieces: Column) -> Column:
+        last = F.element_at(pieces, -1)
+        rest = F.when(named(last), T.hits(last, ANY_FUNCTION)).otherwise(F.lit(0).cast("bigint"))
+        return F.aggregate(F.slice(pieces, F.lit(1), F.size(pieces) - 1), rest, lambda total, piece: total + before_call(piece))
+
+    return T.let(F.split(content, r"\("), counted)
+
+
 def documentation_ratio(content: Column, language: Column) -> Column:
     """Doc comments per function; NULL without functions or for other languages."""
     docs = F.lit(None).cast("bigint")
     for name, pattern in DOCUMENTATION.items():
-        docs = F.when(language == name, T.hits(content, pattern)).otherwise(docs)
-    functions = T.hits(content, ANY_FUNCTION)
-    return F.when(functions > 0, docs / functions)
+        docs = F.when(language == name, T.guarded_hits(content, DOCUMENTATION_MARKS[name], pattern)).otherwise(docs)
+    return F.when(language.isin(*DOCUMENTATION), F.try_divide(docs, function_marks(content)))
 
 
 def maintainability_issues(content: Column, language: Column) -> Column:
@@ -286,9 +313,9 @@ def javascript_counts(content: Column) -> dict[str, Column]:
     return {
         "function_count": T.hits(content, rf"function\s+{W}+"),
         "arrow_function_count": T.hits(content, "=>"),
-        "var_declarations": T.hits(content, T.WORD_START + r"var\s+"),
-        "let_declarations": T.hits(content, T.WORD_START + r"let\s+"),
-        "const_declarations": T.hits(content, T.WORD_START + r"const\s+"),
+        "var_declarations": T.guarded_hits(content, "var", T.WORD_START + r"var\s+"),
+        "let_declarations": T.guarded_hits(content, "let", T.WORD_START + r"let\s+"),
+        "const_declarations": T.guarded_hits(content, "const", T.WORD_START + r"const\s+"),
     }
 
 
@@ -341,13 +368,13 @@ def score_code(df: DataFrame, content: str = "content", language: str = "languag
             smell_issues(F.col("lines"), F.col("numbers"), F.col("todos"), F.col("duplicates")),
             F.when(lang == "python", python_smells(text, F.col("py"))).otherwise(no_issues()),
             T.present(
-                ((lang == "javascript") & text.rlike(T.WORD_START + r"var\s+"), issue("var_usage", "low")),
+                ((lang == "javascript") & T.found(text, "var", T.WORD_START + r"var\s+"), issue("var_usage", "low")),
             ),
         ).alias("code_smells"),
         F.concat(
             security_issues(text, lang),
             T.present(
-                (lang.isin("c", "cpp") & (T.hits(text, MALLOC) > T.hits(text, FREE)), issue("memory_leak", "medium")),
+                (lang.isin("c", "cpp") & (T.guarded_hits(text, "malloc", MALLOC) > T.guarded_hits(text, "free", FREE)), issue("memory_leak", "medium")),
             ),
         ).alias("security_issues"),
         performance_issues(text, lang).alias("performance_issues"),

@@ -81,7 +81,7 @@ FOREIGN_HINTS = {
 }
 KNOWN_MODULES = ["os", "sys", "json", "time", "datetime", "math", "random", "re"]
 KNOWN_HEADERS = ["stdio.h", "stdlib.h", "string.h", "math.h", "time.h"]
-# A word every match holds, and the pattern.
+# A lower-case word every match holds, and the pattern.
 INVENTED_NAMES = [
     ("undefined_function", r"(?i)undefined_function\s*\("),
     ("nonexistent_", r"(?i)nonexistent_(?:library|module|package)"),
@@ -89,11 +89,14 @@ INVENTED_NAMES = [
     ("import", rf"(?i)import\s+(?:nonexistent|fake|dummy)_{T.WORD}+"),
     ("#include", r"(?i)#include\s*<(?:nonexistent|fake|dummy)\.h>"),
 ]
+# Every match of an invented name holds one of these, too.
+INVENTED_STEMS = ["undefined_", "nonexistent", "fictional_", "fake", "dummy"]
+# A word every match holds, the pattern, the label, and a sign every match holds.
 IMPOSSIBLE = [
-    ("malloc", r"malloc\s*\(\s*-\d+\s*\)", "Negative malloc size"),
-    ("array[", r"array\[\s*-\d+\s*\]", "Negative array index"),
-    ("/", rf"{T.WORD}\s*=\s*{T.WORD}+\s*/\s*0(?!\.\d)", "Division by zero"),
-    ("for", r"for\s*\(\s*;\s*true\s*;\s*\)\s*\{[^{}]*\}(?![^{}]*break)", "Infinite loop without break"),
+    ("malloc", r"malloc\s*\(\s*-\d+\s*\)", "Negative malloc size", "("),
+    ("array[", r"array\[\s*-\d+\s*\]", "Negative array index", "]"),
+    ("/", rf"{T.WORD}\s*=\s*{T.WORD}+\s*/\s*0(?!\.\d)", "Division by zero", "="),
+    ("for", r"for\s*\(\s*;\s*true\s*;\s*\)\s*\{[^{}]*\}(?![^{}]*break)", "Infinite loop without break", "("),
 ]
 PYTHON_IMPORT = rf"import\s+{T.WORD}+|from\s+{T.WORD}+\s+import"
 INCLUDE = r"#include\s*<([^>]+)>"
@@ -136,13 +139,26 @@ def detect_language(df: DataFrame, code: str, out: str = "language") -> DataFram
 
 def invented_issues(code: Column) -> Column:
     """Invented names (one issue per hit) and impossible constructs (one per kind)."""
-    low = F.lower(code)
-    invented = [
-        F.when(low.contains(word), F.transform(T.matches(code, p), lambda m: F.concat(F.lit("Potential hallucination: "), m)))
-        for word, p in INVENTED_NAMES
-    ]
-    impossible = T.present(*[(T.found(code, word, p), "Impossible construct: " + text) for word, p, text in IMPOSSIBLE])
-    return F.flatten(F.array_compact(F.array(*invented, impossible)))
+
+    def found(low: Column) -> Column:
+        return F.flatten(
+            F.array_compact(
+                F.array(
+                    *[
+                        F.when(
+                            low.contains(word) & T.has(low, *INVENTED_STEMS),
+                            F.transform(T.matches(code, p), lambda m: F.concat(F.lit("Potential hallucination: "), m)),
+                        )
+                        for word, p in INVENTED_NAMES
+                    ]
+                )
+            )
+        )
+
+    impossible = T.present(
+        *[(code.contains(sign) & T.found(code, word, p), "Impossible construct: " + text) for word, p, text, sign in IMPOSSIBLE]
+    )
+    return F.concat(T.let(F.lower(code), found), impossible)
 
 
 def imported_modules(code: Column) -> Column:
@@ -194,7 +210,7 @@ def c_issues(code: Column) -> Column:
             opened != closed,
             F.concat(F.lit("Unmatched braces: "), opened.cast("string"), F.lit(" open, "), closed.cast("string"), F.lit(" close")),
         ),
-        ((T.hits(code, MALLOC) > 0) & (T.hits(code, FREE) == 0), "malloc without corresponding free"),
+        (T.found(code, "malloc", MALLOC) & ~T.found(code, "free", FREE), "malloc without corresponding free"),
     )
 
 
@@ -250,15 +266,17 @@ def python_issues(facts: Column) -> Column:
     return F.when(~facts["parses"], F.array(F.lit("Python syntax error"))).otherwise(undefined)
 
 
-def coherence(prompt: Column, reply: Column, asked: Column | None = None, said: Column | None = None) -> Column:
-    """How much of the prompt's words of four letters or more the reply takes up; the words may be given."""
-    asked = T.vocabulary(prompt, 4) if asked is None else asked
-    shared = F.size(F.array_intersect(asked, T.vocabulary(reply, 4) if said is None else said))
+def coherence(prompt: Column, reply: Column, asked: Column | None = None, shared: Column | None = None) -> Column:
+    """How much of the prompt's words of four letters or more the reply takes up; the numbers of them and of those
+    that are in both may be given."""
+    if asked is None or shared is None:
+        words = T.vocabulary(prompt, 4)
+        asked, shared = F.size(words), F.size(F.array_intersect(words, T.vocabulary(reply, 4)))
     return (
         F.when(F.coalesce(prompt, F.lit("")) == "", 0.0)
         .when(F.coalesce(reply, F.lit("")) == "", 0.0)
-        .when(F.size(asked) == 0, 0.5)
-        .otherwise(F.least(shared / F.size(asked) * 2, F.lit(1.0)))
+        .when(asked == 0, 0.5)
+        .otherwise(F.least(shared / asked * 2, F.lit(1.0)))
     )
 
 
@@ -277,15 +295,17 @@ def score_replies(df: DataFrame, prompt: str = "prompt_text", reply: str = "resp
     """
     language, asked, said = F.col("language"), F.col(prompt), F.col(reply)
     checked = with_python_facts(detect_language(df, reply), reply)
-    # Both texts are cut into words once: those of four letters or more are among those of three or more.
+    # Both texts are cut into words and met once: words of four letters or more are among those of three or more.
     words = {"_asked": T.vocabulary(asked, 3), "_said": T.vocabulary(said, 3)}
-    longer = {f"{name}_long": F.filter(name, lambda w: F.length(w) > 3) for name in words}
+    shared = {"_shared": F.array_intersect("_asked", "_said")}
+    numbers = {f"{name}_4": F.size(F.filter(name, lambda w: F.length(w) > 3)) for name in ("_asked", "_shared")}
+    numbers |= {f"{name}_3": F.size(name) for name in ("_asked", "_shared")}
     given = [F.col(name) for name in checked.columns]
-    checked = checked.withColumns(words).withColumns(longer).select(
+    checked = checked.withColumns(words).withColumns(shared).withColumns(numbers).select(
         *given,
         invented_issues(said).alias("invented"),
         unknown_api_issues(said, language).alias("unknown_api"),
-        consistency_issues(asked, said, language, shared_part(F.col("_asked"), F.col("_said"))).alias("inconsistent"),
+        consistency_issues(asked, said, language, F.col("_shared_3") / F.greatest("_asked_3", F.lit(1))).alias("inconsistent"),
         F.when(language == "python", python_issues(F.col("py")))
         .otherwise(language_issues(said, language))
         .alias("language_issues"),
@@ -293,7 +313,7 @@ def score_replies(df: DataFrame, prompt: str = "prompt_text", reply: str = "resp
         .when(language.isin("c", "cpp"), said.contains("{") & said.contains("}"))
         .otherwise(False)
         .alias("compiles"),
-        coherence(asked, said, F.col("_asked_long"), F.col("_said_long")).alias("coherence"),
+        coherence(asked, said, F.col("_asked_4"), F.col("_shared_4")).alias("coherence"),
     )
 
     def part(condition: Column, weight: float) -> Column:

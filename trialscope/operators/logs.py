@@ -27,6 +27,9 @@ LINE_COVERAGE = r"(?i)lines?[:\s]*(\d+(?:\.\d+)?)%"
 BRANCH_COVERAGE = r"(?i)branch(?:es)?[:\s]*(\d+(?:\.\d+)?)%"
 CRASH = "(?i)" + T.whole("crash|abort|segfault|sigsegv|sigabrt")
 VULNERABILITY = "(?i)" + T.whole(r"vulnerability|exploit|cve-\d{4}-\d+|buffer overflow|use after free")
+# Lower-case words of which every match of a pattern above holds one.
+CRASH_WORDS = ("crash", "abort", "segfault", "sigsegv", "sigabrt")
+VULNERABILITY_WORDS = ("vulnerability", "exploit", "cve-", "buffer overflow", "use after free")
 MODEL_TERMS = ("llm", "openai", "anthropic", "ollama", "gpt", "claude")
 SIGNAL = r"(?i)signal\s*(\d+|SIG\w+)"
 ADDRESS = r"0x[0-9a-fA-F]+"
@@ -98,14 +101,13 @@ def mentions_model(line: Column) -> Column:
     return T.has(F.lower(line), *MODEL_TERMS)
 
 
-def line_kind(line: Column) -> Column:
+def kind_of(is_model: Column, is_vulnerability: Column, is_crash: Column) -> Column:
     """The last rule that holds decides, so the rules are tried from the end."""
-    return (
-        F.when(mentions_model(line), "llm_interaction")
-        .when(line.rlike(VULNERABILITY), "vulnerability")
-        .when(line.rlike(CRASH), "crash")
-        .otherwise("log_line")
-    )
+    return F.when(is_model, "llm_interaction").when(is_vulnerability, "vulnerability").when(is_crash, "crash").otherwise("log_line")
+
+
+def line_kind(line: Column) -> Column:
+    return kind_of(mentions_model(line), line.rlike(VULNERABILITY), line.rlike(CRASH))
 
 
 def vulnerability_phrase(line: Column) -> Column:
@@ -120,24 +122,31 @@ def model_name(line: Column) -> Column:
 
 
 def parse_lines(df: DataFrame) -> DataFrame:
-    """All generic fields of every non-blank line, in one projection."""
-    line = F.col("raw_line")
-    is_crash, is_vulnerability, is_model = line.rlike(CRASH), line.rlike(VULNERABILITY), mentions_model(line)
-    return clean_lines(df).select(
+    """All generic fields of every non-blank line. Lines are lower-cased once, and patterns tried only where a word of theirs is."""
+    line, low = F.col("raw_line"), F.col("_low")
+
+    def holding(*words: str) -> Column:
+        return F.when(T.has(low, *words), line)
+
+    tests = {
+        "is_crash": T.has(low, *CRASH_WORDS) & line.rlike(CRASH),
+        "is_vulnerability": T.has(low, *VULNERABILITY_WORDS) & line.rlike(VULNERABILITY),
+        "is_model": T.has(low, *MODEL_TERMS),
+    }
+    is_crash, is_vulnerability, is_model = (F.col(name) for name in tests)
+    return clean_lines(df).withColumn("_low", F.lower(line)).withColumns(tests).select(
         "file",
         "line_number",
         "raw_line",
         T.first(line, TIMESTAMP, 1).alias("logged_at"),
         F.upper(T.first(line, LEVEL, 1)).alias("level"),
-        T.whole_number(line, PROCESS_ID).alias("pid"),
-        memory_mb(line).alias("memory_mb"),
-        T.number(line, CPU).alias("cpu_percent"),
-        duration_ms(line).alias("execution_time_ms"),
-        T.number(line, COVERAGE).alias("coverage_percent"),
-        is_crash.alias("is_crash"),
-        is_vulnerability.alias("is_vulnerability"),
-        is_model.alias("is_model"),
-        line_kind(line).alias("kind"),
+        T.whole_number(holding("pid"), PROCESS_ID).alias("pid"),
+        memory_mb(holding("mem")).alias("memory_mb"),
+        T.number(holding("cpu"), CPU).alias("cpu_percent"),
+        duration_ms(holding("exec", "took")).alias("execution_time_ms"),
+        T.number(holding("coverage"), COVERAGE).alias("coverage_percent"),
+        *tests,
+        kind_of(is_model, is_vulnerability, is_crash).alias("kind"),
         F.when(is_crash, T.first(line, SIGNAL, 1)).alias("signal"),
         F.when(is_crash, T.matches(line, ADDRESS)).alias("addresses"),
         F.when(is_vulnerability, F.upper(T.first(line, CVE))).alias("cve_id"),
