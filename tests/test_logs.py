@@ -3,6 +3,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
+from trialscope.functions import text as T
 from trialscope.operators import logs
 
 
@@ -100,3 +101,26 @@ def test_added_line_parser(spark):
     parsers = {"own": lambda line: [logs.event("hit", line.contains("x"))]}
     df = lines(spark, "x", "y").withColumn("tool", F.lit("own"))
     assert logs.dispatch_tools(df, parsers).count() == 1
+
+
+def test_parsed_lines_equal_the_plain_patterns(spark):
+    lines = [
+        "MEM: 12.5 GB pid 7", "Memory 3 kb", "member 5 mb", "EXEC: 3 s", "took 2 minutes", "CPU: 55%", "Coverage: 12.5%", "coverage none",
+        "Crash SIGSEGV signal 11 at 0xAB", "crashes", "CVE-2024-17 EXPLOIT", "Use After Free", "GPT-4 tokens: 12 $0.5", "plain", "PID: 9 claude-2",
+    ]
+    df = spark.createDataFrame([("f", i, line) for i, line in enumerate(lines)], "file string, line_number bigint, raw_line string")
+    line = F.col("raw_line")
+    plain = {
+        "pid": T.whole_number(line, logs.PROCESS_ID),
+        "memory_mb": logs.memory_mb(line),
+        "cpu_percent": T.number(line, logs.CPU),
+        "execution_time_ms": logs.duration_ms(line),
+        "coverage_percent": T.number(line, logs.COVERAGE),
+        "is_crash": line.rlike(logs.CRASH),
+        "is_vulnerability": line.rlike(logs.VULNERABILITY),
+        "kind": logs.line_kind(line),
+    }
+    parsed = logs.parse_lines(df)
+    for name, column in plain.items():
+        assert parsed.filter(~F.col(name).eqNullSafe(column)).count() == 0, name
+    assert parsed.filter("is_crash").count() == 1 and parsed.filter("memory_mb is not null").count() == 2
