@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rules
 from ..functions import text as T
-from ..functions.numbers import ratio
+from ..functions.numbers import one_decimal, ratio
 from ..functions.ordered import first_of_each, running_total, smoothed
 from ..functions.statistics import p_value
 
@@ -376,7 +376,7 @@ def readable_bytes(size: Column) -> Column:
     out, value = F.lit(None), size.cast("double")
     units = ["B", "KB", "MB", "GB", "TB"]
     for power in reversed(range(len(units))):
-        text = F.format_string(f"%.1f {units[power]}", value / float(1024**power))
+        text = F.concat(one_decimal(value / float(1024**power)), F.lit(f" {units[power]}"))
         out = text if power == len(units) - 1 else F.when(value < float(1024 ** (power + 1)), text).otherwise(out)
     return out
 
