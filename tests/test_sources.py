@@ -321,3 +321,20 @@ def test_folder_totals(spark):
     for root in ("file:/r", "file:/r/"):
         assert set(map(tuple, text.folder_totals(files, root).collect())) == want
     assert text.folder_totals(files.limit(0), "file:/r").count() == 0
+
+
+def test_a_session_has_one_metric_file_however_its_rows_are_dealt(spark, tmp_path, monkeypatch):
+    rows = [(f"s{i % 3}", "2024-01-01T00:00:00", "c", "m", str(i), "{}") for i in range(90)]
+    metrics = spark.createDataFrame(rows, "session_id string, " + entities.METRIC_SCHEMA).repartition(7)
+
+    def files_of(df, name):
+        entities.write_session_metrics(df, str(tmp_path / name))
+        read = entities.read_metrics(spark, str(tmp_path / name)).select("session_id", "value").collect()
+        return len(list((tmp_path / name).rglob("*.csv"))), sorted((r["session_id"], r["value"]) for r in read)
+
+    every = sorted((r[0], r[4]) for r in rows)
+    assert files_of(metrics, "whole") == (3, every)
+    assert files_of(metrics.limit(0), "none")[1] == []
+    monkeypatch.setattr(entities, "FILE_ROWS", 10)
+    files, read = files_of(metrics, "cut")
+    assert 3 < files <= 9 and read == every

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import written
 from .text import listing
 
 SESSION_SCHEMA = (
@@ -72,9 +75,28 @@ def append_metrics(df: DataFrame, path: str, compression: str = "none") -> None:
     ).csv(path)
 
 
+#: Sessions that one task writes files for, and rows of one file: what bounds a task of ``write_session_metrics``.
+TASK_SESSIONS, FILE_ROWS = 200, 1_000_000
+
+
 def write_session_metrics(df: DataFrame, path: str) -> None:
-    """Metric CSV per session, the layout ``read_metrics`` expects."""
-    df.write.mode("append").option("header", "true").partitionBy("session_id").csv(path)
+    """Metric CSV per session, the layout ``read_metrics`` expects.
+
+    Rows meet by session before they are written, so that a session has one file for each ``FILE_ROWS`` rows, not one for each
+    task that has rows of it, and there are as many tasks as files need, however the rows came.
+    """
+    sizes = written(df.groupBy("session_id").agg(F.count("*").alias("rows")), "session-sizes")
+    sizes = sizes.withColumn("files", F.ceil(F.col("rows") / FILE_ROWS))
+    facts = sizes.agg(F.count("*").alias("sessions"), F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"), F.max("files").alias("most")).first()
+    keys, columns = ["session_id"], df.columns
+    if (facts["most"] or 0) > 1:
+        large = sizes.filter("files > 1").select(F.col("session_id").alias("large_session"), "files")
+        df = df.join(large, F.col("session_id").eqNullSafe(F.col("large_session")), "left")
+        df = df.withColumn("file", F.coalesce(F.pmod(F.xxhash64(*columns), F.col("files")), F.lit(0))).drop("large_session", "files")
+        keys.append("file")
+    tasks = math.ceil(facts["sessions"] / TASK_SESSIONS + facts["rows"] / FILE_ROWS)
+    dealt = df.repartition(max(1, tasks), *keys).drop("file")
+    dealt.write.mode("append").option("header", "true").partitionBy("session_id").csv(path)
 
 
 def export(sessions: DataFrame, children: dict[str, DataFrame], path: str, ids: DataFrame | None = None, compression: str = "gzip") -> DataFrame:
@@ -89,8 +111,8 @@ def export(sessions: DataFrame, children: dict[str, DataFrame], path: str, ids:
         target = f"{path}/{kind}"
         kept.write.option("compression", codec(compression)).json(target)
         schema = kept.schema
-        written = kept.sparkSession.read.schema(schema).json(target).agg(F.lit(kind).alias("kind"), F.count("*").alias("rows"))
-        counts = written if counts is None else counts.unionByName(written)
+        stored = kept.sparkSession.read.schema(schema).json(target).agg(F.lit(kind).alias("kind"), F.count("*").alias("rows"))
+        counts = stored if counts is None else counts.unionByName(stored)
     return counts
 
 
@@ -103,8 +125,8 @@ def archive(rows: DataFrame, ts: str, as_of: Column, days_old: int, path: str) -
     old = F.col(ts).cast("timestamp") < cutoff
     tagged = rows.withColumn("part", F.when(old, "archive").otherwise("live"))
     tagged.write.partitionBy("part").parquet(path)
-    written = rows.sparkSession.read.parquet(path)
-    return tuple(written.filter(F.col("part") == part).drop("part") for part in ("archive", "live"))
+    stored = rows.sparkSession.read.parquet(path)
+    return tuple(stored.filter(F.col("part") == part).drop("part") for part in ("archive", "live"))
 
 
 def archive_days(spark: SparkSession, live: str, target: str, as_of: str, days_old: int) -> DataFrame:
