@@ -338,3 +338,20 @@ def test_a_session_has_one_metric_file_however_its_rows_are_dealt(spark, tmp_pat
     monkeypatch.setattr(entities, "FILE_ROWS", 10)
     files, read = files_of(metrics, "cut")
     assert 3 < files <= 9 and read == every
+
+
+def test_lines_of_csv_files_are_computed_few_times(spark):
+    """What is dear in a line is done for the sample, and for the written copy; not for each step that reads lines."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    rows = [("f", 1, "key,note,level")] + [("f", i, 'k,"a' if i % 2 == 0 else 'b",x') for i in range(2, 4002)]
+    df = spark.createDataFrame(rows, "file string, line_number bigint, raw_line string")
+    found = structured.csv_rows(df.mapInArrow(count, df.schema)).select("line_number", "data").collect()
+    assert sorted(r["line_number"] for r in found) == list(range(2, 4002, 2))
+    assert all(r["data"] == {"key": "k", "note": "a\nb", "level": "x"} for r in found)
+    assert seen.value <= 2 * len(rows)

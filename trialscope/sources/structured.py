@@ -323,6 +323,12 @@ def _left_open(mark: str) -> str:
 
 #: The longest record that is put together, in lines and characters. A longer one is a bad row.
 RECORD_LINES, RECORD_CHARS = 100_000, 4_000_000
+#: Lines that look for their record among the same few records.
+BLOCK_LINES = 32
+
+
+def _block(line_number: Column) -> Column:
+    return F.floor((line_number - 1) / BLOCK_LINES).cast("bigint")
 
 
 def _state(value: Column, flips: Column, last: Column) -> Column:
@@ -348,7 +354,8 @@ def record_spans(lines: DataFrame) -> DataFrame:
     inside = Window.partitionBy("file", "run").orderBy("line_number").rowsBetween(Window.unboundedPreceding, 0)
     marks = marks.withColumn("flips", F.sum("flip").over(inside))
     alone = F.when(F.col("flip") == 0, F.struct(F.col("opens").alias("value"), "flips"))
-    marks = marks.withColumn("last", F.last(alone, ignorenulls=True).over(inside))
+    # Numbers only: written, so that the lines are read for them once.
+    marks = written(marks.withColumn("last", F.last(alone, ignorenulls=True).over(inside)), "marks")
 
     whole = marks.groupBy("file", "run").agg(F.max_by(F.struct("flips", "last"), "line_number").alias("end"))
     between = Window.partitionBy("file").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
@@ -363,7 +370,7 @@ def record_spans(lines: DataFrame) -> DataFrame:
     after = _state(F.col("entered"), F.col("flips"), F.col("last"))
     earlier = Window.partitionBy("file", "run").orderBy("line_number")
     marks = marks.withColumn("after", after).withColumn("before", F.coalesce(F.lag("after").over(earlier), F.col("entered")))
-    edges = marks.filter(F.col("before") != F.col("after")).select("file", "run", "line_number", F.col("after").alias("begins"))
+    edges = written(marks.filter(F.col("before") != F.col("after")).select("file", "run", "line_number", F.col("after").alias("begins")), "edges")
     # Beginnings and ends take turns: an end belongs to the last beginning, in its run or in one before.
     begin = F.when(F.col("begins"), F.col("line_number"))
     carried = (
@@ -376,6 +383,9 @@ def record_spans(lines: DataFrame) -> DataFrame:
     begun = edges.filter("begins").groupBy("file").agg(F.max("line_number").alias("first_line"))
     done = edges.filter("not begins").groupBy("file").agg(F.max("line_number").alias("ended"))
     left = begun.join(done, "file", "left").filter(F.col("ended").isNull() | (F.col("ended") < F.col("first_line"))).select("file", "first_line")
+    left = written(left, "left-open")
+    if left.isEmpty():
+        return spans
     length = lines.groupBy("file").agg(F.max("line_number").alias("last_line"))
     return spans.unionByName(left.join(length, "file").select("file", "first_line", "last_line"))
 
@@ -384,23 +394,27 @@ def csv_records(lines: DataFrame) -> DataFrame:
     """``lines`` (file, line_number, raw_line, delimiter and any others of the file) with one row per CSV record.
 
     ``line_number`` is the record's first line; ``is_bad`` marks records longer than RECORD_LINES or RECORD_CHARS, which are not
-    put together. Lines that are records by themselves stay where they are read.
+    put together. The lines are read for the quotes and for the records, so a caller writes what is dear to compute.
     """
     spans = written(record_spans(lines), "spans")
     span = F.struct("first_line", "last_line")
-    runs = F.explode(F.sequence(_run(F.col("first_line")), _run(F.col("last_line"))))
-    by_run = spans.select("file", "first_line", "last_line", runs.alias("run")).groupBy("file", "run").agg(F.collect_list(span).alias("spans"))
+    blocks = F.explode(F.sequence(_block(F.col("first_line")), _block(F.col("last_line"))))
+    by_block = spans.select("file", "first_line", "last_line", blocks.alias("block")).groupBy("file", "block").agg(F.collect_list(span).alias("spans"))
     number = F.col("line_number")
     mine = F.filter("spans", lambda s: (s["first_line"] <= number) & (number <= s["last_line"]))
-    placed = lines.withColumn("run", _run(number)).join(by_run, ["file", "run"], "left").withColumn("span", F.get(mine, F.lit(0))).drop("run", "spans")
+    placed = lines.withColumn("block", _block(number)).join(by_block, ["file", "block"], "left")
+    placed = placed.withColumn("span", F.get(mine, F.lit(0))).drop("block", "spans")
+    placed = written(placed, "placed")
     whole = placed.filter("span is null").drop("span").withColumn("is_bad", F.lit(False))
 
     others = [c for c in lines.columns if c not in ("file", "line_number", "raw_line")]
     parts = placed.filter("span is not null").select("file", "span", "line_number", "raw_line", *others)
     sizes = parts.groupBy("file", "span").agg((F.sum(F.length("raw_line")) + F.count("*")).alias("chars"))
     too_long = (F.col("chars") > RECORD_CHARS) | (F.col("span.last_line") - F.col("span.first_line") >= RECORD_LINES)
-    sizes = sizes.withColumn("is_bad", too_long)
-    kept = parts.join(sizes.select("file", "span", "is_bad"), ["file", "span"]).filter(~F.col("is_bad") | (number == F.col("span.first_line")))
+    # Few or none: written, so that its size is known and the text is shuffled once.
+    bad = written(sizes.filter(too_long).select("file", "span", F.lit(True).alias("is_bad")), "long-records")
+    kept = parts.join(bad, ["file", "span"], "left").withColumn("is_bad", F.coalesce("is_bad", F.lit(False)))
+    kept = kept.filter(~F.col("is_bad") | (number == F.col("span.first_line")))
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_number", "raw_line"))), lambda r: r["raw_line"]), "\n")
     joined = kept.groupBy("file", "span", "is_bad").agg(text.alias("raw_line"), *[F.first(c).alias(c) for c in others])
     return whole.unionByName(joined.withColumn("line_number", F.col("span.first_line")).drop("span"))
@@ -438,16 +452,18 @@ def csv_rows(lines: DataFrame) -> DataFrame:
     """Rows of CSV files as maps, with the first time-like and level-like column; ``line_number`` is a row's first line.
 
     Files differ in header and delimiter, so each line meets its file's in a join
-    on the file; a file with most of the lines is split by the adaptive skew join. A quoted cell may go over any number of lines.
+    on the file with a table that is written, whose size says whether it is broadcast. A quoted cell may go over any number of lines.
     Records too long to be put together have null data.
     """
-    records = csv_records(lines.select("file", "line_number", "raw_line").join(csv_delimiters(lines), "file"))
-    return csv_record_rows(records).select("file", "line_number", "data", "logged_at", "level")
+    delimiters = written(csv_delimiters(lines), "delimiters")
+    delimited = written(lines.select("file", "line_number", "raw_line").join(delimiters, "file"), "lines")
+    return csv_record_rows(csv_records(delimited)).select("file", "line_number", "data", "logged_at", "level")
 
 
 def csv_record_rows(records: DataFrame) -> DataFrame:
     """``csv_records`` behind the first one of each file, with its cells under the names that stands for."""
     header = records.filter(F.col("line_number") == 1).select("file", cells(F.col("raw_line"), F.col("delimiter")).alias("names"))
+    header = written(header, "headers")
     body = records.filter((F.col("line_number") > 1) & (F.col("raw_line") != "")).join(header, "file")
     joined = body.withColumn("values", F.when(~F.col("is_bad"), cells(F.col("raw_line"), F.col("delimiter"))))
     named = F.map_from_arrays("names", F.transform("names", lambda _, i: F.get("values", i)))
