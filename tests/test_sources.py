@@ -355,3 +355,20 @@ def test_lines_of_csv_files_are_computed_few_times(spark):
     assert sorted(r["line_number"] for r in found) == list(range(2, 4002, 2))
     assert all(r["data"] == {"key": "k", "note": "a\nb", "level": "x"} for r in found)
     assert seen.value <= 2 * len(rows)
+
+
+def test_lines_of_documents_are_computed_few_times(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    texts = {"a.json": ["["] + ['{"message": "m",', '"level": "l"},'] * 2000 + ["{}", "]"], "b.csv": ["level,note"] + ['l,"x', 'y"'] * 500,
+             "c.xml": ["<testsuite name='s'>"] + ["<testcase name='t'/>"] * 300 + ["</testsuite>"]}
+    rows = [(file, i, line) for file, text in texts.items() for i, line in enumerate(text, 1)]
+    df = spark.createDataFrame(rows, "file string, line_number bigint, raw_line string")
+    found = log_analysis.parse_table(df.mapInArrow(count, df.schema)).groupBy("format").count().collect()
+    assert {r["format"]: r["count"] for r in found} == {"json": 2001, "csv": 500, "xml": 300}
+    assert seen.value <= 2 * len(rows)

@@ -59,8 +59,8 @@ def _tool_entries(parser, line: Column) -> Column:
 def parse_table(lines: DataFrame, hint: str | None = None) -> DataFrame:
     """Events of a line table: each line goes to the parser of its file's format.
 
-    The lines are read for the few that decide the formats, and once for all parsers of single lines, which
-    sit in one projection behind the format. The facts per file are a small table, which AQE
+    The lines are read for the few that decide the formats, and once for all parsers of single lines (from a written copy, if a
+    format needs more readings), which sit in one projection behind the format. The facts per file are a small table, which AQE
     broadcasts; if it is not, the join on the file splits skewed files. Formats whose entries go over lines are read besides, where a
     file has them: CSV records are put together where they have several lines, ``.json`` files that are one document are cut into the elements of
     their list, and XML documents are read whole. Any other JSON is read line by line.
@@ -76,6 +76,9 @@ def parse_table(lines: DataFrame, hint: str | None = None) -> DataFrame:
     whole_json = (form == "json") & (extension(F.col("file")) == "json")
     kinds = facts.agg(F.collect_set("format").alias("formats"), F.max(whole_json).alias("whole_json")).first()  # formats are few
     joined = lines.join(facts, "file")
+    if kinds["whole_json"] or {"csv", "xml"} & set(kinds["formats"]):
+        # Entries over lines take several readings: the numbered lines are written once.
+        joined = written(joined.select(*lines.columns, "format", "delimiter"), "lines")
     parsed = []
     if "csv" in kinds["formats"]:
         parsed.append(parse_csv_lines(joined.filter(form == "csv").select("file", "line_number", "raw_line", "delimiter")))
@@ -87,7 +90,7 @@ def parse_table(lines: DataFrame, hint: str | None = None) -> DataFrame:
     if kinds["whole_json"]:
         entries = written(structured.json_file_entries(joined.filter(whole_json).select("file", "line_number", "raw_line")), "documents")
         parsed.append(_common(entries.filter("not is_empty"), F.lit("json"), is_bad=F.lit(False)))
-        stripped = stripped.join(entries.select("file").distinct(), "file", "left_anti")
+        stripped = stripped.join(written(entries.select("file").distinct(), "whole-files"), "file", "left_anti")
     used = line != ""
     entries = F.when((form == "json") & used, F.array(_json_entry(line)))
     for tool, parser in logs.LINE_PARSERS.items():
@@ -124,10 +127,11 @@ def parse_xml_table(documents: DataFrame) -> DataFrame:
     Roots other than test suites and coverage give one row with the root's name.
     """
     rooted = documents.withColumn("root", structured.xml_root(F.col("content")))
-    rooted = rooted.withColumn("sound", structured.well_formed(F.col("content")))
+    # A document is put together and parsed for all its readers once.
+    rooted = written(rooted.withColumn("sound", structured.well_formed(F.col("content"))), "xml")
     suite, coverage = F.col("root").isin("testsuites", "testsuite"), F.col("root") == "coverage"
-    suites = structured.junit_cases(rooted.filter(suite))
-    classes = structured.coverage_classes(rooted.filter(coverage))
+    suites = structured.junit_cases(rooted.filter(F.col("sound") & suite))
+    classes = structured.coverage_classes(rooted.filter(F.col("sound") & coverage))
     others = rooted.filter(F.col("sound") & ~suite & ~coverage)
     good = F.lit(False)
     rows = [

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -85,40 +86,70 @@ def _depth_change(line: Column) -> Column:
     return (opened - closed).cast("bigint")
 
 
+_JSON_STRING = re.compile(r'"(?:[^"\\]|\\.)*"?')
+_BRACKETS = np.zeros(256, dtype=np.int64)
+_BRACKETS[[ord("["), ord("{")]], _BRACKETS[[ord("]"), ord("}")]] = 1, -1
+
+
+def _sums(marks: np.ndarray) -> np.ndarray:
+    """Marks before each place."""
+    return np.concatenate(([0], np.cumsum(marks)))
+
+
+def _cut_lines(lines: list[str], is_list: bool, depth: int, piece: int) -> tuple[list, int, int]:
+    """Columns of the parts of consecutive lines, and the depth and the commas behind them. The lines are one array of bytes."""
+    hidden = [_JSON_STRING.sub(lambda m: "x" * len(m[0].encode()), line).encode() for line in lines]
+    bare = np.frombuffer(b"".join(hidden), dtype=np.uint8)
+    ends = np.cumsum([len(h) for h in hidden])
+    starts = np.concatenate(([0], ends[:-1]))
+    after = depth + np.cumsum(_BRACKETS[bare])
+    before = after - _BRACKETS[bare]
+    blank, comma = np.isin(bare, (0x20, 0x09, 0x0D)), bare == ord(",")
+    own = (np.minimum(before, after) == 0) & (before != after)
+    bad = ((before <= 0) & (after <= 0) & ~blank) | (after < 0)
+    cuts, text = np.zeros(0, np.int64), np.frombuffer("".join(lines).encode(), dtype=np.uint8).copy()
+    if is_list:
+        # The list's own brackets are no part of an element.
+        cuts, text[own] = np.flatnonzero(comma & (before == 1)), 0x20
+        bad |= own & ~np.isin(bare, (ord("["), ord("]")))
+    # The part that a cut ends has as many parts before it as there are cuts and lines before the cut.
+    owner = np.searchsorted(ends, cuts, side="right")
+    counts = np.bincount(owner, minlength=len(lines))
+    line = np.repeat(np.arange(len(lines)), counts + 1)
+    first = np.arange(len(lines)) + np.cumsum(counts) - counts
+    place = np.arange(len(line))
+    begin, end = np.empty(len(line), np.int64), np.empty(len(line), np.int64)
+    begin[first], end[first + counts] = starts, ends
+    ended = np.arange(len(cuts)) + owner
+    begin[ended + 1], end[ended] = cuts + 1, cuts
+    part = place - first[line]
+    bads, lists = _sums(bad), _sums(own & (after == 1))
+    wrong, opened = bads[ends] > bads[starts], lists[ends] - lists[starts]
+    values = np.zeros(len(line), np.int64)
+    if is_list:
+        inner, loose = _sums((before == 1) & (after == 2)), _sums((before == 1) & (after == 1) & ~blank & ~comma)
+        values = inner[end] - inner[begin] + (loose[end] > loose[begin])
+    whole = text.tobytes()
+    content = [whole[a:b].decode() for a, b in zip(begin.tolist(), end.tolist())]
+    columns = [line, part, piece + place - line, content, wrong[line], np.where(part == 0, opened[line], 0), values]
+    return columns, int(after[-1]) if len(after) else depth, piece + len(cuts)
+
+
 def _cut_elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Cut the lines of runs at the commas of the outermost list; ``piece`` counts these commas in a run."""
-    string = re.compile(r'"(?:[^"\\]|\\.)*"?')
-    change = np.zeros(256, dtype=np.int64)
-    change[[ord("["), ord("{")]], change[[ord("]"), ord("}")]] = 1, -1
+    names = ["file", "run", "line_number", "part", "piece", "content", "wrong", "lists", "values"]
     at, depth, piece = None, 0, 0
     for batch in batches:
-        out = []
-        for row in batch.to_pylist():
-            if at != (row["file"], row["run"]):
-                at, depth, piece = (row["file"], row["run"]), row["depth"], 0
-            line = row["raw_line"].encode()
-            bare = np.frombuffer(string.sub(lambda m: "x" * len(m[0].encode()), row["raw_line"]).encode(), dtype=np.uint8)
-            after = depth + np.cumsum(change[bare])
-            before = after - change[bare]
-            blank, comma = np.isin(bare, (0x20, 0x09, 0x0D)), bare == ord(",")
-            own = (np.minimum(before, after) == 0) & (before != after)
-            wrong = bool((((before <= 0) & (after <= 0) & ~blank) | (after < 0)).any())
-            cuts, text = np.zeros(0, np.int64), np.frombuffer(line, dtype=np.uint8).copy()
-            if row["is_list"]:
-                # The list's own brackets are no part of an element.
-                cuts, text[own] = np.flatnonzero(comma & (before == 1)), 0x20
-                wrong |= bool((own & ~np.isin(bare, (ord("["), ord("]")))).any())
-            lists = int((own & (after == 1)).sum())
-            inner = (before == 1) & (after == 2)
-            loose = (before == 1) & (after == 1) & ~blank & ~comma
-            for part, (a, b) in enumerate(zip([0, *(cuts + 1)], [*cuts, len(line)])):
-                values = int(inner[a:b].sum()) + bool(loose[a:b].any()) if row["is_list"] else 0
-                out.append((*at, row["line_number"], part, piece + part, text[a:b].tobytes().decode(), wrong, 0 if part else lists, values))
-            piece += len(cuts)
-            depth = int(after[-1]) if len(after) else depth
-        if out:
-            names = ["file", "run", "line_number", "part", "piece", "content", "wrong", "lists", "values"]
-            yield pa.RecordBatch.from_arrays([pa.array(column) for column in zip(*out)], names)
+        rows = {name: batch.column(name).to_pylist() for name in batch.schema.names}
+        keys, stop = list(zip(rows["file"], rows["run"])), 0
+        for key, same in groupby(keys):
+            start, stop = stop, stop + len(list(same))
+            if at != key:
+                at, depth, piece = key, rows["depth"][start], 0
+            (line, *columns), depth, piece = _cut_lines(rows["raw_line"][start:stop], rows["is_list"][start], depth, piece)
+            numbers = np.asarray(rows["line_number"][start:stop])[line]
+            columns = [[key[0]] * len(line), [key[1]] * len(line), numbers, *columns]
+            yield pa.RecordBatch.from_arrays([pa.array(column) for column in columns], names)
 
 
 def json_file_entries(lines: DataFrame) -> DataFrame:
@@ -133,7 +164,7 @@ def json_file_entries(lines: DataFrame) -> DataFrame:
     facts = lines.groupBy("file").agg(first.alias("first"), F.count_if(used).alias("used"))
     alone = F.try_parse_json(T.strip(F.col("first.raw_line"))).isNotNull()
     facts = facts.filter((F.col("used") > 0) & ((F.col("used") == 1) | ~alone))
-    facts = facts.select("file", T.strip(F.col("first.raw_line")).startswith("[").alias("is_list"))
+    facts = written(facts.select("file", T.strip(F.col("first.raw_line")).startswith("[").alias("is_list")), "documents")
     own = lines.withColumn("run", _run(F.col("line_number"))).join(facts, "file")
 
     runs = own.groupBy("file", "run").agg(F.sum(_depth_change(F.col("raw_line"))).alias("change"))
@@ -165,7 +196,7 @@ def json_file_entries(lines: DataFrame) -> DataFrame:
     depth = runs.groupBy("file").agg(F.sum("change").alias("depth"))
     empty = F.col("blank") & (F.col("last") == 0)  # a list without elements
     closed = (F.col("depth") == 0) & (F.col("lists") == 1)  # one list or object, and nothing left open
-    good = whole.join(depth, "file").filter(closed & (~F.col("wrong") | empty)).select("file")
+    good = written(whole.join(depth, "file").filter(closed & (~F.col("wrong") | empty)).select("file"), "sound")
     rows = elements.join(good, "file").select("file", "entry", F.when(~blank, document).alias("document"))
     # A file without entries leaves a row without a document.
     return rows.select(
