@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from trialscope.functions import text as T
@@ -199,3 +201,11 @@ def test_cut_and_guarded_counts_equal_the_plain_patterns(spark):
     }
     for name, (cut, plain) in pairs.items():
         assert df.filter(~cut.eqNullSafe(plain)).count() == 0, name
+
+
+def test_tokens_start_only_where_the_look_ahead_allows():
+    """A token pattern without the look ahead would try every character; each kind of token passes it."""
+    assert code.TOKEN.startswith(code.TOKEN_STARTS)
+    kinds = [code.OPENS, code.CLOSES, code.FULL, "{", "}", "\n", *code.BRANCH_WORDS.split("|"), "&&", "||", "?"]
+    assert all(re.match(code.TOKEN_STARTS, kind) for kind in kinds)
+    assert not any(re.match(code.TOKEN_STARTS, other) for other in "abdghjk xyz_0(;")
