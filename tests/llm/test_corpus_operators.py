@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import random
 import re
+import time
 from collections import Counter, defaultdict
 from itertools import permutations
 
@@ -253,6 +255,43 @@ def test_full_tables_change_nothing(spark, sentences, monkeypatch):
     assert sorted(map(tuple, count_phrases(docs, 12).collect()), key=repr) == want
 
 
+def test_shuffle_files_of_a_level_go_with_it(spark, sentences, monkeypatch):
+    """They were left to the driver's collector, so the files of all levels stood beside each other."""
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def files():
+        return {f for top in disk.localDirs() for _, _, names in os.walk(top.getPath()) for f in names if f.startswith("shuffle_")}
+
+    before, left, mine = files(), [], phrases._mine
+
+    def mine_and_look(*args):
+        table = mine(*args)
+        until = time.time() + 10
+        while files() - before and time.time() < until:
+            time.sleep(0.1)
+        left.append(files() - before)
+        return table
+
+    monkeypatch.setattr(phrases, "_mine", mine_and_look)
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    own = spark.conf.get(key, None)
+    docs = spark.createDataFrame(sentences, "text string, lang string").repartition(3)
+    assert collocations(docs, support=12, top=25).count() > 25
+    assert left == [set()] * 3
+    assert spark.conf.get(key, None) == own
+
+
+def test_levels_keep_what_all_shards_have_often_enough(spark):
+    """A word of 15 or 29 occurrences is frequent in a shard at its lowered support of 10; the counts of all shards say it is not of 30."""
+    words = {"whole": (30, 0, 0), "even": (10, 10, 10), "uneven": (0, 12, 18), "one": (15, 0, 0), "less": (9, 10, 10)}
+    rows = [(" ".join([w] * n), 7, s) for w, own in words.items() for s, n in enumerate(own)]
+    texts = spark.createDataFrame(rows, "text string, language long, shard int").repartition(4)
+    table = phrases.Table(phrases._mine(texts, 1, [], [10, 10, 10], 30))
+    data = np.frombuffer(" ".join(words).encode(), np.uint8)
+    hashes = phrases.Words(data, np.array([0, len(data)]), len(data)).hashes(np.array([7], np.uint64))[0]
+    assert dict(zip(words, table.has(hashes).tolist())) == {"whole": True, "even": True, "uneven": True, "one": False, "less": False}
+
+
 def test_scores_beyond_64_bits(spark):
     values = "cast(9000000000000000000 as bigint) as a, cast(9100000000000000000 as bigint) as l, cast(9200000000000000000 as bigint) as r"
     score = f"(cast(a as decimal(19, 0)) * {phrases.SCALE}) div (cast(l as decimal(19, 0)) + r)"

@@ -2,8 +2,8 @@
 
 The corpus is dealt into a few shards, each spread over many tasks. A phrase of ``support`` occurrences has, in some shard, at least that shard's
 share of them (by words), so each shard is mined completely at this lowered support, level by level: words, then
-pairs of words frequent in a shard, then triples and quadruples of such pairs. The union of what any shard finds is kept
-as a bit table of fixed size, and one last pass counts all phrases the tables let through, exactly and by their texts. The support is a
+pairs of words frequent in a shard, then triples and quadruples of such pairs. What any shard finds and all shards together have often
+enough is kept as a bit table of fixed size, and one last pass counts all phrases the tables let through, exactly and by their texts. The support is a
 number of occurrences, so the shards must be fewer than it for the lowered support to leave anything out: it is their size
 that grows with the data. A fuller table lets more phrases through to the exact count and changes no result.
 """
@@ -11,6 +11,8 @@ that grows with the data. A fuller table lets more phrases through to the exact
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import or_
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import mix, small_side, stored, text_slices, worker_store
+from .common import mix, shuffles_let_go, small_side, stored, text_slices, worker_store
 from .spans import SEED, Bytes, scan, span_hashes
 
 SUPPORT = 30
@@ -199,19 +201,20 @@ def _words_of_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
 
 
 def _mine(texts: DataFrame, level: int, tables: list[np.ndarray], lowered: list[int], support: int) -> np.ndarray:
-    """The table of phrases that are frequent in any shard, as long as what they may have in the others can bring them to ``support``.
+    """The table of phrases that are frequent in any shard and have ``support`` occurrences in all shards together.
 
-    One exchange serves the counts, the sums over shards and the bitmaps.
+    Every level sees the same tables in all shards, so the shards' counts of a phrase are whole. Equal hashes only add to them.
+    One exchange serves the counts, the sums over shards and the bitmaps; its files go when the table is made.
     """
     context = texts.sparkSession.sparkContext
-    counted = texts.mapInArrow(_mined(level, context.broadcast(tables)), MINED).repartition("bucket")
-    least = F.element_at(F.array(*[F.lit(n) for n in lowered]), F.col("shard") + 1)
-    frequent = counted.groupBy("bucket", "shard", "hash").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    # In a shard where it is not frequent a phrase has one occurrence less than the shard's support at most.
-    over = F.sum(F.col("n") - least + 1)
-    frequent = frequent.groupBy("bucket", "hash").agg(over.alias("over")).where(F.col("over") >= support - sum(n - 1 for n in lowered))
-    bit = F.shiftrightunsigned("hash", 64 - TABLE_BITS).bitwiseAND(F.lit((1 << MAP_BITS) - 1))
-    maps = frequent.groupBy("bucket").agg(F.bitmap_construct_agg(bit).alias("bits")).toArrow()  # at most 2 ** TABLE_BITS bits
+    with shuffles_let_go(texts.sparkSession):
+        counted = texts.mapInArrow(_mined(level, context.broadcast(tables)), MINED).repartition("bucket")
+        own = [F.sum(F.when(F.col("shard") == s, F.col("n"))).alias(f"n{s}") for s in range(SHARDS)]
+        sums = counted.groupBy("bucket", "hash").agg(F.sum("n").alias("n"), *own)
+        in_a_shard = reduce(or_, [F.col(f"n{s}") >= n for s, n in enumerate(lowered)])
+        frequent = sums.where(in_a_shard & (F.col("n") >= support))
+        bit = F.shiftrightunsigned("hash", 64 - TABLE_BITS).bitwiseAND(F.lit((1 << MAP_BITS) - 1))
+        maps = frequent.groupBy("bucket").agg(F.bitmap_construct_agg(bit).alias("bits")).toArrow()  # at most 2 ** TABLE_BITS bits
     table = np.zeros((1 << (TABLE_BITS - MAP_BITS), 1 << (MAP_BITS - 3)), dtype=np.uint8)
     for bucket, bits in zip(maps.column("bucket").to_pylist(), maps.column("bits")):
         table[bucket] = np.frombuffer(bits.as_buffer(), dtype=np.uint8)
@@ -286,7 +289,6 @@ def count_phrases(documents: DataFrame, support: int = SUPPORT) -> DataFrame:
     context = documents.sparkSession.sparkContext
     for level in (1, 2, 3):
         tables.append(_mine(mined, level, tables, lowered, support))
-        context._jvm.System.gc()  # the driver forgets the level's plan, and executors may delete its shuffle files
     counted = texts.select("text", "lang", "language").mapInArrow(_counted(context.broadcast(tables)), COUNTED)
     return counted.groupBy("lang", "phrase", "words").agg(F.sum("n").alias("n")).where((F.col("words") == 0) | (F.col("n") >= support))
 
@@ -307,7 +309,8 @@ def collocations(documents: DataFrame, support: int = SUPPORT, top: int = TOP) -
     Texts are read once per level and once to count; hashes and counts are shuffled, never texts. Tables of 2 ** TABLE_BITS bits
     are all that goes through the driver.
     """
-    known = stored(count_phrases(documents, support), "phrases")
+    with shuffles_let_go(documents.sparkSession):
+        known = stored(count_phrases(documents, support), "phrases")
     words = small_side(known.where("words = 0").select("lang", F.col("n").alias("all_words")), BROADCAST_PHRASES)
     phrases = known.where("words > 0")
     split = phrases.where("words > 1").select("lang", "phrase", "words", F.col("n").alias("a"), F.split("phrase", " ").alias("split"))
