@@ -281,6 +281,33 @@ def test_shuffle_files_of_a_level_go_with_it(spark, sentences, monkeypatch):
     assert spark.conf.get(key, None) == own
 
 
+@pytest.mark.parametrize("passes", [1, 3])
+def test_counting_passes(spark, sentences, monkeypatch, passes):
+    """Each counts a part of the phrases and is written, its shuffle files gone, before the next; shorter hashes change no result either."""
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def files():
+        return {f for top in disk.localDirs() for _, _, names in os.walk(top.getPath()) for f in names if f.startswith("shuffle_")}
+
+    docs = spark.createDataFrame(sentences, "text string, lang string")
+    want = sorted(map(tuple, count_phrases(docs, 12).collect()), key=repr)
+    before, parts, store = files(), [], phrases.stored
+
+    def store_and_look(*args):
+        part = store(*args)
+        until = time.time() + 10
+        while files() - before and time.time() < until:
+            time.sleep(0.1)
+        parts.append((files() - before, part.count() > 0))
+        return part
+
+    monkeypatch.setattr(phrases, "stored", store_and_look)
+    monkeypatch.setattr(phrases, "PASSES", passes)
+    monkeypatch.setattr(phrases, "HASH_BITS", phrases.TABLE_BITS)
+    assert sorted(map(tuple, count_phrases(docs, 12).collect()), key=repr) == want
+    assert parts == [(set(), True)] * passes
+
+
 def test_levels_keep_what_all_shards_have_often_enough(spark):
     """A word of 15 or 29 occurrences is frequent in a shard at its lowered support of 10; the counts of all shards say it is not of 30."""
     words = {"whole": (30, 0, 0), "even": (10, 10, 10), "uneven": (0, 12, 18), "one": (15, 0, 0), "less": (9, 10, 10)}

@@ -3,7 +3,7 @@
 The corpus is dealt into a few shards, each spread over many tasks. A phrase of ``support`` occurrences has, in some shard, at least that shard's
 share of them (by words), so each shard is mined completely at this lowered support, level by level: words, then
 pairs of words frequent in a shard, then triples and quadruples of such pairs. What any shard finds and all shards together have often
-enough is kept as a bit table of fixed size, and one last pass counts all phrases the tables let through, exactly and by their texts. The support is a
+enough is kept as a bit table of fixed size, and last all phrases the tables let through are counted, exactly and by their texts. The support is a
 number of occurrences, so the shards must be fewer than it for the lowered support to leave anything out: it is their size
 that grows with the data. A fuller table lets more phrases through to the exact count and changes no result.
 """
@@ -35,6 +35,8 @@ TOP = 2000
 SCALE = 2_000_000
 #: Bits of a table of phrases (16 MB) as a power of two, and those of a bitmap of Spark's aggregate.
 TABLE_BITS, MAP_BITS = 27, 15
+#: Leading bits of a hash that are mined (TABLE_BITS at least; the others are zeros, which compress), and passes that count, each a part of the phrases.
+HASH_BITS, PASSES = 40, 2
 #: Bytes of text held at a time, and phrases gathered in a task before they are handed on.
 SLICE, GATHERED = 1 << 21, 1 << 22
 #: Groups a language's phrases are ranked in before they are ranked together.
@@ -96,6 +98,16 @@ class Words:
         self.piece = np.searchsorted(np.flatnonzero(kind == BREAK), self.starts) + self.owner
         self.begins = int(np.searchsorted(self.starts, begin))
 
+    def joined(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The words, each followed by one space, and the begin and end of each with its space."""
+        ends = np.cumsum(self.lengths + 1)
+        begins = ends - self.lengths - 1
+        place = np.repeat(self.starts - begins, self.lengths + 1) + np.arange(ends[-1] if len(ends) else 0)
+        place[ends - 1] -= 1
+        raw = self.data.raw[place]
+        raw[ends - 1] = 0x20
+        return raw, begins, ends
+
     def hashes(self, language: np.ndarray, seed: int = 0) -> list[np.ndarray]:
         """For 1 to LONGEST words: the hash of the phrase from each word on, with its row's language."""
         words = span_hashes(self.data, self.starts, self.lengths, seed)
@@ -159,13 +171,14 @@ MINED = "shard int, bucket int, hash long, n long"
 def _mined(level: int, tables: Broadcast):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = [Table(bits) for bits in tables.value]
+        leading = np.uint64((1 << 64) - (1 << (64 - HASH_BITS)))
         held: list[list[np.ndarray]] = [[] for _ in range(SHARDS)]
         size = 0
 
         def given() -> Iterator[pa.RecordBatch]:
             for shard, parts in enumerate(held):
                 if parts:
-                    own, counts = np.unique(np.concatenate(parts), return_counts=True)
+                    own, counts = np.unique(np.concatenate(parts) & leading, return_counts=True)
                     parts.clear()
                     bucket = own >> np.uint64(64 - TABLE_BITS + MAP_BITS)  # sorted like the hashes, so rows compress well
                     yield pa.RecordBatch.from_arrays(
@@ -204,17 +217,16 @@ def _mine(texts: DataFrame, level: int, tables: list[np.ndarray], lowered: list[
     """The table of phrases that are frequent in any shard and have ``support`` occurrences in all shards together.
 
     Every level sees the same tables in all shards, so the shards' counts of a phrase are whole. Equal hashes only add to them.
-    One exchange serves the counts, the sums over shards and the bitmaps; its files go when the table is made.
+    One exchange serves the counts, the sums over shards and the bitmaps.
     """
     context = texts.sparkSession.sparkContext
-    with shuffles_let_go(texts.sparkSession):
-        counted = texts.mapInArrow(_mined(level, context.broadcast(tables)), MINED).repartition("bucket")
-        own = [F.sum(F.when(F.col("shard") == s, F.col("n"))).alias(f"n{s}") for s in range(SHARDS)]
-        sums = counted.groupBy("bucket", "hash").agg(F.sum("n").alias("n"), *own)
-        in_a_shard = reduce(or_, [F.col(f"n{s}") >= n for s, n in enumerate(lowered)])
-        frequent = sums.where(in_a_shard & (F.col("n") >= support))
-        bit = F.shiftrightunsigned("hash", 64 - TABLE_BITS).bitwiseAND(F.lit((1 << MAP_BITS) - 1))
-        maps = frequent.groupBy("bucket").agg(F.bitmap_construct_agg(bit).alias("bits")).toArrow()  # at most 2 ** TABLE_BITS bits
+    counted = texts.mapInArrow(_mined(level, context.broadcast(tables)), MINED).repartition("bucket")
+    own = [F.sum(F.when(F.col("shard") == s, F.col("n"))).alias(f"n{s}") for s in range(SHARDS)]
+    sums = counted.groupBy("bucket", "hash").agg(F.sum("n").alias("n"), *own)
+    in_a_shard = reduce(or_, [F.col(f"n{s}") >= n for s, n in enumerate(lowered)])
+    frequent = sums.where(in_a_shard & (F.col("n") >= support))
+    bit = F.shiftrightunsigned("hash", 64 - TABLE_BITS).bitwiseAND(F.lit((1 << MAP_BITS) - 1))
+    maps = frequent.groupBy("bucket").agg(F.bitmap_construct_agg(bit).alias("bits")).toArrow()  # at most 2 ** TABLE_BITS bits
     table = np.zeros((1 << (TABLE_BITS - MAP_BITS), 1 << (MAP_BITS - 3)), dtype=np.uint8)
     for bucket, bits in zip(maps.column("bucket").to_pylist(), maps.column("bits")):
         table[bucket] = np.frombuffer(bits.as_buffer(), dtype=np.uint8)
@@ -224,17 +236,13 @@ def _mine(texts: DataFrame, level: int, tables: list[np.ndarray], lowered: list[
 COUNTED = "lang string, phrase string, words int, n long"
 
 
-def _phrase_texts(words: Words, at: np.ndarray, k: int) -> pa.Array:
+def _phrase_texts(joined: tuple[np.ndarray, np.ndarray, np.ndarray], at: np.ndarray, k: int) -> pa.Array:
     """The texts of the phrases of k words at ``at``, words joined by one space."""
-    ends = np.cumsum(words.lengths + 1)  # in the words' own text, each followed by a space
-    begins = ends - words.lengths - 1
+    raw, begins, ends = joined
     length = ends[at + k - 1] - 1 - begins[at]
     offsets = np.concatenate([[0], np.cumsum(length)])
     place = np.repeat(begins[at] - offsets[:-1], length) + np.arange(offsets[-1])
-    word = np.searchsorted(ends, place, side="right")
-    shift = place - begins[word]
-    raw = np.where(shift < words.lengths[word], words.data.raw[words.starts[word] + shift], 0x20).astype(np.uint8)
-    return pa.Array.from_buffers(pa.large_string(), len(at), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(raw)])
+    return pa.Array.from_buffers(pa.large_string(), len(at), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(raw[place])])
 
 
 def _same_keys(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -245,7 +253,7 @@ def _same_keys(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return first, counts
 
 
-def _counted(tables: Broadcast):
+def _counted(tables: Broadcast, part: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = [Table(bits) for bits in tables.value]
         names = ["lang", "phrase", "words", "n"]
@@ -258,16 +266,18 @@ def _counted(tables: Broadcast):
                 continue
             for words, rows, language in _read(batch):
                 lang = rows.column("lang")
-                each = np.bincount(words.owner[: words.begins], minlength=rows.num_rows)
-                yield rows_of(lang, pa.nulls(rows.num_rows, pa.string()), 0, each)
-                hashes, others = words.hashes(language), words.hashes(language, 1)
+                if part == 0:
+                    each = np.bincount(words.owner[: words.begins], minlength=rows.num_rows)
+                    yield rows_of(lang, pa.nulls(rows.num_rows, pa.string()), 0, each)
+                hashes, others, joined = words.hashes(language), words.hashes(language, 1), words.joined()
                 for k in range(LONGEST):
                     n = max(len(words.starts) - k, 0)
                     own = known[min(k, len(known) - 1)].has(hashes[k][:n]) & words.whole(k)
                     at = np.flatnonzero(own)
+                    at = at[hashes[k][at] % np.uint64(PASSES) == part]
                     first, counts = _same_keys(hashes[k][at], others[k][at])
                     if len(first):
-                        yield rows_of(lang.take(pa.array(words.owner[at[first]])), _phrase_texts(words, at[first], k + 1), k + 1, counts)
+                        yield rows_of(lang.take(pa.array(words.owner[at[first]])), _phrase_texts(joined, at[first], k + 1), k + 1, counts)
 
     return run
 
@@ -276,21 +286,27 @@ def count_phrases(documents: DataFrame, support: int = SUPPORT) -> DataFrame:
     """(lang, phrase, words, n) of all phrases of 1 to LONGEST words with at least ``support`` occurrences in a language, exactly.
 
     The row with a null phrase and 0 words has the number of all words of the language; languages without words have such a row too.
+    Each pass over the texts counts a part of the phrases, dealt by hash, and is written before the next begins.
     """
     lang = F.coalesce("lang", F.lit("und"))
     shard = F.pmod(F.xxhash64("text"), F.lit(SHARDS)).cast("int")
     texts = documents.select("text", lang.alias("lang"), F.xxhash64(lang).alias("language"), F.coalesce(shard, F.lit(0)).alias("shard"))
     mined = texts.select("text", "language", "shard")
-    sizes = {r["shard"]: r["n"] for r in mined.mapInArrow(_words_of_shards, "shard int, n long").groupBy("shard").agg(F.sum("n").alias("n")).collect()}
-    total = sum(sizes.values())
-    # Some shard has at least its share of any ``support`` occurrences; a share is rounded up.
-    lowered = [max(1, -(-support * sizes.get(s, 0) // max(total, 1))) for s in range(SHARDS)]
-    tables: list[np.ndarray] = []
-    context = documents.sparkSession.sparkContext
-    for level in (1, 2, 3):
-        tables.append(_mine(mined, level, tables, lowered, support))
-    counted = texts.select("text", "lang", "language").mapInArrow(_counted(context.broadcast(tables)), COUNTED)
-    return counted.groupBy("lang", "phrase", "words").agg(F.sum("n").alias("n")).where((F.col("words") == 0) | (F.col("n") >= support))
+    context, passes = documents.sparkSession.sparkContext, []
+    with shuffles_let_go(documents.sparkSession):  # of each level and pass when it is over
+        sizes = {r["shard"]: r["n"] for r in mined.mapInArrow(_words_of_shards, "shard int, n long").groupBy("shard").agg(F.sum("n").alias("n")).collect()}
+        total = sum(sizes.values())
+        # Some shard has at least its share of any ``support`` occurrences; a share is rounded up.
+        lowered = [max(1, -(-support * sizes.get(s, 0) // max(total, 1))) for s in range(SHARDS)]
+        tables: list[np.ndarray] = []
+        for level in (1, 2, 3):
+            tables.append(_mine(mined, level, tables, lowered, support))
+        known = context.broadcast(tables)
+        for part in range(PASSES):
+            counted = texts.select("text", "lang", "language").mapInArrow(_counted(known, part), COUNTED)
+            sums = counted.groupBy("lang", "phrase", "words").agg(F.sum("n").alias("n"))
+            passes.append(stored(sums.where((F.col("words") == 0) | (F.col("n") >= support)), "phrases"))
+    return reduce(DataFrame.union, passes)
 
 
 def _part(first: Column, last: Column) -> Column:
@@ -306,11 +322,10 @@ def collocations(documents: DataFrame, support: int = SUPPORT, top: int = TOP) -
     one with the least score counts, ties to the shorter first part. Phrases inside a longer one that has COVERED percent of their occurrences
     are left out. Scores are exact (decimals where 64 bits would not do). Languages without such a phrase, and empty tables, give no rows.
 
-    Texts are read once per level and once to count; hashes and counts are shuffled, never texts. Tables of 2 ** TABLE_BITS bits
+    Texts are read once per level and twice to count; hashes and counts are shuffled, never texts. Tables of 2 ** TABLE_BITS bits
     are all that goes through the driver.
     """
-    with shuffles_let_go(documents.sparkSession):
-        known = stored(count_phrases(documents, support), "phrases")
+    known = count_phrases(documents, support)
     words = small_side(known.where("words = 0").select("lang", F.col("n").alias("all_words")), BROADCAST_PHRASES)
     phrases = known.where("words > 0")
     split = phrases.where("words > 1").select("lang", "phrase", "words", F.col("n").alias("a"), F.split("phrase", " ").alias("split"))
